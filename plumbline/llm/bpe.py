@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,24 +21,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pieces a task remembers, and words a query takes at once.
-MEMO, BATCH = 200_000, 20_000
+#: Words a task remembers, and words a query takes at once.
+MEMO, BATCH = 300_000, 40_000
 
 ENCODE = """
 WITH RECURSIVE state(w, toks, step) USING KEY (w) AS (
-  SELECT w, list(t ORDER BY p), 0 FROM seed GROUP BY w
+  SELECT w, toks, 0 FROM seed
   UNION ALL
   (WITH token AS (SELECT w, toks, unnest(toks) AS t, generate_subscripts(toks, 1) AS p FROM state WHERE step IS NOT NULL),
    pair AS (SELECT w, p, m.id FROM token JOIN merges m ON m.l = token.t AND m.r = token.toks[p + 1]),
    best AS (SELECT w, min(id) AS id, min_by(p, id::HUGEINT * 4294967296 + p) AS cut FROM pair GROUP BY w)
    SELECT s.w, CASE WHEN b.w IS NULL THEN s.toks ELSE s.toks[:cut - 1] || [b.id] || s.toks[cut + 2:] END, b.id
    FROM state s LEFT JOIN best b ON s.w = b.w WHERE s.step IS NOT NULL)
-)
-SELECT w, toks FROM state
+), coded AS (SELECT w, toks FROM state)
 """
 DECODE = """
-WITH token AS (SELECT w, unnest(toks) AS t, generate_subscripts(toks, 1) AS p FROM coded)
-SELECT w, string_agg(v.hex, '' ORDER BY p) FROM token JOIN vocabulary v ON v.id = token.t GROUP BY w
+token AS (SELECT w, unnest(toks) AS t, generate_subscripts(toks, 1) AS p FROM coded),
+text AS (SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex FROM token JOIN vocabulary v ON v.id = token.t GROUP BY w)
+SELECT w, array_to_string(toks, ','), len(toks), hex FROM coded JOIN text USING (w)
 """
 
 
@@ -66,11 +67,11 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given_merges; CREATE TABLE vocabulary AS SELECT * FROM given_words")
         self.db.unregister("given_merges")
         self.db.unregister("given_words")
-        self.known: dict[str, tuple[bytes, str, int, bytes]] = {}
+        self.known: dict[str, tuple[str, int, bytes]] = {}
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word (not empty); words of very many bytes are asked in smaller lots."""
-        out: list[list[int]] = []
+    def encode_words(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
+        """(ids joined by commas, their number, decoded bytes) of each word (not empty); long words go in smaller lots."""
+        out: list[tuple[str, int, bytes]] = []
         a = 0
         while a < len(words):
             b, size = a, 0
@@ -78,18 +79,14 @@ class Codec:
                 size += len(words[b])
                 b += 1
             lot = words[a:b]
-            length = np.fromiter(map(len, lot), np.int64, len(lot))
-            seed = pa.table(
-                {
-                    "w": np.repeat(np.arange(len(lot), dtype=np.int32), length),
-                    "p": (np.arange(size) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32),
-                    "t": self.byte[np.frombuffer(b"".join(lot), np.uint8)],
-                }
-            )
-            self.db.register("seed", seed)
-            got = dict(self.db.execute(ENCODE).fetchall())
+            ends = np.cumsum([0, *map(len, lot)])
+            toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte[np.frombuffer(b"".join(lot), np.uint8)]))
+            self.db.register("seed", pa.table({"w": pa.array(np.arange(len(lot), dtype=np.int32)), "toks": toks}))
+            got: list = [None] * len(lot)
+            for w, ids, n, text in self.db.execute(ENCODE + ", " + DECODE).fetchall():
+                got[w] = (ids, n, bytes.fromhex(text))
             self.db.unregister("seed")
-            out += [got[i] for i in range(len(lot))]
+            out += got
             a = b
         return out
 
@@ -97,48 +94,55 @@ class Codec:
         """The bytes of each list of ids."""
         table = pa.table({"w": pa.array(range(len(coded)), pa.int32()), "toks": pa.array(coded, pa.list_(pa.int32()))})
         self.db.register("coded", table)
-        got = dict(self.db.execute(DECODE).fetchall())
+        got = {w: text for w, _, _, text in self.db.execute("WITH " + DECODE).fetchall()}
         self.db.unregister("coded")
         return [bytes.fromhex(got.get(i, "")) for i in range(len(coded))]
 
-    def learn(self, pieces: set[str]) -> None:
-        new = sorted(p for p in pieces if p not in self.known)
-        if not new:
-            return
-        if len(self.known) + len(new) > MEMO:
-            self.known.clear()
-            new = sorted(pieces)
-        cut = [self.pattern.findall(p) for p in new]
-        words = sorted({w for ws in cut for w in ws})
-        code = dict(zip(words, self.encode_words([w.encode() for w in words])))
-        for a in range(0, len(new), BATCH):
-            ids = [[t for w in ws for t in code[w]] for ws in cut[a : a + BATCH]]
-            for p, x, back in zip(new[a : a + BATCH], ids, self.decode(ids)):
-                self.known[p] = (np.array(x, np.int32).tobytes(), ",".join(map(str, x)), len(x), back)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[bytes], list[str], int, list[bytes]]]:
-        """For each text, by piece: ids as int32, ids as text, their number, decoded bytes."""
+    def words(self, text: str) -> list[str]:
+        """The matches of the pattern; a letter run with at most one stop behind it needs no search."""
+        out: list[str] = []
+        for p in pieces(text):
+            core = p[1:] if p[0] == " " else p
+            if core.isalpha():
+                out.append(p)
+            elif len(core) > 1 and core[-1] in ".,;!?" and core[:-1].isalpha():
+                out += (p[:-1], core[-1])
+            else:
+                out += self.pattern.findall(p)
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[tuple[str, ...], int, tuple[bytes, ...]]]:
+        """For each text, by word: ids as text, their number, decoded bytes."""
         lot: list[list[str]] = []
         fresh: set[str] = set()
         for text in texts:
-            lot.append(pieces(text))
+            lot.append(self.words(text))
             fresh.update(lot[-1])
             if len(fresh) > MEMO // 2:
                 yield from self._known(lot, fresh)
                 lot, fresh = [], set()
         yield from self._known(lot, fresh)
 
-    def _known(self, lot: list[list[str]], fresh: set[str]) -> Iterator[tuple[list[bytes], list[str], int, list[bytes]]]:
-        self.learn(fresh)
-        for ps in lot:
-            found = [self.known[p] for p in ps]
-            yield [x[0] for x in found], [x[1] for x in found], sum(x[2] for x in found), [x[3] for x in found]
+    def _known(self, lot: list[list[str]], fresh: set[str]) -> Iterator[tuple[tuple[str, ...], int, tuple[bytes, ...]]]:
+        new = sorted(fresh.difference(self.known))
+        if len(self.known) + len(new) > MEMO:
+            self.known.clear()
+            new = sorted(fresh)
+        self.known.update(zip(new, self.encode_words([w.encode() for w in new])))
+        for ws in lot:
+            ids, n, text = zip(*map(self.known.__getitem__, ws)) if ws else ((), (), ())
+            yield ids, sum(n), text
+
+
+_UNEVEN = re.compile(r"\s\s|^\s|\s$")
 
 
 def pieces(text: str) -> list[str]:
     """Parts of a text whose tokens do not depend on each other: cut before each single space between other characters."""
-    out: list[str] = []
     parts = text.split(" ")
+    if not _UNEVEN.search(text):
+        return [parts[0], *(" " + p for p in parts[1:])] if text else []
+    out: list[str] = []
     for i, p in enumerate(parts):
         if i == 0:
             if p:
@@ -183,12 +187,12 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 number, digest, back, lists = [], [], [], []
-                for raw, names, n, text in own.encode([t or "" for t in part.column(1).to_pylist()]):
+                for names, n, text in own.encode([t or "" for t in part.column(1).to_pylist()]):
                     number.append(n)
                     digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
                     back.append(hashlib.sha256(b"".join(text)).hexdigest())
                     if ids:
-                        lists.append(np.frombuffer(b"".join(raw), np.int32))
+                        lists.append(np.array(",".join(names).split(","), np.int32) if n else np.zeros(0, np.int32))
                 columns = [part.column(0), pa.array(number, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
