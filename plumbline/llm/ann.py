@@ -146,7 +146,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                     found["key"].append(queries.key.iloc[i])
                     found["ids"].append(ids[p])
                     found["score"].append(s)
-        return pd.DataFrame(found)
+        return pd.DataFrame({k: pd.Series(v, dtype="object" if k == "ids" else "float64" if k == "score" else "int64") for k, v in found.items()})
 
     pairs = sent.groupBy("list", "block").cogroup(placed.select("list", "block", "v", "ids").groupBy("list", "block")).applyInPandas(near, "key long, ids array<long>, score double")
     best = Window.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
