@@ -2,7 +2,8 @@
 
 Inner products become distances by one more dimension (the root of the largest squared norm less one's own);
 vectors are then rotated at random, so that a part of the dimensions estimates the whole distance.  Lists come
-from k-means on a bounded sample.  Every vector is put into its list, every query is sent to the lists nearest
+from k-means on a bounded sample, and so does the number of lists to probe: the least that holds the wanted part
+of the nearest neighbours within the sample (those of all rows lie nearer, hence rather in fewer lists).  Every vector is put into its list, every query is sent to the lists nearest
 to it.  In a list, candidates are scanned in blocks of columns: once the partial distance, scaled up, is so far
 above the worst distance that still counts that a hypothesis test rejects the candidate, it is abandoned.
 
@@ -24,8 +25,8 @@ from plumbline.llm.common import written
 
 #: Rows that k-means is fitted on at most; rows of a block of a list; columns of a step; strictness of the test.
 SAMPLE, BLOCK, STEP, EPSILON = 20_000, 8192, 16, 2.1
-#: Lists probed: this part of them, and so many at least.
-PROBE_PART, PROBE_LEAST = 0.3, 8
+#: Part of the nearest within the sample that the probed lists must hold; queries of the sample that this is measured on.
+COVER, TRIALS = 0.96, 200
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -50,6 +51,20 @@ def lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))[:, None]], axis=1)
 
 
+def probes_needed(x: np.ndarray, centres: np.ndarray, turn: np.ndarray, top: float, k: int, cover: float = COVER, trials: int = TRIALS) -> int:
+    """Lists to probe so that, over queries from a sample x, they hold the part `cover` of the k nearest within it."""
+    c2 = (centres * centres).sum(1)
+    near = np.argmin(c2 - 2 * (lift(x, top) @ turn) @ centres.T, axis=1)
+    at = np.linspace(0, len(x) - 1, min(trials, len(x))).astype(int)
+    q = np.concatenate([x[at], np.zeros((len(at), 1))], axis=1) @ turn
+    place = np.argsort(np.argsort(c2 - 2 * q @ centres.T, axis=1), axis=1)
+    score = x[at] @ x.T
+    score[np.arange(len(at)), at] = -np.inf
+    best = np.argsort(-score, axis=1)[:, : max(1, min(k, len(x) - 1))]
+    ranks = np.take_along_axis(place, near[best], axis=1).ravel()
+    return int(np.quantile(ranks, cover, method="higher")) + 1
+
+
 def scan(queries: np.ndarray, block: np.ndarray, k: int, step: int = STEP, epsilon: float = EPSILON) -> list[np.ndarray]:
     """For each rotated query, positions in the block that were not abandoned, its k nearest among them."""
     n, d = block.shape
@@ -83,7 +98,7 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(fine)
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probe_part: float = PROBE_PART) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", cover: float = COVER) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row with an id divisible by `every`, the k nearest other rows found.
 
     Null ids and vectors that are null, zero or hold null or non-finite components take no part, nor do those
@@ -106,7 +121,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     turn = rotation(d + 1)
     lists = int(min(max(1, round(n**0.5)), max(1, len(sample) // 20), 4096))
     centres = kmeans(lift(sample, top) @ turn, lists)
-    probes = min(lists, max(PROBE_LEAST, round(lists * probe_part)))
+    probes = probes_needed(sample, centres, turn, top, k, cover)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c2 = (centres * centres).sum(1)
