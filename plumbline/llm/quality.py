@@ -1,8 +1,8 @@
 """Quality rules by repetition coverage: the share of a text's word characters inside repeated n-grams and lines.
 
-For each n-gram length every word that a repeated n-gram covers counts, first occurrence included, found by
-rolling hashes of many documents at once.  The limits follow published practice for web text (duplicate
-n-gram and duplicate line shares); prose without repetition stays far below them.
+For each n-gram length every word that a repeated n-gram covers is found by rolling hashes of many documents at
+once.  The verdict counts what the second and later occurrences cover, as published practice for web text does
+whose limits it takes (duplicate n-gram and duplicate line shares): one line that a page says twice is no fault.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from plumbline.llm.common import grams, mix, slabs, word_hashes, words
 
 MIN_WORDS, BASE_N, BASE_PERCENT = 10, 5, 20
-#: n-gram length -> largest share of word characters inside repeated n-grams; and the same for repeated lines.
+#: n-gram length -> largest share of word characters inside n-grams seen before; and the same for lines seen before.
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.30
 
@@ -30,29 +30,33 @@ def _sums(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def repeated(h: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """Flags of the words that an n-gram found twice or more in their own document covers."""
+def repeated(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the words that an n-gram found twice or more in their own document covers, and of those that its
+    second or a later occurrence covers."""
     out = np.zeros(len(h), bool)
     g = grams(h, n)
     length = np.diff(first)
     windows = np.maximum(length - n + 1, 0)
     total = int(windows.sum())
     if not total:
-        return out
+        return out, out
     doc = np.repeat(np.arange(len(windows)), windows)
     at = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(first[:-1], windows)
     key = mix(g[at] ^ (doc.astype(np.uint64) * _SALT))
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")
     key = key[order]
-    same = key[1:] == key[:-1]
-    twice = np.zeros(total, bool)
-    twice[1:] = same
-    twice[:-1] |= same
-    hit = at[order[twice]]
-    edge = np.zeros(len(h) + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + n, -1)
-    return np.cumsum(edge)[: len(h)] > 0
+    later = np.zeros(total, bool)
+    later[1:] = key[1:] == key[:-1]
+    twice = later.copy()
+    twice[:-1] |= later[1:]
+    return _covered(at[order[twice]], n, len(h)), _covered(at[order[later]], n, len(h))
+
+
+def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + n, -1)
+    return np.cumsum(edge)[:size] > 0
 
 
 def measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -63,11 +67,11 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     chars = points[e] - points[s]
     n_words = np.diff(first)
     word_chars = _sums(chars, first)
-    five = repeated(h, first, BASE_N)
+    five, again = repeated(h, first, BASE_N)
     n_repeat = _sums(five, first)
     worst = np.zeros(len(n_words), bool)
     for n, limit in GRAM_LIMITS.items():
-        flags = five if n == BASE_N else repeated(h, first, n)
+        flags = again if n == BASE_N else repeated(h, first, n)[1]
         worst |= _sums(chars * flags, first) > limit * word_chars
     lines, line_chars = [], []
     data = raw.tobytes()
