@@ -50,6 +50,38 @@ def test_quality(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == sorted(r.doc_id for r in got if r.kept and r.doc_id)
 
 
+def test_quality_verdict(spark):
+    """A line said twice stays, whatever its place; the same text three times and a page of repeated short lines go."""
+    words = [f"w{k * 7919 % 1000}" for k in range(150)]
+    prose, line = " ".join(words), " ".join(words[:14])
+    menu = "\n".join(f"{w}\nhome page\nlog in here\nabout us" for w in words[:40])
+    rows = [(1, prose), (2, f"{line}\n{prose}"), (3, f"{prose}\n{line}"), (4, "\n".join([prose] * 3)), (5, menu), (6, None)]
+    got = {r.doc_id: r.kept for r in quality.measured(frame(spark, rows)).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
+
+
+def test_secrets_held_out(spark):
+    """The field learns from the patterns' matches and is held against announcements that no pattern knows."""
+    import random
+
+    r = random.Random(8)
+    prose = lambda n: " ".join(r.choice("the state of a paper in their long valley was read by others and 12 , . (see) 2021-03-04 v1.2 f00d http://a.org/b2 10,000 ABC-12 x_y".split()) for _ in range(n))
+    value = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(20, 40)))
+    known = lambda: r.choice([f'password: "{value()}"', f"token = {value()}", f"api_key={value()}", f"secret: {value()}", "AKIA" + value().upper()])
+    docs = [(i, f"{prose(40)} {known()} {prose(30)}" if i % 2 else prose(70)) for i in range(600)]
+    field = secrets.fitted(frame(spark, docs))
+    held = [(i, prose(40), r.choice(["auth: {}", "key = {}", 'credential = "{}"', "bearer: {}"]).format(value()), prose(30)) for i in range(200)]
+    rows = [(i, f"{a} {s} {b}") for i, a, s, b in held] + [(1000 + i, prose(80)) for i in range(200)]
+    got = {x.doc_id: x.spans for x in secrets.scan(frame(spark, rows), field=field).collect()}
+    hits = 0
+    for i, a, s, _ in held:
+        v = re.search(r"[A-Za-z0-9]{20,}", s)
+        hits += f"crf:{len(a) + 1 + v.start()}:{len(a) + 1 + v.end()}" in got[i].split(",")
+    false = sum(got[1000 + i] != "" for i in range(200))
+    print("held out: found", hits, "of 200, clean texts marked", false)
+    assert hits >= 180 and false <= 4
+
+
 def test_secrets(spark):
     words = "der was thing and ond tiona re hand ble".split()
     rows = [(i, " ".join(words[(i * 7 + k * k) % 9] for k in range(40)) + (f' token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and more words to end it' if i % 3 == 0 else " 12345 words")) for i in range(200)]
