@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
@@ -42,23 +42,36 @@ def estimator(name: str, n_features: int, **params):
     return REGISTRY[name][0](**({"n_features": n_features} if name == "mlp" else {}), **params)
 
 
-def assembled(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """df with `features`, `label` and balancing `weight`."""
+def weighted(df: DataFrame, target: str) -> DataFrame:
+    """df with `label` and balancing `weight`."""
     n = df.groupBy(F.col(target).alias("_y")).agg(F.count("*").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy())
     w = n.withColumn("weight", total / (2 * F.col("_n"))).select("_y", "weight")
-    rows = df.join(F.broadcast(w), df[target] == w["_y"]).drop("_y").withColumn("label", F.col(target).cast("double"))
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(rows)
+    return df.join(F.broadcast(w), df[target] == w["_y"]).drop("_y").withColumn("label", F.col(target).cast("double"))
+
+
+def assembled(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """df with `features`, `label` and balancing `weight`."""
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(weighted(df, target))
 
 
-def fit(df: DataFrame, features: list[str], target: str, name: str, **params):
-    return Pipeline(stages=[estimator(name, len(features), **params)]).fit(assembled(df, features, target))
+def fit(df: DataFrame, features: list[str], target: str, name: str, missing: str | None = None, **params):
+    """The fitted pipeline; with `missing` (median, mean, mode), its first stages fill nulls by what these rows hold."""
+    last = estimator(name, len(features), **params)
+    if missing is None:
+        return Pipeline(stages=[last]).fit(assembled(df, features, target))
+    full = [f"_full_{f}" for f in features]
+    fill = Imputer(strategy=missing, inputCols=features, outputCols=full)
+    return Pipeline(stages=[fill, VectorAssembler(inputCols=full, outputCol="features"), last]).fit(weighted(df, target))
 
 
 def score(model, df: DataFrame, features: list[str]) -> DataFrame:
     """df with y_prob; a narrow transformation."""
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df)
-    return model.transform(rows).withColumn("y_prob", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    if len(model.stages) > 1:
+        rows = model.transform(df).drop(*[f"_full_{f}" for f in features])
+    else:
+        rows = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(df))
+    return rows.withColumn("y_prob", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def search(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict] | None = None, k: int = 3, budget: int | None = None) -> list[tuple[dict, float]]:
