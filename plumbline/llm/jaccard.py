@@ -3,10 +3,12 @@
 A document is the set of its distinct word shingles (64-bit hashes).  Two documents link when
 100 * |intersection| >= threshold * |union|, in whole numbers.  The join runs in three steps:
 
-1. Which sets can have a partner at all.  Linked sets share all but a bounded part of their tokens, so in one
-   global order (that of the hashes) a short prefix of both must share several tokens.  Prefix tokens are
-   counted over the corpus; sets with too few tokens that another prefix holds are out, without any pair made.
-2. Sets that share a prefix token hang together (stars around the least, then components).  No link leaves
+1. Which sets can have a partner at all.  Sizes fall into classes, wide enough that the sizes of linked sets are in
+   one or in two neighbouring ones; a set takes part in its own class and, as the larger of a pair, in the one
+   below.  In a class, linked sets differ in h tokens at most.  The range of hashes is cut into more than h parts,
+   so one part at least is alike in both, and not empty (a set with so many empty parts that this may fail also
+   counts its empty ones).  Parts that no other set has are out, without any pair made.
+2. Sets of a class that share a part hang together (stars around the least, then components).  No link leaves
    such a cluster.
 3. Within a cluster, similar sets form groups; the token-group matrix has the groups that hold each token.
    For a query set it bounds the overlap with every group's union; only groups that reach the needed overlap
@@ -18,7 +20,9 @@ Sets that are equal within a task are collapsed before step 1 (each keeps a link
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +42,30 @@ def need(n: int, threshold: int) -> int:
     return -(-threshold * n // 100)
 
 
-def depth(n: int) -> int:
-    """Shared tokens that a prefix is long enough to hold."""
-    return max(1, n // 10)
+@lru_cache(maxsize=8)
+def size_classes(threshold: int, most: int = 1 << 31) -> tuple[list[int], list[int]]:
+    """The least size of each class, and the most tokens that a linked pair whose smaller set is of the class differs in."""
+    least = [1]
+    while least[-1] <= most:
+        least.append(100 * least[-1] // threshold + 1)
+    return least, [(top - 1) * (100 - threshold) // threshold for top in least[1:]]
+
+
+def parts(t: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray]]:
+    """(class, hashes of its parts) of a sorted set, for its own class and the one below."""
+    least, differ = size_classes(threshold)
+    own, out = bisect_right(least, len(t)) - 1, []
+    for c in range(max(0, own - 1), own + 1):
+        slack = differ[c] // 32 + 1 if differ[c] else 0
+        m = differ[c] + 1 + slack
+        of = (t >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        j, value = of[first], np.add.reduceat(mix(t), first)
+        if m - len(j) > slack:
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), j)
+            j, value = np.concatenate([j, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
+        out.append((c, pair(mix(j + np.uint64((c + 1) << 32)), value)))
+    return out
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -62,8 +87,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
     return out
 
 
-def _prefixes(size: int, threshold: int):
-    schema = pa.schema([("doc", pa.bool_()), ("token", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("id0", pa.int64()), ("th0", pa.int64())])
+def _parts(size: int, threshold: int):
+    schema = pa.schema([("doc", pa.bool_()), ("part", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("class", pa.int32()), ("id0", pa.int64()), ("th0", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple] = {}
@@ -71,7 +96,7 @@ def _prefixes(size: int, threshold: int):
             ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b, raw, offsets in slabs(batch.column(0), batch.column(2)):
                 rows: list[tuple] = []
-                tokens, owner, total = [], [], []
+                found, owner, total, of = [], [], [], []
                 for i, t in zip(range(a, b), shingle_sets(raw, offsets, size)):
                     n, me = len(t), (ids[i], ths[i])
                     first = me
@@ -81,32 +106,23 @@ def _prefixes(size: int, threshold: int):
                             seen.clear()
                         first = seen.setdefault(sig, me)
                         if first is me:
-                            p = t[: n - need(n, threshold) + depth(n)]
-                            tokens.append(p)
-                            owner += [i] * len(p)
-                            total += [n] * len(p)
-                    rows.append((True, ths[i], *me, n, *first))
+                            for c, p in parts(t, threshold):
+                                found.append(p)
+                                owner += [i] * len(p)
+                                total += [n] * len(p)
+                                of += [c] * len(p)
+                    rows.append((True, ths[i], *me, n, 0, *first))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                if tokens:
+                if found:
                     at, k = pa.array(owner, pa.int64()), len(owner)
                     none = pa.nulls(k, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.zeros(k, bool)), pa.array(signed(np.concatenate(tokens))), batch.column(0).take(at), batch.column(1).take(at), pa.array(total, pa.int64()), none, none], schema=schema
+                        [pa.array(np.zeros(k, bool)), pa.array(signed(np.concatenate(found))), batch.column(0).take(at), batch.column(1).take(at), pa.array(total, pa.int64()), pa.array(of, pa.int32()), none, none], schema=schema
                     )
 
     return work
 
 
-def _sets(size: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, raw, offsets in slabs(batch.column(0), batch.column(2)):
-                sets = [t.tobytes() for t in shingle_sets(raw, offsets, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array([len(t) // 8 for t in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "th", "label", "n", "tokens"])
-
-    return work
-
-
 def link_forest(sets: list[np.ndarray], threshold: int, group: int = GROUP) -> list[tuple[int, int]]:
     """Links (pairs of positions) that span every component of the sets, each sorted and distinct; empty ones have none."""
     order = sorted((i for i, t in enumerate(sets) if len(t)), key=lambda i: (tuple(sets[i][:4].tolist()), len(sets[i])))
@@ -156,7 +172,7 @@ def link_forest(sets: list[np.ndarray], threshold: int, group: int = GROUP) -> l
     return links
 
 
-def _links(threshold: int):
+def _links(size: int, threshold: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple] = []
         sets: list[np.ndarray] = []
@@ -167,13 +183,15 @@ def _links(threshold: int):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(4)], names=["id", "th", "id0", "th0"])
 
         for batch in batches:
-            for task, i, th, tokens in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if task != of:
-                    if len(keys) > 1:
-                        yield found()
-                    keys, sets, of = [], [], task
-                keys.append((i, th))
-                sets.append(np.frombuffer(tokens, np.uint64))
+            tasks, ids, ths = (batch.column(k).to_pylist() for k in range(3))
+            for a, b, raw, offsets in slabs(batch.column(1), batch.column(3)):
+                for i, tokens in zip(range(a, b), shingle_sets(raw, offsets, size)):
+                    if tasks[i] != of:
+                        if len(keys) > 1:
+                            yield found()
+                        keys, sets, of = [], [], tasks[i]
+                    keys.append((ids[i], ths[i]))
+                    sets.append(tokens)
         if len(keys) > 1:
             yield found()
 
@@ -182,26 +200,23 @@ def _links(threshold: int):
 
 def linked(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
     """(documents (id, th, n), links (id, th, id0, th0)); the links span every component."""
-    rows = row_key(docs).sortWithinPartitions("id", "th").mapInArrow(_prefixes(size, threshold), "doc boolean, token long, id long, th long, n long, id0 long, th0 long")
-    share = F.sum(F.when(F.col("doc"), 0).otherwise(1)).over(Window.partitionBy("token"))
-    rows = written(rows.repartition("token").withColumn("share", share).where("doc or share > 1").drop("share"))
+    rows = row_key(docs).sortWithinPartitions("id", "th").mapInArrow(_parts(size, threshold), "doc boolean, part long, id long, th long, n long, class int, id0 long, th0 long")
+    share = F.sum(F.when(F.col("doc"), 0).otherwise(1)).over(Window.partitionBy("part"))
+    rows = written(rows.repartition("part").withColumn("share", share).where("doc or share > 1").drop("share"))
     documents = rows.where("doc").select("id", "th", "n")
     copies = rows.where("doc and not (id <=> id0 and th = th0)").select("id", "th", "id0", "th0")
-    me = F.struct("id", "th").alias("me")
-    enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * threshold / 100) / 10))
-    alive = written(rows.where("not doc").groupBy("id", "th", "n").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= enough))
-    held = alive.select(me, F.explode("tokens").alias("token"))
-    stars = held.withColumn("least", F.min("me").over(Window.partitionBy("token"))).where("me != least").select(F.col("me").alias("a"), F.col("least").alias("b"))
-    clusters = components(stars).select(F.col("v.id").alias("cid"), F.col("v.th").alias("cth"), F.col("label"))
-    keyed = row_key(docs)
-    held = keyed.join(clusters, keyed.id.eqNullSafe(clusters.cid) & (keyed.th == clusters.cth)).select("id", "th", "text", F.xxhash64("label").alias("label"))
-    sets = written(held.mapInArrow(_sets(size), "id long, th long, label long, n long, tokens binary"))
-    blocks = sets.groupBy("label").agg(F.sum("n").alias("total")).select("label", F.ceil(F.col("total") * 2 / CAP).cast("int").alias("blocks"))
+    held = rows.where("not doc").select(F.struct("class", "id", "th", "n").alias("me"), "part")
+    stars = held.withColumn("least", F.min("me").over(Window.partitionBy("part"))).where("me != least").select(F.col("me").alias("a"), F.col("least").alias("b"))
+    members = written(components(stars).select("v.id", "v.th", "v.n", F.xxhash64("label").alias("label")))
+    blocks = members.groupBy("label").agg(F.sum("n").alias("total")).select("label", F.ceil(F.col("total") * 2 / CAP).cast("int").alias("blocks"))
     blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
-    dealt = sets.join(blocks, "label").withColumn("mine", F.pmod(F.xxhash64("id", "th"), F.col("blocks")))
+    dealt = members.join(blocks, "label").withColumn("mine", F.pmod(F.xxhash64("id", "th"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.struct("label", F.least("mine", F.col("other").cast("long")).alias("x"), F.greatest("mine", F.col("other").cast("long")).alias("y")).alias("task")
-    found = dealt.select(task, "id", "th", "tokens").repartition("task").sortWithinPartitions("task").mapInArrow(_links(threshold), "id long, th long, id0 long, th0 long")
+    dealt = dealt.select(task, F.col("id").alias("cid"), F.col("th").alias("cth"))
+    keyed = row_key(docs)
+    held = keyed.join(dealt, keyed.id.eqNullSafe(dealt.cid) & (keyed.th == dealt.cth)).select("task", "id", "th", "text")  # texts take less room than their shingles
+    found = held.repartition("task").sortWithinPartitions("task").mapInArrow(_links(size, threshold), "id long, th long, id0 long, th0 long")
     return documents, copies.unionByName(found)
 
 
