@@ -43,3 +43,23 @@ def test_nulls_and_repeated_rows(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.classes(docs, 4, 85).collect())
     assert got == [(-1, 0, -1), (-1, 17, 4), (4, 17, 4), (4, 17, 4), (7, 0, 7), (8, 1, 8), (9, 1, 8)]
     assert jaccard.classes(docs.limit(0)).collect() == []
+
+
+def test_linked_sets_share_a_part():
+    """Sets at or near the threshold, of all sizes, always have a part in common."""
+    import numpy as np
+
+    rng, n_linked = np.random.default_rng(1), 0
+    for threshold in (85, 80, 50):
+        for k in range(1500):
+            n = int(rng.integers(1, 30 if k % 2 else 400))
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+            drop = int(rng.integers(0, (100 - threshold) * n // 100 + 1))
+            add = int(rng.integers(0, max(0, 100 * (n - drop) // threshold - n) + 1))
+            y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64) * np.uint64(2)]))
+            both = len(np.intersect1d(x, y))
+            if both and 100 * both >= threshold * (len(x) + len(y) - both):
+                n_linked += 1
+                a, b = ({(c, v) for c, p in jaccard.parts(t, threshold) for v in p.tolist()} for t in (x, y))
+                assert a & b
+    assert n_linked > 3000
