@@ -1,8 +1,9 @@
 """License scans by sentence rules, in built-in expressions only.
 
 A text is cut into sentences, each normalised (lower case, runs of other characters than letters and digits
-become one space).  Sentences that are known map to identifiers; the identifiers of a text, in order, are
-matched against licence rules, each an ordered sequence of identifiers that must follow one another.
+become one space).  A known sentence begins and ends at a cut and may run over cuts in between, as in wrapped
+lines or after a colon.  Known sentences map to identifiers; the identifiers of a text, in order, are matched
+against licence rules, each an ordered sequence of identifiers that must follow one another.
 """
 
 from __future__ import annotations
@@ -51,17 +52,24 @@ RULES = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
 ]
-#: A sentence ends at a line end, or after a stop that a space follows.  A text without any of HINTS has no known sentence.
+#: A text is cut at line ends, and after stops that a space follows.  A text without any of HINTS has no known sentence.
 CUT = r"[\n\r]+|(?<=[.;:!?])[ \t]+"
 HINTS = r"(?i)licen[sc]e|permission|redistribut|warrant|copyright"
 
 
+def _known() -> str:
+    """A pattern of the known sentences, the longest first, in a text whose cuts are lone line ends between spaces."""
+    longest = sorted(SENTENCES, key=len, reverse=True)
+    return r"(?<=\n )(?:" + "|".join(s.replace(" ", r" (?:\n )?") for s in longest) + r")(?= \n)"
+
+
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    asked = F.filter(F.split(text, CUT), lambda s: s.rlike(HINTS))
-    return F.array_compact(F.transform(asked, lambda s: F.try_element_at(known, plain(s))))
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, CUT, "\n")), r"[^\p{L}\p{N}\n]+", " ")
+    plain = F.regexp_replace(F.concat(F.lit("\n"), plain, F.lit("\n")), r" ?\n[ \n]*", " \n ")
+    found = F.regexp_extract_all(plain, F.lit(_known()), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit("\n "), F.lit(""))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

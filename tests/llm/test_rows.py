@@ -206,3 +206,71 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0)).collect() == []
     few = ann.search(df.where("vec_id < 3")).collect()
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = f"""{BSD2}
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS."""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+
+
+def test_wrapped_licenses(spark):
+    """The official texts, wrapped as they are published, with comment signs, with other line ends, and on one line."""
+    gpl = ("GPL-3.0-or-later", "gpl3-grant,gpl-warranty")
+    want = {
+        MIT: ("MIT", "mit-grant,mit-notice,mit-warranty"), BSD2: ("BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"),
+        BSD3: ("BSD-2-Clause,BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-names"), APACHE: ("Apache-2.0", "apache2-grant,apache2-use,apache2-copy"), GPL3: gpl,
+        "This work is licensed under a Creative Commons Attribution\n4.0 International License.": ("CC-BY-4.0", "cc-by-ref"),
+        "prose without an end\nreleased under the MIT License\nmore of it": ("MIT", "mit-ref"), "Code (not\nreleased under the MIT License but another) follows": ("", ""),
+        "Released under the MIT License.\nLicensed under CC\nBY 4.0": ("CC-BY-4.0,MIT", "mit-ref,cc-by-ref"),
+    }
+    texts = list(want) + ["\n".join(f"# {x}" for x in GPL3.split("\n")), APACHE.replace("\n", "\r\n *"), " ".join(GPL3.split())]
+    got = {r.doc_id: (r.licenses, r.sentences) for r in licenses.report(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == [*want.values(), gpl, want[APACHE], gpl]
