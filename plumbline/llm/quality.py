@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from plumbline.llm.common import grams, mix, slabs, word_hashes, words
 
 MIN_WORDS, BASE_N, BASE_PERCENT = 10, 5, 20
-#: n-gram length -> largest share of word characters inside n-grams seen before; and the same for lines seen before.
+#: n-gram length -> largest share of word characters inside n-grams seen before; and inside the most frequent n-gram.
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE_LIMIT = 0.30
+TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
+#: Largest share of word characters inside lines seen before, and of lines seen before.
+LINE_LIMIT, LINES_LIMIT = 0.20, 0.30
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -33,13 +35,35 @@ def _sums(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
 def repeated(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Flags of the words that an n-gram found twice or more in their own document covers, and of those that its
     second or a later occurrence covers."""
-    out = np.zeros(len(h), bool)
+    at, _, later = _sorted_grams(h, first, n)
+    twice = later.copy()
+    twice[:-1] |= later[1:]
+    return _covered(at[twice], n, len(h)), _covered(at[later], n, len(h))
+
+
+def top(h: np.ndarray, first: np.ndarray, n: int, chars: np.ndarray) -> np.ndarray:
+    """Flags of the words that the most frequent n-gram of their document covers, if it is found twice or more;
+    of n-grams equally frequent the one of most characters counts."""
+    at, doc, later = _sorted_grams(h, first, n)
+    begin = np.flatnonzero(~later)
+    times = np.diff(np.append(begin, len(at)))
+    total = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
+    many = np.flatnonzero(times > 1)
+    of, a = doc[begin[many]], at[begin[many]]
+    order = np.lexsort((total[a + n] - total[a], times[many], of))
+    last = np.ones(len(order), bool)
+    last[:-1] = of[order][1:] != of[order][:-1]
+    chosen = np.zeros(len(begin), bool)
+    chosen[many[order[last]]] = True
+    return _covered(at[np.repeat(chosen, times)], n, len(h))
+
+
+def _sorted_grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and document of all n-grams, equal ones of a document together and in order, and flags of those
+    that follow an equal one."""
     g = grams(h, n)
-    length = np.diff(first)
-    windows = np.maximum(length - n + 1, 0)
+    windows = np.maximum(np.diff(first) - n + 1, 0)
     total = int(windows.sum())
-    if not total:
-        return out, out
     doc = np.repeat(np.arange(len(windows)), windows)
     at = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(first[:-1], windows)
     key = mix(g[at] ^ (doc.astype(np.uint64) * _SALT))
@@ -47,9 +71,7 @@ def repeated(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     key = key[order]
     later = np.zeros(total, bool)
     later[1:] = key[1:] == key[:-1]
-    twice = later.copy()
-    twice[:-1] |= later[1:]
-    return _covered(at[order[twice]], n, len(h)), _covered(at[order[later]], n, len(h))
+    return at[order], doc[order], later
 
 
 def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -73,7 +95,9 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     for n, limit in GRAM_LIMITS.items():
         flags = again if n == BASE_N else repeated(h, first, n)[1]
         worst |= _sums(chars * flags, first) > limit * word_chars
-    lines, line_chars = [], []
+    for n, limit in TOP_LIMITS.items():
+        worst |= _sums(chars * top(h, first, n, chars), first) > limit * word_chars
+    lines, all_lines, line_chars = [], [], []
     data = raw.tobytes()
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         seen, n, c = set(), 0, 0
@@ -84,8 +108,10 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             elif line.strip():
                 seen.add(line)
         lines.append(n)
+        all_lines.append(n + len(seen))
         line_chars.append(c)
     worst |= np.array(line_chars, np.int64) > LINE_LIMIT * word_chars
+    worst |= np.array(lines, np.int64) > LINES_LIMIT * np.array(all_lines, np.int64)
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > BASE_PERCENT * n_words)
     return {
         "n_words": n_words.astype(np.int64), "word_chars": word_chars, "n_symbols": _sums(_SYMBOL[raw], offsets), "n_dup_lines": np.array(lines, np.int64),

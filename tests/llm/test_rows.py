@@ -274,3 +274,36 @@ def test_wrapped_licenses(spark):
     texts = list(want) + ["\n".join(f"# {x}" for x in GPL3.split("\n")), APACHE.replace("\n", "\r\n *"), " ".join(GPL3.split())]
     got = {r.doc_id: (r.licenses, r.sentences) for r in licenses.report(frame(spark, list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(len(texts))] == [*want.values(), gpl, want[APACHE], gpl]
+
+
+def test_quality_short_repetition(spark):
+    """Short n-grams that come again between other words, and repeated short lines between unique ones, go."""
+    words = [f"w{k * 7919 % 1000}" for k in range(400)]
+    pills = [" ".join(f"buy cheap pills now {i}" for i in range(n)) for n in (3, 30, 300)]
+    two, three = (" ".join(f"{gram} {w}" for w in words[:60]) for gram in ("go on", "to be on"))
+    lines = "\n".join(" ".join(words[8 * i : 8 * i + 8]) + f"\nlog{i % 7} in{i % 7} now{i % 7}" for i in range(45))
+    rows = [*enumerate([*pills, two, three, lines]), (10, " ".join(words)), (11, " ".join([*words[:12], "of the", *words[12:40], "of the", *words[40:60]]))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.measured(frame(spark, rows)).collect()}
+    assert got == {i: (False, i > 9) for i, _ in rows}
+
+
+def test_top_grams():
+    """Against a count of the n-grams of each text."""
+    from collections import Counter
+
+    import numpy as np
+
+    from plumbline.llm.common import word_hashes, words
+
+    texts = [" ".join((t or "").split()).encode() for _, t in make_docs(60, 5)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    s, e, first = words(raw, offsets)
+    for n in (2, 3, 4):
+        flags = quality.top(word_hashes(raw, s, e), first, n, e - s)
+        for k, t in enumerate(texts):
+            w = t.split()
+            grams = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+            size = lambda g: (grams[g], sum(map(len, g)))
+            best = [g for g in grams if size(g) == max(map(size, grams)) and grams[g] > 1]
+            wants = [[any(tuple(w[i - j : i - j + n]) == g for j in range(min(n, i + 1))) for i in range(len(w))] for g in best] or [[False] * len(w)]
+            assert flags[first[k] : first[k + 1]].tolist() in wants
