@@ -161,8 +161,10 @@ def covered(length: int, spans: list[dict] | None) -> tuple[np.ndarray, int]:
 
 
 def asked(docs: DataFrame, hits: DataFrame, kind: Bytes | Words) -> DataFrame:
-    """(h, id, th, start, heavy, content) of the runs that need a comparison."""
-    wants = hits.where("ask").groupBy("id", "th").agg(F.collect_list(F.struct("start", "r", "h", "heavy")).alias("wants"))
+    """(h, id, th, start, heavy, content) of the runs that need a comparison.
+
+    A row repeated in several partitions gives its runs once in each of them; whoever compares them sorts and skips."""
+    wants = hits.where("ask").groupBy("id", "th").agg(F.collect_set(F.struct("start", "r", "h", "heavy")).alias("wants"))
     wants = wants.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "wants")
     keyed = row_key(docs)
     both = keyed.join(wants, keyed.id.eqNullSafe(wants.sid) & (keyed.th == wants.sth)).select("id", "th", "text", "wants")

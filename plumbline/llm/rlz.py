@@ -55,10 +55,13 @@ class ReferenceBlock:
 
 def _factor(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, of = ReferenceBlock(), None
+        block, of, last = ReferenceBlock(), None, None
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for h, i, th, start, content in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (h, i, th, start) == last:  # a repeated row is one document
+                    continue
+                last = (h, i, th, start)
                 if h != of:
                     block, of = ReferenceBlock(), h
                 run = np.frombuffer(content, np.uint64).tolist()

@@ -136,7 +136,7 @@ def _search(window: int, batch_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple[int, int, int]] = []
         parts: list[bytes] = []
-        family, held, of, size, done = IndexFamily(window), 0, None, 0, 0
+        family, held, of, size, done, last = IndexFamily(window), 0, None, 0, 0, None
 
         def spans() -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [])
@@ -150,6 +150,9 @@ def _search(window: int, batch_bytes: int):
 
         for batch in batches:
             for h, i, th, start, content in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (h, i, th, start) == last:  # a repeated row is one document
+                    continue
+                last = (h, i, th, start)
                 if h != of and held + size >= batch_bytes:  # no earlier run can match what comes now
                     family.add(parts[done:], list(range(done, len(keys))))
                     yield spans()
@@ -175,7 +178,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BA
     sure = hits.where("dup").select("id", "th", "start", (F.col("start") + F.col("r") - 1 + window).alias("stop"))
     runs = asked(docs, hits, kind)
     light = runs.where("not heavy").select("h", "id", "th", "start", "content")
-    found = light.repartition("h").sortWithinPartitions("h").mapInArrow(_search(window, batch_bytes), "id long, th long, start long, stop long")
+    found = light.repartition("h").sortWithinPartitions("h", "id", "th", "start").mapInArrow(_search(window, batch_bytes), "id long, th long, start long, stop long")
     if hits.where("ask and heavy").limit(1).count():
         found = found.unionByName(heavy_spans(runs.where("heavy"), kind, first_stays=False))
     return sure.unionByName(found)

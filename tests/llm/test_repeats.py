@@ -60,3 +60,20 @@ def test_empty_nulls_and_repeated_rows(spark):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in suffix_index.digest(frame(spark, rows), 40).collect())
     n = len(long)
     assert got == [(-1, 0, 0), (-1, n, n), (3, n, n), (3, n, n), (4, 0, 0)]
+
+
+@pytest.mark.parametrize("heavy", [4096, 1])
+def test_repeated_row_in_two_partitions(spark, monkeypatch, heavy):
+    """Rows alike in doc_id and text are one document, also if they lie in two partitions beside a near copy."""
+    monkeypatch.setattr(anchors, "HEAVY", heavy)
+    w = [f"w{k}" for k in range(80)]
+    near = " ".join([*w[:28], "other", *w[29:50], "words", *w[51:]])
+    rows = [(1, " ".join(w)), (2, near), *((i, t) for i, t in make_docs(20, 6) if i > 2)]
+    parts = [spark.sparkContext.parallelize([(i, t, 1, "x") for i, t in some], 1) for some in (rows, rows[:1], rows[:2])]
+    docs = spark.createDataFrame(spark.sparkContext.union(parts), SCHEMA)
+    assert docs.rdd.getNumPartitions() == 3
+    got = rlz.digest(docs, 20).collect()
+    assert len(got) == len(rows) + 3
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == {(i, *x) for i, x in rlz.brute(rows, 20).items()}
+    got = suffix_index.digest(docs, 60).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *x) for i, x in suffix_index.brute(rows, 60).items()}
