@@ -245,7 +245,7 @@ _register("bootstrap_percentile", _p(f", {BOOT} SELECT entity, avg(mcc) AS mean,
 JACK = "per AS (SELECT entity, ('0x' || substr(md5('jack:' || sample_id), 1, 8))::BIGINT % 20 AS block, count(*) AS n, count(*) FILTER (y_true = y_pred) AS k FROM pred GROUP BY ALL), jack AS (SELECT entity, block, (sum(k) OVER e - k) / (sum(n) OVER e - n)::DOUBLE AS accuracy FROM per WINDOW e AS (PARTITION BY entity))"
 _register("jackknife_blocks", _p(f", {JACK} SELECT * FROM jack"), "entity", "block", "accuracy")(lambda s, d: intervals.jackknife(predictions(s, d)))
 _register("bca_acceleration", _p(f", {JACK}, dev AS (SELECT entity, avg(accuracy) OVER (PARTITION BY entity) - accuracy AS d FROM jack) SELECT entity, coalesce(sum(d * d * d) / nullif(6e0 * pow(sum(d * d), 15e-1), 0e0), 0e0) AS a FROM dev GROUP BY entity"), "entity", doubles="a")(lambda s, d: intervals.acceleration(intervals.jackknife(predictions(s, d))))
-_register("bca_intervals", None)(lambda s, d: intervals.count_intervals(predictions(s, d), ["entity"]))
+_register("bca_intervals", None)(lambda s, d: intervals.all_intervals(predictions(s, d), ["entity"]))
 _register("cliffs_delta", _p(f", {MID.format(k='entity')} SELECT entity, auroc, 2e0 * auroc - 1e0 AS delta, CASE WHEN abs(2e0 * auroc - 1e0) < 147e-3 THEN 'negligible' WHEN abs(2e0 * auroc - 1e0) < 33e-2 THEN 'small' WHEN abs(2e0 * auroc - 1e0) < 474e-3 THEN 'medium' ELSE 'large' END AS band FROM ({AUC.format(k='entity')})"), "entity band", doubles="auroc delta")(lambda s, d: intervals.cliffs_delta(metrics.auroc(predictions(s, d), ["entity"])))
 
 # profile

@@ -1,19 +1,21 @@
 """Bootstrap intervals.
 
 Metrics of the four confusion counts: resampling rows is a multinomial draw of the counts, so one aggregation
-and a draw on the driver give any number of replicates whatever the size.  `hashed_replicates` draws rows by a
-hash instead and can be repeated in any engine.
+and a draw on the driver give any number of replicates whatever the size.  Metrics of scores: the same draw over the
+counts of distinct scores and labels, first over parts of the score range, then inside each part in its own task.
+`hashed_replicates` draws rows by a hash instead and can be repeated in any engine.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.functions.windows import hashed_row_number
-from plumbline.operators.metrics import confusion, scores
+from plumbline.operators.metrics import EDGES, bin_of, confusion, scores
 
 
 def _by_counts(c: np.ndarray) -> dict[str, np.ndarray]:
@@ -44,22 +46,118 @@ def count_intervals(pred: DataFrame, keys: list[str], b: int = 1000, level: floa
         point, draws, left = _by_counts(total[None]), rng.multinomial(total.sum(), total / total.sum(), b), _by_counts(total - cells)
         both = ((draws[:, 0] + draws[:, 3]) > 0) & ((draws[:, 1] + draws[:, 2]) > 0)
         values = _by_counts(draws[both])
-        for m, v in values.items():
-            valid, used, levels = bool(both.mean() >= 0.5), "percentile", ((1 - level) / 2, (1 + level) / 2)
-            if not valid:
-                out.append((*key, m, float(point[m][0]), None, None, None, None, used, False))
-                continue
-            if method == "bca":
-                d = left[m].mean() - left[m]
-                s = (d * d).sum()
-                a = float((d**3).sum() / (6 * s**1.5)) if len(d) > 2 and s > 0 else 0.0
-                found = stats.bca_levels(int((v < point[m][0]).sum()), len(v), a, level)
-                if found:
-                    used, levels = "bca", found
-            lo, hi = np.quantile(v, levels)
-            out.append((*key, m, float(point[m][0]), float(v.mean()), float(v.std(ddof=1)), float(lo), float(hi), used, True))
+        out += _rows(key, values, point, left, bool(both.mean() >= 0.5), level, method)
+    return _table(pred, keys, out)
+
+
+def _rows(key: tuple, values: dict, point: dict, left: dict, valid: bool, level: float, method: str) -> list[tuple]:
+    """A row for each metric, from its replicates, its value and its values without each block."""
+    out = []
+    for m, v in values.items():
+        used, levels = "percentile", ((1 - level) / 2, (1 + level) / 2)
+        if not valid:
+            out.append((*key, m, float(point[m][0]), None, None, None, None, used, False))
+            continue
+        if method == "bca":
+            d = left[m].mean() - left[m]
+            s = (d * d).sum()
+            a = float((d**3).sum() / (6 * s**1.5)) if len(d) > 2 and s > 0 else 0.0
+            found = stats.bca_levels(int((v < point[m][0]).sum()), len(v), a, level)
+            if found:
+                used, levels = "bca", found
+        lo, hi = np.quantile(v, levels)
+        out.append((*key, m, float(point[m][0]), float(v.mean()), float(v.std(ddof=1)), float(lo), float(hi), used, True))
+    return out
+
+
+def _table(pred: DataFrame, keys: list[str], rows: list[tuple]) -> DataFrame:
     schema = ", ".join(f"{k} {pred.schema[k].dataType.simpleString()}" for k in keys) + ", metric string, point double, mean double, std double, lower double, upper double, method string, valid boolean"
-    return pred.sparkSession.createDataFrame(out, schema)
+    return pred.sparkSession.createDataFrame(rows, schema)
+
+
+#: Numbers that a task holds at once for a part of the score range.
+SLAB = 2_000_000
+
+
+def _by_scores(t: pd.DataFrame) -> dict[str, np.ndarray]:
+    n = (t.w1 + t.w0).to_numpy(float)
+    bins = np.stack([np.stack([t[f"{c}{i}"].to_numpy(float) for i in range(len(EDGES) - 1)]) for c in "nsy"])
+    gap = np.abs(bins[2] - bins[1])
+    auroc = t.u.to_numpy(float) / (t.w1 * t.w0).to_numpy(float)
+    each = np.divide(gap, bins[0], out=np.zeros_like(gap), where=bins[0] > 0)
+    return {"auroc": auroc, "brier": t.brier.to_numpy(float) / n, "ece": gap.sum(0) / n, "mce": each.max(0), "cliffs_delta": 2 * auroc - 1}
+
+
+def score_intervals(pred: DataFrame, keys: list[str], b: int = 1000, level: float = 0.95, method: str = "bca", blocks: int = 200, seed: int = 42, parts: int = 256) -> DataFrame:
+    """As count_intervals, for auroc, brier, ece, mce and cliffs_delta of positives against negatives; rows without a
+    score play no part.  Null where one class is missing."""
+    if b < 100:
+        raise ValueError("at least 100 replicates")
+    part = F.least(F.greatest(F.floor(F.col("y_prob") * parts), F.lit(-1)), F.lit(parts)).alias("_part")
+    block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).alias("_block")
+    rows = pred.where("y_prob is not null and y_true is not null")
+    cells = rows.groupBy(*keys, part, "y_prob", bin_of(F.col("y_prob")).alias("_bin"), "y_true", block).agg(F.count("*").alias("c"))
+    sizes: dict[tuple, dict[int, int]] = {}
+    for r in rows.groupBy(*keys, part).count().collect():
+        sizes.setdefault(tuple(r[k] for k in keys), {})[r["_part"]] = r["count"]
+    order = {key: number for number, key in enumerate(sorted(sizes))}
+    nb, n_keys = len(EDGES) - 1, len(keys)
+    names = ["w1", "w0", "u", "brier", *[f"{c}{i}" for c in "nsy" for i in range(nb)]]
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        who, k = tuple(key[:n_keys]), int(key[n_keys])
+        mine = sorted(sizes[who].items())
+        total = np.array([n for _, n in mine])
+        size = np.random.default_rng([seed, order[who]]).multinomial(total.sum(), total / total.sum(), b)[:, [x for x, _ in mine].index(k)]
+        rng = np.random.default_rng([seed, order[who], k + 2])
+        p, at = np.unique(pdf.y_prob.to_numpy(float), return_inverse=True)
+        m, y, of, c = len(p), pdf.y_true.to_numpy(int), pdf["_block"].to_numpy(int), pdf.c.to_numpy(int)
+        bins = np.full(m, -1)
+        bins[at] = pdf["_bin"].fillna(-1).to_numpy(int)
+        cell = at + m * (y == 1)
+        all_counts = np.bincount(cell, c, 2 * m).astype(np.int64)
+        out, step = [], max(1, SLAB // (2 * m))
+        for a in range(-1, b + blocks, step):  # -1 is the whole, then replicates, then the whole without each block
+            reps = np.arange(a, min(a + step, b + blocks))
+            w = np.repeat(all_counts[None], len(reps), 0)
+            drawn = (reps >= 0) & (reps < b)
+            if drawn.any():
+                w[drawn] = rng.multinomial(size[reps[drawn]], all_counts / all_counts.sum())
+            inside = of + b - a
+            inside_ok = (inside >= 0) & (inside < len(reps))
+            np.subtract.at(w, (inside[inside_ok], cell[inside_ok]), c[inside_ok])
+            neg, pos = w[:, :m], w[:, m:]
+            cols = [pos.sum(1), neg.sum(1), (pos * (np.cumsum(neg, 1) - neg / 2)).sum(1), pos @ (1 - p) ** 2 + neg @ p**2]
+            for x in (pos + neg, (pos + neg) * p, pos):
+                cols += [x[:, bins == i].sum(1) for i in range(nb)]
+            out.append(pd.DataFrame({"rep": reps} | {n: np.asarray(v, float) for n, v in zip(names, cols)}))
+        got = pd.concat(out)
+        for name, value in zip([*keys, "_part"], key):
+            got[name] = value
+        return got
+
+    typed = ", ".join(f"{k} {pred.schema[k].dataType.simpleString()}" for k in keys)
+    got = cells.groupBy(*keys, "_part").applyInPandas(work, f"{typed}, _part long, rep long, " + ", ".join(f"{n} double" for n in names))
+    before = Window.partitionBy(*keys, "rep").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    got = got.withColumn("u", F.col("u") + F.col("w1") * F.coalesce(F.sum("w0").over(before), F.lit(0.0)))
+    table = got.groupBy(*keys, "rep").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    out = []
+    for key in order:
+        mine = table[np.logical_and.reduce([table[k] == v for k, v in zip(keys, key)])].sort_values("rep")
+        both = (mine.w1 > 0) & (mine.w0 > 0)
+        whole, draws, left = (mine[(mine.rep >= lo) & (mine.rep < hi)] for lo, hi in ((-1, 0), (0, b), (b, b + blocks)))
+        if not both[whole.index].all():
+            out += [(*key, m, None, None, None, None, None, "percentile", False) for m in ("auroc", "brier", "ece", "mce", "cliffs_delta")]
+            continue
+        left = left[left.w1 + left.w0 < (whole.w1 + whole.w0).iloc[0]]  # blocks that have rows
+        used = draws[both[draws.index]]
+        out += _rows(key, _by_scores(used), _by_scores(whole), _by_scores(left[both[left.index]]), len(used) >= 0.5 * b, level, method)
+    return _table(pred, keys, out)
+
+
+def all_intervals(pred: DataFrame, keys: list[str], b: int = 1000, level: float = 0.95, method: str = "bca", blocks: int = 200, seed: int = 42) -> DataFrame:
+    """Intervals of the metrics of counts and, for entities with scores, of those of scores."""
+    return count_intervals(pred, keys, b, level, method, blocks, seed).unionByName(score_intervals(pred, keys, b, level, method, blocks, seed))
 
 
 def hashed_replicates(pred: DataFrame, b: int, seed: str = "boot") -> DataFrame:

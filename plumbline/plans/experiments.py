@@ -61,7 +61,7 @@ def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
     return {
         "metrics": metrics.all_metrics(pred, ["entity"]),
         "metrics_by_fold": summary,
-        "intervals": intervals.count_intervals(pred, ["entity"], s.bootstrap, s.level, seed=s.seed),
+        "intervals": intervals.all_intervals(pred, ["entity"], s.bootstrap, s.level, seed=s.seed),
         "pairwise": paired.compare(pred, s.correction),
         "errors": errors.fold_report(pred.where("y_prob is not null")),
         "profile": profile.continuous(rows, features),

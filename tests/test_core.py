@@ -87,3 +87,39 @@ def test_training(spark):
     with pytest.raises(KeyError):
         models.estimator("nope", 2)
     assert math.isclose(sum(v for _, v in models.importances(models.fit(rows, ["a", "b"], "y", "forest", numTrees=5), ["a", "b"])), 1.0)
+
+
+def test_score_intervals(spark):
+    """Against a bootstrap of the rows and the values without each block, in plain code."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y = (rng.random(300) < 0.4).astype(int)
+    p = np.round(np.clip(0.35 * y + rng.normal(0.3, 0.25, 300), 0, 1), 2)
+    rows = [("x", i, "model", int(a), float(q), int(q >= 0.5)) for i, (a, q) in enumerate(zip(y, p))] + [("r", i, "rule", int(a), None, int(a)) for i, a in enumerate(y)]
+    df = spark.createDataFrame(rows, "entity string, sample_id long, entity_type string, y_true int, y_prob double, y_pred int")
+    whole = metrics.all_metrics(df.where("entity = 'x'"), ["entity"]).first().asDict()
+    got = {r.metric: r for r in intervals.all_intervals(df, ["entity"], b=1000).where("entity = 'x'").collect()}
+    assert set(got) == {*metrics.scores(), "auroc", "brier", "ece", "mce", "cliffs_delta"}
+    assert all(abs(got[m].point - whole[m]) < 1e-9 for m in got if m != "cliffs_delta") and abs(got["cliffs_delta"].point - 2 * whole["auroc"] + 1) < 1e-9
+    assert all(r.valid for r in got.values())
+
+    def values(y, p):
+        pos, neg = p[y == 1], p[y == 0]
+        edge = np.searchsorted(metrics.EDGES, p, "left").clip(1) - 1
+        gap = np.array([[(y[edge == i] - p[edge == i]).sum(), (edge == i).sum()] for i in range(10) if (edge == i).any()])
+        auroc = ((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean()
+        return {"auroc": auroc, "brier": ((p - y) ** 2).mean(), "ece": abs(gap[:, 0]).sum() / len(y), "mce": (abs(gap[:, 0]) / gap[:, 1]).max(), "cliffs_delta": 2 * auroc - 1}
+
+    drawn = [values(y[i], p[i]) for i in rng.integers(0, 300, (2000, 300))]
+    left = {r.sample_id: r.k for r in df.where("entity = 'x'").selectExpr("sample_id", "pmod(xxhash64(sample_id), 200) as k").collect()}
+    k = np.array([left[i] for i in range(300)])
+    jack = [values(y[k != i], p[k != i]) for i in set(k.tolist())]
+    for m in drawn[0]:
+        v, d = np.array([x[m] for x in drawn]), np.array([x[m] for x in jack])
+        d = d.mean() - d
+        found = stats.bca_levels(int((v < got[m].point).sum()), len(v), float((d**3).sum() / (6 * (d * d).sum() ** 1.5)), 0.95)
+        assert got[m].method == ("bca" if found else "percentile")
+        assert abs(got[m].std / v.std() - 1) < 0.1 and abs(got[m].mean - v.mean()) < 0.15 * v.std()
+        for bound, want in zip((got[m].lower, got[m].upper), np.quantile(v, found or (0.025, 0.975))):
+            assert abs(bound - want) < 0.5 * v.std(), m
