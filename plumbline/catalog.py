@@ -242,6 +242,7 @@ BOOT = f"""rows AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md
  got AS (SELECT d.entity, d.replicate, r.y_true, r.y_pred FROM draws d JOIN rows r USING (entity, rn)), boot AS (SELECT entity, replicate, {ALL} FROM ({_counts('entity, replicate', 'got')}) WHERE tp + fn > 0 AND fp + tn > 0)"""
 low = lambda s, d: predictions(s, d).where("dataset = '5-LOW'")
 _register("bootstrap_percentile", _p(f", {BOOT} SELECT entity, avg(mcc) AS mean, quantile_cont(mcc, 0.025) AS lower, quantile_cont(mcc, 0.975) AS upper FROM boot GROUP BY entity"), "entity", doubles="mean lower upper")(lambda s, d: intervals.percentile_interval(intervals.hashed_replicates(low(s, d), 20), "mcc"))
+_register("bootstrap_percentile_full", None)(lambda s, d: intervals.percentile_interval(intervals.hashed_replicates(predictions(s, d), 1000), "mcc"))
 JACK = "per AS (SELECT entity, ('0x' || substr(md5('jack:' || sample_id), 1, 8))::BIGINT % 20 AS block, count(*) AS n, count(*) FILTER (y_true = y_pred) AS k FROM pred GROUP BY ALL), jack AS (SELECT entity, block, (sum(k) OVER e - k) / (sum(n) OVER e - n)::DOUBLE AS accuracy FROM per WINDOW e AS (PARTITION BY entity))"
 _register("jackknife_blocks", _p(f", {JACK} SELECT * FROM jack"), "entity", "block", "accuracy")(lambda s, d: intervals.jackknife(predictions(s, d)))
 _register("bca_acceleration", _p(f", {JACK}, dev AS (SELECT entity, avg(accuracy) OVER (PARTITION BY entity) - accuracy AS d FROM jack) SELECT entity, coalesce(sum(d * d * d) / nullif(6e0 * pow(sum(d * d), 15e-1), 0e0), 0e0) AS a FROM dev GROUP BY entity"), "entity", doubles="a")(lambda s, d: intervals.acceleration(intervals.jackknife(predictions(s, d))))

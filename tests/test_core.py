@@ -123,3 +123,31 @@ def test_score_intervals(spark):
         assert abs(got[m].std / v.std() - 1) < 0.1 and abs(got[m].mean - v.mean()) < 0.15 * v.std()
         for bound, want in zip((got[m].lower, got[m].upper), np.quantile(v, found or (0.025, 0.975))):
             assert abs(bound - want) < 0.5 * v.std(), m
+
+
+def test_bootstrap_of_all_predictions(spark, monkeypatch):
+    """All datasets and 1,000 replicates, against plain code with the same hashes."""
+    import hashlib
+
+    import numpy as np
+
+    from plumbline import catalog
+
+    rows = [(e, f"{i % 5}-X", i, int(i % 3 == 0), int(i % k < 2)) for e, k in (("A", 5), ("B", 6)) for i in range(30)]
+    monkeypatch.setattr(catalog, "predictions", lambda s, d: s.createDataFrame(rows, "entity string, dataset string, sample_id long, y_true int, y_pred int"))
+    got = {r.entity: r for r in catalog.queries()["bootstrap_percentile_full"](spark, "").collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for e in "AB":
+        own = sorted((r for r in rows if r[0] == e), key=lambda r: md5(str(r[2])))
+        values = []
+        for rep in range(1000):
+            cells = np.zeros((2, 2))
+            for j in range(1, 31):
+                r = own[int(md5(f"boot:{rep}:{j}")[:8], 16) % 30]
+                cells[r[3], r[4]] += 1
+            (tn, fp), (fn, tp) = cells
+            if tp + fn and fp + tn:
+                below = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+                values.append((tp * tn - fp * fn) / below**0.5 if below else 0.0)
+        want = [np.mean(values), *np.quantile(values, [0.025, 0.975])]
+        assert np.allclose([got[e].mean, got[e].lower, got[e].upper], want, rtol=0, atol=2e-6)
