@@ -6,6 +6,7 @@ documents do not cost a Python call each.  A word is a run of bytes other than 0
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,9 +34,11 @@ _K1, _K2, _K3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and every executor see: under spark.checkpoint.dir, or, where that is unset
-    (a single machine, as in tests), under the local temporary folder."""
+    and the master is local (as in tests), under the temporary folder; on a cluster it has to be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and every executor see")
         root = "file://" + os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
@@ -48,6 +51,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of frames that nothing refers to any more: Spark removes them when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -9,8 +9,9 @@ from plumbline.llm.common import written
 
 
 def _mins(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m the least of u and all its neighbours. Reduced before the shuffle; the join back can be split."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """(u, v, m): m the least of u and all its neighbours. Reduced before the shuffle; written, for Spark splits the join
+    back of a node with very many neighbours only if both sides are shuffled for that join alone."""
+    low = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return edges.join(low, "u")
 
 
@@ -21,7 +22,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _mins(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = written(_mins(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         small = _mins(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         e = written(small)

@@ -5,17 +5,20 @@ A document is the set of its distinct word shingles (64-bit hashes).  Two docume
 
 1. Which sets can have a partner at all.  Sizes fall into classes, wide enough that the sizes of linked sets are in
    one or in two neighbouring ones; a set takes part in its own class and, as the larger of a pair, in the one
-   below.  In a class, linked sets differ in h tokens at most.  The range of hashes is cut into more than h parts,
-   so one part at least is alike in both, and not empty (a set with so many empty parts that this may fail also
-   counts its empty ones).  Parts that no other set has are out, without any pair made.
-2. Sets of a class that share a part hang together (stars around the least, then components).  No link leaves
-   such a cluster.
+   below.  In a class, linked sets differ in h tokens at most.  The range of hashes is cut into h + 1 + s parts, so
+   s + 1 parts at least are alike in both.  A first pass counts parts by their hash alone, added up in each task
+   before the shuffle; a second one emits (part, document) and keeps the parts found twice.  By one order of all
+   parts, the more frequent first, each set then drops its first s: the last of the s + 1 common parts stays in
+   both.  So phrases that many texts have in common make no candidates, and no pair has been made yet.
+2. Sets of a class that still share a part hang together (stars around the least, then components).  No link
+   leaves such a cluster.
 3. Within a cluster, similar sets form groups; the token-group matrix has the groups that hold each token.
    For a query set it bounds the overlap with every group's union; only groups that reach the needed overlap
    are opened, and only members not yet in the query's component are compared.  Output is a spanning forest
    of links.  A cluster over `CAP` tokens is cut into blocks, and each pair of blocks is a task of its own.
 
 Sets that are equal within a task are collapsed before step 1 (each keeps a link to the first).
+Both passes read docs; like any recomputed frame it has to give the same partitions each time.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import grams, mix, pair, row_key, signed, slabs, word_hashes, words, written
+from plumbline.llm.common import grams, mix, pair, release, row_key, signed, slabs, word_hashes, words, written
 from plumbline.llm.components import components
 
-#: Tokens of a cluster that one task takes, sets of a group, and sets that a task remembers.
-CAP, GROUP, MEMO = 1 << 22, 32, 1 << 19
+#: Tokens of a cluster that one task takes, sets of a group, sets that a task remembers, and parts added up at once.
+CAP, GROUP, MEMO, LOT = 1 << 22, 32, 1 << 19, 1 << 21
 
 
 def need(n: int, threshold: int) -> int:
@@ -51,20 +54,22 @@ def size_classes(threshold: int, most: int = 1 << 31) -> tuple[list[int], list[i
     return least, [(top - 1) * (100 - threshold) // threshold for top in least[1:]]
 
 
-def parts(t: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray]]:
-    """(class, hashes of its parts) of a sorted set, for its own class and the one below."""
+def parts(t: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray, int]]:
+    """(class, hashes of its parts, how many of the most frequent it may drop) of a sorted set, for its own class and
+    the one below.  Empty parts count as the most frequent, the last ones first, and are the first to be dropped."""
     least, differ = size_classes(threshold)
     own, out = bisect_right(least, len(t)) - 1, []
     for c in range(max(0, own - 1), own + 1):
-        slack = differ[c] // 32 + 1 if differ[c] else 0
+        slack = differ[c] // 4 + 1 if differ[c] else 0
         m = differ[c] + 1 + slack
         of = (t >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         j, value = of[first], np.add.reduceat(mix(t), first)
-        if m - len(j) > slack:
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), j)
+        drop = slack - (m - len(j))
+        if drop < 0:
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), j)[:-slack or None]
             j, value = np.concatenate([j, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
-        out.append((c, pair(mix(j + np.uint64((c + 1) << 32)), value)))
+        out.append((c, pair(mix(j + np.uint64((c + 1) << 32)), value), max(0, drop)))
     return out
 
 
@@ -87,38 +92,73 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
     return out
 
 
-def _parts(size: int, threshold: int):
-    schema = pa.schema([("doc", pa.bool_()), ("part", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("class", pa.int32()), ("id0", pa.int64()), ("th0", pa.int64())])
+class Firsts:
+    """The first document of each set that a task remembers."""
+
+    def __init__(self) -> None:
+        self.seen: dict[int, tuple] = {}
+
+    def of(self, t: np.ndarray, me: tuple) -> tuple:
+        if not len(t):
+            return me
+        if len(self.seen) >= MEMO:
+            self.seen.clear()
+        return self.seen.setdefault(xxhash.xxh3_128_intdigest(t.tobytes()), me)
+
+
+def _counts(size: int, threshold: int):
+    """A row for each document, and (part, times) of the parts of first documents, added up."""
+    schema = pa.schema([("part", pa.int64()), ("times", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("id0", pa.int64()), ("th0", pa.int64())])
+
+    def added(lot: list[np.ndarray]) -> pa.RecordBatch:
+        part, times = np.unique(np.concatenate(lot), return_counts=True)
+        none = pa.nulls(len(part), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(signed(part)), pa.array(times.astype(np.int64)), none, none, none, none, none], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple] = {}
+        firsts, lot, held = Firsts(), [], 0
         for batch in batches:
-            ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b, raw, offsets in slabs(batch.column(0), batch.column(2)):
-                rows: list[tuple] = []
-                found, owner, total, of = [], [], [], []
+            keys, ids, ths = (batch.column(k).to_pylist() for k in range(3))
+            for a, b, raw, offsets in slabs(batch.column(0), batch.column(3)):
+                rows = []
                 for i, t in zip(range(a, b), shingle_sets(raw, offsets, size)):
-                    n, me = len(t), (ids[i], ths[i])
-                    first = me
-                    if n:
-                        sig = xxhash.xxh3_128_intdigest(t.tobytes())
-                        if len(seen) >= MEMO:
-                            seen.clear()
-                        first = seen.setdefault(sig, me)
-                        if first is me:
-                            for c, p in parts(t, threshold):
-                                found.append(p)
-                                owner += [i] * len(p)
-                                total += [n] * len(p)
-                                of += [c] * len(p)
-                    rows.append((True, ths[i], *me, n, 0, *first))
+                    me = (ids[i], ths[i])
+                    first = firsts.of(t, me)
+                    if len(t) and first is me:
+                        for _, p, _ in parts(t, threshold):
+                            lot.append(p)
+                            held += len(p)
+                    rows.append((keys[i], 0, *me, len(t), *first))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                if held >= LOT:
+                    yield added(lot)
+                    lot, held = [], 0
+        if lot:
+            yield added(lot)
+
+    return work
+
+
+def _parts(size: int, threshold: int):
+    """(part, key, drop) of first documents; drop is twice the number of parts it may drop, and 1 more in its own class."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = Firsts()
+        for batch in batches:
+            keys, ids, ths = (batch.column(k).to_pylist() for k in range(3))
+            for a, b, raw, offsets in slabs(batch.column(0), batch.column(3)):
+                found, owner, drops, many = [], [], [], []
+                for i, t in zip(range(a, b), shingle_sets(raw, offsets, size)):
+                    me = (ids[i], ths[i])
+                    if len(t) and firsts.of(t, me) is me:
+                        for k, (_, p, drop) in enumerate(reversed(parts(t, threshold))):
+                            found.append(p)
+                            owner.append(keys[i])
+                            drops.append(2 * drop + 1 - k)
+                            many.append(len(p))
                 if found:
-                    at, k = pa.array(owner, pa.int64()), len(owner)
-                    none = pa.nulls(k, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.zeros(k, bool)), pa.array(signed(np.concatenate(found))), batch.column(0).take(at), batch.column(1).take(at), pa.array(total, pa.int64()), pa.array(of, pa.int32()), none, none], schema=schema
-                    )
+                    key, drop = np.repeat(np.array(owner, np.int64), many), np.repeat(np.array(drops, np.int32), many)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), pa.array(key), pa.array(drop)], names=["part", "key", "drop"])
 
     return work
 
@@ -198,26 +238,39 @@ def _links(size: int, threshold: int):
     return work
 
 
+def _candidates(keyed: DataFrame, size: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(documents (key, id, th, n, id0, th0), edges (a, b) between keys whose sets share a part that both keep)."""
+    spark = keyed.sparkSession
+    alike = ["part", "id", "th", "n", "id0", "th0"]
+    counted = keyed.mapInArrow(_counts(size, threshold), "part long, times long, id long, th long, n long, id0 long, th0 long").repartition("part")
+    counted = written(counted.groupBy(*alike).agg(F.sum("times").alias("times")).where("n is not null or times > 1"))
+    release(spark)
+    documents = counted.where("n is not null").withColumnRenamed("part", "key").drop("times")
+    twice = counted.where("n is null").select("part", "times")
+    rows = written(keyed.mapInArrow(_parts(size, threshold), "part long, key long, drop int").join(twice, "part"))
+    release(spark)
+    order = Window.partitionBy("key", F.col("drop") % 2).orderBy(F.desc("times"), "part")
+    kept = written(rows.withColumn("at", F.row_number().over(order)).where("at > drop div 2").select("part", "key"))
+    least = written(kept.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("part", "least"))
+    return documents, kept.join(least, "part").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+
+
 def linked(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents (id, th, n), links (id, th, id0, th0)); the links span every component."""
-    rows = row_key(docs).sortWithinPartitions("id", "th").mapInArrow(_parts(size, threshold), "doc boolean, part long, id long, th long, n long, class int, id0 long, th0 long")
-    share = F.sum(F.when(F.col("doc"), 0).otherwise(1)).over(Window.partitionBy("part"))
-    rows = written(rows.repartition("part").withColumn("share", share).where("doc or share > 1").drop("share"))
-    documents = rows.where("doc").select("id", "th", "n")
-    copies = rows.where("doc and not (id <=> id0 and th = th0)").select("id", "th", "id0", "th0")
-    held = rows.where("not doc").select(F.struct("class", "id", "th", "n").alias("me"), "part")
-    stars = held.withColumn("least", F.min("me").over(Window.partitionBy("part"))).where("me != least").select(F.col("me").alias("a"), F.col("least").alias("b"))
-    members = written(components(stars).select("v.id", "v.th", "v.n", F.xxhash64("label").alias("label")))
+    """(documents (id, th, n), links (id, th, id0, th0)); the links span every component.
+
+    A key is a hash of id and text hash; documents whose keys are equal by chance are compared by their texts as well."""
+    keyed = row_key(docs).select(F.xxhash64("id", "th").alias("key"), "id", "th", "text").sortWithinPartitions("id", "th")
+    documents, edges = _candidates(keyed, size, threshold)
+    copies = documents.where("not (id <=> id0 and th = th0)").select("id", "th", "id0", "th0")
+    members = written(components(edges).select(F.col("v").alias("key"), "label").join(documents.groupBy("key").agg(F.max("n").alias("n")), "key"))
     blocks = members.groupBy("label").agg(F.sum("n").alias("total")).select("label", F.ceil(F.col("total") * 2 / CAP).cast("int").alias("blocks"))
     blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
-    dealt = members.join(blocks, "label").withColumn("mine", F.pmod(F.xxhash64("id", "th"), F.col("blocks")))
+    dealt = members.join(blocks, "label").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.struct("label", F.least("mine", F.col("other").cast("long")).alias("x"), F.greatest("mine", F.col("other").cast("long")).alias("y")).alias("task")
-    dealt = dealt.select(task, F.col("id").alias("cid"), F.col("th").alias("cth"))
-    keyed = row_key(docs)
-    held = keyed.join(dealt, keyed.id.eqNullSafe(dealt.cid) & (keyed.th == dealt.cth)).select("task", "id", "th", "text")  # texts take less room than their shingles
+    held = keyed.join(dealt.select(task, "key"), "key").select("task", "id", "th", "text")  # texts take less room than their shingles
     found = held.repartition("task").sortWithinPartitions("task").mapInArrow(_links(size, threshold), "id long, th long, id0 long, th0 long")
-    return documents, copies.unionByName(found)
+    return documents.select("id", "th", "n"), copies.unionByName(found)
 
 
 def classes(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
