@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -48,13 +49,25 @@ def written(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage, survives a lost executor."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes what `written` wrote for frames that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of frames that nothing refers to any more: Spark removes them when its driver collects garbage."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    time.sleep(1.5)  # the thread that passes on what Python has dropped looks once a second
+    for _ in range(2):  # what the first run finds may hold more
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

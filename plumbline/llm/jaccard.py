@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import grams, mix, pair, release, row_key, signed, slabs, word_hashes, words, written
+from plumbline.llm.common import discard, grams, mix, pair, release, row_key, signed, slabs, word_hashes, words, written
 from plumbline.llm.components import components
 
 #: Tokens of a cluster that one task takes, sets of a group, sets that a task remembers, and parts added up at once.
@@ -251,6 +251,7 @@ def _candidates(keyed: DataFrame, size: int, threshold: int) -> tuple[DataFrame,
     release(spark)
     order = Window.partitionBy("key", F.col("drop") % 2).orderBy(F.desc("times"), "part")
     kept = written(rows.withColumn("at", F.row_number().over(order)).where("at > drop div 2").select("part", "key"))
+    discard(rows)
     least = written(kept.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("part", "least"))
     return documents, kept.join(least, "part").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b"))
 
@@ -265,10 +266,10 @@ def linked(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFra
     members = written(components(edges).select(F.col("v").alias("key"), "label").join(documents.groupBy("key").agg(F.max("n").alias("n")), "key"))
     blocks = members.groupBy("label").agg(F.sum("n").alias("total")).select("label", F.ceil(F.col("total") * 2 / CAP).cast("int").alias("blocks"))
     blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
-    dealt = members.join(blocks, "label").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = members.join(written(blocks), "label").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.struct("label", F.least("mine", F.col("other").cast("long")).alias("x"), F.greatest("mine", F.col("other").cast("long")).alias("y")).alias("task")
-    held = keyed.join(dealt.select(task, "key"), "key").select("task", "id", "th", "text")  # texts take less room than their shingles
+    held = keyed.join(dealt.select(task, "key").hint("merge"), "key").select("task", "id", "th", "text")  # texts take less room than their shingles
     found = held.repartition("task").sortWithinPartitions("task").mapInArrow(_links(size, threshold), "id long, th long, id0 long, th0 long")
     return documents.select("id", "th", "n"), copies.unionByName(found)
 
@@ -281,7 +282,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """
     documents, links = linked(docs, size, threshold)
     parts = components(links.select(F.struct("id", "th").alias("a"), F.struct(F.col("id0").alias("id"), F.col("th0").alias("th")).alias("b")))
-    least = parts.groupBy("label").agg(F.min("v.id").alias("component"))
+    least = written(parts.groupBy("label").agg(F.min("v.id").alias("component")))
     parts = parts.join(least, "label").select(F.col("v.id").alias("cid"), F.col("v.th").alias("cth"), "component")
     joined = documents.join(parts, documents.id.eqNullSafe(parts.cid) & (documents.th == parts.cth), "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
