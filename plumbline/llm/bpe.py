@@ -2,44 +2,49 @@
 
 The distinct words of a batch become rows of token positions.  A recursive query joins neighbouring tokens
 with the merge table, finds each word's pair of least rank (the leftmost of equal ones), contracts it, and
-goes on with the words that changed until none does.  Decoding joins token positions with the vocabulary and
-aggregates the bytes in order.  Words a task has met before are not asked again; the memory for that is bounded.
+goes on with the words that changed until none does.  Decoding joins the token positions of each document with
+the vocabulary and aggregates their bytes in order.  Words and pieces a task has met before are not asked again;
+the memory for that is bounded, those not met for longest go first.
 
-A text is first cut at single spaces between other characters, where the splitting pattern always starts a
-new match, so that the pattern itself runs on distinct pieces only.
+A text is first cut at single spaces between other characters, where the public splitting pattern always starts a
+new match, so that the pattern itself runs on distinct pieces only; under another pattern a text is one piece.
+
+A long word is cut first where no token can lie across: no vocabulary entry occurs there.  Where entries occur
+everywhere, the contractions are done by layers of rank: as long as a pair of rank R or less exists, no other
+pair is contracted, hence only entries of rank R or less tie the parts together.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Words a task remembers, and words a query takes at once.
-MEMO, BATCH = 300_000, 40_000
+from plumbline.llm.common import slabs
+
+#: Words or pieces a task remembers; words a query takes at once; bytes from which a word or piece is not remembered;
+#: from which a word is cut up; tokens from which a part of it is cut by rank; and bytes of text coded at once.
+MEMO, BATCH, LONG, WHOLE, PART, LOT = 400_000, 40_000, 200, 64, 96, 4 << 20
 
 ENCODE = """
 WITH RECURSIVE state(w, toks, step) USING KEY (w) AS (
   SELECT w, toks, 0 FROM seed
   UNION ALL
   (WITH token AS (SELECT w, toks, unnest(toks) AS t, generate_subscripts(toks, 1) AS p FROM state WHERE step IS NOT NULL),
-   pair AS (SELECT w, p, m.id FROM token JOIN merges m ON m.l = token.t AND m.r = token.toks[p + 1]),
+   pair AS (SELECT w, p, m.id FROM token JOIN merges m ON m.l = token.t AND m.r = token.toks[p + 1] WHERE m.id <= ?),
    best AS (SELECT w, min(id) AS id, min_by(p, id::HUGEINT * 4294967296 + p) AS cut FROM pair GROUP BY w)
    SELECT s.w, CASE WHEN b.w IS NULL THEN s.toks ELSE s.toks[:cut - 1] || [b.id] || s.toks[cut + 2:] END, b.id
    FROM state s LEFT JOIN best b ON s.w = b.w WHERE s.step IS NOT NULL)
-), coded AS (SELECT w, toks FROM state)
-"""
-DECODE = """
-token AS (SELECT w, unnest(toks) AS t, generate_subscripts(toks, 1) AS p FROM coded),
-text AS (SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex FROM token JOIN vocabulary v ON v.id = token.t GROUP BY w)
-SELECT w, array_to_string(toks, ','), len(toks), hex FROM coded JOIN text USING (w)
+)
+SELECT w, toks FROM state ORDER BY w
 """
+DECODE = "SELECT w, list(v.bytes ORDER BY p) AS bytes FROM coded JOIN vocabulary v ON v.id = coded.t GROUP BY w ORDER BY w"
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +52,24 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Memo:
+    """A mapping of at most `size` entries; a full half makes way for those that were asked since."""
+
+    def __init__(self, size: int) -> None:
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def get(self, key: bytes) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Codec:
     """A DuckDB with the merge table and vocabulary of one rank file."""
 
@@ -56,104 +79,222 @@ class Codec:
 
         white = r"\p{White_Space}"  # \s of Python would also take 0x1C-0x1F
         self.pattern = regex.compile(pattern.replace(r"\s", white).replace(r"\S", r"\P{White_Space}"))
-        rank = ranks(path)
+        self.public = pattern == default_pattern()
+        self.rank = rank = ranks(path)
         merges = [(a, b, r) for t, r in rank.items() for i in range(1, len(t)) if (a := rank.get(t[:i])) is not None and (b := rank.get(t[i:])) is not None]
         self.byte = np.array([rank[bytes([i])] for i in range(256)], np.int32)
+        self.most = max(rank.values())
+        self.size = np.zeros(self.most + 1, np.int64)
+        self.size[list(rank.values())] = list(map(len, rank))
+        self.name = pa.array([str(i) for i in range(self.most + 1)], pa.large_string())
+        self.longest = max(map(len, rank))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         table = pa.table({k: pa.array(v, pa.int32()) for k, v in zip("l r id".split(), zip(*merges))})
-        words = pa.table({"id": pa.array(rank.values(), pa.int32()), "hex": pa.array([t.hex() for t in rank])})
+        words = pa.table({"id": pa.array(rank.values(), pa.int32()), "bytes": pa.array(list(rank), pa.binary())})
         self.db.register("given_merges", table)
         self.db.register("given_words", words)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given_merges; CREATE TABLE vocabulary AS SELECT * FROM given_words")
         self.db.unregister("given_merges")
         self.db.unregister("given_words")
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-
-    def encode_words(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
-        """(ids joined by commas, their number, decoded bytes) of each word (not empty); long words go in smaller lots."""
-        out: list[tuple[str, int, bytes]] = []
+        self.words, self.pieces = Memo(MEMO), Memo(MEMO)
+
+    def contract(self, lot: list[np.ndarray], limit: int) -> list[np.ndarray]:
+        """Each list of tokens after all contractions of rank `limit` or less."""
+        if not lot:
+            return []
+        ends = np.cumsum([0, *map(len, lot)])
+        toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lot)))
+        self.db.register("seed", pa.table({"w": pa.array(np.arange(len(lot), dtype=np.int32)), "toks": toks}))
+        got = self.db.sql(ENCODE, params=[limit]).to_arrow_table()["toks"].combine_chunks()
+        self.db.unregister("seed")
+        values, at = got.flatten().to_numpy(), got.offsets.to_numpy() - got.offsets[0].as_py()
+        return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each word (not empty)."""
+        out: list[np.ndarray] = []
         a = 0
         while a < len(words):
-            b, size = a, 0
-            while b < len(words) and b - a < BATCH and (b == a or size + len(words[b]) <= 16 * BATCH):
-                size += len(words[b])
+            if len(words[a]) > WHOLE:
+                out.append(LongWord(self, words[a]).tokens())
+                a += 1
+                continue
+            b = a
+            while b < len(words) and b - a < BATCH and len(words[b]) <= WHOLE:
                 b += 1
-            lot = words[a:b]
-            ends = np.cumsum([0, *map(len, lot)])
-            toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte[np.frombuffer(b"".join(lot), np.uint8)]))
-            self.db.register("seed", pa.table({"w": pa.array(np.arange(len(lot), dtype=np.int32)), "toks": toks}))
-            got: list = [None] * len(lot)
-            for w, ids, n, text in self.db.execute(ENCODE + ", " + DECODE).fetchall():
-                got[w] = (ids, n, bytes.fromhex(text))
-            self.db.unregister("seed")
-            out += got
+            raw = self.byte[np.frombuffer(b"".join(words[a:b]), np.uint8)]
+            out += self.contract(np.split(raw, np.cumsum(list(map(len, words[a : b - 1])))) if b - a > 1 else [raw], self.most)
             a = b
         return out
 
-    def decode(self, coded: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        table = pa.table({"w": pa.array(range(len(coded)), pa.int32()), "toks": pa.array(coded, pa.list_(pa.int32()))})
+    def split(self, piece: bytes) -> list[bytes]:
+        """The matches of the pattern; a letter run with at most one stop behind it needs no search."""
+        if self.public:
+            core = piece[1:] if piece[:1] == b" " else piece
+            if core.isalpha():  # ASCII letters
+                return [piece]
+            if core[-1:] in b".,;!?" and core[:-1].isalpha():
+                return [piece[:-1], core[-1:]]
+        return [m.encode() for m in self.pattern.findall(piece.decode())]
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The tokens of each piece, as bytes of 32-bit numbers; new words are asked together."""
+        out = [self.pieces.get(p) for p in pieces]
+        fresh = [i for i, x in enumerate(out) if x is None]
+        parts = [self.split(pieces[i]) for i in fresh]
+        found = {w: self.words.get(w) for ws in parts for w in ws}
+        new = sorted(w for w, x in found.items() if x is None)
+        for w, toks in zip(new, self.encode_words(new)):
+            found[w] = toks.tobytes()
+            if len(w) < LONG:
+                self.words.put(w, found[w])
+        for i, ws in zip(fresh, parts):
+            out[i] = b"".join([found[w] for w in ws])
+            if len(pieces[i]) < LONG:
+                self.pieces.put(pieces[i], out[i])
+        return out
+
+    def ids(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of neighbouring pieces (starts and the end) of a text, and the number of them up to each cut."""
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(raw)]).dictionary_encode()
+        coded = self.encode(every.dictionary.to_pylist())
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
+        flat, begin, at = np.frombuffer(b"".join(coded), np.int32), np.cumsum(size) - size, every.indices.to_numpy()
+        size = size[at]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return flat[np.arange(int(total[-1])) - np.repeat(total[:-1] - begin[at], size)], total
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The bytes of each list of tokens: ids[offsets[k] : offsets[k + 1]]."""
+        n = len(offsets) - 1
+        w = np.repeat(np.arange(n), np.diff(offsets))
+        table = pa.table({"w": w, "p": np.arange(len(ids)), "t": ids})
         self.db.register("coded", table)
-        got = {w: text for w, _, _, text in self.db.execute("WITH " + DECODE).fetchall()}
+        got = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("coded")
-        return [bytes.fromhex(got.get(i, "")) for i in range(len(coded))]
-
-    def words(self, text: str) -> list[str]:
-        """The matches of the pattern; a letter run with at most one stop behind it needs no search."""
-        out: list[str] = []
-        for p in pieces(text):
-            core = p[1:] if p[0] == " " else p
-            if core.isalpha():
-                out.append(p)
-            elif len(core) > 1 and core[-1] in ".,;!?" and core[:-1].isalpha():
-                out += (p[:-1], core[-1])
-            else:
-                out += self.pattern.findall(p)
+        out = [b""] * n
+        for i, text in zip(got["w"].to_pylist(), pc.binary_join(got["bytes"].cast(pa.large_list(pa.large_binary())), pa.scalar(b"", pa.large_binary())).to_pylist()):
+            out[i] = text
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[tuple[str, ...], int, tuple[bytes, ...]]]:
-        """For each text, by word: ids as text, their number, decoded bytes."""
-        lot: list[list[str]] = []
-        fresh: set[str] = set()
-        for text in texts:
-            lot.append(self.words(text))
-            fresh.update(lot[-1])
-            if len(fresh) > MEMO // 2:
-                yield from self._known(lot, fresh)
-                lot, fresh = [], set()
-        yield from self._known(lot, fresh)
-
-    def _known(self, lot: list[list[str]], fresh: set[str]) -> Iterator[tuple[tuple[str, ...], int, tuple[bytes, ...]]]:
-        new = sorted(fresh.difference(self.known))
-        if len(self.known) + len(new) > MEMO:
-            self.known.clear()
-            new = sorted(fresh)
-        self.known.update(zip(new, self.encode_words([w.encode() for w in new])))
-        for ws in lot:
-            ids, n, text = zip(*map(self.known.__getitem__, ws)) if ws else ((), (), ())
-            yield ids, sum(n), text
-
-
-_UNEVEN = re.compile(r"\s\s|^\s|\s$")
-
-
-def pieces(text: str) -> list[str]:
-    """Parts of a text whose tokens do not depend on each other: cut before each single space between other characters."""
-    parts = text.split(" ")
-    if not _UNEVEN.search(text):
-        return [parts[0], *(" " + p for p in parts[1:])] if text else []
-    out: list[str] = []
-    for i, p in enumerate(parts):
-        if i == 0:
-            if p:
-                out.append(p)
-        elif p and not p[0].isspace() and out and not out[-1][-1].isspace():
-            out.append(" " + p)
-        elif out:
-            out[-1] += " " + p
-        else:
-            out.append(" " + p)
-    return out
+    def names(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Each list of tokens as decimals joined by commas."""
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), self.name.take(pa.array(ids))), pa.scalar(",", pa.large_string())).to_pylist()
+
+
+class LongWord:
+    """A word that is cut up before it is coded: where no entry of the vocabulary, of rank `limit` or less, occurs across
+    the cut with both ends at present token ends, no contraction up to that limit can cross."""
+
+    def __init__(self, codec: Codec, word: bytes) -> None:
+        self.codec, self.toks = codec, codec.byte[np.frombuffer(word, np.uint8)]
+        n = len(word)
+        start, stop, by = [], [], []
+        for size in range(2, min(codec.longest, n) + 1):
+            some = _entries(codec, size)
+            if not len(some[0]):
+                continue
+            key = _window_keys(word, size)
+            at = np.minimum(np.searchsorted(some[0], key), len(some[0]) - 1)
+            hit = np.flatnonzero(some[0][at] == key)
+            start.append(hit)
+            stop.append(hit + size)
+            by.append(some[1][at[hit]])
+        self.start, self.stop, self.by = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (start, stop, by))
+
+    def _parts(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cuts (token numbers, with both ends), and the occurrences that tie tokens together, up to the limit."""
+        ends = np.concatenate([[0], np.cumsum(self.codec.size[self.toks])])
+        place = np.full(ends[-1] + 1, -1, np.int64)
+        place[ends] = np.arange(len(ends))
+        x, y = place[self.start], place[self.stop]
+        tie = np.flatnonzero((x >= 0) & (y > x + 1) & (self.by <= limit))
+        edge = np.zeros(len(ends), np.int64)
+        np.add.at(edge, x[tie] + 1, 1)
+        np.add.at(edge, y[tie], -1)
+        across = np.cumsum(edge)
+        across[[0, -1]] = 0
+        return np.flatnonzero(across == 0), tie
+
+    def contract(self, limit: int, done: int = -1) -> None:
+        """All contractions of rank `limit` or less, those up to `done` having been made."""
+        cuts, tie = self._parts(limit)
+        if (np.diff(cuts) > PART).any():
+            ends = np.concatenate([[0], np.cumsum(self.codec.size[self.toks])])
+            where = np.searchsorted(ends[cuts], self.start[tie], "right") - 1
+            steps = np.unique(self.by[tie[np.diff(cuts)[where] > PART]])
+            steps = steps[steps > done]
+            if len(steps) > 1:
+                middle = int(steps[(len(steps) - 1) // 2])
+                self.contract(middle, done)
+                return self.contract(limit, middle)
+            if len(steps) == 1:
+                cuts = self._alternate(cuts, ends, tie, int(steps[0]))
+        size = np.diff(cuts)
+        some = np.flatnonzero(size > 1)
+        lots = [self.toks[a:b] for a, b in zip(cuts[some].tolist(), cuts[some + 1].tolist())]
+        new = np.split(self.toks, cuts[1:-1])
+        for a in range(0, len(lots), BATCH):
+            for k, toks in zip(some[a : a + BATCH].tolist(), self.codec.contract(lots[a : a + BATCH], limit)):
+                new[k] = toks
+        self.toks = np.concatenate(new)
+
+    def _alternate(self, cuts: np.ndarray, ends: np.ndarray, tie: np.ndarray, step: int) -> np.ndarray:
+        """More cuts for parts over PART tokens in which only pairs of one rank can be contracted: the leftmost of
+        overlapping pairs comes first, so that every second token begins a pair of its own."""
+        more = []
+        place = np.full(ends[-1] + 1, -1, np.int64)
+        place[ends] = np.arange(len(ends))
+        x, y = place[self.start[tie]], place[self.stop[tie]]
+        of = np.searchsorted(cuts, x, "right") - 1
+        for k in np.flatnonzero(np.diff(cuts) > PART).tolist():
+            mine = of == k
+            if (self.by[tie[mine]] == step).all() and (y[mine] - x[mine] == 2).all():
+                at = np.sort(x[mine])
+                begin = np.flatnonzero(np.diff(at, prepend=-9) != 1)
+                run = np.repeat(at[begin], np.diff(np.append(begin, len(at))))
+                first = at[(at - run) % 2 == 0]
+                more += [first, first + 2]
+        return np.unique(np.concatenate([cuts, *more])) if more else cuts
+
+    def tokens(self) -> np.ndarray:
+        self.contract(self.codec.most)
+        return self.toks
+
+
+def _window_keys(word: bytes, size: int) -> np.ndarray:
+    """A 64-bit number for the bytes from each position on; equal bytes, equal numbers."""
+    raw = np.frombuffer(word, np.uint8).astype(np.uint64)
+    key = np.full(len(raw) - size + 1, size, np.uint64)
+    for j in range(size):
+        key = key * np.uint64(0x100000001B3) + raw[j : len(raw) - size + 1 + j] + np.uint64(1)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+@lru_cache(maxsize=256)
+def _entries(codec: Codec, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the entries of so many bytes, sorted, and their ranks."""
+    some = [t for t in codec.rank if len(t) == size]
+    key = np.array([_window_keys(t, size)[0] for t in some], np.uint64)
+    order = np.argsort(key)
+    return key[order], np.array([codec.rank[t] for t in some], np.int64)[order]
+
+
+_INNER = np.ones(256, bool)  # bytes between which a single space may be a cut: no white space, nor a first byte of such
+_INNER[[0x20, *range(0x09, 0x0E)]] = False
+_FIRST = _INNER.copy()
+_FIRST[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of pieces whose tokens do not depend on each other, and the end: documents, and single spaces between other
+    characters (not next to one that may be white space beyond ASCII)."""
+    at = np.flatnonzero(raw == 0x20)
+    at = at[(at > 2) & (at < len(raw) - 1)]
+    lead = raw[at - 3] | np.where(raw[at - 1] < 0x80, 0xFF, 0)
+    good = _INNER[raw[at - 1]] & _FIRST[raw[at + 1]] & ((raw[at - 1] < 0x80) | ((raw[at - 2] != 0xC2) & ~np.isin(lead, (0xE1, 0xE2, 0xE3))))
+    return np.union1d(np.setdiff1d(at[good], offsets[1:] - 1), offsets)
 
 
 @lru_cache(maxsize=2)
@@ -173,30 +314,51 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def lots(own: Codec, raw: np.ndarray, offsets: np.ndarray, limit: int = LOT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, their offsets by document) of a slab; a long document comes in several lots."""
+    at = cuts(raw, offsets) if own.public else np.unique(offsets)
+    if len(offsets) > 2 or len(raw) <= limit:
+        tokens, total = own.ids(raw, at) if len(at) > 1 else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        yield tokens, total[np.searchsorted(at, offsets)]
+        return
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + limit, "right")) - 1)
+        tokens, total = own.ids(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+        yield tokens, np.array([0, len(tokens)])
+        a = b
+
+
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of each row; null and empty texts have no tokens.
 
     `path` names the rank file, which every executor must have; without it the public file of the tokenizer
-    package is found on each executor.  Special tokens are ordinary text.
+    package is found on each executor.  Special tokens are ordinary text.  Rows stand for themselves: repeated ones
+    give repeated results, a null doc_id stays null, further columns play no part.  A very long text is coded in lots
+    of some MB and only its digests go on from lot to lot; `ids` needs the whole list of a text at once.  Of pairs of
+    equal rank the leftmost is contracted first.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path or default_path(), pattern or default_pattern())
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                number, digest, back, lists = [], [], [], []
-                for names, n, text in own.encode([t or "" for t in part.column(1).to_pylist()]):
-                    number.append(n)
-                    digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-                    back.append(hashlib.sha256(b"".join(text)).hexdigest())
+            for a, b, raw, offsets in slabs(batch.column(0), batch.column(1), LOT):
+                n = b - a
+                number, lists = np.zeros(n, np.int64), [[] for _ in range(n)]
+                digest, back = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+                for tokens, total in lots(own, raw, offsets):
+                    for i, (names, text) in enumerate(zip(own.names(tokens, total), own.decode(tokens, total))):
+                        digest[i].update((("," if number[i] and names else "") + names).encode())
+                        back[i].update(text)
+                    number += np.diff(total)
                     if ids:
-                        lists.append(np.array(",".join(names).split(","), np.int32) if n else np.zeros(0, np.int32))
-                columns = [part.column(0), pa.array(number, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+                        for i in range(n):
+                            lists[i].append(tokens[total[i] : total[i + 1]])
+                columns = [batch.column(0).slice(a, n), pa.array(number), pa.array([x.hexdigest() for x in digest]), pa.array([x.hexdigest() for x in back])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
+                    columns.append(pa.array([np.concatenate(x) for x in lists], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -205,7 +367,8 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def decoded(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text as binary) of each row's list of ids; a null list gives no bytes."""
+    """(doc_id, bytes) of each row's list of ids; a null list gives no bytes, an id that the vocabulary lacks none either.
+    Repeated rows and null doc_ids stay as they are, further columns play no part."""
     kind = rows.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +376,8 @@ def decoded(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", id
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                text = own.decode([x or [] for x in part.column(1).to_pylist()])
+                lists = [np.array([x for x in some or [] if x is not None], np.int32) for some in part.column(1).to_pylist()]
+                text = own.decode(np.concatenate(lists), np.cumsum([0, *map(len, lists)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.binary())], names=["doc_id", "bytes"])
 
     return rows.select(id_col, ids_col).mapInArrow(work, f"doc_id {kind}, bytes binary")

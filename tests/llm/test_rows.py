@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from cases import make_docs
 
@@ -37,6 +38,52 @@ def test_bpe(spark):
     assert bpe.encoded(docs.limit(0)).collect() == []
 
 
+def test_bpe_long_words():
+    """Words without a break: equal to tiktoken, and a megabyte of each within seconds."""
+    import base64
+    import random
+    import time
+
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    r = random.Random(3)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(bpe.default_path()), special_tokens={})
+    codec = bpe.codec(bpe.default_path(), bpe.default_pattern())
+
+    def cases(n):
+        yield base64.b64encode(r.randbytes(n)).decode()[:n]
+        yield "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n // 3))
+        yield "".join(r.choice("etaoinshrdlu") for _ in range(n))
+        yield "".join(r.choice("0123456789") for _ in range(n))
+        yield from ("x" * n, "aaab" * (n // 4), "-=" * (n // 2), " " * n)
+
+    for n in (65, 97, 400, 5000):
+        for word in cases(n):
+            assert np.frombuffer(codec.encode([word.encode()])[0], np.int32).tolist() == own.encode_ordinary(word), word[:40]
+    started = time.time()
+    for word in cases(1_000_000):
+        ids = np.frombuffer(codec.encode([word.encode()])[0], np.int32)
+        assert codec.decode(ids, np.array([0, len(ids)])) == [word.encode()]
+    assert time.time() - started < 120
+
+
+def test_bpe_lots_and_patterns(spark, monkeypatch):
+    """A text coded in several lots, and a pattern under which single spaces are no cuts."""
+    import tiktoken
+
+    rows = [(i, t) for i, t in odd_texts() if i is not None] + [(300, " ".join(f"word{k}, é" for k in range(500)))]
+    for pattern in (bpe.default_pattern(), r"\p{L}|\P{L}", r"\S+ \S+|\s|\S+"):
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks(bpe.default_path()), special_tokens={})
+        codec = bpe.Codec(bpe.default_path(), pattern)
+        for lot in (1 << 20, 300):
+            for _, text in rows:
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                got = [x for tokens, _ in bpe.lots(codec, raw, np.array([0, len(raw)]), lot) for x in tokens.tolist()]
+                assert got == own.encode_ordinary(text or "")
+
+
 def test_quality(spark):
     rows = odd_texts() + [(110, "a b c d e f g h i j k l\n" * 2), (111, "one two three four five six seven eight nine ten eleven")]
     got = quality.measured(frame(spark, rows)).collect()
