@@ -5,10 +5,10 @@ A budget of `percent` of all words is shared by weight, no source above `most` t
 shared anew by weight.  The fixpoint has one water level: target = min(most * size, level * weight), and the
 level is the largest that any number of capped sources gives, so two running sums over the sources find it.
 
-Each document is then taken floor(rate) times, and once more with probability equal to the rest, by a draw
-seeded from a hash of its id.  The draws of a source's few large documents (over 1/`LARGE` of its words, so
-fewer than `LARGE` of them) are spaced evenly down the list by size, which keeps the sum near the target;
-each still has that probability.
+Each document is then taken floor(rate) times, and once more with probability equal to the rest, by a draw of its own
+from a hash of the seed and its id.  A source of few documents, or of very uneven ones, may by chance lie far from its
+target; so every document has `DRAWS` independent draws, their sums are added up by source in the same pass, and each
+source takes the draw (the same for all its documents) whose sum comes nearest.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 
-WEIGHTS, PERCENT, MOST, LARGE = (3, 1, 2), 150, 2, 1000
+WEIGHTS, PERCENT, MOST, DRAWS = (3, 1, 2), 150, 2, 32
 
 
-def _uniform(*parts) -> F.Column:
-    """In [0, 1), from the first 8 hex digits of an md5; alike in other SQL engines."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def _draws(seed: str, name: F.Column, part: F.Column) -> F.Column:
+    """For each draw whether a number in [0, 1) lies below `part`; 8 hex digits of an md5 each, alike in other SQL engines."""
+    digits = F.concat(*[F.md5(F.concat(F.lit(f"{seed}:{k}:"), name)) for k in range(DRAWS // 4)])
+    return F.array(*[(F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) < part).cast("long") for k in range(DRAWS)])
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
@@ -45,36 +46,51 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """(doc_id, th, size, source, source_size, target, n) with th the hash of the text and n the times the document is
     taken, for each row of docs.
 
-    A null text has size 0; a null source is a source of its own; repeated rows are documents of their own.
+    A null text has size 0, an empty one too; a null source is a source of its own; documents alike in id have the
+    same draws, so repeated rows are taken alike.  Text length and further columns play no part.
     """
     size = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"), size.alias("size")))
-    goal = targets(sized, weights, percent, most).withColumnRenamed("source", "of")
-    rows = sized.join(goal, sized.source.eqNullSafe(goal.of)).drop("of")
+    goal = written(targets(sized, weights, percent, most).withColumnRenamed("source", "of"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    rows = rows.withColumn("rate", rate).withColumn("part", F.col("rate") - F.floor("rate"))
-    large = F.col("size") * LARGE > F.col("source_size")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    small = rows.where(~large).withColumn("extra", (_uniform(F.lit(seed), name) < F.col("part")).cast("long"))
-    k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), F.md5(F.concat_ws(":", F.lit(seed), name)), "doc_id"))
-    u = _uniform(F.lit(seed), F.lit("source"), F.coalesce("source", F.lit("")))
-    big = rows.where(large).withColumn("k", k).withColumn("extra", (F.floor(F.col("k") * F.col("part") + u) - F.floor((F.col("k") - 1) * F.col("part") + u)).cast("long")).drop("k")
-    return small.unionByName(big).select("doc_id", "th", "size", "source", "source_size", "target", (F.floor("rate") + F.col("extra")).cast("long").alias("n"))
+    rows = sized.join(goal.withColumn("rate", rate), sized.source.eqNullSafe(goal.of)).drop("of")
+    rows = rows.withColumn("draws", _draws(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("rate") - F.floor("rate")))
+    sums = rows.groupBy("source").agg(*[F.sum(F.col("size") * F.col("draws")[k]).alias(f"s{k}") for k in range(DRAWS)])
+    sums = sums.withColumnRenamed("source", "from")
+    sums = sums.join(goal.withColumn("rate", rate), sums["from"].eqNullSafe(goal.of))
+    off = F.array(*[F.abs(F.col("source_size") * F.floor("rate") + F.col(f"s{k}") - F.col("target")) for k in range(DRAWS)])
+    best = written(sums.select("from", F.array_position(off, F.array_min(off)).cast("int").alias("best")))
+    rows = rows.join(best, rows.source.eqNullSafe(best["from"]))
+    return rows.select("doc_id", "th", "size", "source", "source_size", "target", (F.floor("rate") + F.element_at("draws", F.col("best"))).cast("long").alias("n"))
 
 
 def taken(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), a row for each row of docs; cases as in `copies`."""
     return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as many times as the mix takes it; a row is known by its id, source and text."""
-    n = copies(docs).groupBy("doc_id", "source", "th").agg(F.max("n").alias("n"))
-    n = n.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("th").alias("__th"), F.col("n").cast("int").alias("__n")).where("__n > 0")
-    same = docs["doc_id"].eqNullSafe(n["__id"]) & docs["source"].eqNullSafe(n["__source"]) & (F.xxhash64(docs["text"]) == n["__th"])
-    return docs.join(n, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+def deviations(docs: DataFrame) -> DataFrame:
+    """(source, source_size, target, taken) for each source: how near the mix comes."""
+    return copies(docs).groupBy("source", "source_size", "target").agg(F.sum(F.col("size") * F.col("n")).alias("taken"))
 
 
-ORACLE = r"""
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs with each row as many times as the mix takes it; a row is known by its id, source and text.
+
+    Rows of size 0 are taken as often as others of their source.  All columns come back as they are, whatever their
+    names."""
+    new, old = "copies", set(docs.columns)
+    while any(c.startswith(new) for c in old):
+        new += "_"
+    n = copies(docs).groupBy("doc_id", "source", "th").agg(F.max("n").alias("n")).where("n > 0")
+    n = n.select(F.col("doc_id").alias(f"{new}id"), F.col("source").alias(f"{new}source"), F.col("th").alias(f"{new}th"), F.col("n").cast("int").alias(f"{new}n"))
+    same = docs["doc_id"].eqNullSafe(n[f"{new}id"]) & docs["source"].eqNullSafe(n[f"{new}source"]) & (F.xxhash64(docs["text"]) == n[f"{new}th"])
+    return docs.join(n, same).withColumn(f"{new}k", F.explode(F.sequence(F.lit(1), F.col(f"{new}n")))).select(*[docs[c] for c in docs.columns])
+
+
+_DIGITS = " || ".join(f"md5('mix:{k}:' || coalesce(doc_id::VARCHAR, ''))" for k in range(DRAWS // 4))
+_LIST = "[" + ", ".join(f"(('0x' || substr(digits, {8 * k + 1}, 8))::BIGINT / 4294967296e0 < part)::BIGINT" for k in range(DRAWS)) + "]"
+ORACLE = rf"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS w FROM per),
@@ -83,8 +99,9 @@ levels AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 150e0 / 100e0 - coale
 goal AS (SELECT source, source_size, least(source_size * 2e0, (max(level) OVER ()) * w) AS target FROM levels),
 rated AS (SELECT s.doc_id, s.source, s.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 2e0) ELSE 0e0 END AS rate
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
-parts AS (SELECT *, rate - floor(rate) AS part, coalesce(doc_id::VARCHAR, '') AS name, size * 1000 > source_size AS large FROM rated),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY size DESC, md5('mix:' || name), doc_id) AS k,
-  ('0x' || substr(md5('mix:' || name), 1, 8))::BIGINT / 4294967296e0 AS u, ('0x' || substr(md5('mix:source:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296e0 AS v FROM parts)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN large THEN floor(k * part + v) - floor((k - 1) * part + v) WHEN u < part THEN 1 ELSE 0 END))::BIGINT AS taken FROM ranked
+parts AS (SELECT *, rate - floor(rate) AS part, {_DIGITS} AS digits FROM rated),
+drawn AS (SELECT *, {_LIST} AS draws FROM parts),
+best AS (SELECT source, arg_min(k, (abs(source_size * floor(rate) + s - target), k)) AS best FROM (
+  SELECT source, source_size, rate, target, k, sum(size * draws[k])::BIGINT AS s FROM drawn, range(1, {DRAWS + 1}) t(k) GROUP BY ALL) GROUP BY source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + draws[best]))::BIGINT AS taken FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source
 """

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 from cases import make_docs
+from pyspark.sql import functions as F
 
 from plumbline.llm import ann, bpe, compaction, licenses, mixing, quality, secrets
 
@@ -195,7 +196,11 @@ def test_mix(spark):
         x = by.setdefault(r.source, [0, r.target, 0])
         x[0] += r.size * r.n
         x[2] = max(x[2], r.size)
-    assert all(abs(a - b) <= 2 * c for a, b, c in by.values()) and None in by
+    assert all(abs(a - b) <= c / 2 for a, b, c in by.values()) and None in by
+    near = {r.source: (r.taken, r.target) for r in mixing.deviations(docs).collect()}
+    assert near == {k: (a, b) for k, (a, b, _) in by.items()}
+    clash = docs.withColumn("copies", F.lit(9)).withColumn("copiesn", F.lit("y"))
+    assert {(r.copies, r.copiesn) for r in mixing.mixed(clash).collect()} == {(9, "y")} and mixing.mixed(clash).columns == clash.columns
     assert abs(sum(b for _, b, _ in by.values()) - 1.5 * sum(r.size for r in got)) < 1e-6
     many = mixing.mixed(docs)
     assert many.columns == docs.columns and many.count() == sum(r.n for r in got)
