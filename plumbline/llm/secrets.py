@@ -2,7 +2,8 @@
 
 Tokens are tagged begin, inside or outside.  Each has a class from its shape (kinds of characters, length) or
 because it is a word that announces a secret; emissions are sums of weights for its own class, those of its
-neighbours and features of the file (length, share of punctuation).  The model is fitted here, by gradient
+neighbours, the words before it (by a hash of the lower-cased word, learned from the data) and features of the
+file (length, share of punctuation).  The model is fitted here, by gradient
 ascent on the likelihood, to windows around the matches of fixed patterns in a bounded sample; Viterbi
 decoding is exact.  Tokens whose "outside" score exceeds the others by more than all transitions can make
 good are outside in every best path, so only the stretches between them need the recursion.
@@ -40,7 +41,9 @@ _KIND[[0x20, *range(0x09, 0x0E)]] = 5
 _KIND[128:] = 6
 _HEXY = np.zeros(256, bool)
 _HEXY[list(b"0123456789abcdef")] = True
-N_CLASS, N_FILE = 192, 8
+N_CLASS, N_FILE, N_WORD = 192, 8, 4096
+#: A match of the patterns that counts, for choosing the sample.
+MATCH = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
 
 
 def base(text: str) -> list[tuple[int, int, int]]:
@@ -55,8 +58,8 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes), class, file class of each token of a slab, and the first token of each document.
+def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes), class, word (0: none), file class of each token of a slab, and the first token of each document.
 
     A token is a run of ASCII letters, digits and +/_-, a run of bytes beyond ASCII, or one other character."""
     kind = _KIND[raw]
@@ -85,16 +88,17 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         code[np.isin(char, list(group_of))] = 2 + k
     cls[one] = code
     cls[group[s] == 6 if len(s) else keep] = 9
-    plain = np.flatnonzero((shape == 1) | (shape == 2) | (shape == 3) | (shape == 9) | (shape == 10) | (shape == 11))
-    plain = plain[(length[plain] >= 3) & (length[plain] <= 10) & ~one[plain]]
+    word = np.zeros(len(s), np.int64)
+    plain = np.flatnonzero((shape & 3 > 0) & (shape & 4 == 0) & (length >= 2) & (length <= 16))
     if len(plain):
         h = word_hashes(raw, s[plain], e[plain], lower=True)
+        word[plain] = 1 + (h % np.uint64(N_WORD - 1)).astype(np.int64)
         cls[plain[np.isin(h, _keyword_hashes())]] = 10
     n = np.diff(first)
     punct = np.concatenate([[0], np.cumsum(one, dtype=np.int64)])
     share = (punct[first[1:]] - punct[first[:-1]]) / np.maximum(n, 1)
     file = np.searchsorted([50, 500, 5000], n, "right") * 2 + (share > 0.25)
-    return s, e, cls, np.repeat(file, n), first
+    return s, e, cls, word, np.repeat(file, n), first
 
 
 def _keyword_hashes() -> np.ndarray:
@@ -104,49 +108,56 @@ def _keyword_hashes() -> np.ndarray:
 
 
 class Field:
-    """Weights: emissions by class at offsets -3..1, by file class, transitions, start."""
+    """Weights: emissions by class at offsets -3..1, by word at offsets -3..-1, by file class, transitions, start."""
 
-    OFFSETS = (-3, -2, -1, 0, 1)
+    OFFSETS, WORDS = (-3, -2, -1, 0, 1), (-3, -2, -1)
 
     def __init__(self) -> None:
         self.emit = np.zeros((len(self.OFFSETS), N_CLASS, 3))
+        self.word = np.zeros((len(self.WORDS), N_WORD, 3))
         self.file = np.zeros((N_FILE, 3))
         self.step = np.zeros((3, 3))
         self.step[O, I] = -30.0  # inside follows begin or inside only
 
-    def around(self, cls: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
-        """The class at each offset, 0 beyond the document."""
-        out = np.zeros((len(self.OFFSETS), len(cls)), np.int64)
-        for k, d in enumerate(self.OFFSETS):
+    def around(self, cls: np.ndarray, word: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
+        """The class at each offset and then the word at each of its offsets, 0 beyond the document."""
+        out = np.zeros((len(self.OFFSETS) + len(self.WORDS), len(cls)), np.int64)
+        for k, d in enumerate(self.OFFSETS + self.WORDS):
+            what = cls if k < len(self.OFFSETS) else word
             a, b = max(0, -d), len(cls) - max(0, d)
             if a < b:
                 same = doc_of[a:b] == doc_of[a + d : b + d]
-                out[k, a:b] = np.where(same, cls[a + d : b + d], 0)
+                out[k, a:b] = np.where(same, what[a + d : b + d], 0)
         return out
 
+    def _table(self, k: int) -> np.ndarray:
+        return self.emit[k] if k < len(self.OFFSETS) else self.word[k - len(self.OFFSETS)]
+
     def scores(self, near: np.ndarray, file: np.ndarray) -> np.ndarray:
-        return sum(self.emit[k][near[k]] for k in range(len(near))) + self.file[file]
+        return sum(self._table(k)[near[k]] for k in range(len(near))) + self.file[file]
 
     def fit(self, near: np.ndarray, file: np.ndarray, tag: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> None:
         """Adam on the mean log-likelihood of sequences of one length: near (offset, sequence, time), file and tag (sequence, time)."""
-        n, t = tag.shape
-        names = ("emit", "file", "step")
+        n, length = tag.shape
+        names = ("emit", "word", "file", "step")
         first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
         truth = np.eye(3)[tag]
         for r in range(1, rounds + 1):
-            e = self.scores(near.reshape(len(near), -1), file.ravel()).reshape(n, t, 3)
-            fwd, bwd = np.zeros((n, t, 3)), np.zeros((n, t, 3))
+            e = self.scores(near.reshape(len(near), -1), file.ravel()).reshape(n, length, 3)
+            fwd, bwd = np.zeros((n, length, 3)), np.zeros((n, length, 3))
             fwd[:, 0] = e[:, 0]
             lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
-            for i in range(1, t):
+            for i in range(1, length):
                 fwd[:, i] = e[:, i] + lse(fwd[:, i - 1, :, None] + self.step, 1)
-            for i in range(t - 2, -1, -1):
+            for i in range(length - 2, -1, -1):
                 bwd[:, i] = lse(self.step[None] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], 2)
             z = lse(fwd[:, -1], 1)
             diff = (truth - np.exp(fwd + bwd - z[:, None, None])).reshape(-1, 3) / n
             grad = {k: np.zeros_like(getattr(self, k)) for k in names}
             for k in range(len(near)):
-                np.add.at(grad["emit"][k], near[k].ravel(), diff)
+                table = grad["emit"][k] if k < len(self.OFFSETS) else grad["word"][k - len(self.OFFSETS)]
+                for t in range(3):
+                    table[:, t] += np.bincount(near[k].ravel(), diff[:, t], len(table))
             np.add.at(grad["file"], file.ravel(), diff)
             pairs = np.exp(fwd[:, :-1, :, None] + self.step + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
             grad["step"] = (np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:]) - pairs) / n
@@ -199,21 +210,33 @@ def _tags(text: str, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return tag
 
 
+def _sample(docs: DataFrame, text_col: str, sample: int) -> list[str]:
+    """At most `sample` texts with a match of the patterns and as many without, those of least hash.  The numbers of both
+    kinds are counted first, and only texts below a hash bound, about twice as many as wanted, are looked at again: what
+    comes to the driver does not grow with the table or its tasks."""
+    rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("o")).where("text is not null and length(text) <= 20000")
+    match = F.col("text").rlike(MATCH)
+    many = rows.agg(F.count_if(match).alias("true"), F.count_if(~match).alias("false")).first()
+    out = []
+    for which, n in ((match, many["true"]), (~match, many["false"])):
+        if n:
+            bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * (sample + 10) // n)
+            out += [r.text for r in rows.where(F.col("o") <= bound).where(which).distinct().orderBy("o").limit(sample).select("text").collect()]
+    return out
+
+
 def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, width: int = 16) -> Field:
     """The field fitted to windows of a sample of docs: at most `sample` documents with a match and as many without."""
-    hint = r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}"
-    rows = docs.select(F.col(text_col).alias("text")).where("text is not null and length(text) <= 20000")
-    order = F.xxhash64("text")
-    some = [r.text for which in (F.col("text").rlike(hint), ~F.col("text").rlike(hint)) for r in rows.where(which).select("text", order.alias("o")).orderBy("o").limit(sample).select("text").collect()]
+    some = _sample(docs, text_col, sample)
     field, windows = Field(), ([], [], [])
     rng = np.random.default_rng(11)
     for text in some:
         raw = np.frombuffer(text.encode(), np.uint8)
-        s, e, cls, file, first = tokens(raw, np.array([0, len(raw)]))
+        s, e, cls, word, file, first = tokens(raw, np.array([0, len(raw)]))
         if len(s) < width:
             continue
         tag = _tags(text, s, e)
-        near = field.around(cls, np.zeros(len(cls), np.int64))
+        near = field.around(cls, word, np.zeros(len(cls), np.int64))
         at = [max(0, min(int(x) - rng.integers(2, width - 2), len(s) - width)) for x in np.flatnonzero(tag == B)[:4]]
         at += [int(rng.integers(0, len(s) - width + 1)) for _ in range(3)]
         odd = np.flatnonzero((tag == O) & (cls >= 20) & (((cls - 16) & 15) >= 4))[:3]  # tokens with digits that are no secret
@@ -230,11 +253,11 @@ def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, width:
 
 def _spans(field: Field, raw: np.ndarray, offsets: np.ndarray, texts: list[str]) -> Iterator[list[tuple[int, int, int]]]:
     """All spans of each document of a slab, base and added, by start and then kind."""
-    s, e, cls, file, first = tokens(raw, offsets)
+    s, e, cls, word, file, first = tokens(raw, offsets)
     doc_of = np.repeat(np.arange(len(texts)), np.diff(first))
     starts = np.zeros(len(s), bool)
     starts[first[:-1][first[:-1] < len(s)]] = True
-    tag = field.decode(field.scores(field.around(cls, doc_of), file), starts) if len(s) else np.zeros(0, np.int64)
+    tag = field.decode(field.scores(field.around(cls, word, doc_of), file), starts) if len(s) else np.zeros(0, np.int64)
     points = None
     added: dict[int, list[tuple[int, int]]] = {}
     begin = np.flatnonzero(tag == B)
@@ -258,7 +281,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_crf, base_sha256, spans) of each row; null and empty texts have no spans."""
+    """(doc_id, n_assign, n_access, n_hex, n_crf, base_sha256, spans) of each row; null and empty texts have no spans.
+
+    Rows stand for themselves, repeated ones give repeated results; spans that start together are ordered by kind.  A very
+    long text is tagged whole, in one task; texts over 20,000 characters are not fitted on.  Further columns play no part."""
     field = field or fitted(docs, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -279,7 +305,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """docs with every span, base or added, of its text replaced by <secret>; overlapping spans become one."""
+    """docs with every span, base or added, of its text replaced by <secret>; overlapping spans become one.
+
+    Null and empty texts, all rows and all other columns stay as they are, whatever their names."""
     field = field or fitted(docs, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
