@@ -5,10 +5,12 @@ vectors are then rotated at random, so that a part of the dimensions estimates t
 from k-means on a bounded sample, and so does the number of lists to probe: the least that holds the wanted part
 of the nearest neighbours within the sample (those of all rows lie nearer, hence rather in fewer lists).  Every vector is put into its list, every query is sent to the lists nearest
 to it.  In a list, candidates are scanned in blocks of columns: once the partial distance, scaled up, is so far
-above the worst distance that still counts that a hypothesis test rejects the candidate, it is abandoned.
+above the worst distance that still counts that a hypothesis test rejects the candidate, it is abandoned.  The
+worst distance falls from one lot of candidates to the next, as nearer ones are found.
 
-Equal vectors are one candidate (with its least ids), equal queries one query, and a long list is cut into
-blocks, so that a vector that a third of the rows share costs no more than another.
+Equal vectors are one candidate (with its least ids), equal queries one query, and the candidates and the queries
+of a long list are both cut into blocks, so that a task never has more than a block of each, and a vector that a
+third of the rows share costs no more than another.  Equality of vectors is that of a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 
-#: Rows that k-means is fitted on at most; rows of a block of a list; columns of a step; strictness of the test.
-SAMPLE, BLOCK, STEP, EPSILON = 20_000, 8192, 16, 2.1
+#: Rows that k-means is fitted on at most; rows and queries of a block of a list; rows and queries scanned at once;
+#: columns of a step; strictness of the test.
+SAMPLE, BLOCK, ASKS, LOT, STEP, EPSILON = 20_000, 8192, 2048, 512, 16, 2.1
 #: Part of the nearest within the sample that the probed lists must hold; queries of the sample that this is measured on.
 COVER, TRIALS = 0.96, 200
 
@@ -65,29 +68,43 @@ def probes_needed(x: np.ndarray, centres: np.ndarray, turn: np.ndarray, top: flo
     return int(np.quantile(ranks, cover, method="higher")) + 1
 
 
-def scan(queries: np.ndarray, block: np.ndarray, k: int, step: int = STEP, epsilon: float = EPSILON) -> list[np.ndarray]:
-    """For each rotated query, positions in the block that were not abandoned, its k nearest among them."""
+def scan(queries: np.ndarray, block: np.ndarray, k: int, step: int = STEP, epsilon: float = EPSILON, lot: int = LOT) -> list[np.ndarray]:
+    """For each rotated query, positions in the block of its k nearest (and of those as near as the last) that were not
+    abandoned.  The first columns of all pairs of a lot are one matrix product, the others are looked at for the pairs
+    that are left."""
     n, d = block.shape
-    columns = [np.ascontiguousarray(block[:, a : a + step]) for a in range(0, d, step)]
-    seed = min(n, max(2 * k, 64))
-    out = []
-    for q in queries:
-        first = ((block[:seed] - q) ** 2).sum(1)
-        worst = np.partition(first, k - 1)[k - 1] if seed >= k else np.inf
-        alive, part = np.arange(seed, n), np.zeros(n - seed)
-        for j, block_j in enumerate(columns):
-            a = j * step
-            diff = block_j[alive] - q[a : a + step]
-            part = part + np.einsum("ij,ij->i", diff, diff)
-            m = min(a + step, d)
-            if m < d:  # rejected if the scaled distance is above what chance allows
-                ok = part * (d / m) <= worst * (1 + epsilon / np.sqrt(m)) ** 2
-                alive, part = alive[ok], part[ok]
-        every, dist = np.concatenate([np.arange(seed), alive]), np.concatenate([first, part])
-        if len(every) > k:
-            limit = np.partition(dist, k - 1)[k - 1]
-            every = every[dist <= limit * (1 + 1e-9) + 1e-12]
-        out.append(every)
+    out: list[np.ndarray] = []
+    for a in range(0, len(queries), lot):
+        q = queries[a : a + lot]
+        m = len(q)
+        best = np.full((m, k), np.inf)
+        rows, places, dists = [], [], []
+        head = min(step, d)
+        q2 = (q[:, :head] ** 2).sum(1)[:, None]
+        for b in range(0, n, lot):
+            x = block[b : b + lot]
+            worst = best[:, -1]
+            part = np.maximum(q2 + (x[:, :head] ** 2).sum(1) - 2 * q[:, :head] @ x[:, :head].T, 0)
+            bound = lambda seen: worst * (1 + epsilon / np.sqrt(seen)) ** 2
+            i, j = np.nonzero(part * (d / head) <= bound(head)[:, None]) if head < d else np.nonzero(part <= np.inf)
+            part = part[i, j]
+            for c in range(head, d, step):
+                e = min(c + step, d)
+                diff = x[j, c:e] - q[i, c:e]
+                part = part + np.einsum("ij,ij->i", diff, diff)
+                ok = part * (d / e) <= bound(e)[i] if e < d else part <= worst[i] * (1 + 1e-9) + 1e-12
+                i, j, part = i[ok], j[ok], part[ok]
+            rows.append(i)
+            places.append(j + b)
+            dists.append(part)
+            full = np.full((m, len(x)), np.inf)
+            full[i, j] = part
+            best = np.sort(np.partition(np.concatenate([best, full], axis=1), k - 1, axis=1)[:, :k], axis=1)
+        i, j, dist = np.concatenate(rows), np.concatenate(places), np.concatenate(dists)
+        good = dist <= best[i, -1] * (1 + 1e-9) + 1e-12
+        i, j = i[good], j[good]
+        order = np.argsort(i, kind="stable")
+        out += np.split(j[order], np.searchsorted(i[order], np.arange(1, m)))
     return out
 
 
@@ -102,7 +119,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     """(query_id, rank, vec_id, score): of each row with an id divisible by `every`, the k nearest other rows found.
 
     Null ids and vectors that are null, zero or hold null or non-finite components take no part, nor do those
-    of another length than the most frequent one.  Rows alike in id and vector count once.
+    of another length than the most frequent one.  Rows alike in id and vector count once; two vectors of one id are
+    two candidates; of equal scores the smaller vec_id comes first.  Further columns play no part.
     """
     spark = vectors.sparkSession
     rows = _valid(vectors, id_col, vector_col)
@@ -117,7 +135,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     own = written(own.select(F.xxhash64("v").alias("key"), "v", "ids"))
     asks = rows.where(F.pmod("i", F.lit(every)) == 0).select(F.col("i").alias("query_id"), F.xxhash64("v").alias("key"), "v")
     n, top = own.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
-    sample = np.array([r.v for r in own.orderBy(F.xxhash64("key")).select("v").limit(SAMPLE).collect()])
+    least = F.xxhash64("key")
+    bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 5 * (SAMPLE + 100) // (4 * n))  # what tasks send does not grow with their number
+    sample = np.array([r.v for r in own.where(least <= bound).orderBy(least).select("v").limit(SAMPLE).collect()])
     turn = rotation(d + 1)
     lists = int(min(max(1, round(n**0.5)), max(1, len(sample) // 20), 4096))
     centres = kmeans(lift(sample, top) @ turn, lists)
@@ -144,10 +164,19 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["key", "v", "list"])
 
     placed = written(own.mapInArrow(place, "key long, v array<double>, ids array<long>, list int"))
-    blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(blocks, "list").withColumn("block", F.pmod(F.col("key"), F.col("blocks")).cast("int"))
-    sent = own.join(asks.select("key").distinct(), "key", "left_semi").select("key", "v").mapInArrow(send, "key long, v array<double>, list int")
-    sent = sent.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = written(own.join(asks.select("key").distinct(), "key", "left_semi").select("key", "v").mapInArrow(send, "key long, v array<double>, list int"))
+
+    def dealt(rows: DataFrame, others: DataFrame, mine: tuple[str, int], theirs: tuple[str, int]) -> DataFrame:
+        """Each row in one block of its own kind, and in all blocks of the other kind, of its list."""
+        for df, (name, size) in ((rows, mine), (others, theirs)):
+            count = df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}s"))
+            rows = rows.join(F.broadcast(count), "list")  # a row for each of at most 4096 lists
+        rows = rows.withColumn(mine[0], F.pmod(F.xxhash64("key"), F.col(f"{mine[0]}s")).cast("int"))
+        return rows.withColumn(theirs[0], F.explode(F.sequence(F.lit(0), F.col(f"{theirs[0]}s") - 1)))
+
+    row_blocks, ask_blocks = ("block", BLOCK), ("asked", ASKS)
+    left = dealt(sent, placed, ask_blocks, row_blocks)
+    right = dealt(placed, sent, row_blocks, ask_blocks)
 
     def near(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found: dict[str, list] = {"key": [], "ids": [], "score": []}
@@ -163,7 +192,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                     found["score"].append(s)
         return pd.DataFrame({k: pd.Series(v, dtype="object" if k == "ids" else "float64" if k == "score" else "int64") for k, v in found.items()})
 
-    pairs = sent.groupBy("list", "block").cogroup(placed.select("list", "block", "v", "ids").groupBy("list", "block")).applyInPandas(near, "key long, ids array<long>, score double")
+    task = ["list", "block", "asked"]
+    pairs = left.select(*task, "key", "v").groupBy(*task).cogroup(right.select(*task, "v", "ids").groupBy(*task)).applyInPandas(near, "key long, ids array<long>, score double")
     best = Window.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
     pairs = pairs.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
     last = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
