@@ -3,14 +3,17 @@
 Every window of W items has one anchor: the leftmost of its k-grams with the least hash.  Equal windows
 have equal anchors at equal offsets, so it is enough to compare windows whose anchors have equal hashes.
 Neighbouring windows mostly share their anchor; such a run travels as one row (anchor hash, content hash,
-document, first window, number of windows).  Three things then follow without looking at the text:
+document, first window, number of windows).  Which windows repeat is then for the caller's index to find
+(suffix arrays, factors against a reference); this module decides what the index has to see:
 
-* runs of equal content repeat each other, window by window;
-* an anchor hash seen with one content only holds no other repeat;
-* an anchor hash seen with several contents needs a comparison of one run of each content.
+* an anchor hash that only one run has holds no repeat;
+* of an anchor hash with several runs, the index sees the first and the last run of each content;
+* all other runs of a content are copies of those two, and repeat as a whole.
 
 Runs of equal content are collapsed inside each task before anything is shuffled (two rows a content and
-task at most), so that a passage held by a third of all documents stays a few rows for each task.
+task at most), so that a passage held by a third of all documents stays a few rows for each task.  An anchor
+with very many contents (a common phrase) is dealt out by a second anchor, the least of the other k-grams in
+another order, so that no task compares all of them.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import POS_BITS, POS_MASK, byte_hashes, grams, row_key, signed, slabs, sliding_min, word_hashes, words, written
+from plumbline.llm.common import POS_BITS, POS_MASK, byte_hashes, discard, grams, mix, pair, release, row_key, signed, slabs, sliding_min, word_hashes, words, written
 
 RUNS = T.StructType(
     [
@@ -39,8 +42,9 @@ RUNS = T.StructType(
 )
 
 
-#: Contents that a task remembers, and asked runs of one anchor hash beyond which its windows are dealt out one by one.
+#: Contents that a task remembers, and asked runs of one anchor hash beyond which a second anchor deals them out.
 MEMO, HEAVY = 1 << 20, 4096
+_SALT = np.uint64(0xA24BAED4963EE407)
 
 
 class Bytes:
@@ -122,22 +126,30 @@ def _emit(kind: Bytes | Words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def repeats(docs: DataFrame, kind: Bytes | Words, first_stays: bool) -> DataFrame:
-    """(id, th, start, r, h, dup, ask, heavy) of runs that repeat, or that need a comparison.
+    """(id, th, start, r, h, ask, heavy) of the runs that an index has to see (ask), and of those that repeat as a whole.
 
-    With `first_stays` the least (id, th, start) of equal contents is no repeat; else all are.
-    Local collapse relies on the order of keys inside a task, hence the narrow sort before it.
+    With `first_stays` the least (id, th, start) of equal contents is no repeat; else all are.  Runs are counted by
+    anchor first, added up before the shuffle, and joined back, a join that Spark splits where an anchor is hot; windows
+    are only over runs of one content, two for each task.  Local collapse relies on the order of keys inside a task,
+    hence the narrow sort before it.
     """
-    rows = row_key(docs).where("text is not null").sortWithinPartitions("id", "th").mapInArrow(_emit(kind), RUNS)
+    spark = docs.sparkSession
+    rows = written(row_key(docs).where("text is not null").sortWithinPartitions("id", "th").mapInArrow(_emit(kind), RUNS))
+    shared = written(rows.where("not known").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    some = rows.where("not known").join(shared.hint("merge"), "h")
     me = F.struct("id", "th", "start")
-    same, group = Window.partitionBy("h", "c"), Window.partitionBy("h")
-    rows = rows.repartition("h")
-    rows = rows.withColumn("least", F.min(me).over(same)).withColumn("most", F.max(me).over(same))
-    rows = rows.withColumn("several", (F.min("c").over(group) != F.max("c").over(group)) & ~F.col("known"))
-    is_first = me == F.col("least")
-    dup = F.col("known") | ((F.col("least") != F.col("most")) & (~is_first if first_stays else F.lit(True)))
-    out = rows.select("id", "th", "start", "r", "h", dup.alias("dup"), (F.col("several") & is_first).alias("ask"))
-    out = out.withColumn("heavy", F.sum(F.col("ask").cast("int")).over(group) > HEAVY)
-    return written(out.where("dup or ask"))
+    same = Window.partitionBy("h", "c")
+    some = some.withColumn("least", F.min(me).over(same)).withColumn("most", F.max(me).over(same))
+    some = some.withColumn("ends", (me == F.col("least")) | (me == F.col("most")))
+    some = written(some.select("id", "th", "start", "r", "h", "ends", (F.col("least") != F.col("most")).alias("twice")))
+    known = rows.where("known").select("id", "th", "start", "r", "h", F.lit(False).alias("ask"), F.lit(False).alias("heavy"))
+    several = written(some.where("ends").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HEAVY).alias("heavy")))
+    ends = some.where("ends").join(several.hint("merge"), "h").select("id", "th", "start", "r", "h", F.lit(True).alias("ask"), "heavy")
+    copies = some.where("twice and not ends").select("id", "th", "start", "r", "h", F.lit(False).alias("ask"), F.lit(False).alias("heavy"))
+    out = written(ends.unionByName(copies).unionByName(known))
+    discard(rows, shared, some, several)
+    release(spark)
+    return out
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -160,59 +172,47 @@ def covered(length: int, spans: list[dict] | None) -> tuple[np.ndarray, int]:
     return gone, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
 
 
+def _second(kind: Bytes | Words, g: np.ndarray, at: int, r: int, h: int) -> Iterator[tuple[int, int, int]]:
+    """(hash of both anchors, first window, number of windows) of the parts of a run that share a second anchor: the least,
+    in another order, of the window's k-grams that are not the first anchor."""
+    mine = g[at : at + r + kind.window - kind.gram]
+    key = ((mix(mine ^ _SALT) >> POS_BITS) << POS_BITS) | np.arange(len(mine), dtype=np.uint64)
+    key[signed(mine) == h] |= np.uint64((1 << 64) - 1) << POS_BITS
+    least = (sliding_min(key, kind.window - kind.gram + 1) & POS_MASK).astype(np.int64)
+    begin = np.flatnonzero(np.diff(least, prepend=-1))
+    both = signed(pair(np.full(len(begin), h, np.int64).view(np.uint64), mine[least[begin]]))
+    yield from zip(both.tolist(), begin.tolist(), np.diff(np.append(begin, r)).tolist())
+
+
 def asked(docs: DataFrame, hits: DataFrame, kind: Bytes | Words) -> DataFrame:
-    """(h, id, th, start, heavy, content) of the runs that need a comparison.
+    """(h, id, th, start, content) of the runs that the index has to see; a run of a heavy anchor comes in parts.
 
     A row repeated in several partitions gives its runs once in each of them; whoever compares them sorts and skips."""
     wants = hits.where("ask").groupBy("id", "th").agg(F.collect_set(F.struct("start", "r", "h", "heavy")).alias("wants"))
     wants = wants.select(F.col("id").alias("sid"), F.col("th").alias("sth"), "wants")
     keyed = row_key(docs)
-    both = keyed.join(wants, keyed.id.eqNullSafe(wants.sid) & (keyed.th == wants.sth)).select("id", "th", "text", "wants")
-    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("heavy", pa.bool_()), ("content", pa.binary())])
+    both = keyed.join(wants.hint("merge"), keyed.id.eqNullSafe(wants.sid) & (keyed.th == wants.sth)).select("id", "th", "text", "wants")
+    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("content", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             ids, ths, wants = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for a, b, raw, offsets in slabs(batch.column(0), batch.column(2)):
-                _, first, content = kind.items(raw, offsets)
-                out: tuple[list, ...] = ([], [], [], [], [], [])
+                items, first, content = kind.items(raw, offsets)
+                g = grams(items, kind.gram) if any(w["heavy"] for some in wants[a:b] for w in some) else None
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for i in range(a, b):
                     if (ids[i], ths[i]) == last:
                         continue
                     last = (ids[i], ths[i])
                     base = int(first[i - a])
                     for w in wants[i]:
-                        row = (w["h"], ids[i], ths[i], w["start"], w["heavy"], content(base + w["start"], base + w["start"] + w["r"] - 1))
-                        for k, v in zip(out, row):
-                            k.append(v)
+                        parts = _second(kind, g, base + w["start"], w["r"], w["h"]) if w["heavy"] else ((w["h"], 0, w["r"]),)
+                        for h, x, r in parts:
+                            at = w["start"] + x
+                            for k, v in zip(out, (h, ids[i], ths[i], at, content(base + at, base + at + r - 1))):
+                                k.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
-    return both.mapInArrow(work, "h long, id long, th long, start long, heavy boolean, content binary")
-
-
-def heavy_spans(runs: DataFrame, kind: Bytes | Words, first_stays: bool) -> DataFrame:
-    """(id, th, start, stop) of repeated windows among runs of an anchor hash that has very many contents: each window
-    is a row, equal ones are reduced before the shuffle, and the join back is one that Spark splits when skewed."""
-    step = 8 if isinstance(kind, Words) else 1
-    width = 8 if isinstance(kind, Words) else kind.window
-    schema = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                text = row["content"]
-                n = (len(text) - width) // step + 1
-                two = [xxhash.xxh3_128_intdigest(text[i * step : i * step + width]) for i in range(n)]
-                w = pa.array([(x >> 64) - (1 << 63) for x in two], pa.int64())
-                v = pa.array([(x & ((1 << 64) - 1)) - (1 << 63) for x in two], pa.int64())
-                at = pa.array(range(row["start"], row["start"] + n), pa.int64())
-                yield pa.RecordBatch.from_arrays([w, v, pa.array([row["id"]] * n, pa.int64()), pa.array([row["th"]] * n, pa.int64()), at], schema=schema)
-
-    rows = runs.mapInArrow(work, "w long, v long, id long, th long, start long")
-    me = F.struct("id", "th", "start")
-    ends = rows.groupBy("w", "v").agg(F.min(me).alias("least"), F.max(me).alias("most")).where("least != most")
-    rows = rows.join(ends, ["w", "v"])
-    if first_stays:
-        rows = rows.where(me != F.col("least"))
-    return rows.select("id", "th", "start", (F.col("start") + kind.window).alias("stop"))
+    return both.mapInArrow(work, "h long, id long, th long, start long, content binary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.anchors import Words, asked, covered, heavy_spans, repeats, with_spans
+from plumbline.llm.anchors import Words, asked, covered, repeats, with_spans
 from plumbline.llm.common import slabs, words
 
 WINDOW, GRAM = 20, 4
@@ -78,13 +78,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, th, start, stop), in words, of windows whose words also start earlier (smaller id, or earlier in the text)."""
     kind = Words(window, min(GRAM, window))
     hits = repeats(docs, kind, first_stays=True)
-    sure = hits.where("dup").select("id", "th", "start", (F.col("start") + F.col("r") - 1 + window).alias("stop"))
+    copies = hits.where("not ask").select("id", "th", "start", (F.col("start") + F.col("r") - 1 + window).alias("stop"))
     runs = asked(docs, hits, kind)
-    light = runs.where("not heavy").select("h", "id", "th", "start", "content")
-    parsed = light.repartition("h").sortWithinPartitions("h", "id", "th", "start").mapInArrow(_factor(window), "id long, th long, start long, stop long")
-    if hits.where("ask and heavy").limit(1).count():
-        parsed = parsed.unionByName(heavy_spans(runs.where("heavy"), kind, first_stays=True))
-    return sure.unionByName(parsed)
+    parsed = runs.repartition("h").sortWithinPartitions("h", "id", "th", "start").mapInArrow(_factor(window), "id long, th long, start long, stop long")
+    return copies.unionByName(parsed)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

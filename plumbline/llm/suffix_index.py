@@ -4,8 +4,9 @@
 bytes), merge-scans it against the suffix arrays of the existing levels for matches of `window` bytes, and
 stores it; two levels of like size merge into one of twice the size, so that b batches lie in log b levels.
 
-Over a corpus the family works on runs of windows with equal anchors (see `anchors`): only runs whose anchor
-also occurs with other content are indexed, and a task takes them by anchor, so each family stays small.
+Over a corpus the family works on runs of windows with equal anchors (see `anchors`): the first and the last run of
+each content, wherever an anchor occurs twice.  A task takes whole anchors, in order; a batch holds many of them, and
+a family ends with the last batch of its last anchor, for nothing that comes later can match it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.anchors import Bytes, asked, covered, heavy_spans, repeats, with_spans
+from plumbline.llm.anchors import Bytes, asked, covered, repeats, with_spans
 from plumbline.llm.common import slabs
 
 WINDOW, GRAM, BATCH_BYTES = 400, 32, 1 << 20
@@ -175,20 +176,18 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BA
     """(id, th, start, stop), in bytes, of strings of `window` bytes that also start anywhere else."""
     kind = Bytes(window, min(GRAM, window))
     hits = repeats(docs, kind, first_stays=False)
-    sure = hits.where("dup").select("id", "th", "start", (F.col("start") + F.col("r") - 1 + window).alias("stop"))
+    copies = hits.where("not ask").select("id", "th", "start", (F.col("start") + F.col("r") - 1 + window).alias("stop"))
     runs = asked(docs, hits, kind)
-    light = runs.where("not heavy").select("h", "id", "th", "start", "content")
-    found = light.repartition("h").sortWithinPartitions("h", "id", "th", "start").mapInArrow(_search(window, batch_bytes), "id long, th long, start long, stop long")
-    if hits.where("ask and heavy").limit(1).count():
-        found = found.unionByName(heavy_spans(runs.where("heavy"), kind, first_stays=False))
-    return sure.unionByName(found)
+    found = runs.repartition("h").sortWithinPartitions("h", "id", "th", "start").mapInArrow(_search(window, batch_bytes), "id long, th long, start long, stop long")
+    return copies.unionByName(found)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): bytes of a repeated string go, the first occurrence included.
 
     Null and empty texts have no bytes.  Rows alike in doc_id and text count as one document and get equal
-    results.  Further columns of docs play no part.
+    results.  Copies of a text under other ids are all removed; a very long text is one row of one task.  Further columns
+    of docs play no part, whatever their names.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
