@@ -58,16 +58,18 @@ class Memo:
     def __init__(self, size: int) -> None:
         self.half, self.young, self.old = size // 2, {}, {}
 
-    def get(self, key: bytes) -> bytes | None:
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
+    def get(self, keys: list[bytes]) -> list[bytes | None]:
+        """What is known of distinct keys."""
+        out = list(map(self.young.get, keys))
+        for i in [i for i, x in enumerate(out) if x is None] if self.old else ():
+            if (value := self.old.get(keys[i])) is not None:
+                out[i] = self.young[keys[i]] = value
+        return out
 
-    def put(self, key: bytes, value: bytes) -> None:
+    def put(self, keys: list[bytes], values: list[bytes]) -> None:
+        self.young.update((k, v) for k, v in zip(keys, values) if len(k) < LONG)
         if len(self.young) >= self.half:
             self.old, self.young = self.young, {}
-        self.young[key] = value
 
 
 class Codec:
@@ -96,62 +98,70 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given_merges; CREATE TABLE vocabulary AS SELECT * FROM given_words")
         self.db.unregister("given_merges")
         self.db.unregister("given_words")
-        self.words, self.pieces = Memo(MEMO), Memo(MEMO)
-
-    def contract(self, lot: list[np.ndarray], limit: int) -> list[np.ndarray]:
-        """Each list of tokens after all contractions of rank `limit` or less."""
-        if not lot:
-            return []
-        ends = np.cumsum([0, *map(len, lot)])
-        toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lot)))
-        self.db.register("seed", pa.table({"w": pa.array(np.arange(len(lot), dtype=np.int32)), "toks": toks}))
+        self.words, self.pieces = Memo(MEMO), Memo(2 * MEMO)
+
+    def contract(self, flat: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of tokens (flat, with their ends) after all contractions of rank `limit` or less."""
+        toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        self.db.register("seed", pa.table({"w": pa.array(np.arange(len(ends) - 1, dtype=np.int32)), "toks": toks}))
         got = self.db.sql(ENCODE, params=[limit]).to_arrow_table()["toks"].combine_chunks()
         self.db.unregister("seed")
-        values, at = got.flatten().to_numpy(), got.offsets.to_numpy() - got.offsets[0].as_py()
-        return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The tokens of each word (not empty)."""
-        out: list[np.ndarray] = []
-        a = 0
-        while a < len(words):
-            if len(words[a]) > WHOLE:
-                out.append(LongWord(self, words[a]).tokens())
-                a += 1
-                continue
-            b = a
-            while b < len(words) and b - a < BATCH and len(words[b]) <= WHOLE:
-                b += 1
-            raw = self.byte[np.frombuffer(b"".join(words[a:b]), np.uint8)]
-            out += self.contract(np.split(raw, np.cumsum(list(map(len, words[a : b - 1])))) if b - a > 1 else [raw], self.most)
-            a = b
+        return got.flatten().to_numpy(), got.offsets.to_numpy() - got.offsets[0].as_py()
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word (not empty), as bytes of 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        for many, size, long in ((BATCH, LOT, False), (LOT, LOT // 4, True)):
+            which = [i for i, w in enumerate(words) if (len(w) > WHOLE) == long]
+            a = 0
+            while a < len(which):
+                b, held = a, 0
+                while b < len(which) and b - a < many and (b == a or held + len(words[which[b]]) <= size):
+                    held += len(words[which[b]])
+                    b += 1
+                lot = [words[i] for i in which[a:b]]
+                if long:
+                    flat, ends = LongWords(self, lot).tokens()
+                else:
+                    flat, ends = self.contract(self.byte[np.frombuffer(b"".join(lot), np.uint8)], np.cumsum([0, *map(len, lot)]), self.most)
+                data, ends = flat.tobytes(), (4 * ends).tolist()
+                for i, x, y in zip(which[a:b], ends, ends[1:]):
+                    out[i] = data[x:y]
+                a = b
         return out
 
     def split(self, piece: bytes) -> list[bytes]:
-        """The matches of the pattern; a letter run with at most one stop behind it needs no search."""
-        if self.public:
-            core = piece[1:] if piece[:1] == b" " else piece
+        """The matches of the pattern; a letter run with a stop behind it needs no search."""
+        if self.public and piece[-1:] in b".,;!?":
+            core = piece[1:-1] if piece[:1] == b" " else piece[:-1]
             if core.isalpha():  # ASCII letters
-                return [piece]
-            if core[-1:] in b".,;!?" and core[:-1].isalpha():
-                return [piece[:-1], core[-1:]]
+                return [piece[:-1], piece[-1:]]
         return [m.encode() for m in self.pattern.findall(piece.decode())]
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """The tokens of each piece, as bytes of 32-bit numbers; new words are asked together."""
-        out = [self.pieces.get(p) for p in pieces]
-        fresh = [i for i, x in enumerate(out) if x is None]
-        parts = [self.split(pieces[i]) for i in fresh]
-        found = {w: self.words.get(w) for ws in parts for w in ws}
+        """The tokens of each of distinct pieces, as bytes of 32-bit numbers; new words are asked together."""
+        out = self.pieces.get(pieces)
+        single, several, parts = [], [], []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            p = pieces[i]
+            if self.public and (p.isalpha() or (p[:1] == b" " and p[1:].isalpha())):
+                single.append(i)
+            else:
+                several.append(i)
+                parts.append(self.split(p))
+        words = list({w for ws in parts for w in ws})
+        found = dict(zip(words, self.words.get(words)))
         new = sorted(w for w, x in found.items() if x is None)
-        for w, toks in zip(new, self.encode_words(new)):
-            found[w] = toks.tobytes()
-            if len(w) < LONG:
-                self.words.put(w, found[w])
-        for i, ws in zip(fresh, parts):
+        alone = [pieces[i] for i in single]
+        coded = self.encode_words(alone + new)
+        for i, x in zip(single, coded):
+            out[i] = x
+        found.update(zip(new, coded[len(single) :]))
+        self.words.put(new, coded[len(single) :])
+        self.pieces.put(alone, coded[: len(single)])
+        for i, ws in zip(several, parts):
             out[i] = b"".join([found[w] for w in ws])
-            if len(pieces[i]) < LONG:
-                self.pieces.put(pieces[i], out[i])
+        self.pieces.put([pieces[i] for i in several], [out[i] for i in several])
         return out
 
     def ids(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,11 +192,12 @@ class Codec:
         return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), self.name.take(pa.array(ids))), pa.scalar(",", pa.large_string())).to_pylist()
 
 
-class LongWord:
-    """A word that is cut up before it is coded: where no entry of the vocabulary, of rank `limit` or less, occurs across
+class LongWords:
+    """Words that are cut up before they are coded: where no entry of the vocabulary, of rank `limit` or less, occurs across
     the cut with both ends at present token ends, no contraction up to that limit can cross."""
 
-    def __init__(self, codec: Codec, word: bytes) -> None:
+    def __init__(self, codec: Codec, words: list[bytes]) -> None:
+        word, self.bounds = b"".join(words), np.cumsum([0, *map(len, words)])
         self.codec, self.toks = codec, codec.byte[np.frombuffer(word, np.uint8)]
         n = len(word)
         start, stop, by = [], [], []
@@ -200,7 +211,9 @@ class LongWord:
             start.append(hit)
             stop.append(hit + size)
             by.append(some[1][at[hit]])
-        self.start, self.stop, self.by = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (start, stop, by))
+        start, stop, by = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (start, stop, by))
+        inside = np.searchsorted(self.bounds, start, "right") == np.searchsorted(self.bounds, stop, "left")
+        self.start, self.stop, self.by = start[inside], stop[inside], by[inside]
 
     def _parts(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Cuts (token numbers, with both ends), and the occurrences that tie tokens together, up to the limit."""
@@ -232,11 +245,12 @@ class LongWord:
                 cuts = self._alternate(cuts, ends, tie, int(steps[0]))
         size = np.diff(cuts)
         some = np.flatnonzero(size > 1)
-        lots = [self.toks[a:b] for a, b in zip(cuts[some].tolist(), cuts[some + 1].tolist())]
         new = np.split(self.toks, cuts[1:-1])
-        for a in range(0, len(lots), BATCH):
-            for k, toks in zip(some[a : a + BATCH].tolist(), self.codec.contract(lots[a : a + BATCH], limit)):
-                new[k] = toks
+        for a in range(0, len(some), BATCH):
+            lot = some[a : a + BATCH].tolist()
+            flat, ends = self.codec.contract(np.concatenate([new[k] for k in lot]), np.cumsum([0, *(len(new[k]) for k in lot)]), limit)
+            for k, x, y in zip(lot, ends.tolist(), ends[1:].tolist()):
+                new[k] = flat[x:y]
         self.toks = np.concatenate(new)
 
     def _alternate(self, cuts: np.ndarray, ends: np.ndarray, tie: np.ndarray, step: int) -> np.ndarray:
@@ -257,9 +271,10 @@ class LongWord:
                 more += [first, first + 2]
         return np.unique(np.concatenate([cuts, *more])) if more else cuts
 
-    def tokens(self) -> np.ndarray:
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words, and their ends by word."""
         self.contract(self.codec.most)
-        return self.toks
+        return self.toks, np.searchsorted(np.concatenate([[0], np.cumsum(self.codec.size[self.toks])]), self.bounds)
 
 
 def _window_keys(word: bytes, size: int) -> np.ndarray:
@@ -294,7 +309,11 @@ def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = at[(at > 2) & (at < len(raw) - 1)]
     lead = raw[at - 3] | np.where(raw[at - 1] < 0x80, 0xFF, 0)
     good = _INNER[raw[at - 1]] & _FIRST[raw[at + 1]] & ((raw[at - 1] < 0x80) | ((raw[at - 2] != 0xC2) & ~np.isin(lead, (0xE1, 0xE2, 0xE3))))
-    return np.union1d(np.setdiff1d(at[good], offsets[1:] - 1), offsets)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[at[good]] = True
+    cut[np.maximum(offsets[1:] - 1, 0)] = False
+    cut[offsets] = True
+    return np.flatnonzero(cut)
 
 
 @lru_cache(maxsize=2)
