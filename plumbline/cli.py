@@ -38,7 +38,11 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--outer", type=int)
         c.add_argument("--inner", type=int)
         c.add_argument("--seed", type=int)
+        c.add_argument("--search", action="store_true", default=None, help="choose parameters from the whole grid, inside each fold")
         c.add_argument("--search-budget", type=int)
+        c.add_argument("--calibrate", action="store_true", default=None)
+        c.add_argument("--calibration-folds", type=int)
+        c.add_argument("--level", type=float)
         c.add_argument("--keep-duplicates", action="store_true")
         c.add_argument("--dry-run", action="store_true", help="check settings and columns only")
         if name == "compare-models":
@@ -48,11 +52,14 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--bootstrap", type=int)
         if name == "ablation":
             c.add_argument("--feature-groups", help="JSON or YAML: group to columns")
+            c.add_argument("--steps", action="store_true", help="also without scaling, calibration and threshold")
     for name, about in (("predict", "score rows by a saved model"), ("evaluate", "metrics of a saved model on labelled rows")):
         c = command(name, about)
         c.add_argument("--model", required=True)
         c.add_argument("--out", required=True)
         c.add_argument("--default-threshold", action="store_true")
+        if name == "predict":
+            c.add_argument("--proba", action="store_true", help="probabilities and threshold, not the prediction alone")
     command("validate", "check a table and its target")
     command("list-models", "names of models and sizes of their grids", data=False)
     command("smoke-test", "a small run on rows made here", data=False)
@@ -117,7 +124,7 @@ def run(a: argparse.Namespace, spark=None) -> int:
     if a.command in ("predict", "evaluate"):
         df, t = _read(spark, a.data, a, False), 0.5 if a.default_threshold else None
         if a.command == "predict":
-            experiments.predict(df, a.model, a.id_column, t).write.mode("overwrite").csv(a.out, header=True)
+            experiments.predict(df, a.model, a.id_column, t, a.proba).write.mode("overwrite").csv(a.out, header=True)
         else:
             _save("Evaluation", experiments.evaluate(df, a.model, t), a.out)
         return 0
@@ -150,7 +157,7 @@ def run(a: argparse.Namespace, spark=None) -> int:
     else:
         from plumbline.sources.files import groups
 
-        _save("Ablation", experiments.ablation(df, s, s.models[0], groups(a.feature_groups) if a.feature_groups else None), a.out)
+        _save("Ablation", experiments.ablation(df, s, s.models[0], groups(a.feature_groups) if a.feature_groups else None, a.steps), a.out)
     return 0
 
 

@@ -160,6 +160,22 @@ def all_intervals(pred: DataFrame, keys: list[str], b: int = 1000, level: float
     return count_intervals(pred, keys, b, level, method, blocks, seed).unionByName(score_intervals(pred, keys, b, level, method, blocks, seed))
 
 
+def forest(bounds: DataFrame, metric: str = "mcc") -> DataFrame:
+    """entity, point, lower, upper of one metric, valid ones only, the least first."""
+    return bounds.where(F.col("valid") & (F.col("metric") == metric)).select("entity", "point", "lower", "upper").orderBy("point", "entity")
+
+
+def format_ci(point: F.Column, lower: F.Column, upper: F.Column, digits: int = 3) -> F.Column:
+    """0.850 [0.823, 0.877]; without bounds the value alone."""
+    one = lambda c: F.format_string(f"%.{digits}f", c.cast("double"))
+    return F.when(lower.isNull() | upper.isNull(), one(point)).otherwise(F.concat(one(point), F.lit(" ["), one(lower), F.lit(", "), one(upper), F.lit("]")))
+
+
+def format_p(p: F.Column, least: float = 0.001) -> F.Column:
+    """Three decimals; below `least`, that it is below; nothing for null."""
+    return F.when(p.isNull(), "").when(p < least, f"<{least}").otherwise(F.format_string("%.3f", p.cast("double")))
+
+
 def hashed_replicates(pred: DataFrame, b: int, seed: str = "boot") -> DataFrame:
     """entity, replicate and metrics of b resamples of each entity's rows; draw j of replicate r takes the row of number hash % n."""
     rows = hashed_row_number(pred, ["entity"], F.md5(F.col("sample_id").cast("string")), ["sample_id"], "rn")

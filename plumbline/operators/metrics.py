@@ -100,9 +100,41 @@ def at_threshold(pred: DataFrame, keys: list[str], threshold: Column) -> DataFra
 
 
 def method_for(n: int, cut: int = 1000) -> str:
+    """How a threshold is chosen: from all out-of-fold scores of few rows, else as the mean of those of the folds."""
     return "oof" if n < cut else "cv"
 
 
+def cv_threshold(oof: DataFrame) -> DataFrame:
+    """entity, threshold: the mean of the folds' Youden thresholds."""
+    return youden(oof, ["entity", "fold"]).groupBy("entity").agg(F.avg("threshold").alias("threshold"))
+
+
+def threshold_of(oof: DataFrame, method: str) -> float:
+    """The threshold of one entity's out-of-fold scores; 0.5 where no threshold beats chance."""
+    best = youden(oof, ["entity"]).first()
+    if best is None or best.j <= 0:
+        return 0.5
+    return float(best.threshold if method == "oof" else cv_threshold(oof).first().threshold)
+
+
+def default_against_own(values: DataFrame) -> DataFrame:
+    """metric, at_default, at_own, difference from (entity: default or own, metric, value)."""
+    pick = lambda e: F.max(F.when(F.col("entity") == e, F.col("value")))
+    return values.groupBy("metric").agg(pick("default").alias("at_default"), pick("own").alias("at_own")).withColumn("difference", F.col("at_own") - F.col("at_default"))
+
+
+def class_report(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, label (0, 1, macro, weighted), precision, recall, f1, support from confusion counts."""
+    tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
+    n0, n1 = tn + fp, tp + fn
+    p = [ratio(tn, tn + fn), ratio(tp, tp + fp)]
+    r = [ratio(tn, n0), ratio(tp, n1)]
+    f = [ratio(2 * tn, 2 * tn + fn + fp), ratio(2 * tp, 2 * tp + fp + fn)]
+    row = lambda label, x, n: F.struct(F.lit(label).alias("label"), x(p).alias("precision"), x(r).alias("recall"), x(f).alias("f1"), n.cast("long").alias("support"))
+    rows = F.array(row("0", lambda v: v[0], n0), row("1", lambda v: v[1], n1), row("macro", lambda v: (v[0] + v[1]) / 2, n0 + n1), row("weighted", lambda v: ratio(n0 * v[0] + n1 * v[1], n0 + n1), n0 + n1))
+    return counts.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
+
+
 def summary(fold_metrics: DataFrame) -> DataFrame:
     """entity, metric, mean, sample std, min, max, median over folds, from (entity, fold, metric, value)."""
     v = F.col("value")

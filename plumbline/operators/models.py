@@ -1,35 +1,60 @@
-"""Training: classifiers of the ML library, cross-validated search, calibration, out-of-fold predictions, ablation, Shapley values.
+"""Training: classifiers of the ML library, nested search, calibration, out-of-fold predictions, ablation, Shapley values.
 
 Gradient boosting stands under its own names (`gbt`, `gbt_balanced`) for the two boosted models that need
-libraries outside Spark; the perceptron has sigmoid layers only.
+libraries outside Spark; the perceptron has sigmoid layers only.  Whatever is chosen or fitted for the rows of a
+fold (parameters, fill values, scales, calibration, threshold) sees the other folds only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+import random
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import folds as fold_ops
-from plumbline.operators.metrics import auroc, youden
+from plumbline.operators.metrics import all_metrics, auroc, long, youden
+from plumbline.operators.neighbours import Neighbours, nearest
 
 Factory = Callable[..., object]
 _IO = {"featuresCol": "features", "labelCol": "label"}
 REGISTRY: dict[str, tuple[Factory, list[dict]]] = {
     "logistic": (lambda **p: LogisticRegression(**_IO, weightCol="weight", **p), [{"regParam": r, "elasticNetParam": e} for r in (0.1, 0.01, 0.001, 0.0001) for e in (0.0, 1.0)]),
-    "forest": (lambda **p: RandomForestClassifier(**_IO, weightCol="weight", seed=42, **p), [{"numTrees": t, "maxDepth": d} for t in (50, 100, 200) for d in (3, 5)]),
-    "gbt": (lambda **p: GBTClassifier(**_IO, seed=42, **p), [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (50, 100, 200) for d in (3, 5) for s in (0.01, 0.1)]),
-    "gbt_balanced": (lambda **p: GBTClassifier(**_IO, weightCol="weight", seed=42, **p), [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (100, 200, 500) for d in (4, 6, 8) for s in (0.01, 0.05, 0.1)]),
-    "mlp": (lambda layers=(50,), n_features=1, **p: MultilayerPerceptronClassifier(**_IO, seed=42, layers=[n_features, *layers, 2], **p), [{"layers": x} for x in ((50,), (100,), (50, 50))]),
+    "forest": (lambda **p: RandomForestClassifier(**_IO, weightCol="weight", **{"seed": 42} | p), [{"numTrees": t, "maxDepth": d} for t in (50, 100, 200) for d in (3, 5)]),
+    "gbt": (lambda **p: GBTClassifier(**_IO, **{"seed": 42} | p), [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (50, 100, 200) for d in (3, 5) for s in (0.01, 0.1)]),
+    "gbt_balanced": (lambda **p: GBTClassifier(**_IO, weightCol="weight", **{"seed": 42} | p), [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (100, 200, 500) for d in (4, 6, 8) for s in (0.01, 0.05, 0.1)]),
+    "mlp": (lambda layers=(50,), n_features=1, **p: MultilayerPerceptronClassifier(**_IO, layers=[n_features, *layers, 2], **{"seed": 42} | p), [{"layers": x} for x in ((50,), (100,), (50, 50))]),
+    "knn": (lambda **p: Neighbours(**p), [{"k": k, "weights": w} for k in (3, 5, 7, 9) for w in ("uniform", "distance")]),
 }
+SEEDED = ("forest", "gbt", "gbt_balanced", "mlp")
+METRICS = ("balanced_accuracy", "f1_1", "mcc", "auroc")
+
+
+@dataclass
+class Plan:
+    """How a model is made: its name and parameters, a grid to choose from inside the training rows, and the steps around it."""
+
+    name: str
+    params: dict = field(default_factory=dict)
+    grid: list[dict] | None = None
+    inner: int = 3
+    budget: int | None = None
+    missing: str | None = None
+    scale: bool = True
+    calibrate: int = 0
+    tune: bool = True
+    seed: int = 42
 
 
 def register(name: str, factory: Factory, grid: list[dict]) -> None:
@@ -42,6 +67,12 @@ def estimator(name: str, n_features: int, **params):
     return REGISTRY[name][0](**({"n_features": n_features} if name == "mlp" else {}), **params)
 
 
+def fold_seeds(seed: int, k: int) -> list[int]:
+    """Independent seeds of k folds."""
+    draw = random.Random(seed)
+    return [draw.randrange(1 << 31) for _ in range(k)]
+
+
 def weighted(df: DataFrame, target: str) -> DataFrame:
     """df with `label` and balancing `weight`."""
     n = df.groupBy(F.col(target).alias("_y")).agg(F.count("*").alias("_n"))
@@ -50,42 +81,66 @@ def weighted(df: DataFrame, target: str) -> DataFrame:
     return df.join(F.broadcast(w), df[target] == w["_y"]).drop("_y").withColumn("label", F.col(target).cast("double"))
 
 
-def assembled(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """df with `features`, `label` and balancing `weight`."""
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(weighted(df, target))
+def _stages(features: list[str], name: str, missing: str | None, scale: bool, params: dict, tag: str = "") -> list:
+    """Fill (if `missing`), assemble, scale, classify; `tag` keeps the columns of several such rows of stages apart."""
+    used, stages, raw = features, [], f"_raw{tag}" if scale else f"features{tag}"
+    if missing:
+        used = [f"_full{tag}_{f}" for f in features]
+        stages.append(Imputer(strategy=missing, inputCols=features, outputCols=used))
+    stages.append(VectorAssembler(inputCols=used, outputCol=raw))
+    if scale:
+        stages.append(StandardScaler(inputCol=raw, outputCol=f"features{tag}", withMean=True, withStd=True))
+    last = estimator(name, len(features), **params)
+    if tag:
+        last.setFeaturesCol(f"features{tag}").setProbabilityCol(f"probability{tag}").setRawPredictionCol(f"rawPrediction{tag}").setPredictionCol(f"prediction{tag}")
+    return [*stages, last]
 
 
-def fit(df: DataFrame, features: list[str], target: str, name: str, missing: str | None = None, **params):
-    """The fitted pipeline; with `missing` (median, mean, mode), its first stages fill nulls by what these rows hold."""
-    last = estimator(name, len(features), **params)
-    if missing is None:
-        return Pipeline(stages=[last]).fit(assembled(df, features, target))
-    full = [f"_full_{f}" for f in features]
-    fill = Imputer(strategy=missing, inputCols=features, outputCols=full)
-    return Pipeline(stages=[fill, VectorAssembler(inputCols=full, outputCol="features"), last]).fit(weighted(df, target))
+def fit(df: DataFrame, features: list[str], target: str, name: str, missing: str | None = None, scale: bool = True, **params) -> PipelineModel:
+    """The fitted pipeline; with `missing` (median, mean, mode) nulls are filled, with `scale` features are standardised,
+    both by what these rows hold."""
+    return Pipeline(stages=_stages(features, name, missing, scale, params)).fit(weighted(df, target))
 
 
-def score(model, df: DataFrame, features: list[str]) -> DataFrame:
+def fit_calibrated(df: DataFrame, features: list[str], target: str, name: str, k: int = 3, missing: str | None = None, scale: bool = True, seed: int = 42, **params) -> PipelineModel:
+    """One pipeline of k models, each with an isotonic curve fitted to the fold it has not seen; y_prob is their mean."""
+    if name == "knn":
+        raise ValueError("neighbours give shares, which are not calibrated")
+    rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed, name="_cal")
+    stages = []
+    for i in range(k):
+        model = Pipeline(stages=_stages(features, name, missing, scale, params, f"_{i}")).fit(weighted(rows.where(F.col("_cal") != i), target))
+        held = model.transform(rows.where(F.col("_cal") == i)).withColumn("label", F.col(target).cast("double"))
+        iso = IsotonicRegression(featuresCol=f"probability_{i}", featureIndex=1, labelCol="label", predictionCol=f"_p_{i}").fit(held)
+        stages += [*model.stages, iso]
+    mean = " + ".join(f"_p_{i}" for i in range(k))
+    stages.append(SQLTransformer(statement=f"SELECT *, ({mean}) / {float(k)}D AS y_prob FROM __THIS__"))
+    return PipelineModel(stages=stages)
+
+
+def score(model: PipelineModel, df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """df with y_prob; a narrow transformation."""
-    if len(model.stages) > 1:
-        rows = model.transform(df).drop(*[f"_full_{f}" for f in features])
-    else:
-        rows = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(df))
-    return rows.withColumn("y_prob", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    rows = model.transform(df.drop("y_prob"))
+    p = F.col("y_prob") if "y_prob" in rows.columns else vector_to_array("probability")[1]
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != "y_prob"], p.alias("y_prob"))
 
 
-def search(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict] | None = None, k: int = 3, budget: int | None = None) -> list[tuple[dict, float]]:
+def search(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict] | None = None, k: int = 3, budget: int | None = None, seed: int = 42) -> list[tuple[dict, float]]:
     """(parameters, mean AUROC over inner folds), best first; with a budget, a hash-ordered part of the grid."""
+    return [(p, mean) for p, mean, _ in search_history(df, features, target, name, grid, k, budget, seed)]
+
+
+def search_history(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict] | None = None, k: int = 3, budget: int | None = None, seed: int = 42) -> list[tuple[dict, float, list[float]]]:
+    """(parameters, mean AUROC, AUROC of each inner fold), best first."""
     grid = REGISTRY[name][1] if grid is None else grid
     if budget is not None:
-        import hashlib
-
         grid = sorted(grid, key=lambda p: hashlib.md5(repr(sorted(p.items())).encode()).hexdigest())[:budget]
-    rows = fold_ops.stratified(df, k, target, "sample_id", name="_inner").persist()
+    rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed, name="_inner").persist()
     measure = BinaryClassificationEvaluator(rawPredictionCol="y_prob", labelCol=target, numBins=0)
 
-    def one(p: dict) -> tuple[dict, float]:
-        return p, sum(measure.evaluate(score(fit(rows.where(F.col("_inner") != i), features, target, name, **p), rows.where(F.col("_inner") == i), features)) for i in range(k)) / k
+    def one(p: dict) -> tuple[dict, float, list[float]]:
+        each = [measure.evaluate(score(fit(rows.where(F.col("_inner") != i), features, target, name, **p), rows.where(F.col("_inner") == i), features)) for i in range(k)]
+        return p, sum(each) / k, each
 
     with ThreadPoolExecutor(4) as pool:
         out = sorted(pool.map(one, grid), key=lambda x: -x[1])
@@ -93,96 +148,174 @@ def search(df: DataFrame, features: list[str], target: str, name: str, grid: lis
     return out
 
 
+def history_table(spark, history: list[tuple[dict, float, list[float]]]) -> DataFrame:
+    """rank, parameters, fold, value: the search as rows, for the summaries of `transfer.search_summary`."""
+    rows = [(n + 1, json.dumps(p, sort_keys=True), i, float(v)) for n, (p, _, each) in enumerate(history) for i, v in enumerate(each)]
+    return spark.createDataFrame(rows, "rank int, parameters string, fold int, value double")
+
+
+def chosen(train: DataFrame, features: list[str], target: str, plan: Plan) -> dict:
+    """The plan's parameters, or the best of its grid by inner folds of these rows."""
+    fixed = {"missing": plan.missing, "scale": plan.scale}
+    if plan.grid is None:
+        return fixed | plan.params
+    return fixed | search(train, features, target, plan.name, [plan.params | fixed | p for p in plan.grid], plan.inner, plan.budget, plan.seed)[0][0]
+
+
+def trained(train: DataFrame, features: list[str], target: str, plan: Plan, params: dict) -> PipelineModel:
+    if plan.calibrate and plan.name != "knn":
+        return fit_calibrated(train, features, target, plan.name, plan.calibrate, seed=plan.seed, **params)
+    return fit(train, features, target, plan.name, **params)
+
+
+def tuned(train: DataFrame, features: list[str], target: str, plan: Plan, params: dict) -> float:
+    """The Youden threshold of inner out-of-fold scores of these rows; 0.5 if it has none."""
+    if not plan.tune:
+        return 0.5
+    inner = fold_ops.stratified(train, plan.inner, target, "sample_id", seed=plan.seed, name="_inner")
+    held = None
+    for j in range(plan.inner):
+        part = score(trained(inner.where(F.col("_inner") != j), features, target, plan, params), inner.where(F.col("_inner") == j), features)
+        held = part if held is None else held.unionByName(part)
+    t = youden(held.select(F.lit(plan.name).alias("entity"), F.col(target).alias("y_true"), "y_prob"), ["entity"]).first()
+    return float(t.threshold) if t and t.j > 0 else 0.5
+
+
 def calibrated(train: DataFrame, test: DataFrame, features: list[str], target: str, name: str, k: int = 3, **params) -> DataFrame:
     """test with y_prob the mean of k isotonic calibrations, each fitted on rows its model has not seen."""
-    rows = fold_ops.stratified(train, k, target, "sample_id", name="_cal")
-    out = test
-    for i in range(k):
-        model = fit(rows.where(F.col("_cal") != i), features, target, name, **params)
-        held = score(model, rows.where(F.col("_cal") == i), features).select(F.col("y_prob"), F.col(target).cast("double").alias("label"))
-        iso = IsotonicRegression(featuresCol="y_prob", labelCol="label", predictionCol=f"_p{i}").fit(held)
-        out = iso.transform(score(model, out, features)).drop("y_prob")
-    return out.withColumn("y_prob", sum(F.col(f"_p{i}") for i in range(k)) / k).drop(*[f"_p{i}" for i in range(k)])
-
-
-def out_of_fold(df: DataFrame, features: list[str], target: str, name: str, k: int, **params) -> DataFrame:
-    """sample_id, fold, entity, y_true, y_prob, threshold (Youden on the training rows' inner folds), y_pred."""
-    def one(i: int, rows: DataFrame) -> DataFrame:
-        train, test = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
-        inner = fold_ops.stratified(train.drop("fold"), 3, target, "sample_id", name="fold")
-        held = None
-        for j in range(3):
-            part = score(fit(inner.where(F.col("fold") != j), features, target, name, **params), inner.where(F.col("fold") == j), features)
-            held = part if held is None else held.unionByName(part)
-        t = youden(held.select(F.lit(name).alias("entity"), F.col(target).alias("y_true"), "y_prob"), ["entity"]).first()
-        threshold = t.threshold if t and t.j > 0 else 0.5
-        out = score(fit(train, features, target, name, **params), test, features)
-        return out.select("sample_id", "fold", F.lit(name).alias("entity"), F.col(target).cast("int").alias("y_true"), "y_prob", F.lit(threshold).alias("threshold"), (F.col("y_prob") >= threshold).cast("int").alias("y_pred"))
-
-    rows = fold_ops.stratified(df, k, target, "sample_id").persist()
+    return score(fit_calibrated(train, features, target, name, k, **params), test, features)
+
+
+def out_of_fold_parts(df: DataFrame, features: list[str], target: str, name: str | Plan, k: int, seed: int = 42, only: list[int] | None = None, **params) -> Iterator[tuple[int, DataFrame]]:
+    """Each fold's number and its predictions: sample_id, fold, entity, y_true, y_prob, threshold, y_pred, parameters (JSON),
+    by models of the other folds; search, calibration and threshold happen inside them.  `only` names the folds wanted."""
+    plan = name if isinstance(name, Plan) else Plan(name, {p: v for p, v in params.items() if p not in ("missing", "scale")}, missing=params.get("missing"), scale=params.get("scale", True), seed=seed)
+    rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed).persist()
+    seeds = fold_seeds(seed, k)
+
+    def one(i: int) -> DataFrame:
+        train, test = rows.where(F.col("fold") != i).drop("fold"), rows.where(F.col("fold") == i)
+        best = chosen(train, features, target, plan)
+        if plan.name in SEEDED:
+            best = {"seed": seeds[i]} | best
+        threshold = tuned(train, features, target, plan, best)
+        out = score(trained(train, features, target, plan, best), test, features)
+        return out.select(
+            "sample_id", "fold", F.lit(plan.name).alias("entity"), F.col(target).cast("int").alias("y_true"), "y_prob", F.lit(threshold).alias("threshold"),
+            (F.col("y_prob") >= threshold).cast("int").alias("y_pred"), F.lit(json.dumps(best, sort_keys=True)).alias("parameters"),
+        )
+
+    wanted = list(range(k)) if only is None else only
     with ThreadPoolExecutor(3) as pool:
-        parts = list(pool.map(lambda i: one(i, rows), range(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        yield from zip(wanted, pool.map(one, wanted))
+    rows.unpersist()
 
 
-def leave_out(df: DataFrame, features: list[str], groups: dict[str, list[str]], target: str, name: str, k: int = 3, **params) -> DataFrame:
-    """name, fold, baseline, ablated: AUROC by fold with all features and without each group."""
-    rows = fold_ops.stratified(df, k, target, "sample_id").persist()
+def out_of_fold(df: DataFrame, features: list[str], target: str, name: str | Plan, k: int, seed: int = 42, **params) -> DataFrame:
+    """The predictions of every row, by models of the other folds, as `out_of_fold_parts` gives them."""
+    out = None
+    for _, part in out_of_fold_parts(df, features, target, name, k, seed, **params):
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    def values(used: list[str]) -> list[float]:
-        out = []
-        for i in range(k):
-            s = score(fit(rows.where(F.col("fold") != i), used, target, name, **params), rows.where(F.col("fold") == i), used)
-            out.append(auroc(s.select(F.lit(1).alias("g"), F.col(target).alias("y_true"), "y_prob"), ["g"]).first().auroc)
-        return out
 
-    full = values(features)
-    table = [(g, i, b, a) for g, gone in groups.items() if set(features) - set(gone) and set(gone) & set(features) for i, (b, a) in enumerate(zip(full, values([f for f in features if f not in gone])))]
+def variant_scores(df: DataFrame, target: str, variants: dict[str, tuple[list[str], Plan]], k: int = 3, seed: int = 42, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """name, fold, metric, value of each variant (features, plan) over the same folds; one job measures all folds of a variant."""
+    rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed).persist()
+    out = None
+    for name, (features, plan) in variants.items():
+        pred = None
+        for i in range(k):
+            train, test = rows.where(F.col("fold") != i).drop("fold"), rows.where(F.col("fold") == i)
+            best = chosen(train, features, target, plan)
+            threshold = tuned(train, features, target, plan, best)
+            part = score(trained(train, features, target, plan, best), test, features)
+            part = part.select(F.lit(name).alias("name"), "fold", F.col(target).cast("int").alias("y_true"), "y_prob", (F.col("y_prob") >= threshold).cast("int").alias("y_pred"))
+            pred = part if pred is None else pred.unionByName(part)
+        found = long(all_metrics(pred, ["name", "fold"]), ["name", "fold"], list(metrics)).collect()
+        out = (out or []) + [(r.name, r.fold, r.metric, r.value) for r in found]
     rows.unpersist()
-    return df.sparkSession.createDataFrame(table, "name string, fold int, baseline double, ablated double")
+    return df.sparkSession.createDataFrame(out or [], "name string, fold int, metric string, value double")
 
 
-def cross(df: DataFrame, features: list[str], target: str, name: str, k: int, **params) -> DataFrame:
-    """model, metric, source, target, fold, value: one fit for each source and fold, which scores every dataset's test fold."""
-    rows = fold_ops.stratified(df, k, target, "sample_id", within=("dataset",)).persist()
-    out = None
-    for source in [r.dataset for r in rows.select("dataset").distinct().orderBy("dataset").collect()]:
-        for i in range(k):
-            model = fit(rows.where((F.col("dataset") == source) & (F.col("fold") != i)), features, target, name, **params)
-            s = score(model, rows.where(F.col("fold") == i), features).select("dataset", F.col(target).alias("y_true"), "y_prob")
-            part = auroc(s, ["dataset"]).select(F.lit(name).alias("model"), F.lit("auroc").alias("metric"), F.lit(source).alias("source"), F.col("dataset").alias("target"), F.lit(i).alias("fold"), F.col("auroc").alias("value"))
-            out = part if out is None else out.unionByName(part)
-    return out
+def against(scores: DataFrame, baseline: str) -> DataFrame:
+    """name, fold, metric, baseline, ablated: each variant beside the one called `baseline`."""
+    base = scores.where(F.col("name") == baseline).select("fold", "metric", F.col("value").alias("baseline"))
+    return scores.where(F.col("name") != baseline).join(base, ["fold", "metric"]).select("name", "fold", "metric", "baseline", F.col("value").alias("ablated"))
+
+
+def leave_out(df: DataFrame, features: list[str], groups: dict[str, list[str]], target: str, name: str | Plan, k: int = 3, seed: int = 42, metrics: tuple[str, ...] = METRICS, **params) -> DataFrame:
+    """name, fold, metric, baseline, ablated: with all features and without each group; groups that hold none, or all, are left."""
+    plan = name if isinstance(name, Plan) else Plan(name, params, tune=False, seed=seed)
+    left = {g: [f for f in features if f not in gone] for g, gone in groups.items() if set(features) - set(gone) and set(gone) & set(features)}
+    return against(variant_scores(df, target, {"": (features, plan)} | {g: (used, plan) for g, used in left.items()}, k, seed, metrics), "")
+
+
+def component_ablation(df: DataFrame, features: list[str], target: str, plans: dict[str, Plan], baseline: str, k: int = 3, seed: int = 42) -> DataFrame:
+    """name, fold, metric, baseline, ablated: named ways to make a model beside one of them."""
+    if baseline not in plans:
+        raise ValueError(f"no plan is called {baseline!r}")
+    return against(variant_scores(df, target, {n: (features, p) for n, p in plans.items()}, k, seed), baseline)
 
 
-def held_out_datasets(df: DataFrame, features: list[str], target: str, name: str, **params) -> DataFrame:
-    """held_out, auroc of a model trained on all other datasets; at least three are needed."""
+def step_ablation(df: DataFrame, features: list[str], target: str, plan: Plan, k: int = 3, seed: int = 42) -> DataFrame:
+    """name, fold, metric, baseline, ablated: the whole plan beside itself without scaling, calibration and threshold."""
+    steps = {"full": plan, "no_scaling": replace(plan, scale=False), "no_calibration": replace(plan, calibrate=0), "no_threshold": replace(plan, tune=False)}
+    return component_ablation(df, features, target, {n: p for n, p in steps.items() if n == "full" or p != plan}, "full", k, seed)
+
+
+def cross(df: DataFrame, features: list[str], target: str, name: str | Plan, k: int, seed: int = 42, **params) -> DataFrame:
+    """model, metric, source, target, fold, value: one fit for each source and fold, which scores every dataset's test fold.
+    Parameters are chosen on the source's own training rows."""
+    plan = name if isinstance(name, Plan) else Plan(name, {p: v for p, v in params.items() if p not in ("missing", "scale")}, missing=params.get("missing"), scale=params.get("scale", True), seed=seed)
+    rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed, within=("dataset",)).persist()
+    jobs = [(r.dataset, i) for r in rows.select("dataset").distinct().orderBy("dataset").collect() for i in range(k)]
+
+    def one(job: tuple[str, int]) -> DataFrame:
+        source, i = job
+        train = rows.where((F.col("dataset") == source) & (F.col("fold") != i)).drop("fold")
+        model = trained(train, features, target, plan, chosen(train, features, target, plan))
+        s = score(model, rows.where(F.col("fold") == i), features).select("dataset", F.col(target).alias("y_true"), "y_prob")
+        return auroc(s, ["dataset"]).select(F.lit(plan.name).alias("model"), F.lit("auroc").alias("metric"), F.lit(source).alias("source"), F.col("dataset").alias("target"), F.lit(i).alias("fold"), F.col("auroc").alias("value"))
+
+    with ThreadPoolExecutor(3) as pool:
+        parts = [r for part in pool.map(lambda j: one(j).collect(), jobs) for r in part]
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(parts, "model string, metric string, source string, target string, fold int, value double")
+
+
+def held_out_predictions(df: DataFrame, features: list[str], target: str, name: str | Plan, **params) -> DataFrame:
+    """entity (the dataset held out), sample_id, y_true, y_prob by a model of all other datasets; at least three are needed."""
+    plan = name if isinstance(name, Plan) else Plan(name, params)
     names = [r.dataset for r in df.select("dataset").distinct().orderBy("dataset").collect()]
     if len(names) < 3:
         raise ValueError("at least three datasets are needed")
     out = None
     for d in names:
-        s = score(fit(df.where(F.col("dataset") != d), features, target, name, **params), df.where(F.col("dataset") == d), features)
-        part = auroc(s.select(F.lit(d).alias("held_out"), F.col(target).alias("y_true"), "y_prob"), ["held_out"])
+        train = df.where(F.col("dataset") != d)
+        s = score(trained(train, features, target, plan, chosen(train, features, target, plan)), df.where(F.col("dataset") == d), features)
+        part = s.select(F.lit(d).alias("entity"), "sample_id", F.col(target).cast("int").alias("y_true"), "y_prob")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def importances(model, features: list[str]) -> list[tuple[str, float]]:
-    last = model.stages[-1]
-    if hasattr(last, "featureImportances"):
-        return list(zip(features, map(float, last.featureImportances.toArray())))
-    if hasattr(last, "coefficients"):
+def held_out_datasets(df: DataFrame, features: list[str], target: str, name: str | Plan, **params) -> DataFrame:
+    """held_out, auroc of a model trained on all other datasets."""
+    return auroc(held_out_predictions(df, features, target, name, **params), ["entity"]).withColumnRenamed("entity", "held_out")
+
+
+def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
+    """Of the last stage that has them; of a calibrated pipeline that is asked for, its first model."""
+    for last in [s for s in model.stages if hasattr(s, "featureImportances") or hasattr(s, "coefficients")]:
+        if hasattr(last, "featureImportances"):
+            return list(zip(features, map(float, last.featureImportances.toArray())))
         return list(zip(features, map(abs, map(float, last.coefficients))))
     return []
 
 
 def shapley_linear(df: DataFrame, features: list[str], target: str, **params) -> DataFrame:
     """sample_id, base, phi (feature -> value), margin: exact for the linear model's log-odds; base + sum(phi) = margin."""
-    last = fit(df, features, target, "logistic", **params).stages[-1]
+    last = fit(df, features, target, "logistic", scale=False, **params).stages[-1]
     w = dict(zip(features, map(float, last.coefficients)))
     means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
     rows = df.crossJoin(F.broadcast(means))  # one row
@@ -192,13 +325,33 @@ def shapley_linear(df: DataFrame, features: list[str], target: str, **params) ->
     return rows.select("sample_id", base.alias("base"), phi.alias("phi"), margin.alias("margin"))
 
 
+def shapley_sampled(model: PipelineModel, df: DataFrame, features: list[str], orders: int = 8, seed: int = 42) -> DataFrame:
+    """sample_id, base, phi (feature -> value), y_prob for any model: along `orders` random orders of the features, each is
+    switched from its mean to its value, and what the score changes by is its share; base + sum(phi) = y_prob exactly.
+
+    Rows become orders x (features + 1) rows for scoring, without a shuffle before the sums by sample."""
+    draw = random.Random(seed)
+    means = df.agg(*[F.avg(f).cast("double").alias(f) for f in features]).first()
+    steps = []
+    for o in range(orders):
+        order = draw.sample(features, len(features))
+        steps += [(o, n, order[:n]) for n in range(len(features) + 1)]
+    mask = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(n).alias("n"), F.lit(on[-1] if on else "").alias("last"), F.array(*map(F.lit, on)).cast("array<string>").alias("on")) for o, n, on in steps])
+    rows = df.select("sample_id", *features).withColumn("_s", F.explode(mask))
+    rows = rows.select("sample_id", F.col("_s.o").alias("_o"), F.col("_s.n").alias("_n"), F.col("_s.last").alias("_f"), *[F.when(F.array_contains("_s.on", f), F.col(f).cast("double")).otherwise(F.lit(means[f])).alias(f) for f in features])
+    got = score(model, rows, features).groupBy("sample_id").agg(F.collect_list(F.struct("_o", "_n", "_f", "y_prob")).alias("_all"))
+    got = got.withColumn("_all", F.array_sort("_all"))
+    base = F.element_at("_all", 1)["y_prob"]
+    whole = F.element_at("_all", len(features) + 1)["y_prob"]
+    gain = F.transform("_all", lambda x, i: F.struct(x["_f"].alias("f"), F.when(x["_n"] > 0, x["y_prob"] - F.get("_all", i - 1)["y_prob"]).alias("d")))
+    got = got.select("sample_id", base.alias("base"), whole.alias("y_prob"), gain.alias("_d"))
+    share = lambda f: F.aggregate(F.filter("_d", lambda x: x["f"] == f), F.lit(0.0), lambda s, x: s + x["d"]) / orders
+    return got.select("sample_id", "base", F.create_map(*[y for f in features for y in (F.lit(f), share(f))]).alias("phi"), "y_prob")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """query_id, n1: how many of the k nearest others have label 1, by exact distances.
-
-    Each query meets each vector once, its k nearest kept in an aggregate by (query, part) before they are merged;
-    meant for query sets of stated size."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
-    d = F.aggregate(F.zip_with("_q", vector_col, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(q, F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("i"), label_col, d.alias("d"))
-    near = pairs.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "i"))).where(F.col("at") <= k)
-    return near.groupBy("query_id").agg(F.count_if(F.col(label_col) == 1).cast("long").alias("n1"), F.sum("i").alias("id_sum"))
+    """query_id, n1, id_sum: how many of the k nearest others have label 1, by exact distances, ties to the smaller id."""
+    q = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).cast("array<double>").alias("q"))
+    v = vectors.select(F.col(id_col).alias("vid"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("double").alias("y"))
+    near = nearest(q, v, k, other=True)
+    return near.groupBy(F.col("qid").alias("query_id")).agg(F.count_if(F.col("y") == 1).cast("long").alias("n1"), F.sum("vid").alias("id_sum"))

@@ -68,14 +68,26 @@ def placements(pred: DataFrame) -> DataFrame:
     return rows.select("entity", "sample_id", "y_true", "y_prob").join(by, ["entity", "y_prob"]).select("entity", "sample_id", "y_true", F.when(F.col("y_true") == 1, F.col("v1")).otherwise(F.col("v0")).alias("v"))
 
 
+def delong_pairs(pred: DataFrame) -> DataFrame:
+    """name_a, name_b (a < b), auroc_a, auroc_b, diff, variance, z, n of every pair of entities with scores, over the samples
+    that both have: placements once, then one row for each sample with its entities, as in `pairs`."""
+    v = placements(pred)
+    each = v.groupBy("sample_id", "y_true").agg(F.sort_array(F.collect_list(F.struct("entity", "v"))).alias("es"))
+    one = each.select("y_true", "es", F.explode("es").alias("a"))
+    both = one.select("y_true", "a", F.explode(F.filter("es", lambda x: x["entity"] > F.col("a.entity"))).alias("b"))
+    both = both.select(F.col("a.entity").alias("name_a"), F.col("b.entity").alias("name_b"), "y_true", F.col("a.v").alias("va"), F.col("b.v").alias("vb"))
+    per = both.groupBy("name_a", "name_b", "y_true").agg(F.count("*").alias("n"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), (F.var_samp("va") + F.var_samp("vb") - 2 * F.covar_samp("va", "vb")).alias("s"))
+    pos = lambda c: F.max(F.when(F.col("y_true") == 1, F.col(c)))
+    out = per.groupBy("name_a", "name_b").agg(pos("ma").alias("auroc_a"), pos("mb").alias("auroc_b"), F.sum(F.col("s") / F.col("n")).alias("variance"), F.sum("n").alias("n"))
+    diff = F.col("auroc_a") - F.col("auroc_b")
+    return out.select("name_a", "name_b", "auroc_a", "auroc_b", diff.alias("diff"), "variance", F.when(F.col("variance") > 0, F.try_divide(diff, F.sqrt("variance"))).alias("z"), "n")
+
+
 def delong(pred: DataFrame, a: str, b: str) -> DataFrame:
-    """auroc_a, auroc_b, diff, variance, z."""
-    v = placements(pred.where(F.col("entity").isin(a, b)))
-    wide = v.groupBy("sample_id", "y_true").agg(F.max(F.when(F.col("entity") == a, F.col("v"))).alias("va"), F.max(F.when(F.col("entity") == b, F.col("v"))).alias("vb")).where("va is not null and vb is not null")
-    per = wide.groupBy("y_true").agg(F.count("*").alias("n"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), (F.var_samp("va") + F.var_samp("vb") - 2 * F.covar_samp("va", "vb")).alias("s"))
-    one = lambda c: F.max(F.when(F.col("y_true") == 1, F.col(c)))
-    out = per.agg(one("ma").alias("auroc_a"), one("mb").alias("auroc_b"), F.sum(F.col("s") / F.col("n")).alias("variance"))
-    return out.select("auroc_a", "auroc_b", (F.col("auroc_a") - F.col("auroc_b")).alias("diff"), "variance", F.when(F.col("variance") > 0, F.try_divide(F.col("auroc_a") - F.col("auroc_b"), F.sqrt("variance"))).alias("z"))
+    """auroc_a, auroc_b, diff, variance, z of one pair."""
+    out = delong_pairs(pred.where(F.col("entity").isin(a, b))).select("auroc_a", "auroc_b", "diff", "variance", "z")
+    swapped = out.select(F.col("auroc_b").alias("auroc_a"), F.col("auroc_a").alias("auroc_b"), (-F.col("diff")).alias("diff"), "variance", (-F.col("z")).alias("z"))
+    return out if a < b else swapped
 
 
 def holm(tests: DataFrame, family: str = "family", p: str = "p", tie: str = "name") -> DataFrame:
@@ -94,26 +106,28 @@ def benjamini_hochberg(tests: DataFrame, family: str = "family", p: str = "p", t
     return tests.withColumn("_r", raw).withColumn("p_bh", F.min("_r").over(back)).drop("_r")
 
 
-def compare(pred: DataFrame, method: str = "holm") -> DataFrame:
+def compare(pred: DataFrame, method: str = "holm", alpha: float = 0.05, level: float = 0.95) -> DataFrame:
     """Every pair with a model in it: McNemar (and DeLong between models with scores), corrected by family, with effect sizes.
 
-    p values need functions that Spark lacks; they are computed on the driver from one row for each pair."""
+    `better` is the one with more right predictions, or the larger AUROC; null for a draw.  p values need functions that
+    Spark lacks; they are computed on the driver from one row for each pair."""
     rows = align(pred)
     kinds = {r.entity: (r.entity_type, r.scored) for r in rows.groupBy("entity").agg(F.first("entity_type").alias("entity_type"), F.max(F.col("y_prob").isNotNull()).alias("scored")).collect()}
+    better = lambda r, d: None if not d else r.name_a if d > 0 else r.name_b
     out = []
-    for r in effects(mcnemar_statistic(pairs(rows))).collect():
+    for r in effects(mcnemar_statistic(pairs(rows)), level).collect():
         types = {kinds[r.name_a][0], kinds[r.name_b][0]}
         if "model" not in types:
             continue
         x, p = stats.mcnemar(r.b_count, r.c_count)
         kind = "model vs model" if types == {"model"} else "model vs rule"
-        out.append((r.name_a, r.name_b, kind, "mcnemar", "point", x, p, r.n, r.b_count, r.c_count, r.acc_diff, r.acc_lo, r.acc_hi, r.odds, r.odds_lo, r.odds_hi, None, None, None))
-        if types == {"model"} and kinds[r.name_a][1] and kinds[r.name_b][1]:
-            d = delong(rows, r.name_a, r.name_b).first()
-            p = 1.0 if d.z is None else stats.normal_two_sided(d.z)
-            out.append((r.name_a, r.name_b, kind, "delong", "auroc", d.z, p, r.n, None, None, None, None, None, None, None, None, d.auroc_a, d.auroc_b, d.diff))
-    schema = "name_a string, name_b string, comparison_type string, test string, family string, statistic double, p_value double, n_total long, discordant_b long, discordant_c long, acc_diff double, acc_lo double, acc_hi double, odds double, odds_lo double, odds_hi double, auroc_a double, auroc_b double, auroc_diff double"
+        out.append((r.name_a, r.name_b, kind, "mcnemar", "point", better(r, r.b_count - r.c_count), x, p, r.n, r.b_count, r.c_count, r.acc_diff, r.acc_lo, r.acc_hi, r.odds, r.odds_lo, r.odds_hi, None, None, None))
+    scored = [e for e, (t, has) in kinds.items() if t == "model" and has]
+    for r in delong_pairs(rows.where(F.col("entity").isin(scored))).collect() if len(scored) > 1 else []:
+        p = 1.0 if r.z is None else stats.normal_two_sided(r.z)
+        out.append((r.name_a, r.name_b, "model vs model", "delong", "auroc", better(r, r["diff"]), r.z, p, r.n, None, None, None, None, None, None, None, None, r.auroc_a, r.auroc_b, r["diff"]))
+    schema = "name_a string, name_b string, comparison_type string, test string, family string, better string, statistic double, p_value double, n_total long, discordant_b long, discordant_c long, acc_diff double, acc_lo double, acc_hi double, odds double, odds_lo double, odds_hi double, auroc_a double, auroc_b double, auroc_diff double"
     tests = pred.sparkSession.createDataFrame(out, schema).withColumn("name", F.concat_ws("|", "name_a", "name_b"))
     corrected = holm(tests, p="p_value") if method == "holm" else benjamini_hochberg(tests, p="p_value")
     c = "p_holm" if method == "holm" else "p_bh"
-    return corrected.withColumnRenamed(c, "p_value_corrected").withColumn("significant", F.col("p_value_corrected") <= 0.05).drop("name")
+    return corrected.withColumnRenamed(c, "p_value_corrected").withColumn("significant", F.col("p_value_corrected") <= alpha).drop("name")

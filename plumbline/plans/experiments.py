@@ -1,10 +1,12 @@
 """Whole runs: comparison of models and rules, datasets against each other, final training, scoring, ablation.
 
-Each returns small tables by name; predictions of every row go to a store and are read back from there.
+Each returns small tables by name; predictions of every row go to a store and are read back from there, fold by fold,
+so that a run that ended early goes on with the folds that are missing.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,27 +20,38 @@ from plumbline.sources.files import PredictionStore, run_key
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
+def numbered(df: DataFrame, name: str = "sample_id") -> DataFrame:
+    """df with an id from the content of each row; equal rows are told apart by a number.
+
+    It does not depend on files, partitions or the order of rows: rows are counted by content and dealt out again."""
+    cols = df.columns
+    rows = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count("*").cast("int").alias("_n"))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]))
+    return rows.withColumn(name, F.md5(F.concat_ws(":", content, "_k"))).select(*[F.col(f"`{c}`") for c in cols], name)
+
+
 def prepared(df: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
     """df with sample_id, and the features: those named, or every number but target, id and rules.
 
-    Without an id column rows are numbered by file position, which is the same for each reading of the same files."""
+    Without an id column the id is made from the row's content (see `numbered`)."""
     features = s.features or [c for c, t in df.dtypes if t in NUMBERS and c not in (s.target, s.id_column, "sample_id", "dataset", *s.rules)]
     gone = [c for c in (s.target, *features, *s.rules) if c not in df.columns]
     if gone:
         raise ValueError(f"no columns {gone}")
     rows = clean.nan_to_null(df)
-    if s.id_column or "sample_id" not in df.columns:
-        rows = rows.withColumn("sample_id", F.col(s.id_column) if s.id_column else F.monotonically_increasing_id())
+    if s.id_column:
+        rows = rows.withColumn("sample_id", F.col(s.id_column))
+    elif "sample_id" not in df.columns:
+        rows = numbered(rows)
     rows = rows.where(F.col(s.target).isNotNull())
     return (clean.drop_missing(rows, features) if s.missing == "drop" else rows), features
 
 
-def _parameters(rows: DataFrame, features: list[str], name: str, s: Settings) -> dict:
-    fill = {} if s.missing == "drop" else {"missing": s.missing}
-    if s.search_budget:
-        grid = [p | fill for p in models.REGISTRY[name][1]]
-        return models.search(rows, features, s.target, name, grid, s.inner, s.search_budget)[0][0]
-    return s.parameters.get(name, {}) | fill
+def plan(name: str, s: Settings) -> models.Plan:
+    """How the settings have a model made; searches choose inside the training rows of each fold."""
+    grid = models.REGISTRY[name][1] if s.search or s.search_budget else None
+    return models.Plan(name, s.parameters.get(name, {}), grid, s.inner, s.search_budget, None if s.missing == "drop" else s.missing, s.scale, s.calibration_folds if s.calibrate else 0, True, s.seed)
 
 
 def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
@@ -46,24 +59,32 @@ def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
     rows, features = prepared(df, s)
     key, store = run_key(vars(s), df), PredictionStore(df.sparkSession, f"{out}/predictions")
     for name in s.models:
-        oof = models.out_of_fold(rows, features, s.target, name, s.outer, **_parameters(rows, features, name, s))
-        store.put(oof.withColumn("dataset", F.lit("all")), key)
+        missing = sorted(set(range(s.outer)) - store.have(key, "all", name))
+        if missing:
+            for i, part in models.out_of_fold_parts(rows, features, s.target, plan(name, s), s.outer, s.seed, missing):
+                store.put(part.withColumn("dataset", F.lit("all")), key)
     pred = store.get(key).withColumn("entity_type", F.lit("model"))
     if s.rules:
         rules.validate(rows, s.rules, s.target)
         expressions = [*(rules.defaults(s.rules) if s.default_combinations and len(s.rules) > 1 else []), *s.combinations]
-        dealt = folds.stratified(rows, s.outer, s.target, "sample_id").withColumn("y_true", F.col(s.target).cast("int"))
+        dealt = folds.stratified(rows, s.outer, s.target, "sample_id", seed=s.seed).withColumn("y_true", F.col(s.target).cast("int"))
         pred = pred.unionByName(rules.predictions(dealt, s.rules, expressions, ["sample_id", "fold", "y_true"]), allowMissingColumns=True)
     names = [*metrics.scores(), "auroc", "brier", "ece", "mce"]
     by_fold = metrics.all_metrics(pred, ["entity", "fold"])
     long = metrics.long(by_fold, ["entity", "fold"], [n for n in names if n in by_fold.columns])
     summary = metrics.summary(long)
+    bounds = intervals.all_intervals(pred, ["entity"], s.bootstrap, s.level, seed=s.seed)
+    wrong = errors.misclassified(pred.where("y_prob is not null"))
     return {
         "metrics": metrics.all_metrics(pred, ["entity"]),
-        "metrics_by_fold": summary,
-        "intervals": intervals.all_intervals(pred, ["entity"], s.bootstrap, s.level, seed=s.seed),
-        "pairwise": paired.compare(pred, s.correction),
+        "metrics_by_fold": summary.join(bounds.select("entity", "metric", F.col("mean").alias("mean_bootstrap"), "lower", "upper"), ["entity", "metric"], "left"),
+        "intervals": bounds,
+        "forest": intervals.forest(bounds, s.primary),
+        "pairwise": paired.compare(pred, s.correction, 1 - s.level, s.level),
         "errors": errors.fold_report(pred.where("y_prob is not null")),
+        "error_detail": errors.detail(pred.where("y_prob is not null")),
+        "misclassified": wrong.select("entity", "fold", "sample_id", "y_true", "y_pred", "y_prob", "confidence"),
+        "best_parameters": pred.where("parameters is not null").select("entity", "fold", "parameters", "threshold").distinct(),
         "profile": profile.continuous(rows, features),
         "correlations": profile.correlation_matrix(rows, features),
         "best": summary.where(F.col("metric") == s.primary).select("entity", F.col("mean").alias(s.primary)).orderBy(F.desc(s.primary), "entity").limit(1),
@@ -73,48 +94,82 @@ def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
 def cross(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """Each dataset's model on every dataset, gaps, models without one dataset, class priors and shift."""
     rows, features = prepared(df, s)
-    parts = [models.cross(rows, features, s.target, name, s.outer, **_parameters(rows, features, name, s)) for name in s.models]
-    values = reduce(DataFrame.unionByName, parts)
+    values = reduce(DataFrame.unionByName, [models.cross(rows, features, s.target, plan(name, s), s.outer, s.seed) for name in s.models])
     cells = transfer.cells(values)
-    out = {"cells": cells, "gap": transfer.gap(values), "difficulty": transfer.difficulty(cells), "stability": transfer.stability(cells)}
+    out = {"cells": cells, "gap": transfer.gap_interval(values, s.bootstrap, s.level), "group_gap": transfer.group_gap_interval(cells, s.bootstrap, s.level), "difficulty": transfer.difficulty(cells), "stability": transfer.stability(cells)}
     if rows.select("dataset").distinct().count() >= 3:
-        held = [models.held_out_datasets(rows, features, s.target, n, **_parameters(rows, features, n, s)).withColumn("model", F.lit(n)) for n in s.models]
-        out["held_out"] = reduce(DataFrame.unionByName, held)
+        held = []
+        for name in s.models:
+            pred = models.held_out_predictions(rows, features, s.target, plan(name, s)).persist()
+            bounds = intervals.score_intervals(pred, ["entity"], s.bootstrap, s.level, seed=s.seed).where("metric = 'auroc'")
+            held.append(bounds.select(F.lit(name).alias("model"), F.col("entity").alias("held_out"), F.col("point").alias("auroc"), "lower", "upper"))
+        pairwise = transfer.difficulty(cells).where("metric = 'auroc'").select("model", F.col("target").alias("held_out"), F.col("mean").alias("pairwise_mean"))
+        out["held_out"] = reduce(DataFrame.unionByName, held).join(pairwise, ["model", "held_out"], "left").withColumn("delta", F.col("auroc") - F.col("pairwise_mean"))
     return out | {"priors": profile.class_priors(rows, s.target), "shift": shift.ks(rows, features)}
 
 
 def train(df: DataFrame, s: Settings, name: str, path: str) -> dict:
-    """Fits one model to all rows, with the threshold of its out-of-fold scores, and saves it."""
+    """Fits one model to all rows, with the threshold of out-of-fold scores, and saves it; its search and its importances
+    are saved beside it."""
+    if name == "knn":
+        raise ValueError("knn keeps its training rows and cannot be saved; it can be compared")
     rows, features = prepared(df, s)
-    p = _parameters(rows, features, name, s)
-    oof = models.out_of_fold(rows, features, s.target, name, s.outer, **p)
-    best = metrics.youden(oof, ["entity"]).first()
-    meta = {"name": name, "features": features, "target": s.target, "parameters": p, "threshold": best.threshold if best and best.j > 0 else 0.5}
-    artifacts.save_model(df.sparkSession, models.fit(rows, features, s.target, name, **p), path, **meta)
+    p, spark = plan(name, s), df.sparkSession
+    best = models.chosen(rows, features, s.target, p)
+    oof = models.out_of_fold(rows, features, s.target, models.replace(p, tune=False), s.outer, s.seed)
+    method = metrics.method_for(rows.count())
+    threshold = metrics.threshold_of(oof, method)
+    model = models.trained(rows, features, s.target, p, best)
+    meta = {"name": name, "features": features, "target": s.target, "parameters": best, "threshold": threshold, "threshold_method": method, "calibrated": bool(p.calibrate), "settings": vars(s)}
+    artifacts.save_model(spark, model, path, **meta)
+    if p.grid is not None:
+        fixed = {"missing": p.missing, "scale": p.scale}
+        history = models.history_table(spark, models.search_history(rows, features, s.target, name, [p.params | fixed | g for g in p.grid], p.inner, p.budget, s.seed))
+        transfer.search_summary(history).write.mode("overwrite").parquet(f"{path}/cv_results")
+    table = models.importances(model, features)
+    spark.createDataFrame(table, "feature string, importance double").write.mode("overwrite").parquet(f"{path}/importances")
     return meta
 
 
-def predict(df: DataFrame, path: str, id_column: str | None = None, threshold: float | None = None) -> DataFrame:
-    """[id,] prob_class_0, prob_class_1, predicted_class, optimal_threshold, prob_diff_to_threshold; rows with nulls in
-    features are scored only by models that fill them."""
+def predict(df: DataFrame, path: str, id_column: str | None = None, threshold: float | None = None, proba: bool = True) -> DataFrame:
+    """[id,] prediction, or with `proba` [id,] prob_class_0, prob_class_1, predicted_class, optimal_threshold,
+    prob_diff_to_threshold; rows with nulls in features are scored only by models that fill them."""
     model, meta = artifacts.load_model(df.sparkSession, path)
     p, t = F.col("y_prob"), meta["threshold"] if threshold is None else threshold
     scored = models.score(model, clean.nan_to_null(df), meta["features"])
-    keep = [id_column] if id_column else []
-    return scored.select(*keep, (1 - p).alias("prob_class_0"), p.alias("prob_class_1"), (p >= t).cast("int").alias("predicted_class"), F.lit(float(t)).alias("optimal_threshold"), (p - t).alias("prob_diff_to_threshold"))
+    keep, positive = [id_column] if id_column else [], (p >= t).cast("int")
+    if not proba:
+        return scored.select(*keep, positive.alias("prediction"))
+    return scored.select(*keep, (1 - p).alias("prob_class_0"), p.alias("prob_class_1"), positive.alias("predicted_class"), F.lit(float(t)).alias("optimal_threshold"), (p - t).alias("prob_diff_to_threshold"))
 
 
 def evaluate(df: DataFrame, path: str, threshold: float | None = None) -> dict[str, DataFrame]:
-    """Metrics and confusion of a saved model on labelled rows."""
+    """Metrics of a saved model on labelled rows at 0.5 and at its own threshold (or the one given), their difference,
+    confusion and per-class report at the latter."""
     _, meta = artifacts.load_model(df.sparkSession, path)
+    own = meta["threshold"] if threshold is None else threshold
     rows = df.where(F.col(meta["target"]).isNotNull()).withColumn("y_true", F.col(meta["target"]).cast("int"))
-    scored = predict(rows, path, "y_true", threshold)
-    pred = scored.select(F.lit(meta["name"]).alias("entity"), "y_true", F.col("prob_class_1").alias("y_prob"), F.col("predicted_class").alias("y_pred"))
-    return {"metrics": metrics.all_metrics(pred, ["entity"]), "confusion": metrics.confusion(pred, ["entity"])}
+    scored = predict(rows, path, "y_true", own).select("y_true", F.col("prob_class_1").alias("y_prob"))
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("entity"), F.lit(float(t)).alias("threshold")) for n, t in (("default", 0.5), ("own", own))]))
+    pred = scored.select("y_true", "y_prob", both.alias("e")).select("e.entity", "e.threshold", "y_true", "y_prob", (F.col("y_prob") >= F.col("e.threshold")).cast("int").alias("y_pred"))
+    table = metrics.all_metrics(pred, ["entity"])
+    values = metrics.long(table, ["entity"], [c for c in table.columns if c != "entity"])
+    mine = pred.where("entity = 'own'").withColumn("entity", F.lit(meta["name"]))
+    return {"metrics": metrics.all_metrics(mine, ["entity"]), "thresholds": metrics.default_against_own(values), "confusion": metrics.confusion(mine, ["entity"]), "report": metrics.class_report(metrics.confusion(mine, ["entity"]), ["entity"])}
+
+
+def ablation(df: DataFrame, s: Settings, name: str, groups: dict[str, list[str]] | None = None, steps: bool = False) -> dict[str, DataFrame]:
+    """Metrics without each feature, or each group of features, and, with `steps`, without scaling, calibration and
+    threshold; tests are corrected by metric."""
+    rows, features = prepared(df, s)
+    p = plan(name, s)
+    scores = models.leave_out(rows, features, groups or {f: [f] for f in features}, s.target, p, s.outer, s.seed)
+    out = {"ablation": transfer.ablation_tests(scores, 1 - s.level)}
+    if steps:
+        out["steps"] = transfer.ablation_tests(models.step_ablation(rows, features, s.target, p, s.outer, s.seed), 1 - s.level)
+    return out
 
 
-def ablation(df: DataFrame, s: Settings, name: str, groups: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-    """AUROC without each feature, or each group of features."""
-    rows, features = prepared(df, s)
-    scores = models.leave_out(rows, features, groups or {f: [f] for f in features}, s.target, name, s.outer, **_parameters(rows, features, name, s))
-    return {"ablation": transfer.ablation(scores)}
+def described(meta: dict) -> str:
+    """A saved model's record as text."""
+    return json.dumps(meta, indent=2, sort_keys=True, default=str)

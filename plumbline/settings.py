@@ -29,7 +29,9 @@ class Settings:
     calibrate: bool = False
     calibration_folds: int = 3
     missing: str = "median"
+    search: bool = False
     search_budget: int | None = None
+    scale: bool = True
     bootstrap: int = 1000
     level: float = 0.95
     primary: str = "mcc"

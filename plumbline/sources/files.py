@@ -118,6 +118,29 @@ class PredictionStore:
     def get(self, key: str) -> DataFrame:
         return self.spark.read.parquet(self.root).where(F.col("run_key") == key)
 
+    def have(self, key: str, dataset: str, entity: str) -> set[int]:
+        """The folds that are there; none if nothing has been stored yet."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return set()
+        rows = self.folds().where((F.col("run_key") == key) & (F.col("dataset") == dataset) & (F.col("entity") == entity))
+        return {int(r.fold) for r in rows.collect()}
+
+    def summary(self) -> DataFrame:
+        """run_key, dataset, entity, folds (their numbers, in order), n."""
+        return self.folds().groupBy("run_key", "dataset", "entity").agg(F.array_sort(F.collect_list("fold")).alias("folds"), F.sum("n").alias("n"))
+
+    def cleanup(self, keep: tuple[str, ...] = (), dry_run: bool = False) -> list[str]:
+        """Removes the runs whose keys are not kept, and names them; a dry run only names them."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = fs_path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = sorted(f.getPath().getName().removeprefix("run_key=") for f in (fs.listStatus(root) if fs.exists(root) else []) if f.getPath().getName().startswith("run_key="))
+        gone = [k for k in found if k not in keep]
+        for k in () if dry_run else gone:
+            fs.delete(fs_path(f"{self.root}/run_key={k}"), True)
+        return gone
+
     def folds(self) -> DataFrame:
         return self.spark.read.parquet(self.root).groupBy(*self.KEYS).agg(F.count("*").alias("n"))
 

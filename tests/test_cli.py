@@ -44,11 +44,16 @@ def test_train_predict_evaluate(spark, table, tmp_path):
     assert cli.main(["train", data, "--out", model, "--id-column", "id", "--features", "a,b", "--models", "logistic", "--outer", "2"], spark) == 0
     _, meta = artifacts.load_model(spark, model)
     assert meta["features"] == ["a", "b"] and 0 < meta["threshold"] < 1
-    assert cli.main(["predict", data, "--model", model, "--out", str(tmp_path / "p"), "--id-column", "id"], spark) == 0
+    assert cli.main(["predict", data, "--model", model, "--out", str(tmp_path / "p"), "--id-column", "id", "--proba"], spark) == 0
     got = spark.read.csv(str(tmp_path / "p"), header=True)
     assert got.count() == 240 and got.columns == ["id", "prob_class_0", "prob_class_1", "predicted_class", "optimal_threshold", "prob_diff_to_threshold"]
+    assert cli.main(["predict", data, "--model", model, "--out", str(tmp_path / "q"), "--id-column", "id"], spark) == 0
+    assert spark.read.csv(str(tmp_path / "q"), header=True).columns == ["id", "prediction"]
+    assert dict(spark.read.parquet(f"{model}/importances").collect()).keys() == {"a", "b"}
     assert cli.main(["evaluate", data, "--model", model, "--out", str(tmp_path / "e")], spark) == 0
     assert spark.read.parquet(str(tmp_path / "e" / "metrics")).first().auroc > 0.9
+    assert spark.read.parquet(str(tmp_path / "e" / "thresholds")).where("metric = 'auroc'").first().difference == 0
+    assert {r.label: r.support for r in spark.read.parquet(str(tmp_path / "e" / "report")).collect()}["macro"] == 240
 
 
 def test_cross_and_ablation(spark, table, tmp_path):
@@ -57,7 +62,8 @@ def test_cross_and_ablation(spark, table, tmp_path):
     assert spark.read.parquet(str(tmp_path / "c" / "cells")).count() == 9
     (tmp_path / "g.json").write_text(json.dumps({"one": ["a"], "two": ["b"]}))
     assert cli.main(["ablation", str(table / "x.csv"), "--out", str(tmp_path / "a"), *common, "--feature-groups", str(tmp_path / "g.json")], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "a" / "ablation")).count() == 2
+    got = spark.read.parquet(str(tmp_path / "a" / "ablation"))
+    assert got.count() == 8 and got.where("metric = 'auroc' and name = 'one'").first().delta > 0.1
 
 
 def test_small_commands_and_exit_codes(spark, table, tmp_path, capsys):
