@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegralType
 
@@ -37,7 +37,11 @@ def base(spark: SparkSession, d: str) -> DataFrame:
     y = F.col("y_true")
     flip = lambda s, p: F.when(F.col(f"u{s}") < p, 1 - y).otherwise(y)
     o = o.select("sample_id", "dataset", "kind", "y_true", (F.lit(0.35) * y + F.lit(0.65) * F.col("ua")).alias("pa"), (F.lit(0.25) * y + F.lit(0.75) * F.col("ub")).alias("pb"), flip("m", 0.1).alias("R1"), flip("d", 0.15).alias("R2"), flip("s", 0.2).alias("R3"))
-    return folds.stratified(o, 10, "y_true", "sample_id")
+    return o
+
+
+def folded_base(spark: SparkSession, d: str) -> DataFrame:
+    return folds.stratified(base(spark, d), 10, "y_true", "sample_id")
 
 
 BASE = f"""base AS (SELECT *, ((row_number() OVER (PARTITION BY y_true ORDER BY md5('42:' || sample_id), sample_id) - 1) % 10)::INT AS fold FROM (
@@ -46,12 +50,18 @@ BASE = f"""base AS (SELECT *, ((row_number() OVER (PARTITION BY y_true ORDER BY
     SELECT o_orderkey AS sample_id, o_orderpriority AS dataset, o_orderstatus AS kind, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS y_true, {", ".join(f"{_u_sql(s)} AS u{s}" for s in "abmds")} FROM orders)))"""
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
+def folded(spark: SparkSession, d: str) -> DataFrame:
+    return predictions(spark, d, folded_base)
+
+
+def predictions(spark: SparkSession, d: str, rows: Query = base) -> DataFrame:
     none = F.lit(None).cast("double")
     e = [("A", "model", F.col("pa"), 0.45), ("B", "model", F.col("pb"), 0.35)]
     each = [F.struct(F.lit(n).alias("entity"), F.lit(t).alias("entity_type"), p.alias("y_prob"), F.lit(c).alias("threshold"), (p >= c).cast("int").alias("y_pred")) for n, t, p, c in e]
     each += [F.struct(F.lit(n).alias("entity"), F.lit("rule").alias("entity_type"), none.alias("y_prob"), none.alias("threshold"), F.col(n).alias("y_pred")) for n in ("R1", "R2", "R3")]
-    return base(spark, d).select("dataset", "kind", "fold", "sample_id", "y_true", F.explode(F.array(*each)).alias("e")).select("dataset", "kind", "fold", "sample_id", "y_true", "e.*")
+    o = rows(spark, d)
+    keys = [c for c in ("dataset", "kind", "fold", "sample_id", "y_true") if c in o.columns]
+    return o.select(*keys, F.explode(F.array(*each)).alias("e")).select(*keys, "e.*")
 
 
 PRED = BASE + """, pred AS (
@@ -115,7 +125,7 @@ for _m in ("mcc", "balanced_accuracy"):
 MID = "mid AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY {k}, y_prob) - 1) / 2e0 AS r FROM pred WHERE y_prob IS NOT NULL WINDOW w AS (PARTITION BY {k} ORDER BY y_prob))"
 AUC = "SELECT {k}, (sum(CASE WHEN y_true = 1 THEN r ELSE 0e0 END) - sum(y_true) * (sum(y_true) + 1) / 2e0) / nullif(sum(y_true) * (count(*) - sum(y_true)), 0) AS auroc FROM mid GROUP BY ALL"
 _register("auroc_midrank", _p(f", {MID.format(k='entity')} {AUC.format(k='entity')}"), "entity", doubles="auroc")(lambda s, d: metrics.auroc(predictions(s, d), ["entity"]))
-_register("auroc_by_fold", _p(f", {MID.format(k='entity, dataset, fold')} {AUC.format(k='entity, dataset, fold')}"), "entity dataset", "fold", "auroc")(lambda s, d: metrics.auroc(predictions(s, d), ["entity", "dataset", "fold"]))
+_register("auroc_by_fold", _p(f", {MID.format(k='entity, dataset, fold')} {AUC.format(k='entity, dataset, fold')}"), "entity dataset", "fold", "auroc")(lambda s, d: metrics.auroc(folded(s, d), ["entity", "dataset", "fold"]))
 _register("brier", _p("SELECT entity, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM pred WHERE y_prob IS NOT NULL GROUP BY entity"), "entity", doubles="brier")(lambda s, d: metrics.brier(predictions(s, d), ["entity"]))
 BIN = "CASE " + " ".join(f"WHEN y_prob <= {e:.17e} THEN {i}" for i, e in enumerate(metrics.EDGES[1:])) + " END"
 BINS = f"bins AS (SELECT entity, {BIN} AS bin, count(*) AS n, avg(y_prob) AS mean_prob, avg(y_true) AS positive_rate FROM pred WHERE y_prob BETWEEN 0e0 AND 1e0 GROUP BY ALL)"
@@ -123,7 +133,7 @@ _register("reliability_bins", _p(f", {BINS} SELECT * FROM bins"), "entity", "bin
 _register("ece_mce", _p(f", {BINS} SELECT entity, sum(n * abs(positive_rate - mean_prob)) / sum(n) AS ece, max(abs(positive_rate - mean_prob)) AS mce FROM bins GROUP BY entity"), "entity", doubles="ece mce")(lambda s, d: metrics.calibration_error(predictions(s, d), ["entity"]))
 _register("confusion_normalized", _p("SELECT entity, y_true, y_pred, count(*) / sum(count(*)) OVER (PARTITION BY entity, y_true) AS share FROM pred GROUP BY entity, y_true, y_pred"), "entity", "y_true y_pred", "share")(lambda s, d: metrics.confusion_normalized(predictions(s, d), ["entity"]))
 _register("confusion_normalized_mean", _p("SELECT entity, y_true, y_pred, avg(share) AS share FROM (SELECT entity, fold, y_true, y_pred, count(*) / sum(count(*)) OVER (PARTITION BY entity, fold, y_true) AS share FROM pred GROUP BY entity, fold, y_true, y_pred) GROUP BY ALL"), "entity", "y_true y_pred", "share")(
-    lambda s, d: metrics.confusion_normalized(predictions(s, d), ["entity", "fold"]).groupBy("entity", "y_true", "y_pred").agg(F.avg("share").alias("share"))
+    lambda s, d: metrics.confusion_normalized(folded(s, d), ["entity", "fold"]).groupBy("entity", "y_true", "y_pred").agg(F.avg("share").alias("share"))
 )
 
 
@@ -142,7 +152,7 @@ FOLD = f"wide AS (SELECT entity, fold, {ALL} FROM ({_counts('entity, fold')})),
 
 
 def fold_metrics(s: SparkSession, d: str) -> DataFrame:
-    wide = metrics.confusion(predictions(s, d), ["entity", "fold"]).select("entity", "fold", *[c.alias(n) for n, c in metrics.scores().items()])
+    wide = metrics.confusion(folded(s, d), ["entity", "fold"]).select("entity", "fold", *[c.alias(n) for n, c in metrics.scores().items()])
     return metrics.long(wide, ["entity", "fold"], list(METRICS))
 
 
@@ -161,18 +171,18 @@ def _youden_sql(k: str) -> str:
 
 
 _register("youden_oof", _p(f", {_youden_sql('entity')} SELECT * FROM youden"), "entity", doubles="threshold j sens spec")(lambda s, d: metrics.youden(predictions(s, d), ["entity"]))
-_register("youden_by_fold", _p(f", {_youden_sql('entity, fold')} SELECT * FROM youden"), "entity", "fold", "threshold j sens spec")(lambda s, d: metrics.youden(predictions(s, d), ["entity", "fold"]))
+_register("youden_by_fold", _p(f", {_youden_sql('entity, fold')} SELECT * FROM youden"), "entity", "fold", "threshold j sens spec")(lambda s, d: metrics.youden(folded(s, d), ["entity", "fold"]))
 _register("metrics_at_threshold", _p(f"SELECT entity, {METRICS['recall_1']} AS sens, {METRICS['recall_0']} AS spec, {METRICS['recall_1']} + {METRICS['recall_0']} - 1 AS j FROM ({_counts('entity', '(SELECT * FROM pred WHERE y_prob IS NOT NULL)', '(y_prob >= 6e-1)::INT')})"), "entity", doubles="sens spec j")(
     lambda s, d: metrics.at_threshold(predictions(s, d), ["entity"], F.lit(0.6))
 )
 _register("threshold_summary", _p(f", {_youden_sql('entity, fold')} SELECT entity, avg(threshold) AS mean, stddev_pop(threshold) AS std, avg(j) AS j, avg(sens) AS sens, avg(spec) AS spec FROM youden GROUP BY entity"), "entity", doubles="mean std j sens spec")(
-    lambda s, d: metrics.youden(predictions(s, d), ["entity", "fold"]).groupBy("entity").agg(F.avg("threshold").alias("mean"), F.stddev_pop("threshold").alias("std"), F.avg("j").alias("j"), F.avg("sens").alias("sens"), F.avg("spec").alias("spec"))
+    lambda s, d: metrics.youden(folded(s, d), ["entity", "fold"]).groupBy("entity").agg(F.avg("threshold").alias("mean"), F.stddev_pop("threshold").alias("std"), F.avg("j").alias("j"), F.avg("sens").alias("sens"), F.avg("spec").alias("spec"))
 )
 _register("threshold_from_folds", _p(f", {_youden_sql('entity, fold')}, t AS (SELECT entity, avg(threshold) AS threshold FROM youden GROUP BY entity) SELECT entity, threshold, {METRICS['recall_1']} AS sens, {METRICS['recall_0']} AS spec FROM ({_counts('entity, threshold', '(SELECT p.* EXCLUDE threshold, t.threshold FROM pred p JOIN t USING (entity))', '(y_prob >= threshold)::INT')})"), "entity", doubles="threshold sens spec")(
-    lambda s, d: metrics.confusion(predictions(s, d).drop("threshold").join(F.broadcast(metrics.youden(predictions(s, d), ["entity", "fold"]).groupBy("entity").agg(F.avg("threshold").alias("threshold"))), "entity"), ["entity", "threshold"], (F.col("y_prob") >= F.col("threshold")).cast("int")).select("entity", "threshold", metrics.scores()["recall_1"].alias("sens"), metrics.scores()["recall_0"].alias("spec"))
+    lambda s, d: metrics.confusion(folded(s, d).drop("threshold").join(F.broadcast(metrics.youden(folded(s, d), ["entity", "fold"]).groupBy("entity").agg(F.avg("threshold").alias("threshold"))), "entity"), ["entity", "threshold"], (F.col("y_prob") >= F.col("threshold")).cast("int")).select("entity", "threshold", metrics.scores()["recall_1"].alias("sens"), metrics.scores()["recall_0"].alias("spec"))
 )
 _register("apply_threshold", _p("SELECT entity, fold, sum(CASE WHEN y_prob >= coalesce(threshold, 5e-1) THEN 1 ELSE 0 END) AS n_called, count(*) AS n FROM pred WHERE y_prob IS NOT NULL GROUP BY ALL"), "entity", "fold n_called n")(
-    lambda s, d: predictions(s, d).where("y_prob is not null").groupBy("entity", "fold").agg(F.sum((F.col("y_prob") >= F.coalesce("threshold", F.lit(0.5))).cast("int")).alias("n_called"), F.count("*").alias("n"))
+    lambda s, d: folded(s, d).where("y_prob is not null").groupBy("entity", "fold").agg(F.sum((F.col("y_prob") >= F.coalesce("threshold", F.lit(0.5))).cast("int")).alias("n_called"), F.count("*").alias("n"))
 )
 
 # rules
@@ -186,7 +196,7 @@ def _rules_sql(exprs: list[str]) -> str:
 
 def _rule_query(name: str, exprs: list[str]) -> None:
     _register(name, f"WITH {BASE}, {_rules_sql(exprs)} SELECT entity, fold, {ALL} FROM ({_counts('entity, fold', 'called')})", "entity", "fold", NAMES)(
-        lambda s, d: metrics.confusion(rules.predictions(base(s, d), [e for e in exprs if e in RULES], [e for e in exprs if e not in RULES], ["dataset", "fold", "y_true"]), ["entity", "fold"]).select("entity", "fold", *[c.alias(n) for n, c in metrics.scores().items()])
+        lambda s, d: metrics.confusion(rules.predictions(folded_base(s, d), [e for e in exprs if e in RULES], [e for e in exprs if e not in RULES], ["dataset", "fold", "y_true"]), ["entity", "fold"]).select("entity", "fold", *[c.alias(n) for n, c in metrics.scores().items()])
     )
 
 
@@ -237,12 +247,12 @@ _register("best_entity", _p(f", {MID.format(k='entity')} SELECT entity, auroc FR
 _register("main_comparisons", _p(f", {PAIRS} SELECT name_b, b_count, c_count FROM pairs WHERE name_a = 'A' AND name_b LIKE 'R%'"), "name_b", "b_count c_count")(lambda s, d: paired.pairs(predictions(s, d)).where("name_a = 'A' and name_b like 'R%'").select("name_b", "b_count", "c_count"))
 
 # intervals
-BOOT = f"""rows AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(sample_id::VARCHAR), sample_id) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM pred WHERE dataset = '5-LOW'),
- draws AS (SELECT entity, replicate, ('0x' || substr(md5('boot:' || replicate || ':' || rn), 1, 8))::BIGINT % n + 1 AS rn FROM rows, range(20) t(replicate)),
+#: Replicates of the queries that draw rows by hashes.
+REPLICATES = 100
+BOOT = f"""rows AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(sample_id::VARCHAR), sample_id) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM pred),
+ draws AS (SELECT entity, replicate, ('0x' || substr(md5('boot:' || replicate || ':' || rn), 1, 8))::BIGINT % n + 1 AS rn FROM rows, range({REPLICATES}) t(replicate)),
  got AS (SELECT d.entity, d.replicate, r.y_true, r.y_pred FROM draws d JOIN rows r USING (entity, rn)), boot AS (SELECT entity, replicate, {ALL} FROM ({_counts('entity, replicate', 'got')}) WHERE tp + fn > 0 AND fp + tn > 0)"""
-low = lambda s, d: predictions(s, d).where("dataset = '5-LOW'")
-_register("bootstrap_percentile", _p(f", {BOOT} SELECT entity, avg(mcc) AS mean, quantile_cont(mcc, 0.025) AS lower, quantile_cont(mcc, 0.975) AS upper FROM boot GROUP BY entity"), "entity", doubles="mean lower upper")(lambda s, d: intervals.percentile_interval(intervals.hashed_replicates(low(s, d), 20), "mcc"))
-_register("bootstrap_percentile_full", None)(lambda s, d: intervals.percentile_interval(intervals.hashed_replicates(predictions(s, d), 1000), "mcc"))
+_register("bootstrap_percentile", _p(f", {BOOT} SELECT entity, avg(mcc) AS mean, quantile_cont(mcc, 0.025) AS lower, quantile_cont(mcc, 0.975) AS upper FROM boot GROUP BY entity"), "entity", doubles="mean lower upper")(lambda s, d: intervals.percentile_interval(intervals.hashed_replicates(predictions(s, d), REPLICATES), "mcc"))
 JACK = "per AS (SELECT entity, ('0x' || substr(md5('jack:' || sample_id), 1, 8))::BIGINT % 20 AS block, count(*) AS n, count(*) FILTER (y_true = y_pred) AS k FROM pred GROUP BY ALL), jack AS (SELECT entity, block, (sum(k) OVER e - k) / (sum(n) OVER e - n)::DOUBLE AS accuracy FROM per WINDOW e AS (PARTITION BY entity))"
 _register("jackknife_blocks", _p(f", {JACK} SELECT * FROM jack"), "entity", "block", "accuracy")(lambda s, d: intervals.jackknife(predictions(s, d)))
 _register("bca_acceleration", _p(f", {JACK}, dev AS (SELECT entity, avg(accuracy) OVER (PARTITION BY entity) - accuracy AS d FROM jack) SELECT entity, coalesce(sum(d * d * d) / nullif(6e0 * pow(sum(d * d), 15e-1), 0e0), 0e0) AS a FROM dev GROUP BY entity"), "entity", doubles="a")(lambda s, d: intervals.acceleration(intervals.jackknife(predictions(s, d))))
@@ -288,14 +298,14 @@ _register("union_pool", f"WITH {BASE} SELECT d AS dataset, count(*) AS n, count(
 _register("lodo_pool", f"WITH {BASE} SELECT h.dataset AS held_out, count(*) AS n, sum(b.y_true) AS n_pos FROM (SELECT DISTINCT dataset FROM base) h JOIN base b ON b.dataset <> h.dataset GROUP BY ALL", "held_out", "n n_pos")(lambda s, d: clean.pooled([(clean.others(base(s, d), x), x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")], "held_out").groupBy("held_out").agg(F.count("*").alias("n"), F.sum("y_true").alias("n_pos")))
 
 # splits
-_register("stratified_folds", f"WITH {BASE} SELECT sample_id, fold FROM base", "", "sample_id fold")(lambda s, d: base(s, d).select("sample_id", "fold"))
-_register("aligned_folds", f"WITH {BASE} SELECT sample_id, dataset, (row_number() OVER (PARTITION BY dataset, y_true ORDER BY md5('7:' || sample_id), sample_id) - 1) % 5 AS fold FROM base", "dataset", "sample_id fold")(lambda s, d: folds.stratified(base(s, d).drop("fold"), 5, "y_true", "sample_id", 7, ("dataset",)).select("sample_id", "dataset", "fold"))
-_register("stratified_holdout", f"WITH {BASE}, r AS (SELECT sample_id, y_true, row_number() OVER (PARTITION BY y_true ORDER BY md5('42:' || sample_id), sample_id) AS rn, count(*) OVER (PARTITION BY y_true) AS n FROM base) SELECT sample_id, (rn <= round(n * 2e-1))::INT AS test FROM r", "", "sample_id test")(lambda s, d: folds.holdout(base(s, d).drop("fold"), 0.2, "y_true", "sample_id").select("sample_id", "test"))
+_register("stratified_folds", f"WITH {BASE} SELECT sample_id, fold FROM base", "", "sample_id fold")(lambda s, d: folded_base(s, d).select("sample_id", "fold"))
+_register("aligned_folds", f"WITH {BASE} SELECT sample_id, dataset, (row_number() OVER (PARTITION BY dataset, y_true ORDER BY md5('7:' || sample_id), sample_id) - 1) % 5 AS fold FROM base", "dataset", "sample_id fold")(lambda s, d: folds.stratified(base(s, d), 5, "y_true", "sample_id", 7, ("dataset",)).select("sample_id", "dataset", "fold"))
+_register("stratified_holdout", f"WITH {BASE}, r AS (SELECT sample_id, y_true, row_number() OVER (PARTITION BY y_true ORDER BY md5('42:' || sample_id), sample_id) AS rn, count(*) OVER (PARTITION BY y_true) AS n FROM base) SELECT sample_id, (rn <= round(n * 2e-1))::INT AS test FROM r", "", "sample_id test")(lambda s, d: folds.holdout(base(s, d), 0.2, "y_true", "sample_id").select("sample_id", "test"))
 
 
 # transfer: a rule's value on (source, target, fold) mixes its accuracies on both
 def cell_values(s: SparkSession, d: str) -> DataFrame:
-    acc = predictions(s, d).groupBy("entity", "dataset", "fold").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("v"))
+    acc = folded(s, d).groupBy("entity", "dataset", "fold").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("v"))
     a, b = acc.alias("a"), acc.alias("b")
     own = F.col("a.dataset") == F.col("b.dataset")
     out = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.fold") == F.col("b.fold")))
@@ -337,23 +347,23 @@ def _cut_sql(k: str) -> str:
 
 _register("misclassified", _p(f"{WRONG} SELECT entity, sample_id, margin, confidence FROM wrong"), "entity", "sample_id", "margin confidence")(lambda s, d: errors.misclassified(predictions(s, d)).select("entity", "sample_id", "margin", "confidence"))
 _register("errors_by_cut", _p(f"{WRONG}{_cut_sql('entity')} SELECT * FROM bycut"), "entity", "n", "cut pct pct_errors mean_confidence std_confidence mean_margin")(lambda s, d: errors.by_cut(predictions(s, d), ["entity"]))
-_register("errors_by_class", _p(f"{WRONG} SELECT entity, cut, y_true, count(*) AS n, avg(confidence) AS mean_confidence, coalesce(stddev_samp(confidence), 0e0) AS std_confidence FROM wrong JOIN cuts ON confidence >= cut GROUP BY ALL"), "entity", "y_true n", "cut mean_confidence std_confidence")(lambda s, d: errors.by_class(predictions(s, d), ["entity"]))
-_register("error_report", _p(f"{WRONG}{_cut_sql('entity, fold')} SELECT entity, cut, avg(n) AS mean_n, stddev_pop(n) AS std_n, avg(pct) AS mean_pct, stddev_pop(pct) AS std_pct FROM bycut GROUP BY ALL"), "entity", doubles="cut mean_n std_n mean_pct std_pct")(lambda s, d: errors.fold_report(predictions(s, d)))
-_register("fold_consistency", _p(f"{WRONG}{_cut_sql('entity, fold')} SELECT entity, fold, max(n) FILTER (cut = 6e-1) AS n_60, max(n) FILTER (cut = 9e-1) AS n_90 FROM bycut GROUP BY ALL"), "entity", "fold n_60 n_90")(lambda s, d: errors.by_cut(predictions(s, d), ["entity", "fold"]).groupBy("entity", "fold").pivot("cut", [0.6, 0.9]).agg(F.max("n")).toDF("entity", "fold", "n_60", "n_90"))
-_register("error_detail", _p(f"{WRONG} SELECT entity, count(*) AS n, sum(y_true) AS n_missed, avg(confidence) AS mean_confidence, stddev_samp(confidence) AS std_confidence, avg(margin) AS mean_margin, quantile_cont(confidence, 0.25) AS q25, quantile_cont(confidence, 0.5) AS median, quantile_cont(confidence, 0.75) AS q75 FROM wrong GROUP BY entity"), "entity", "n n_missed", "mean_confidence std_confidence mean_margin q25 median q75")(lambda s, d: errors.detail(predictions(s, d)))
-_register("errors_by_category", _p("SELECT entity, fold, kind, avg((y_true <> y_pred)::INT) AS share FROM pred GROUP BY ALL"), "entity kind", "fold", "share")(lambda s, d: errors.by_category(predictions(s, d), "kind"))
-_register("confidence_hist", _p(f"{WRONG} SELECT entity, least(floor(confidence * 30), 29) AS bin, count(*) AS n FROM wrong GROUP BY ALL"), "entity", "bin n")(lambda s, d: errors.histogram(predictions(s, d)))
+_register("errors_by_class", _p(f"{WRONG} SELECT entity, cut, y_true, count(*) AS n, 100e0 * count(*) / sum(count(*)) OVER (PARTITION BY entity, cut) AS pct, avg(confidence) AS mean_confidence, coalesce(stddev_samp(confidence), 0e0) AS std_confidence, mode(y_pred) AS confused_with, count(*) AS confused_n FROM wrong JOIN cuts ON confidence >= cut GROUP BY entity, cut, y_true"), "entity", "y_true n confused_with confused_n", "cut pct mean_confidence std_confidence")(lambda s, d: errors.by_class(predictions(s, d), ["entity"]))
+_register("error_report", _p(f"{WRONG}{_cut_sql('entity, fold')} SELECT entity, cut, avg(n) AS mean_n, stddev_pop(n) AS std_n, avg(pct) AS mean_pct, stddev_pop(pct) AS std_pct, coalesce(avg(mean_confidence) FILTER (mean_confidence > 0), 0e0) AS mean_confidence, coalesce(avg(mean_margin) FILTER (mean_margin > 0), 0e0) AS mean_margin, coalesce((SELECT count(*) FROM wrong w WHERE w.entity = bycut.entity AND w.confidence >= bycut.cut AND w.y_true = 0), 0) / count(*) AS mean_n_0, coalesce((SELECT count(*) FROM wrong w WHERE w.entity = bycut.entity AND w.confidence >= bycut.cut AND w.y_true = 1), 0) / count(*) AS mean_n_1 FROM bycut GROUP BY entity, cut"), "entity", doubles="cut mean_n std_n mean_pct std_pct mean_confidence mean_margin mean_n_0 mean_n_1")(lambda s, d: errors.fold_report(folded(s, d)))
+_register("fold_consistency", _p(f"{WRONG}{_cut_sql('entity, fold')} SELECT entity, fold, max(n) FILTER (cut = 6e-1) AS n_60, max(n) FILTER (cut = 9e-1) AS n_90 FROM bycut GROUP BY ALL"), "entity", "fold n_60 n_90")(lambda s, d: errors.by_cut(folded(s, d), ["entity", "fold"]).groupBy("entity", "fold").pivot("cut", [0.6, 0.9]).agg(F.max("n")).toDF("entity", "fold", "n_60", "n_90"))
+_register("error_detail", _p(f"{WRONG} SELECT entity, count(*) AS n, sum(y_true) AS n_missed, avg(confidence) AS mean_confidence, stddev_samp(confidence) AS std_confidence, avg(margin) AS mean_margin, stddev_samp(margin) AS std_margin, quantile_cont(confidence, 0.25) AS q25, quantile_cont(confidence, 0.5) AS median, quantile_cont(confidence, 0.75) AS q75, quantile_cont(margin, 0.25) AS margin_q25, quantile_cont(margin, 0.5) AS margin_median, quantile_cont(margin, 0.75) AS margin_q75 FROM wrong GROUP BY entity"), "entity", "n n_missed", "mean_confidence std_confidence mean_margin std_margin q25 median q75 margin_q25 margin_median margin_q75")(lambda s, d: errors.detail(predictions(s, d)))
+_register("errors_by_category", _p("SELECT entity, fold, kind, avg((y_true <> y_pred)::INT) AS share FROM pred GROUP BY ALL"), "entity kind", "fold", "share")(lambda s, d: errors.by_category(folded(s, d), "kind"))
+_register("confidence_hist", _p(f"{WRONG} SELECT entity, least(floor(confidence * 30), 29) AS bin, count(*) AS n, 30e0 * count(*) / sum(count(*)) OVER (PARTITION BY entity) AS density FROM wrong GROUP BY entity, bin"), "entity", "bin n", "density")(lambda s, d: errors.histogram(predictions(s, d)))
 
 # rankings
 IMP = f", imp AS (SELECT entity, kind AS feature, fold, avg(y_pred) AS value FROM pred GROUP BY ALL), rk AS (SELECT *, dense_rank() OVER (PARTITION BY entity ORDER BY mean DESC) AS rank FROM (SELECT entity, feature, round(avg(value), 9) AS mean, stddev_pop(value) AS std FROM imp GROUP BY ALL))"
-imp = lambda s, d: transfer.importance_ranks(predictions(s, d).groupBy("entity", F.col("kind").alias("feature"), "fold").agg(F.round(F.avg("y_pred"), 15).alias("value")))
+imp = lambda s, d: transfer.importance_ranks(folded(s, d).groupBy("entity", F.col("kind").alias("feature"), "fold").agg(F.round(F.avg("y_pred"), 15).alias("value")))
 _register("importance_rank", _p(f"{IMP} SELECT * FROM rk"), "entity feature", "rank", "mean std")(imp)
 _register("top_frequency", _p(f"{IMP} SELECT feature, count(*) AS times FROM rk WHERE rank <= 2 GROUP BY feature"), "feature", "times")(lambda s, d: transfer.top_frequency(imp(s, d), 2))
 _register("select_best_model", _p(f", {FOLD} SELECT entity, avg(value) AS mean FROM long WHERE metric = 'mcc' GROUP BY entity ORDER BY mean DESC LIMIT 1"), "entity", doubles="mean")(lambda s, d: transfer.best_model(fold_metrics(s, d).where("metric = 'mcc'")))
 _register("best_per_metric", _p(f", {FOLD}, a AS (SELECT metric, entity, avg(value) AS mean FROM long GROUP BY ALL) SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY metric ORDER BY mean DESC, entity) = 1"), "metric entity", doubles="mean")(lambda s, d: transfer.best_per_metric(fold_metrics(s, d)))
 ABL = f", {FOLD}, s AS (SELECT b.metric AS name, b.fold, b.value AS baseline, a.value AS ablated FROM long b JOIN long a ON a.metric = b.metric AND a.fold = b.fold AND a.entity = 'B' AND b.entity = 'A'), q AS (SELECT name, avg(baseline) AS b, avg(ablated) AS a, stddev_samp(baseline) AS sb, stddev_samp(ablated) AS sa, stddev_samp(baseline - ablated) AS sd, count(*) AS n FROM s GROUP BY name)"
 _register("ablation_stats", _p(f"{ABL} SELECT name, b AS baseline, a AS ablated, b - a AS delta, coalesce(100e0 * (b - a) / nullif(b, 0e0), 0e0) AS delta_pct, (b - a) / (sd / sqrt(n)) AS t, (b - a) / sqrt((sb * sb + sa * sa) / 2e0) AS d_av FROM q"), "name", doubles="baseline ablated delta delta_pct t d_av")(
-    lambda s, d: transfer.ablation(fold_metrics(s, d).where("entity in ('A', 'B')").groupBy(F.col("metric").alias("name"), "fold").agg(F.max(F.when(F.col("entity") == "A", F.col("value"))).alias("baseline"), F.max(F.when(F.col("entity") == "B", F.col("value"))).alias("ablated")))
+    lambda s, d: transfer.ablation(fold_metrics(s, d).where("entity in ('A', 'B')").groupBy(F.col("metric").alias("name"), "fold").agg(F.max(F.when(F.col("entity") == "A", F.col("value"))).alias("baseline"), F.max(F.when(F.col("entity") == "B", F.col("value"))).alias("ablated"))).drop("n")
 )
 
 
@@ -408,7 +418,7 @@ _register("cv_search", None)(_models(lambda m, s, rows: s.createDataFrame([(str(
 _register("out_of_fold", None)(_models(lambda m, s, rows: m.out_of_fold(rows, FEATURES, "y", "logistic", 3, regParam=0.001)))
 _register("cross_dataset", None)(_models(lambda m, s, rows: transfer.cells(m.cross(rows, FEATURES, "y", "logistic", 2, regParam=0.001))))
 _register("lodo_train", None)(_models(lambda m, s, rows: m.held_out_datasets(rows, FEATURES, "y", "logistic", regParam=0.001)))
-_register("feature_ablation", None)(_models(lambda m, s, rows: transfer.ablation(m.leave_out(rows, FEATURES, {f: [f] for f in FEATURES}, "y", "logistic", regParam=0.001))))
+_register("feature_ablation", None)(_models(lambda m, s, rows: transfer.ablation_tests(m.leave_out(rows, FEATURES, {f: [f] for f in FEATURES}, "y", "logistic", regParam=0.001))))
 _register("shapley_linear", None)(_models(lambda m, s, rows: m.shapley_linear(rows, FEATURES, "y", regParam=0.001).select("sample_id", "base", F.aggregate(F.map_values("phi"), F.lit(0.0), lambda a, x: a + x).alias("total"), "margin")))
 
 
@@ -430,3 +440,128 @@ def _windowed(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("windowed_counts", "SELECT epoch(time_bucket(INTERVAL 24 HOURS, ts::TIMESTAMP, TIMESTAMP '1970-01-01')) AS start, event_type AS entity, count(*) FILTER (user_id % 2 = 1 AND event_id % 2 = 1) AS tp, count(*) FILTER (user_id % 2 = 0 AND event_id % 2 = 1) AS fp, count(*) FILTER (user_id % 2 = 0 AND event_id % 2 = 0) AS tn, count(*) FILTER (user_id % 2 = 1 AND event_id % 2 = 0) AS fn FROM events GROUP BY ALL", "entity", "start tp fp tn fn")(_windowed)
+
+
+# reports over predictions, and intervals by hash-drawn replicates
+_register("class_report", _p(f"""SELECT entity, r.label, r.p AS precision, r.c AS recall, r.f AS f1, r.s AS support FROM (SELECT entity, unnest([
+ {{'label': '0', 'p': {METRICS['precision_0']}, 'c': {METRICS['recall_0']}, 'f': {METRICS['f1_0']}, 's': tn + fp}}, {{'label': '1', 'p': {METRICS['precision_1']}, 'c': {METRICS['recall_1']}, 'f': {METRICS['f1_1']}, 's': tp + fn}},
+ {{'label': 'macro', 'p': ({METRICS['precision_0']} + {METRICS['precision_1']}) / 2e0, 'c': ({METRICS['recall_0']} + {METRICS['recall_1']}) / 2e0, 'f': ({METRICS['f1_0']} + {METRICS['f1_1']}) / 2e0, 's': tp + fp + tn + fn}},
+ {{'label': 'weighted', 'p': ((tn + fp) * {METRICS['precision_0']} + (tp + fn) * {METRICS['precision_1']}) / (tp + fp + tn + fn), 'c': ((tn + fp) * {METRICS['recall_0']} + (tp + fn) * {METRICS['recall_1']}) / (tp + fp + tn + fn), 'f': {METRICS['f1_weighted']}, 's': tp + fp + tn + fn}}]) AS r FROM ({_counts('entity')}))"""), "entity label", "support", "precision recall f1")(lambda s, d: metrics.class_report(metrics.confusion(predictions(s, d), ["entity"]), ["entity"]))
+
+
+def _two_thresholds(s: SparkSession, d: str) -> DataFrame:
+    one = predictions(s, d).where("entity = 'A'")
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("e"), t.alias("t")) for n, t in (("default", F.lit(0.5)), ("own", F.col("threshold")))]))
+    rows = one.select("y_true", "y_prob", both.alias("x")).select(F.col("x.e").alias("entity"), "y_true", (F.col("y_prob") >= F.col("x.t")).cast("int").alias("y_pred"))
+    wide = metrics.confusion(rows, ["entity"]).select("entity", *[c.alias(n) for n, c in metrics.scores().items()])
+    return metrics.default_against_own(metrics.long(wide, ["entity"], list(METRICS)))
+
+
+_register("evaluate_thresholds", _p(f""", two AS (SELECT 'd' AS e, y_true, (y_prob >= 5e-1)::INT AS y_pred FROM pred WHERE entity = 'A' UNION ALL SELECT 'o', y_true, (y_prob >= threshold)::INT FROM pred WHERE entity = 'A'),
+ w AS (SELECT e, {ALL} FROM ({_counts('e', 'two')})), l AS (UNPIVOT w ON {', '.join(METRICS)} INTO NAME metric VALUE value)
+ SELECT metric, max(value) FILTER (e = 'd') AS at_default, max(value) FILTER (e = 'o') AS at_own, max(value) FILTER (e = 'o') - max(value) FILTER (e = 'd') AS difference FROM l GROUP BY metric"""), "metric", doubles="at_default at_own difference")(_two_thresholds)
+
+
+def _auto(s: SparkSession, d: str) -> DataFrame:
+    """Each dataset's and model's threshold, by the method that fits its number of rows."""
+    pred = folded(s, d).where("y_prob is not null").withColumn("entity", F.concat_ws("|", "dataset", "entity"))
+    n = pred.groupBy("entity").agg(F.count("*").alias("n"))
+    both = metrics.youden(pred, ["entity"]).select("entity", F.col("threshold").alias("oof")).join(metrics.cv_threshold(pred), "entity").join(n, "entity")
+    method = F.when(F.col("n") < 1000, "oof").otherwise("cv")
+    return both.select("entity", method.alias("method"), F.when(method == "oof", F.col("oof")).otherwise(F.col("threshold")).alias("threshold"))
+
+
+_register("auto_threshold", _p(f""", p2 AS (SELECT dataset || '|' || entity AS entity, fold, y_true, y_prob FROM pred WHERE y_prob IS NOT NULL),
+ {_curve_sql('entity').replace('FROM pred WHERE y_prob IS NOT NULL', 'FROM p2')}, {_curve_sql('entity, fold').replace('FROM pred WHERE y_prob IS NOT NULL', 'FROM p2').replace('points', 'points2').replace('sums', 'sums2').replace('curve', 'curve2')},
+ o AS (SELECT entity, y_prob AS t FROM curve QUALIFY row_number() OVER (PARTITION BY entity ORDER BY round(tpr - fpr, 12) DESC, y_prob DESC) = 1),
+ c AS (SELECT entity, avg(y_prob) AS t FROM (SELECT * FROM curve2 QUALIFY row_number() OVER (PARTITION BY entity, fold ORDER BY round(tpr - fpr, 12) DESC, y_prob DESC) = 1) GROUP BY entity),
+ n AS (SELECT entity, count(*) AS n FROM p2 GROUP BY entity)
+ SELECT entity, CASE WHEN n < 1000 THEN 'oof' ELSE 'cv' END AS method, CASE WHEN n < 1000 THEN o.t ELSE c.t END AS threshold FROM n JOIN o USING (entity) JOIN c USING (entity)"""), "entity method", doubles="threshold")(_auto)
+
+SBOOT = f"""rows AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(sample_id::VARCHAR), sample_id) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM pred WHERE y_prob IS NOT NULL),
+ draws AS (SELECT entity, replicate, ('0x' || substr(md5('boot:' || replicate || ':' || rn), 1, 8))::BIGINT % n + 1 AS rn FROM rows, range({REPLICATES}) t(replicate)),
+ got AS (SELECT d.entity, d.replicate, r.y_true, r.y_prob FROM draws d JOIN rows r USING (entity, rn)),
+ mid AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY entity, replicate, y_prob) - 1) / 2e0 AS r FROM got WINDOW w AS (PARTITION BY entity, replicate ORDER BY y_prob)),
+ auc AS (SELECT entity, replicate, (sum(CASE WHEN y_true = 1 THEN r ELSE 0e0 END) - sum(y_true) * (sum(y_true) + 1) / 2e0) / nullif(sum(y_true) * (count(*) - sum(y_true)), 0) AS auroc, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM mid GROUP BY ALL),
+ bins AS (SELECT entity, replicate, {BIN} AS bin, count(*) AS m, abs(avg(y_true) - avg(y_prob)) AS gap FROM got GROUP BY ALL),
+ err AS (SELECT entity, replicate, sum(m * gap) / sum(m) AS ece, max(gap) AS mce FROM bins GROUP BY ALL),
+ reps AS (SELECT *, 2 * auroc - 1 AS cliffs_delta FROM auc JOIN err USING (entity, replicate) WHERE auroc IS NOT NULL)"""
+for _m, _name in (("auroc", "bootstrap_auroc"), ("brier", "bootstrap_brier"), ("ece", "bootstrap_ece"), ("mce", "bootstrap_mce"), ("cliffs_delta", "cliffs_ci")):
+    _register(_name, _p(f", {SBOOT} SELECT entity, avg({_m}) AS mean, quantile_cont({_m}, 0.025) AS lower, quantile_cont({_m}, 0.975) AS upper FROM reps GROUP BY entity"), "entity", doubles="mean lower upper")(
+        lambda s, d, m=_m: intervals.percentile_interval(intervals.hashed_score_replicates(predictions(s, d), REPLICATES), m)
+    )
+_register("formatted_ci", _p(f", {SBOOT} SELECT entity, printf('%.3f [%.3f, %.3f]', avg(auroc), quantile_cont(auroc, 0.025), quantile_cont(auroc, 0.975)) AS text FROM reps GROUP BY entity"), "entity text")(
+    lambda s, d: intervals.percentile_interval(intervals.hashed_score_replicates(predictions(s, d), REPLICATES), "auroc").select("entity", intervals.format_ci(F.col("mean"), F.col("lower"), F.col("upper")).alias("text"))
+)
+_register("forest_data", _p(f", {BOOT} SELECT entity, avg(mcc) AS point, quantile_cont(mcc, 0.025) AS lower, quantile_cont(mcc, 0.975) AS upper FROM boot GROUP BY entity"), "entity", doubles="point lower upper")(
+    lambda s, d: intervals.forest(intervals.percentile_interval(intervals.hashed_replicates(predictions(s, d), REPLICATES), "mcc").select("entity", F.lit("mcc").alias("metric"), F.col("mean").alias("point"), "lower", "upper", F.lit(True).alias("valid")))
+)
+
+
+def _drawn(rows: str, keys: str, value: str, order: str, seed: str, b: int = REPLICATES) -> str:
+    """SQL for transfer.bootstrap_means."""
+    return f"""v AS (SELECT {keys}, {value} AS value, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS j, count(*) OVER (PARTITION BY {keys}) AS n FROM {rows}),
+ d AS (SELECT {keys}, replicate, ('0x' || substr(md5('{seed}:' || replicate || ':' || j), 1, 8))::BIGINT % n AS j FROM v, range({b}) t(replicate)),
+ reps AS (SELECT {', '.join('d.' + k.strip() for k in keys.split(','))}, replicate, avg(v.value) AS mean FROM d JOIN v USING ({keys}, j) GROUP BY ALL)"""
+
+
+GAPS = f"{CELLS}, per AS (SELECT model, metric, source, fold, max(value) FILTER (source = target) - avg(value) FILTER (source <> target) AS gap FROM fv GROUP BY ALL)"
+_register("gap_ci", _p(f"{GAPS}, {_drawn('per', 'model, metric, source', 'gap', 'fold', 'gap')}, point AS (SELECT model, metric, source, avg(gap) AS mean, count(*) AS n FROM per GROUP BY ALL) SELECT model, metric, source, point.mean, quantile_cont(reps.mean, 0.025) AS lower, quantile_cont(reps.mean, 0.975) AS upper, n FROM reps JOIN point USING (model, metric, source) GROUP BY ALL"), "model metric source", "n", "mean lower upper")(
+    lambda s, d: transfer.gap_interval(cell_values(s, d), REPLICATES)
+)
+_register("group_gap_ci", _p(f"{CELLS}, side AS (SELECT model, metric, CASE WHEN source = target THEN 'same' ELSE 'cross' END AS side, source, target, mean AS value FROM cell), {_drawn('side', 'model, metric, side', 'value', 'source, target', 'group')}, diff AS (SELECT model, metric, replicate, max(mean) FILTER (side = 'same') - max(mean) FILTER (side = 'cross') AS x FROM reps GROUP BY ALL), point AS (SELECT model, metric, avg(value) FILTER (side = 'same') - avg(value) FILTER (side = 'cross') AS gap FROM side GROUP BY ALL) SELECT model, metric, gap, quantile_cont(x, 0.025) AS lower, quantile_cont(x, 0.975) AS upper FROM diff JOIN point USING (model, metric) GROUP BY ALL"), "model metric", doubles="gap lower upper")(
+    lambda s, d: transfer.group_gap_interval(cell_table(s, d), REPLICATES)
+)
+_register("fold_mean_ci", _p(f", {FOLD}, few AS (SELECT * FROM long WHERE metric IN ('mcc', 'f1_1')), {_drawn('few', 'entity, metric', 'value', 'fold', 'mean')}, point AS (SELECT entity, metric, avg(value) AS mean, count(*) AS n FROM few GROUP BY ALL) SELECT entity, metric, point.mean, quantile_cont(reps.mean, 0.025) AS lower, quantile_cont(reps.mean, 0.975) AS upper, n FROM reps JOIN point USING (entity, metric) GROUP BY ALL"), "entity metric", "n", "mean lower upper")(
+    lambda s, d: transfer.mean_interval(fold_metrics(s, d).where("metric in ('mcc', 'f1_1')"), ["entity", "metric"], "value", ["fold"], REPLICATES)
+)
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    """Folds of a search, from the folds of the entities: the better the mean, the lower the rank."""
+    rows = fold_metrics(s, d).where("metric = 'mcc'")
+    rank = rows.groupBy("entity").agg(F.avg("value").alias("_m")).select("entity", F.row_number().over(Window.orderBy(F.desc("_m"), "entity")).alias("rank"))
+    return rows.join(rank, "entity").select("rank", F.col("entity").alias("parameters"), "fold", "value")
+
+
+HIST = f", {FOLD}, one AS (SELECT entity AS parameters, fold, value FROM long WHERE metric = 'mcc'), hist AS (SELECT row_number() OVER (ORDER BY avg(value) DESC, parameters) AS rank, parameters, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS least, max(value) AS most FROM one GROUP BY parameters)"
+_register("search_history", _p(f"{HIST} SELECT *, 100e0 * std / mean AS cv_pct, most - least AS spread FROM hist"), "parameters", "rank", "mean std cv_pct least most spread")(lambda s, d: transfer.search_summary(_history(s, d)))
+_register("search_overview", _p(f"{HIST} SELECT count(*) AS candidates, max(mean) AS best, avg(mean) AS mean, stddev_pop(mean) AS std, min(mean) AS least, max(mean) AS most FROM hist"), "", "candidates", "best mean std least most")(lambda s, d: transfer.search_overview(_history(s, d)))
+
+
+def _pairs_of_folds(s: SparkSession, d: str) -> DataFrame:
+    one = lambda e: F.max(F.when(F.col("entity") == e, F.col("value")))
+    return fold_metrics(s, d).where("entity in ('A', 'B')").groupBy("metric", "fold").agg(one("A").alias("baseline"), one("B").alias("ablated")).withColumn("name", F.col("metric")).withColumn("metric", F.lit("all"))
+
+
+_register("top_ablations", _p(f"{ABL} SELECT name, b - a AS delta FROM q ORDER BY b - a DESC, name LIMIT 3"), "name", doubles="delta")(lambda s, d: transfer.top_ablations(transfer.ablation(_pairs_of_folds(s, d), ("metric", "name")), 3).select("name", "delta"))
+_register("ablation_tests", None)(lambda s, d: transfer.ablation_tests(_pairs_of_folds(s, d)))
+_register("error_pairs", _p("SELECT entity, y_true, y_pred, count(*) AS n FROM pred WHERE y_prob IS NOT NULL AND y_true <> y_pred GROUP BY ALL"), "entity", "y_true y_pred n")(lambda s, d: errors.confusions(predictions(s, d)))
+_register("confidence_summary", _p(f"{WRONG} SELECT entity, avg(confidence) AS mean, quantile_cont(confidence, 0.5) AS median, stddev_pop(confidence) AS std FROM wrong GROUP BY entity"), "entity", doubles="mean median std")(lambda s, d: errors.confidence_summary(predictions(s, d)))
+_register("error_line", _p(f"{WRONG}{_cut_sql('entity, fold')} SELECT entity, avg(n) FILTER (cut = 9e-1) AS mean_confident, (SELECT count(*) FROM wrong w WHERE w.entity = bycut.entity) AS errors FROM bycut GROUP BY entity"), "entity", "errors", "mean_confident")(lambda s, d: errors.report_line(folded(s, d)))
+_register("error_box", _p("SELECT entity, (y_true <> y_pred)::INT AS wrong, count(*) AS n, min(y_prob) AS least, quantile_cont(y_prob, 0.25) AS q25, quantile_cont(y_prob, 0.5) AS median, quantile_cont(y_prob, 0.75) AS q75, max(y_prob) AS most FROM pred WHERE y_prob IS NOT NULL GROUP BY ALL"), "entity", "wrong n", "least q25 median q75 most")(lambda s, d: errors.box(predictions(s, d), "y_prob"))
+_register("delong_pairs", _p(f""", n AS (SELECT entity, sum(y_true)::DOUBLE AS n1, sum(1 - y_true)::DOUBLE AS n0 FROM pred WHERE y_prob IS NOT NULL GROUP BY entity),
+ pts AS (SELECT entity, y_prob, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM pred WHERE y_prob IS NOT NULL GROUP BY ALL), cum AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM pts WINDOW w AS (PARTITION BY entity ORDER BY y_prob)),
+ pl AS (SELECT p.entity, p.sample_id, p.y_true, CASE WHEN p.y_true = 1 THEN (cn - neg / 2e0) / n0 ELSE 1 - (cp - pos / 2e0) / n1 END AS v FROM pred p JOIN cum USING (entity, y_prob) JOIN n USING (entity)),
+ st AS (SELECT a.entity AS name_a, b.entity AS name_b, a.y_true, count(*) AS n, avg(a.v) AS ma, avg(b.v) AS mb, var_samp(a.v) + var_samp(b.v) - 2 * covar_samp(a.v, b.v) AS s FROM pl a JOIN pl b ON a.sample_id = b.sample_id AND a.entity < b.entity GROUP BY ALL)
+ SELECT name_a, name_b, max(ma) FILTER (y_true = 1) AS auroc_a, max(mb) FILTER (y_true = 1) AS auroc_b, sum(s / n) AS variance, (max(ma) FILTER (y_true = 1) - max(mb) FILTER (y_true = 1)) / sqrt(sum(s / n)) AS z, sum(n) AS n FROM st GROUP BY ALL"""), "name_a name_b", "n", "auroc_a auroc_b variance z")(lambda s, d: paired.delong_pairs(predictions(s, d)).drop("diff"))
+
+# tables as they come: columns, support of rules, common features, verdict, ids
+_register("columns_report", "SELECT * FROM (VALUES ('c_custkey', (SELECT count(*) FILTER (c_custkey IS NULL) FROM customer), (SELECT 100e0 * count(*) FILTER (c_custkey IS NULL) / count(*) FROM customer)), ('c_acctbal', (SELECT count(*) FILTER (c_acctbal IS NULL) FROM customer), (SELECT 100e0 * count(*) FILTER (c_acctbal IS NULL) / count(*) FROM customer))) t(\"column\", n_null, null_pct)", '"column"', "n_null", "null_pct")(lambda s, d: profile.columns_report(table(s, d, "customer").select("c_custkey", "c_acctbal")).drop("type"))
+_register("rule_support", f"WITH {BASE} SELECT 'R1' AS rule, sum(R1) AS n, 100e0 * avg(R1) AS pct FROM base UNION ALL SELECT 'R2', sum(R2), 100e0 * avg(R2) FROM base UNION ALL SELECT 'R3', sum(R3), 100e0 * avg(R3) FROM base", "rule", "n", "pct")(lambda s, d: profile.support(base(s, d), RULES))
+_register("common_features", "SELECT unnest(['l_orderkey', 'l_partkey']) AS name, unnest([1, 2]) AS place", "name", "place")(
+    lambda s, d: s.createDataFrame([(c, i + 1) for i, c in enumerate(profile.common_features(table(s, d, "lineitem").columns, [["l_partkey", "l_tax", "l_orderkey"]], "l_tax"))], "name string, place int")
+)
+_register("validate_verdict", f"WITH {BASE} SELECT 'error' AS level, count(DISTINCT dataset) || ' classes, not 2' AS finding FROM base HAVING count(DISTINCT dataset) <> 2", "level finding")(lambda s, d: profile.verdict(base(s, d), "dataset"))
+
+
+def _numbered(s: SparkSession, d: str) -> DataFrame:
+    from plumbline.plans.experiments import numbered
+
+    return numbered(table(s, d, "orders").select("o_orderstatus", "o_orderpriority")).groupBy("o_orderstatus", "o_orderpriority").agg(F.count_distinct("sample_id").alias("ids"))
+
+
+_register("numbered_ids", "SELECT o_orderstatus, o_orderpriority, count(*) AS ids FROM orders GROUP BY ALL", "o_orderstatus o_orderpriority", "ids")(_numbered)
+_register("length_by_type", f"WITH {BASE} SELECT dataset, count(*) AS n, avg(pa) AS mean, quantile_cont(pa, 0.5) AS median, stddev_samp(pa) AS std, min(pa) AS least, max(pa) AS most FROM base WHERE kind = 'F' GROUP BY dataset", "dataset", "n", "mean median std least most")(lambda s, d: profile.length_summary(base(s, d).where("kind = 'F'"), ["dataset"], "pa"))
+_register("shapley_sampled", None)(_models(lambda m, s, rows: (lambda model: m.shapley_sampled(model, rows, FEATURES, 2).select("sample_id", "base", F.aggregate(F.map_values("phi"), F.lit(0.0), lambda a, x: a + x).alias("total"), "y_prob"))(m.fit(rows, FEATURES, "y", "logistic", regParam=0.001))))
+_register("step_ablation", None)(_models(lambda m, s, rows: transfer.ablation_tests(m.step_ablation(rows, FEATURES, "y", m.Plan("logistic", {"regParam": 0.001}, calibrate=2, inner=2), 2))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
+from plumbline.functions.quantiles import exact
+
 MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "NULL", "<NA>")
 
 
@@ -64,8 +66,12 @@ def fold_statistics(df: DataFrame, columns: list[str], strategy: str, folds: int
         for c in columns[1:]:
             out = out.join(_mode(rows, [fold], c), fold)
         return out
-    how = {"median": lambda c: F.percentile(c, 0.5), "mean": F.avg}[strategy]
-    return rows.groupBy(fold).agg(*[how(F.col(c)).alias(f"_{c}") for c in columns])
+    if strategy == "median":
+        out = rows.select(fold).distinct()
+        for c in columns:
+            out = out.join(exact(rows, [fold], c, [0.5]).select(fold, F.col("q")[0].alias(f"_{c}")), fold, "left")
+        return out
+    return rows.groupBy(fold).agg(*[F.avg(c).alias(f"_{c}") for c in columns])
 
 
 def imputed(df: DataFrame, columns: list[str], strategy: str, folds: int, fold: str = "fold") -> DataFrame:
@@ -86,7 +92,3 @@ def scaled(df: DataFrame, columns: list[str], folds: int, fold: str = "fold") ->
 def share_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
     return df.agg((100.0 * cells / F.nullif(F.count("*") * len(columns), F.lit(0))).alias("missing_pct"))
-
-
-def rank_in(keys: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

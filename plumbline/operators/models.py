@@ -222,20 +222,26 @@ def out_of_fold(df: DataFrame, features: list[str], target: str, name: str | Pla
 def variant_scores(df: DataFrame, target: str, variants: dict[str, tuple[list[str], Plan]], k: int = 3, seed: int = 42, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """name, fold, metric, value of each variant (features, plan) over the same folds; one job measures all folds of a variant."""
     rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed).persist()
-    out = None
-    for name, (features, plan) in variants.items():
-        pred = None
-        for i in range(k):
-            train, test = rows.where(F.col("fold") != i).drop("fold"), rows.where(F.col("fold") == i)
-            best = chosen(train, features, target, plan)
-            threshold = tuned(train, features, target, plan, best)
-            part = score(trained(train, features, target, plan, best), test, features)
-            part = part.select(F.lit(name).alias("name"), "fold", F.col(target).cast("int").alias("y_true"), "y_prob", (F.col("y_prob") >= threshold).cast("int").alias("y_pred"))
-            pred = part if pred is None else pred.unionByName(part)
-        found = long(all_metrics(pred, ["name", "fold"]), ["name", "fold"], list(metrics)).collect()
-        out = (out or []) + [(r.name, r.fold, r.metric, r.value) for r in found]
+
+    def one(job: tuple[str, int]) -> DataFrame:
+        (features, plan), i = variants[job[0]], job[1]
+        train, test = rows.where(F.col("fold") != i).drop("fold"), rows.where(F.col("fold") == i)
+        best = chosen(train, features, target, plan)
+        threshold = tuned(train, features, target, plan, best)
+        part = score(trained(train, features, target, plan, best), test, features)
+        return part.select(F.lit(job[0]).alias("name"), "fold", F.col(target).cast("int").alias("y_true"), "y_prob", (F.col("y_prob") >= threshold).cast("int").alias("y_pred"))
+
+    out = []
+    with ThreadPoolExecutor(6) as pool:
+        jobs = {name: [pool.submit(one, (name, i)) for i in range(k)] for name in variants}
+        for name, parts in jobs.items():
+            pred = None
+            for part in (p.result() for p in parts):
+                pred = part if pred is None else pred.unionByName(part)
+            found = long(all_metrics(pred, ["name", "fold"]), ["name", "fold"], list(metrics)).collect()
+            out += [(r.name, r.fold, r.metric, r.value) for r in found]
     rows.unpersist()
-    return df.sparkSession.createDataFrame(out or [], "name string, fold int, metric string, value double")
+    return df.sparkSession.createDataFrame(out, "name string, fold int, metric string, value double")
 
 
 def against(scores: DataFrame, baseline: str) -> DataFrame:

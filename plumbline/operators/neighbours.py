@@ -23,7 +23,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, other: bool = False,
     neighbour."""
     nq, nv = (max(1, -(-df.count() // block)) for df in (queries, vectors))
     left = queries.select("qid", "q", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("b"))
-    right = vectors.select("vid", "v", "y", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("a"), F.pmod(F.xxhash64("vid"), F.lit(nv)).cast("int").alias("b"))
+    right = vectors.select("vid", "v", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("vid"), F.lit(nv)).cast("int").alias("b"))
 
     def near(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
