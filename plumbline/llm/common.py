@@ -165,14 +165,20 @@ def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = Fal
     if lower:
         raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     length = e - s
-    at = np.arange(int(length.sum()), dtype=np.int64)
-    begin = np.cumsum(length) - length
-    inner = at - np.repeat(begin, length)
-    value = _BYTE[raw[inner + np.repeat(s, length)]] * _LOW[inner & 1023]
-    if int(length.max()) > 1024:
-        high = np.cumprod(np.full((int(length.max()) >> 10) + 1, _HIGH_SEED))
-        value *= high[inner >> 10]
-    return mix(np.add.reduceat(value, begin) ^ (length.astype(np.uint64) << np.uint64(40)))
+    total = np.cumsum(length)
+    out, a = np.empty(len(s), np.uint64), 0
+    while a < len(s):  # about a slab's bytes at a time, whatever the length of the text
+        b = max(a + 1, int(np.searchsorted(total, total[a] - length[a] + SLAB_BYTES, "right")))
+        n = length[a:b]
+        begin = np.cumsum(n) - n
+        inner = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(begin, n)
+        value = _BYTE[raw[inner + np.repeat(s[a:b], n)]] * _LOW[inner & 1023]
+        if int(n.max()) > 1024:
+            high = np.cumprod(np.full((int(n.max()) >> 10) + 1, _HIGH_SEED))
+            value *= high[inner >> 10]
+        out[a:b] = np.add.reduceat(value, begin)
+        a = b
+    return mix(out ^ (length.astype(np.uint64) << np.uint64(40)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import discard, grams, mix, pair, release, row_key, signed, slabs, word_hashes, words, written
 from plumbline.llm.components import components
 
-#: Tokens of a cluster that one task takes, sets of a group, sets that a task remembers, and parts added up at once.
-CAP, GROUP, MEMO, LOT = 1 << 22, 32, 1 << 19, 1 << 21
+#: Tokens of a cluster that one task takes, sets of a group, sets that a task remembers, parts added up at once, and
+#: bytes of text taken at once.
+CAP, GROUP, MEMO, LOT, SLAB = 1 << 22, 32, 1 << 19, 1 << 19, 1 << 18
 
 
 def need(n: int, threshold: int) -> int:
@@ -119,7 +120,7 @@ def _counts(size: int, threshold: int):
         firsts, lot, held = Firsts(), [], 0
         for batch in batches:
             keys, ids, ths = (batch.column(k).to_pylist() for k in range(3))
-            for a, b, raw, offsets in slabs(batch.column(0), batch.column(3)):
+            for a, b, raw, offsets in slabs(batch.column(0), batch.column(3), SLAB):
                 rows = []
                 for i, t in zip(range(a, b), shingle_sets(raw, offsets, size)):
                     me = (ids[i], ths[i])
@@ -146,7 +147,7 @@ def _parts(size: int, threshold: int):
         firsts = Firsts()
         for batch in batches:
             keys, ids, ths = (batch.column(k).to_pylist() for k in range(3))
-            for a, b, raw, offsets in slabs(batch.column(0), batch.column(3)):
+            for a, b, raw, offsets in slabs(batch.column(0), batch.column(3), SLAB):
                 found, owner, drops, many = [], [], [], []
                 for i, t in zip(range(a, b), shingle_sets(raw, offsets, size)):
                     me = (ids[i], ths[i])
@@ -224,7 +225,7 @@ def _links(size: int, threshold: int):
 
         for batch in batches:
             tasks, ids, ths = (batch.column(k).to_pylist() for k in range(3))
-            for a, b, raw, offsets in slabs(batch.column(1), batch.column(3)):
+            for a, b, raw, offsets in slabs(batch.column(1), batch.column(3), SLAB):
                 for i, tokens in zip(range(a, b), shingle_sets(raw, offsets, size)):
                     if tasks[i] != of:
                         if len(keys) > 1:
