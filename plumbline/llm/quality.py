@@ -91,12 +91,16 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     word_chars = _sums(chars, first)
     five, again = repeated(h, first, BASE_N)
     n_repeat = _sums(five, first)
-    worst = np.zeros(len(n_words), bool)
+    whole = np.maximum(word_chars, 1)
+    gram_share, top_share, worst = np.zeros(len(n_words)), np.zeros(len(n_words)), np.zeros(len(n_words), bool)
     for n, limit in GRAM_LIMITS.items():
-        flags = again if n == BASE_N else repeated(h, first, n)[1]
-        worst |= _sums(chars * flags, first) > limit * word_chars
+        share = _sums(chars * (again if n == BASE_N else repeated(h, first, n)[1]), first) / whole
+        worst |= share > limit
+        gram_share = np.maximum(gram_share, share)
     for n, limit in TOP_LIMITS.items():
-        worst |= _sums(chars * top(h, first, n, chars), first) > limit * word_chars
+        share = _sums(chars * top(h, first, n, chars), first) / whole
+        worst |= share > limit
+        top_share = np.maximum(top_share, share)
     lines, all_lines, line_chars = [], [], []
     data = raw.tobytes()
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -110,20 +114,23 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         lines.append(n)
         all_lines.append(n + len(seen))
         line_chars.append(c)
-    worst |= np.array(line_chars, np.int64) > LINE_LIMIT * word_chars
-    worst |= np.array(lines, np.int64) > LINES_LIMIT * np.array(all_lines, np.int64)
+    line_share = np.array(line_chars, np.int64) / whole
+    worst |= (line_share > LINE_LIMIT) | (np.array(lines, np.int64) > LINES_LIMIT * np.array(all_lines, np.int64))
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > BASE_PERCENT * n_words)
     return {
         "n_words": n_words.astype(np.int64), "word_chars": word_chars, "n_symbols": _sums(_SYMBOL[raw], offsets), "n_dup_lines": np.array(lines, np.int64),
-        "n_repeat_words": n_repeat, "base_failed": failed, "kept": ~failed & ~worst,
+        "n_repeat_words": n_repeat, "base_failed": failed, "kept": ~failed & ~worst, "gram_share": gram_share, "top_share": top_share, "line_share": line_share,
     }
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, gram_share double, top_share double, line_share double"
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, measures, kept) for each row of docs, repeated rows included; null and empty texts have no words and fail."""
+    """(doc_id, measures, kept, coverage) for each row of docs, repeated rows included; null and empty texts have no words
+    and fail.  The coverage figures are the largest shares of word characters inside n-grams seen before, inside the most
+    frequent n-gram, and inside lines seen before.  Of n-grams equally frequent the one of most characters counts.  A very
+    long text is measured whole in one task; further columns play no part."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +143,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text passes the rules."""
+    """The rows of docs, all columns as they are whatever their names, whose text passes the rules; a null or empty text does
+    not, repeated rows pass or fail alike."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
