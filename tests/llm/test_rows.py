@@ -318,9 +318,11 @@ def test_wrapped_licenses(spark):
     gpl = ("GPL-3.0-or-later", "gpl3-grant,gpl-warranty")
     want = {
         MIT: ("MIT", "mit-grant,mit-notice,mit-warranty"), BSD2: ("BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"),
-        BSD3: ("BSD-2-Clause,BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-names"), APACHE: ("Apache-2.0", "apache2-grant,apache2-use,apache2-copy"), GPL3: gpl,
+        BSD3: ("BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-names"), APACHE: ("Apache-2.0", "apache2-grant,apache2-use,apache2-copy"), GPL3: gpl,
         "This work is licensed under a Creative Commons Attribution\n4.0 International License.": ("CC-BY-4.0", "cc-by-ref"),
         "prose without an end\nreleased under the MIT License\nmore of it": ("MIT", "mit-ref"), "Code (not\nreleased under the MIT License but another) follows": ("", ""),
+        f"{BSD2}\n{BSD3}": ("BSD-2-Clause,BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-grant,bsd-source,bsd-binary,bsd-names"),
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.": ("MPL-2.0", "mpl2-grant,mpl2-copy"),
         "Released under the MIT License.\nLicensed under CC\nBY 4.0": ("CC-BY-4.0,MIT", "mit-ref,cc-by-ref"),
     }
     texts = list(want) + ["\n".join(f"# {x}" for x in GPL3.split("\n")), APACHE.replace("\n", "\r\n *"), " ".join(GPL3.split())]
