@@ -2,15 +2,18 @@
 
 A store is a folder with immutable Parquet shards and numbered manifests.  `append` writes arrivals as small
 shards; `compact` merges every run of shards of one size tier into files of the target size; both end by
-committing the next manifest, a JSON file written under another name and renamed to its number: the rename
-fails if that number exists, so a version has one writer and readers see old or new, never a mix.  Shards
-that no manifest names (a job that died) are garbage; replaced shards go after the commit.
+committing the next manifest: a JSON file is written whole under another name and then given its number by an
+operation that fails if that number exists (a hard link on a local disk, a rename without overwriting elsewhere),
+so a version has one writer, and readers see old or new, never a mix.  Shards that a version names stay until
+`vacuum` removes the version, so readers of recent versions go on; shards that no manifest names (a job that died)
+go then as well, once they are older than a day.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +60,28 @@ class Store:
         out = self._fs.create(temporary, False)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+        try:
+            self._publish(temporary, final)
+        except Exception as e:
+            if self._fs.exists(final):
+                raise CommitConflict(f"version {base + 1} exists") from e
+            raise
+        finally:
             self._fs.delete(temporary, False)
-            raise CommitConflict(f"version {base + 1} exists")
         return manifest
 
+    def _publish(self, temporary, final) -> None:
+        """Gives the file its final name, at once and only if that name is free."""
+        scheme, jvm = self._fs.getUri().getScheme(), self._jvm
+        if scheme == "file":
+            local = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (final, temporary)]
+            jvm.java.nio.file.Files.createLink(*local)
+        elif scheme in ("hdfs", "viewfs", "webhdfs"):  # rename there is one step and does not overwrite
+            if not self._fs.rename(temporary, final):
+                raise FileExistsError(str(final))
+        else:
+            raise ValueError(f"{scheme} has no rename that keeps what is there; put manifests on a file system that has one")
+
     def _write(self, df: DataFrame) -> list[dict]:
         folder = f"shards/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
@@ -73,6 +93,17 @@ class Store:
         base = self.manifest()
         return self._commit(base["version"], base["shards"] + self._write(df))
 
+    def append_arrivals(self, df: DataFrame, arrival: str) -> dict:
+        """The rows of each value of a column as an arrival of its own, in order; all are written in one pass."""
+        folder = f"shards/{uuid.uuid4().hex}"
+        df.write.partitionBy(arrival).parquet(f"{self.root}/{folder}")
+        parts = sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(folder)) if f.isDirectory())
+        for part in parts:
+            files = self._fs.listStatus(self._path(f"{folder}/{part}"))
+            base = self.manifest()
+            self._commit(base["version"], base["shards"] + [{"name": f"{folder}/{part}/{f.getPath().getName()}", "bytes": f.getLen()} for f in files if f.getPath().getName().startswith("part-")])
+        return self.manifest() if parts else self.append(df.drop(arrival))
+
     def tier(self, size: int) -> int:
         """0 for shards of about the target size, 1 for a fanout-th of it, and so on down."""
         return max(0, math.ceil(math.log(self.target / max(size, 1), self.fanout) - 0.5))
@@ -87,7 +118,7 @@ class Store:
     def compact(self) -> dict:
         """Merges until no tier has a run; a merge reads each of its shards once and shuffles nothing."""
         base = self.manifest()
-        shards, gone = base["shards"], []
+        shards, gone = base["shards"], 0
         moved = True
         while moved:
             moved = False
@@ -98,37 +129,54 @@ class Store:
                 merged = self._write(self.read(run).coalesce(n))
                 names = {s["name"] for s in run}
                 shards = [s for s in shards if s["name"] not in names] + merged
-                gone += run
+                gone += len(run)
                 moved = True
         if not gone:
             return base
-        manifest = self._commit(base["version"], shards)
-        for s in gone:
-            self._fs.delete(self._path(s["name"]), False)
-        return manifest
+        return self._commit(base["version"], shards)
+
+    def vacuum(self, keep: int = 2, older_than: float = 86_400.0) -> list[str]:
+        """Removes all but the last `keep` versions, and shards that none of those names and that are older than so many
+        seconds (a writer may not have committed younger ones yet); the names of the shards that went."""
+        versions = self.versions()
+        named = {s["name"] for v in versions[-keep:] for s in self.manifest(v)["shards"]}
+        before, gone = {s["name"] for v in versions[:-keep] for s in self.manifest(v)["shards"]}, []
+        files, now = self._fs.listFiles(self._path("shards"), True), time.time()
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().toString().split("/shards/", 1)[1]
+            name = f"shards/{name}"
+            if name not in named and (name in before or now - f.getModificationTime() / 1000 > older_than):
+                self._fs.delete(f.getPath(), False)
+                gone.append(name)
+        for v in versions[:-keep]:
+            self._fs.delete(self._path(f"manifests/v{v}.json"), False)
+        return gone
 
     def read(self, shards: list[dict] | None = None) -> DataFrame:
         shards = self.manifest()["shards"] if shards is None else shards
-        return self.spark.read.parquet(*[f"{self.root}/{s['name']}" for s in shards])
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{s['name']}" for s in shards])
 
 
 def sharded(docs: DataFrame, arrivals: int = 4, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, root: str | None = None) -> tuple[Store, DataFrame]:
     """docs put into a new store in so many arrivals (by a hash of the whole row), then compacted; the store and its rows.
 
     All columns and rows stay as they are, whatever their names, nulls or repeats; an empty table gives a store
-    with one empty shard.
+    with one empty shard.  A very long text is a row like any other; rows alike in all columns arrive together.
     """
     spark = docs.sparkSession
     store = Store(spark, root or shared_folder(spark), target_bytes, fanout)
-    part = F.pmod(F.xxhash64(*docs.columns), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.where(part == k))
+    name = "arrival"
+    while name in docs.columns:
+        name += "_"
+    store.append_arrivals(docs.withColumn(name, F.pmod(F.xxhash64(*docs.columns), F.lit(arrivals))), name)
     store.compact()
     return store, store.read()
 
 
 def report(docs: DataFrame, arrivals: int = 4, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, text_sha256) of every row, read back from the shards of the committed manifest."""
+    """(doc_id, n_bytes, text_sha256) of every row, read back from the shards of the committed manifest; a null text has no
+    bytes and the digest of an empty one, repeated rows stay, further columns play no part."""
     _, rows = sharded(docs, arrivals, target_bytes)
     return rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

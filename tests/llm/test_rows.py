@@ -232,7 +232,34 @@ def test_store(spark, tmp_path):
     with pytest.raises(compaction.CommitConflict):
         again._commit(3, m["shards"])
     assert again.manifest() == m
+    old = store.read(store.manifest(3)["shards"])
+    assert old.count() == docs.count()  # readers of the version before go on
+    assert store.vacuum(keep=2) == [] and store.versions() == [3, 4]
+    gone = store.vacuum(keep=1)
+    assert len(gone) >= 5 and store.versions() == [4] and key(store.read().select(*docs.columns)) == key(docs)
+    assert all(x.endswith("_SUCCESS") for x in store.vacuum(keep=1, older_than=0))
     assert compaction.report(docs.limit(0)).collect() == []
+    clash = docs.withColumn("arrival", F.lit("mine"))
+    _, rows = compaction.sharded(clash, arrivals=2)
+    assert rows.select("arrival").distinct().collect()[0][0] == "mine" and rows.count() == clash.count()
+
+
+def test_two_writers(spark, tmp_path):
+    """Of writers that start from one version, one commits."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = compaction.Store(spark, f"file://{tmp_path}/store")
+    store.append(spark.range(3))
+    shards = store.manifest()["shards"]
+
+    def commit(_):
+        try:
+            return compaction.Store(spark, store.root)._commit(1, shards)["version"]
+        except compaction.CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(commit, range(8)), key=str) == [2] + [None] * 7
 
 
 def test_neighbours(spark):
