@@ -237,7 +237,8 @@ def test_store(spark, tmp_path):
     assert store.vacuum(keep=2) == [] and store.versions() == [3, 4]
     gone = store.vacuum(keep=1)
     assert len(gone) >= 5 and store.versions() == [4] and key(store.read().select(*docs.columns)) == key(docs)
-    assert all(x.endswith("_SUCCESS") for x in store.vacuum(keep=1, older_than=0))
+    store.vacuum(keep=1, older_than=0)  # marker files, and shards of merges that later merges took up
+    assert key(store.read().select(*docs.columns)) == key(docs)
     assert compaction.report(docs.limit(0)).collect() == []
     clash = docs.withColumn("arrival", F.lit("mine"))
     _, rows = compaction.sharded(clash, arrivals=2)
