@@ -276,17 +276,20 @@ def linked(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFra
 
 
 def classes(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the least doc_id reachable over links, itself included.
+    """(doc_id, n_shingles, component_id, text_hash, is_first): component_id is the least doc_id reachable over links, itself
+    included; is_first marks the one document of each component that is least by id (null before others) and text hash.
 
     Null, empty and blank texts have no shingles and link with nothing.  Rows alike in doc_id and text are one
-    document (each gets a row).  A null doc_id takes part; it names a component only if all ids in it are null.
+    document (each gets a row).  A null doc_id takes part; it names a component only if all ids in it are null.  A very
+    long text is a set of many shingles, in one task.  Further columns play no part, whatever their names.
     """
     documents, links = linked(docs, size, threshold)
     parts = components(links.select(F.struct("id", "th").alias("a"), F.struct(F.col("id0").alias("id"), F.col("th0").alias("th")).alias("b")))
-    least = written(parts.groupBy("label").agg(F.min("v.id").alias("component")))
-    parts = parts.join(least, "label").select(F.col("v.id").alias("cid"), F.col("v.th").alias("cth"), "component")
+    least = written(parts.groupBy("label").agg(F.min("v.id").alias("component"), F.min("v").alias("head")))
+    head = F.col("v.id").eqNullSafe(F.col("head.id")) & (F.col("v.th") == F.col("head.th"))
+    parts = parts.join(least, "label").select(F.col("v.id").alias("cid"), F.col("v.th").alias("cth"), "component", head.alias("first"))
     joined = documents.join(parts, documents.id.eqNullSafe(parts.cid) & (documents.th == parts.cth), "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.col("th").alias("text_hash"), F.coalesce("first", F.lit(True)).alias("is_first"))
 
 
 def brute(rows: list[tuple[int, str | None]], size: int = 4, threshold: int = 85) -> dict[int, tuple[int, int]]:

@@ -43,6 +43,16 @@ def test_nulls_and_repeated_rows(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.classes(docs, 4, 85).collect())
     assert got == [(-1, 0, -1), (-1, 17, 4), (4, 17, 4), (4, 17, 4), (7, 0, 7), (8, 1, 8), (9, 1, 8)]
     assert jaccard.classes(docs.limit(0)).collect() == []
+    first = {(r.doc_id, r.n_shingles): r.is_first for r in jaccard.classes(docs, 4, 85).collect()}
+    assert first == {(None, 0): True, (None, 17): True, (4, 17): False, (7, 0): True, (8, 1): True, (9, 1): False}
+
+
+def test_one_id_with_two_texts(spark):
+    """Of two texts under one id only the one that is a near copy of another document is no first."""
+    w = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:59])), (2, "quite another text of its own with more than a few words"), (3, " ".join(w)), (3, " ".join(w[1:]))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.is_first) for r in jaccard.classes(docs, 5, 80).collect())
+    assert got == [(1, 56, 1, True), (2, 8, 2, True), (2, 55, 1, False), (3, 55, 1, False), (3, 56, 1, False)]
 
 
 def test_linked_sets_share_a_part():

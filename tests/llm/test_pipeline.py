@@ -1,7 +1,10 @@
+from collections import Counter
+
 import corpus_pipeline
+import duckdb
 from cases import make_docs
 
-from plumbline.llm import bpe, jaccard, quality
+from plumbline.llm import bpe, jaccard, mixing, quality
 
 
 def test_stages(spark, tmp_path):
@@ -21,5 +24,8 @@ def test_stages(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in clean.collect())
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} <= want and out.count()
+    documents = clean.toPandas()  # noqa: F841
+    taken = duckdb.connect().execute(f"SELECT doc_id, (taken // size)::INT FROM ({mixing.ORACLE}) WHERE taken > 0").fetchall()
+    assert Counter(r.doc_id for r in out.collect()) == dict(taken) and len(taken) > 5
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert {r.doc_id: bytes(r.bytes).decode() for r in bpe.decoded(out).collect()}.items() <= texts.items()

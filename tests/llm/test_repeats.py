@@ -26,7 +26,25 @@ def test_bytes(spark, window):
     assert sum(x[1] for x in got.values()) > 100
 
 
-def test_heavy_anchors_take_the_other_way(spark, monkeypatch):
+def test_production_windows(spark):
+    """400 bytes and 20 words on the driver's own documents, where they are there, and on long texts made here."""
+    import os
+    import random
+
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("the of and to in is was for on with as by at".split()) + str(r.randrange(40)) for _ in range(r.randint(50, 400)))) for i in range(40)]
+    part = rows[3][1][100:900]
+    rows += [(100 + i, f"{r.random()} {part[: 380 + 10 * i]} {r.random()}") for i in range(6)] + [(200, rows[7][1]), (201, rows[7][1]), (202, rows[8][1] + "x")]
+    folder = "/root/testdata/sf0.001/documents.parquet"
+    if os.path.exists(folder):
+        rows += [(1000 + x.doc_id, x.text) for x in spark.read.parquet(folder).select("doc_id", "text").collect() if len(x.text or "") < 20_000]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_index.digest(frame(spark, rows), 400).collect()}
+    assert got == suffix_index.brute(rows, 400) and sum(x[1] > 0 for x in got.values()) > 8
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in rlz.digest(frame(spark, rows), 20).collect()}
+    assert got == rlz.brute(rows, 20)
+
+
+def test_heavy_anchors_take_a_second_one(spark, monkeypatch):
     monkeypatch.setattr(anchors, "HEAVY", 1)
     rows = make_docs(seed=3)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rlz.digest(frame(spark, rows), 6).collect()}
