@@ -14,30 +14,34 @@ from plumbline.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go; very long texts are measured whole, columns stay as they are."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the least id stays."""
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the least id stays (of several
+    texts under that id, the one of least hash).  Documents go by id and text, so another text under the same id, or under
+    a null one, is judged by itself; of rows alike in both, one stays."""
     classes = jaccard.classes(docs, size=5, threshold=80)
-    gone = classes.where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    gone = classes.where("not is_first").select(F.col("doc_id").alias("gone_id"), "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by <secret>; n_chars follows the text."""
+    """Secrets are replaced by <secret>; n_chars follows the text.  No row goes, null texts and other columns stay."""
     out = secrets.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it."""
+    """Each document as many times as the mix of sources takes it; its columns stay, repeated rows are taken alike."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of ids and of the decoded text."""
+    """Token ids of each document, with the digests of ids and of the decoded text; a null text has no tokens, repeated rows
+    give repeated results, other columns end here."""
     return bpe.encoded(docs, ids=True)
 
 
