@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 
-WEIGHTS, PERCENT, MOST, DRAWS = (3, 1, 2), 150, 2, 32
+WEIGHTS, PERCENT, MOST, DRAWS = (3, 1, 2), 150, 2, 8
 
 
 def _draws(seed: str, name: F.Column, part: F.Column) -> F.Column:
     """For each draw whether a number in [0, 1) lies below `part`; 8 hex digits of an md5 each, alike in other SQL engines."""
     digits = F.concat(*[F.md5(F.concat(F.lit(f"{seed}:{k}:"), name)) for k in range(DRAWS // 4)])
-    return F.array(*[(F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) < part).cast("long") for k in range(DRAWS)])
+    number = lambda k: F.conv(F.substring(digits, 8 * k + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.transform(F.array(*map(F.lit, range(DRAWS))), lambda k: (number(k) < part).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:

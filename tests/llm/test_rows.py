@@ -196,7 +196,7 @@ def test_mix(spark):
         x = by.setdefault(r.source, [0, r.target, 0])
         x[0] += r.size * r.n
         x[2] = max(x[2], r.size)
-    assert all(abs(a - b) <= c / 2 for a, b, c in by.values()) and None in by
+    assert all(abs(a - b) <= c for a, b, c in by.values()) and None in by
     near = {r.source: (r.taken, r.target) for r in mixing.deviations(docs).collect()}
     assert near == {k: (a, b) for k, (a, b, _) in by.items()}
     clash = docs.withColumn("copies", F.lit(9)).withColumn("copiesn", F.lit("y"))
