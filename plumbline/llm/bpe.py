@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import slabs
+from plumbline.llm.common import slabs, small_batches
 
 #: Words or pieces a task remembers; words a query takes at once; bytes from which a word or piece is not remembered;
 #: from which a word is cut up; tokens from which a part of it is cut by rank; and bytes of text coded at once.
@@ -382,7 +382,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(work, schema)
 
 
 def decoded(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLAB_BYTES = 1 << 20
+SLAB_BYTES, ROWS = 1 << 20, 1000
 POS_BITS = np.uint64(30)
 POS_MASK = np.uint64((1 << 30) - 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,6 +70,15 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Python workers of its session getting at most `ROWS` rows at once: rows here are whole texts, and Spark's
+    10,000 of them are tens of MB, held by the JVM and the worker alike."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -187,4 +196,4 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, text): rows alike in id and text share a key and count as one document."""
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return small_batches(df).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))

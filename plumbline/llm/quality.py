@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import grams, mix, slabs, word_hashes, words
+from plumbline.llm.common import grams, mix, slabs, small_batches, word_hashes, words
 
 MIN_WORDS, BASE_N, BASE_PERCENT = 10, 5, 20
 #: n-gram length -> largest share of word characters inside n-grams seen before; and inside the most frequent n-gram.
@@ -139,7 +139,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 found = measures(raw, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, found.values())], names=["doc_id", *found])
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"doc_id {kind}, {SCHEMA}")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(work, f"doc_id {kind}, {SCHEMA}")
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -152,7 +152,7 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
             flags = [measures(raw, offsets)["kept"] for _, _, raw, offsets in slabs(column, column)]
             yield batch.filter(pa.array(np.concatenate(flags) if flags else np.zeros(0, bool)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return small_batches(docs).mapInArrow(work, docs.schema)
 
 
 def brute(text: str | None) -> tuple:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slabs, word_hashes
+from plumbline.llm.common import slabs, small_batches, word_hashes
 
 #: The patterns, in the order of kinds.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -301,7 +301,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(v, t) for v, t in zip(out, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base_sha256", "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(work, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
@@ -330,4 +330,4 @@ def redacted(docs: DataFrame, text_col: str = "text", field: Field | None = None
             columns[k] = pa.array(new, column.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(work, docs.schema)
+    return small_batches(docs).mapInArrow(work, docs.schema)
