@@ -120,11 +120,10 @@ class PredictionStore:
 
     def have(self, key: str, dataset: str, entity: str) -> set[int]:
         """The folds that are there; none if nothing has been stored yet."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return set()
-        rows = self.folds().where((F.col("run_key") == key) & (F.col("dataset") == dataset) & (F.col("entity") == entity))
-        return {int(r.fold) for r in rows.collect()}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/run_key={key}/dataset={dataset}/entity={entity}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in (fs.listStatus(path) if fs.exists(path) else [])]
+        return {int(n.removeprefix("fold=")) for n in names if n.startswith("fold=")}
 
     def summary(self) -> DataFrame:
         """run_key, dataset, entity, folds (their numbers, in order), n."""
