@@ -30,7 +30,7 @@ from plumbline.llm.common import slabs, small_batches
 
 #: Words or pieces a task remembers; words a query takes at once; bytes from which a word or piece is not remembered;
 #: from which a word is cut up; tokens from which a part of it is cut by rank; and bytes of text coded at once.
-MEMO, BATCH, LONG, WHOLE, PART, LOT = 400_000, 40_000, 200, 64, 96, 4 << 20
+MEMO, BATCH, LONG, WHOLE, PART, LOT = 200_000, 40_000, 200, 64, 96, 4 << 20
 
 ENCODE = """
 WITH RECURSIVE state(w, toks, step) USING KEY (w) AS (
@@ -100,6 +100,16 @@ class Codec:
         self.db.unregister("given_words")
         self.words, self.pieces = Memo(MEMO), Memo(2 * MEMO)
 
+    def __enter__(self) -> Codec:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Gives back what a task has held: its worker goes on to other tasks, of other operators too."""
+        self.db.close()
+        self.words, self.pieces = Memo(0), Memo(0)
+        _entries.cache_clear()
+        pa.default_memory_pool().release_unused()
+
     def contract(self, flat: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Lists of tokens (flat, with their ends) after all contractions of rank `limit` or less."""
         toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
@@ -360,7 +370,10 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path or default_path(), pattern or default_pattern())
+        with Codec(path or default_path(), pattern or default_pattern()) as own:
+            yield from coded(own, batches)
+
+    def coded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offsets in slabs(batch.column(0), batch.column(1), LOT):
                 n = b - a
@@ -391,12 +404,12 @@ def decoded(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", id
     kind = rows.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path or default_path(), default_pattern())
-        for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                lists = [np.array([x for x in some or [] if x is not None], np.int32) for some in part.column(1).to_pylist()]
-                text = own.decode(np.concatenate(lists), np.cumsum([0, *map(len, lists)]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.binary())], names=["doc_id", "bytes"])
+        with Codec(path or default_path(), default_pattern()) as own:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 200):
+                    part = batch.slice(a, 200)
+                    lists = [np.array([x for x in some or [] if x is not None], np.int32) for some in part.column(1).to_pylist()]
+                    text = own.decode(np.concatenate(lists), np.cumsum([0, *map(len, lists)]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.binary())], names=["doc_id", "bytes"])
 
     return rows.select(id_col, ids_col).mapInArrow(work, f"doc_id {kind}, bytes binary")
