@@ -149,3 +149,17 @@ def test_quantiles_of_many_values(spark):
     for g in (0, 1):
         v = [r.v for r in df.where(f"g = {g}").collect() if r.v is not None]
         assert np.allclose(got[g], np.quantile(v, qs), rtol=0, atol=1e-9)
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    """The windowed counts of a stream of files, in two batches, are those of the whole table."""
+    from plumbline.streaming import counts
+
+    df = spark.range(200).selectExpr("timestamp_seconds(id * 600) as ts", "concat('e', id % 2) as entity", "id % 3 % 2 as y_true", "id % 5 % 2 as y_pred")
+    for i, part in enumerate((df.where("ts < '1970-01-01 16:00:00'"), df.where("ts >= '1970-01-01 16:00:00'"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = counts.windowed(stream, width="6 hours").writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert key(spark.table("counted")) == key(counts.windowed(df, width="6 hours"))
