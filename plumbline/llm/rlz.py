@@ -1,9 +1,11 @@
 """Substring dedup by relative Lempel-Ziv parsing of word windows.
 
 A reference block holds the earlier runs of windows that share an anchor (see `anchors`); a later run is
-parsed against it greedily: at each word the longest factor that the block holds, else one literal word.
-A factor that covers a whole window is long enough to be a duplicate span; the parse then goes on at the
-first window that the factor did not cover, so that matches across a factor's end are found as well.
+parsed against it greedily: a factor starts at the earliest place where the block holds the next window and goes on as
+long as the block does; a window that the block does not hold is one literal word.  A factor thus covers whole
+windows, so it is long enough to be a duplicate span; the parse then goes on at the first window that the factor did not
+cover, so that matches across a factor's end are found as well.  Other places of the same window would give factors of
+other lengths, but the same windows in all.
 Only blocks that share an anchor with a document can hold a factor of `window` words of it, hence every
 block that matters is visited and no other.
 """
@@ -32,7 +34,7 @@ class ReferenceBlock:
         self.first: dict[int, int] = {}
 
     def parse(self, run: list[int]) -> list[tuple[int, int]]:
-        """(first window, number of windows) of each factor of the greedy parse that holds a whole window."""
+        """(first window, number of windows) of each factor of the greedy parse."""
         out, i, n, text = [], 0, len(run), self.text
         while i < n:
             at = self.first.get(run[i])
@@ -88,7 +90,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every word of a duplicate span goes, the rest is joined by single spaces.
 
     Null and empty texts have no words.  Rows alike in doc_id and text count as one document and get equal
-    results; a null doc_id is the smallest.  Further columns of docs play no part.
+    results; a null doc_id is the smallest.  Of copies under several ids the one of least id stays; a very long text is one
+    row of one task.  Further columns of docs play no part, whatever their names.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
