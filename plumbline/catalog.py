@@ -564,4 +564,3 @@ def _numbered(s: SparkSession, d: str) -> DataFrame:
 _register("numbered_ids", "SELECT o_orderstatus, o_orderpriority, count(*) AS ids FROM orders GROUP BY ALL", "o_orderstatus o_orderpriority", "ids")(_numbered)
 _register("length_by_type", f"WITH {BASE} SELECT dataset, count(*) AS n, avg(pa) AS mean, quantile_cont(pa, 0.5) AS median, stddev_samp(pa) AS std, min(pa) AS least, max(pa) AS most FROM base WHERE kind = 'F' GROUP BY dataset", "dataset", "n", "mean median std least most")(lambda s, d: profile.length_summary(base(s, d).where("kind = 'F'"), ["dataset"], "pa"))
 _register("shapley_sampled", None)(_models(lambda m, s, rows: (lambda model: m.shapley_sampled(model, rows, FEATURES, 2).select("sample_id", "base", F.aggregate(F.map_values("phi"), F.lit(0.0), lambda a, x: a + x).alias("total"), "y_prob"))(m.fit(rows, FEATURES, "y", "logistic", regParam=0.001))))
-_register("step_ablation", None)(_models(lambda m, s, rows: transfer.ablation_tests(m.step_ablation(rows, FEATURES, "y", m.Plan("logistic", {"regParam": 0.001}, calibrate=2, inner=2), 2))))
