@@ -6,6 +6,7 @@ Exit codes: 0 done, 1 failed, 2 bad input or settings, 130 interrupted, 143 term
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import signal
 import sys
@@ -90,13 +91,19 @@ def _read(spark, path: str, a: argparse.Namespace, distinct: bool):
 def _save(title: str, tables: dict, out: str) -> None:
     """Each table to its folder of Parquet and, small as they are, a page and a text of all."""
     from plumbline import report
+    from plumbline.sources import files
 
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
     stored = {name: df.sparkSession.read.schema(df.schema).parquet(f"{out}/{name}") for name, df in tables.items()}
     if "://" not in out:
         Path(out, "report.html").write_text(report.page(title, stored))
-        Path(out, "report.txt").write_text(report.text(title, stored))
+        lines = {"pairwise": report.comparison_line, "ablation": report.ablation_line, "steps": report.ablation_line}
+        words = [line(r) for name, line in lines.items() if name in stored for r in stored[name].limit(report.SHOWN).collect()]
+        Path(out, "report.txt").write_text(report.text(title, stored) + "".join(f"\n{w}" for w in ["", *words]))
+        spark = next(iter(tables.values())).sparkSession
+        rows = [r.asDict() for r in files.manifest(spark, out).collect()]
+        Path(out, "manifest.json").write_text(json.dumps(rows, indent=1, default=str))
 
 
 def run(a: argparse.Namespace, spark=None) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
@@ -16,6 +18,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def subset(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns that are there; those that are not are warned of."""
+    if gone := [c for c in wanted if c not in df.columns]:
+        warnings.warn(f"no columns {gone}", stacklevel=2)
     return df.select(*[c for c in wanted if c in df.columns])
 
 

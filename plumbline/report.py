@@ -28,6 +28,21 @@ def page(title: str, tables: dict[str, DataFrame], shown: int = SHOWN) -> str:
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1><nav>{nav}</nav>{"".join(parts)}</body></html>'
 
 
+def comparison_line(r) -> str:
+    """One test of `paired.compare` in words."""
+    p = "p < 0.001" if r.p_value_corrected < 0.001 else f"p = {r.p_value_corrected:.3f}"
+    verdict = f"{r.better} is better" if r.significant and r.better else "no significant difference"
+    if r.test == "delong":
+        return f"{r.name_a} and {r.name_b}: AUROC {r.auroc_a:.3f} and {r.auroc_b:.3f}, difference {r.auroc_diff:+.3f}, {p}; {verdict}"
+    return f"{r.name_a} and {r.name_b}: right alone on {r.discordant_b} and {r.discordant_c} of {r.n_total}, {p}; {verdict}"
+
+
+def ablation_line(r) -> str:
+    """One row of `transfer.ablation_tests` in words."""
+    p = "" if r.p_holm is None else f", corrected p {r.p_holm:.3f}" + (" *" if r.significant else "")
+    return f"without {r.name}: {r.metric} {r.baseline:.4f} to {r.ablated:.4f} ({r.delta_pct:+.1f}% lost{p})"
+
+
 def text(title: str, tables: dict[str, DataFrame], shown: int = SHOWN) -> str:
     out = [title, "=" * len(title)]
     for name, df in tables.items():

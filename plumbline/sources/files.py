@@ -72,9 +72,10 @@ def read(spark: SparkSession, root: str, name: str, columns: list[str] | None =
 def read_mixed(spark: SparkSession, path: str, pattern: str = "[,\t]") -> DataFrame:
     """A text table whose lines may use either of several delimiters."""
     lines = spark.read.text(path)
-    names = re.split(pattern, lines.first().value)
+    head = lines.first().value
+    names = re.split(pattern, head)
     parts = F.split("value", pattern)
-    return _typed(lines.select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]).where(F.col(f"`{names[0]}`") != names[0]))
+    return _typed(lines.where(F.col("value") != head).select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]))
 
 
 def read_many(spark: SparkSession, root: str, configs: list[dict]) -> DataFrame:

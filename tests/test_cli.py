@@ -37,6 +37,8 @@ def test_compare(spark, table, tmp_path):
     got = {r.entity for r in spark.read.parquet(f"{out}/metrics").collect()}
     assert {"logistic", "r1", "r2"} <= got and len(got) > 3
     assert "pairwise" in (tmp_path / "out" / "report.html").read_text()
+    assert "right alone on" in (tmp_path / "out" / "report.txt").read_text()
+    assert any("metrics" in f["path"] for f in json.loads((tmp_path / "out" / "manifest.json").read_text()))
 
 
 def test_train_predict_evaluate(spark, table, tmp_path):
