@@ -70,8 +70,8 @@ def probes_needed(x: np.ndarray, centres: np.ndarray, turn: np.ndarray, top: flo
 
 def scan(queries: np.ndarray, block: np.ndarray, k: int, step: int = STEP, epsilon: float = EPSILON, lot: int = LOT) -> list[np.ndarray]:
     """For each rotated query, positions in the block of its k nearest (and of those as near as the last) that were not
-    abandoned.  The first columns of all pairs of a lot are one matrix product, the others are looked at for the pairs
-    that are left."""
+    abandoned.  While a query has no k distances yet there is nothing to test against, and a lot is one matrix product;
+    later the first columns of all its pairs are, and the others are looked at for the pairs that are left."""
     n, d = block.shape
     out: list[np.ndarray] = []
     for a in range(0, len(queries), lot):
@@ -84,6 +84,15 @@ def scan(queries: np.ndarray, block: np.ndarray, k: int, step: int = STEP, epsil
         for b in range(0, n, lot):
             x = block[b : b + lot]
             worst = best[:, -1]
+            if not np.isfinite(worst).all():
+                full = np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0)
+                both = np.concatenate([best, full], axis=1)
+                best = np.sort(np.partition(both, k - 1, axis=1)[:, :k], axis=1)
+                i, j = np.nonzero(full <= best[:, -1:] * (1 + 1e-9) + 1e-12)
+                rows.append(i)
+                places.append(j + b)
+                dists.append(full[i, j])
+                continue
             part = np.maximum(q2 + (x[:, :head] ** 2).sum(1) - 2 * q[:, :head] @ x[:, :head].T, 0)
             bound = lambda seen: worst * (1 + epsilon / np.sqrt(seen)) ** 2
             i, j = np.nonzero(part * (d / head) <= bound(head)[:, None]) if head < d else np.nonzero(part <= np.inf)
