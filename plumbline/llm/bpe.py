@@ -30,7 +30,7 @@ from plumbline.llm.common import slabs, small_batches
 
 #: Words or pieces a task remembers; words a query takes at once; bytes from which a word or piece is not remembered;
 #: from which a word is cut up; tokens from which a part of it is cut by rank; and bytes of text coded at once.
-MEMO, BATCH, LONG, WHOLE, PART, LOT = 100_000, 16_000, 200, 64, 96, 1 << 20
+MEMO, BATCH, LONG, WHOLE, PART, LOT = 100_000, 16_000, 200, 64, 96, 2 << 20
 
 ENCODE = """
 WITH RECURSIVE state(w, toks, step) USING KEY (w) AS (
