@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ann, bpe, compaction, jaccard, licenses, mixing, quality, rlz, secrets, suffix_index
+from plumbline.llm import ann, bpe, compaction, hash_index, infill, jaccard, licenses, mixing, quality, rlz, secrets, suffix_index, trie
 from plumbline.llm.common import table
 
 
@@ -50,10 +50,25 @@ def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.digest(table(spark, sf_dir, "documents"), 20)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rollup(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_index.copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_bpe, op2_secret_field, op3_source_mix, op4_tiered_shards, op5_license_rules, op6_suffix_index, op7_adaptive_scan, op8_repetition, op9_jaccard_join, op10_relative_lz)
+    ops = (op1_bpe, op2_secret_field, op3_source_mix, op4_tiered_shards, op5_license_rules, op6_suffix_index, op7_adaptive_scan, op8_repetition, op9_jaccard_join, op10_relative_lz, op11_prefix_trie, op12_fill_in_middle, op13_hash_index)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.ORACLE, "op4_tiered_shards": compaction.ORACLE, "op5_license_rules": licenses.oracle()}
+    return {
+        "op3_source_mix": mixing.ORACLE, "op4_tiered_shards": compaction.ORACLE, "op5_license_rules": licenses.oracle(),
+        "op11_prefix_trie": trie.ORACLE, "op12_fill_in_middle": infill.ORACLE, "op13_hash_index": hash_index.ORACLE,
+    }
