@@ -175,11 +175,11 @@ _register("youden_by_fold", _p(f", {_youden_sql('entity, fold')} SELECT * FROM y
 _register("metrics_at_threshold", _p(f"SELECT entity, {METRICS['recall_1']} AS sens, {METRICS['recall_0']} AS spec, {METRICS['recall_1']} + {METRICS['recall_0']} - 1 AS j FROM ({_counts('entity', '(SELECT * FROM pred WHERE y_prob IS NOT NULL)', '(y_prob >= 6e-1)::INT')})"), "entity", doubles="sens spec j")(
     lambda s, d: metrics.at_threshold(predictions(s, d), ["entity"], F.lit(0.6))
 )
-_register("threshold_summary", _p(f", {_youden_sql('entity, fold')} SELECT entity, avg(threshold) AS mean, stddev_pop(threshold) AS std, avg(j) AS j, avg(sens) AS sens, avg(spec) AS spec FROM youden GROUP BY entity"), "entity", doubles="mean std j sens spec")(
-    lambda s, d: metrics.youden(folded(s, d), ["entity", "fold"]).groupBy("entity").agg(F.avg("threshold").alias("mean"), F.stddev_pop("threshold").alias("std"), F.avg("j").alias("j"), F.avg("sens").alias("sens"), F.avg("spec").alias("spec"))
+_register("threshold_summary", _p(f", {_youden_sql('entity, fold')} SELECT entity, round(avg(threshold), 12) AS mean, stddev_pop(threshold) AS std, round(avg(j), 12) AS j, round(avg(sens), 12) AS sens, round(avg(spec), 12) AS spec FROM youden GROUP BY entity"), "entity", doubles="mean std j sens spec")(
+    lambda s, d: metrics.youden(folded(s, d), ["entity", "fold"]).groupBy("entity").agg(metrics.fold_mean("threshold").alias("mean"), F.stddev_pop("threshold").alias("std"), metrics.fold_mean("j").alias("j"), metrics.fold_mean("sens").alias("sens"), metrics.fold_mean("spec").alias("spec"))
 )
-_register("threshold_from_folds", _p(f", {_youden_sql('entity, fold')}, t AS (SELECT entity, avg(threshold) AS threshold FROM youden GROUP BY entity) SELECT entity, threshold, {METRICS['recall_1']} AS sens, {METRICS['recall_0']} AS spec FROM ({_counts('entity, threshold', '(SELECT p.* EXCLUDE threshold, t.threshold FROM pred p JOIN t USING (entity))', '(y_prob >= threshold)::INT')})"), "entity", doubles="threshold sens spec")(
-    lambda s, d: metrics.confusion(folded(s, d).drop("threshold").join(F.broadcast(metrics.youden(folded(s, d), ["entity", "fold"]).groupBy("entity").agg(F.avg("threshold").alias("threshold"))), "entity"), ["entity", "threshold"], (F.col("y_prob") >= F.col("threshold")).cast("int")).select("entity", "threshold", metrics.scores()["recall_1"].alias("sens"), metrics.scores()["recall_0"].alias("spec"))
+_register("threshold_from_folds", _p(f", {_youden_sql('entity, fold')}, t AS (SELECT entity, round(avg(threshold), 12) AS threshold FROM youden GROUP BY entity) SELECT entity, threshold, {METRICS['recall_1']} AS sens, {METRICS['recall_0']} AS spec FROM ({_counts('entity, threshold', '(SELECT p.* EXCLUDE threshold, t.threshold FROM pred p JOIN t USING (entity))', '(y_prob >= threshold)::INT')})"), "entity", doubles="threshold sens spec")(
+    lambda s, d: metrics.confusion(folded(s, d).drop("threshold").join(F.broadcast(metrics.cv_threshold(folded(s, d))), "entity"), ["entity", "threshold"], (F.col("y_prob") >= F.col("threshold")).cast("int")).select("entity", "threshold", metrics.scores()["recall_1"].alias("sens"), metrics.scores()["recall_0"].alias("spec"))
 )
 _register("apply_threshold", _p("SELECT entity, fold, sum(CASE WHEN y_prob >= coalesce(threshold, 5e-1) THEN 1 ELSE 0 END) AS n_called, count(*) AS n FROM pred WHERE y_prob IS NOT NULL GROUP BY ALL"), "entity", "fold n_called n")(
     lambda s, d: folded(s, d).where("y_prob is not null").groupBy("entity", "fold").agg(F.sum((F.col("y_prob") >= F.coalesce("threshold", F.lit(0.5))).cast("int")).alias("n_called"), F.count("*").alias("n"))
@@ -474,7 +474,7 @@ def _auto(s: SparkSession, d: str) -> DataFrame:
 _register("auto_threshold", _p(f""", p2 AS (SELECT dataset || '|' || entity AS entity, fold, y_true, y_prob FROM pred WHERE y_prob IS NOT NULL),
  {_curve_sql('entity').replace('FROM pred WHERE y_prob IS NOT NULL', 'FROM p2')}, {_curve_sql('entity, fold').replace('FROM pred WHERE y_prob IS NOT NULL', 'FROM p2').replace('points', 'points2').replace('sums', 'sums2').replace('curve', 'curve2')},
  o AS (SELECT entity, y_prob AS t FROM curve QUALIFY row_number() OVER (PARTITION BY entity ORDER BY round(tpr - fpr, 12) DESC, y_prob DESC) = 1),
- c AS (SELECT entity, avg(y_prob) AS t FROM (SELECT * FROM curve2 QUALIFY row_number() OVER (PARTITION BY entity, fold ORDER BY round(tpr - fpr, 12) DESC, y_prob DESC) = 1) GROUP BY entity),
+ c AS (SELECT entity, round(avg(y_prob), 12) AS t FROM (SELECT * FROM curve2 QUALIFY row_number() OVER (PARTITION BY entity, fold ORDER BY round(tpr - fpr, 12) DESC, y_prob DESC) = 1) GROUP BY entity),
  n AS (SELECT entity, count(*) AS n FROM p2 GROUP BY entity)
  SELECT entity, CASE WHEN n < 1000 THEN 'oof' ELSE 'cv' END AS method, CASE WHEN n < 1000 THEN o.t ELSE c.t END AS threshold FROM n JOIN o USING (entity) JOIN c USING (entity)"""), "entity method", doubles="threshold")(_auto)
 

@@ -104,9 +104,15 @@ def method_for(n: int, cut: int = 1000) -> str:
     return "oof" if n < cut else "cv"
 
 
+def fold_mean(c: str) -> Column:
+    """The mean of few values at twelve decimals: whatever the order in which they are added, a mean that lies halfway
+    between two shorter numbers is the same double, and is rounded alike later."""
+    return F.round(F.avg(c), 12)
+
+
 def cv_threshold(oof: DataFrame) -> DataFrame:
     """entity, threshold: the mean of the folds' Youden thresholds."""
-    return youden(oof, ["entity", "fold"]).groupBy("entity").agg(F.avg("threshold").alias("threshold"))
+    return youden(oof, ["entity", "fold"]).groupBy("entity").agg(fold_mean("threshold").alias("threshold"))
 
 
 def threshold_of(oof: DataFrame, method: str) -> float:
