@@ -51,6 +51,7 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--combination", dest="combinations", action="append", help='"A AND B"; may be repeated')
             c.add_argument("--correction")
             c.add_argument("--bootstrap", type=int)
+            c.add_argument("--explain", action="store_true", default=None, help="the share of each feature in each score, kept beside the predictions")
         if name == "ablation":
             c.add_argument("--feature-groups", help="JSON or YAML: group to columns")
             c.add_argument("--steps", action="store_true", help="also without scaling, calibration and threshold")

@@ -187,9 +187,10 @@ def calibrated(train: DataFrame, test: DataFrame, features: list[str], target: s
     return score(fit_calibrated(train, features, target, name, k, **params), test, features)
 
 
-def out_of_fold_parts(df: DataFrame, features: list[str], target: str, name: str | Plan, k: int, seed: int = 42, only: list[int] | None = None, **params) -> Iterator[tuple[int, DataFrame]]:
+def out_of_fold_parts(df: DataFrame, features: list[str], target: str, name: str | Plan, k: int, seed: int = 42, only: list[int] | None = None, fitted: dict[int, PipelineModel] | None = None, **params) -> Iterator[tuple[int, DataFrame]]:
     """Each fold's number and its predictions: sample_id, fold, entity, y_true, y_prob, threshold, y_pred, parameters (JSON),
-    by models of the other folds; search, calibration and threshold happen inside them.  `only` names the folds wanted."""
+    by models of the other folds; search, calibration and threshold happen inside them.  `only` names the folds wanted;
+    `fitted`, if given, gets the model of each."""
     plan = name if isinstance(name, Plan) else Plan(name, {p: v for p, v in params.items() if p not in ("missing", "scale")}, missing=params.get("missing"), scale=params.get("scale", True), seed=seed)
     rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed).persist()
     seeds = fold_seeds(seed, k)
@@ -200,7 +201,10 @@ def out_of_fold_parts(df: DataFrame, features: list[str], target: str, name: str
         if plan.name in SEEDED:
             best = {"seed": seeds[i]} | best
         threshold = tuned(train, features, target, plan, best)
-        out = score(trained(train, features, target, plan, best), test, features)
+        model = trained(train, features, target, plan, best)
+        if fitted is not None:
+            fitted[i] = model
+        out = score(model, test, features)
         return out.select(
             "sample_id", "fold", F.lit(plan.name).alias("entity"), F.col(target).cast("int").alias("y_true"), "y_prob", F.lit(threshold).alias("threshold"),
             (F.col("y_prob") >= threshold).cast("int").alias("y_pred"), F.lit(json.dumps(best, sort_keys=True)).alias("parameters"),

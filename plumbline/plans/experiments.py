@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import clean, errors, folds, intervals, metrics, models, paired, profile, rules, shift, transfer
+from plumbline.operators import clean, errors, explain, folds, intervals, metrics, models, paired, profile, rules, shift, transfer
 from plumbline.settings import Settings
 from plumbline.sources import artifacts
 from plumbline.sources.files import PredictionStore, run_key
@@ -61,9 +61,11 @@ def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
     for name in s.models:
         missing = sorted(set(range(s.outer)) - store.have(key, "all", name))
         if missing:
-            for i, part in models.out_of_fold_parts(rows, features, s.target, plan(name, s), s.outer, s.seed, missing):
-                store.put(part.withColumn("dataset", F.lit("all")), key)
+            fitted: dict = {}
+            for i, part in models.out_of_fold_parts(rows, features, s.target, plan(name, s), s.outer, s.seed, missing, fitted):
+                store.put_fold(part, key, "all", name, i, None if name == "knn" else fitted.pop(i))
     pred = store.get(key).withColumn("entity_type", F.lit("model"))
+    found = learned(rows, features, s, store, key, f"{out}/explanations")
     if s.rules:
         rules.validate(rows, s.rules, s.target)
         expressions = [*(rules.defaults(s.rules) if s.default_combinations and len(s.rules) > 1 else []), *s.combinations]
@@ -88,7 +90,36 @@ def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
         "profile": profile.continuous(rows, features),
         "correlations": profile.correlation_matrix(rows, features),
         "best": summary.where(F.col("metric") == s.primary).select("entity", F.col("mean").alias(s.primary)).orderBy(F.desc(s.primary), "entity").limit(1),
-    }
+    } | found
+
+
+def learned(rows: DataFrame, features: list[str], s: Settings, store: PredictionStore, key: str, folder: str) -> dict[str, DataFrame]:
+    """What the models of the folds have learned: importances by fold and their ranks; and, where settings ask for it, the
+    shares of the features in each score (of tree and linear models), kept in a cache that later runs read."""
+    spark, each, shares = rows.sparkSession, [], []
+    cache = explain.Cache(spark, folder)
+    dealt = folds.stratified(rows, s.outer, s.target, "sample_id", seed=s.seed) if s.explain else None
+    for name in s.models:
+        for i in sorted(store.have(key, "all", name)):
+            model = None if name == "knn" else store.model(key, "all", name, i)
+            if model is None:
+                continue
+            each += [(name, i, f, float(v)) for f, v in models.importances(model, features)]
+            if s.explain and explain.explained_stage(model) is not None:
+                test = dealt.where(F.col("fold") == i)
+                digest = cache.digest(test, features, key)
+                got = cache.get(name, i, digest)
+                if got is None:
+                    got = cache.put(explain.explain(model, test, features, dealt.where(F.col("fold") != i)), name, i, digest)
+                shares.append(got.select(F.lit(name).alias("entity"), F.lit(i).alias("fold"), "sample_id", "base", "phi", "score"))
+    by_fold = spark.createDataFrame(each, "entity string, fold int, feature string, value double")
+    out = {"importances_by_fold": by_fold, "importances": transfer.importance_ranks(by_fold)}
+    if shares:
+        every = reduce(DataFrame.unionByName, shares)
+        out |= {"explanations": every, "mean_shares": explain.mean_shares(every, ["entity"])}
+    if s.explain:
+        out["explanation_cache"] = spark.createDataFrame([(cache.hits, cache.misses)], "read int, computed int")
+    return out
 
 
 def cross(df: DataFrame, s: Settings) -> dict[str, DataFrame]:

@@ -32,6 +32,7 @@ class Settings:
     search: bool = False
     search_budget: int | None = None
     scale: bool = True
+    explain: bool = False
     bootstrap: int = 1000
     level: float = 0.95
     primary: str = "mcc"

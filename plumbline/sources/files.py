@@ -9,10 +9,12 @@ import posixpath
 import re
 from pathlib import Path
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.clean import MISSING, pooled
+from plumbline.operators.metrics import all_metrics
 
 
 def confined(root: str, name: str) -> str:
@@ -106,25 +108,83 @@ def run_key(settings: dict, df: DataFrame) -> str:
 
 
 class PredictionStore:
-    """Out-of-fold predictions as Parquet by run, dataset, entity and fold; a fold that is there need not be trained again."""
+    """Out-of-fold predictions as Parquet by run, dataset, entity and fold, each fold with its record and, if it can be
+    saved, its model.  A fold is there once its marker is, which is written last: what a run left behind before that is
+    overwritten by the next."""
 
     KEYS = ("run_key", "dataset", "entity", "fold")
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def put(self, pred: DataFrame, key: str) -> None:
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _folder(self, kind: str, key: str, dataset: str, entity: str) -> str:
+        # names that begin with an underscore are none of the table's
+        return f"{self.root}/_{kind}/run_key={key}/dataset={dataset}/entity={entity}"
+
+    def _listed(self, path: str) -> list[str]:
+        fs, at = self._at(path)
+        return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _write(self, pred: DataFrame, key: str) -> None:
         pred.withColumn("run_key", F.lit(key)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*self.KEYS).parquet(self.root)
 
+    def put(self, pred: DataFrame, key: str) -> None:
+        """Predictions of any number of datasets, entities and folds, committed by fold."""
+        self._write(pred, key)
+        for r in self.spark.read.parquet(self.root).where(F.col("run_key") == key).groupBy(*self.KEYS[1:]).agg(F.count("*").alias("n")).collect():
+            if int(r.fold) not in self.have(key, r.dataset, r.entity):
+                self.commit(key, r.dataset, r.entity, int(r.fold), {"n": r.n})
+
+    def put_fold(self, pred: DataFrame, key: str, dataset: str, entity: str, fold: int, model=None, **record) -> None:
+        """One fold: predictions, then its model, then its metrics and marker."""
+        self._write(pred.withColumn("dataset", F.lit(dataset)), key)
+        if model is not None:
+            model.write().overwrite().save(f"{self._folder('models', key, dataset, entity)}/fold={fold}")
+        one = self.spark.read.parquet(f"{self.root}/run_key={key}/dataset={dataset}/entity={entity}/fold={fold}")
+        found = all_metrics(one.withColumn("entity", F.lit(entity)), ["entity"]).first()
+        self.commit(key, dataset, entity, fold, record | {"n": one.count(), "model": model is not None, "metrics": found.asDict() if found else {}})
+
+    def commit(self, key: str, dataset: str, entity: str, fold: int, record: dict) -> None:
+        """Writes the marker of a fold; from then on it is there."""
+        path = f"{self._folder('folds', key, dataset, entity)}/fold={fold}.json"
+        fs, at = self._at(f"{path}.part")
+        out = fs.create(at, True)
+        out.write(bytearray(json.dumps(record, sort_keys=True, default=str).encode()))
+        out.close()
+        fs.delete(self._at(path)[1], False)
+        fs.rename(at, self._at(path)[1])
+
+    def record(self, key: str, dataset: str, entity: str, fold: int) -> dict:
+        """What was recorded with a fold: number of rows, metrics, whether its model is kept, and what the run added."""
+        fs, at = self._at(f"{self._folder('folds', key, dataset, entity)}/fold={fold}.json")
+        stream = fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def model(self, key: str, dataset: str, entity: str, fold: int) -> PipelineModel | None:
+        """The model of a fold, or None if it could not be saved."""
+        if not self.record(key, dataset, entity, fold).get("model"):
+            return None
+        return PipelineModel.load(f"{self._folder('models', key, dataset, entity)}/fold={fold}")
+
     def get(self, key: str) -> DataFrame:
-        return self.spark.read.parquet(self.root).where(F.col("run_key") == key)
+        """All predictions of a run whose folds are committed."""
+        rows = self.spark.read.parquet(self.root).where(F.col("run_key") == key)
+        markers = f"{self.root}/_folds/run_key={key}"
+        there = [(d.removeprefix("dataset="), e.removeprefix("entity="), n) for d in self._listed(markers) for e in self._listed(f"{markers}/{d}") for n in self.have(key, d.removeprefix("dataset="), e.removeprefix("entity="))]
+        done = self.spark.createDataFrame(there, "dataset string, entity string, fold int")
+        return rows.join(F.broadcast(done), ["dataset", "entity", "fold"], "left_semi")  # a row for each fold
 
     def have(self, key: str, dataset: str, entity: str) -> set[int]:
         """The folds that are there; none if nothing has been stored yet."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/run_key={key}/dataset={dataset}/entity={entity}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in (fs.listStatus(path) if fs.exists(path) else [])]
-        return {int(n.removeprefix("fold=")) for n in names if n.startswith("fold=")}
+        marked = {int(n[5:-5]) for n in self._listed(self._folder("folds", key, dataset, entity)) if n.startswith("fold=") and n.endswith(".json")}
+        return {int(n.removeprefix("fold=")) for n in self._listed(f"{self.root}/run_key={key}/dataset={dataset}/entity={entity}") if n.startswith("fold=")} & marked
 
     def summary(self) -> DataFrame:
         """run_key, dataset, entity, folds (their numbers, in order), n."""
@@ -132,13 +192,12 @@ class PredictionStore:
 
     def cleanup(self, keep: tuple[str, ...] = (), dry_run: bool = False) -> list[str]:
         """Removes the runs whose keys are not kept, and names them; a dry run only names them."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        root = fs_path(self.root)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = sorted(f.getPath().getName().removeprefix("run_key=") for f in (fs.listStatus(root) if fs.exists(root) else []) if f.getPath().getName().startswith("run_key="))
+        found = sorted(n.removeprefix("run_key=") for n in self._listed(self.root) if n.startswith("run_key="))
         gone = [k for k in found if k not in keep]
         for k in () if dry_run else gone:
-            fs.delete(fs_path(f"{self.root}/run_key={k}"), True)
+            for part in ("_folds/", "_models/", ""):
+                fs, at = self._at(f"{self.root}/{part}run_key={k}")
+                fs.delete(at, True)
         return gone
 
     def folds(self) -> DataFrame:
