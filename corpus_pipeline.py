@@ -18,14 +18,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """Of rows alike in doc_id and text the one with the least other columns; an aggregation, so repeats meet in their task first."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not others:
+        return docs.distinct()
+    row = F.struct(*others)
+    maps = any("map<" in docs.schema[c].dataType.simpleString() or docs.schema[c].dataType.simpleString() == "variant" for c in others)
+    least = F.min_by(row, F.to_json(row)) if maps else F.min(row)
+    return docs.groupBy("doc_id", "text").agg(least.alias("_row")).select("doc_id", "text", "_row.*").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the least id stays (of several
     texts under that id, the one of least hash).  Documents go by id and text, so another text under the same id, or under
-    a null one, is judged by itself; of rows alike in both, one stays."""
+    a null one, is judged by itself; of rows alike in both the one stays whose other columns are least, in their order (null
+    before others; columns without an order by their JSON)."""
     classes = jaccard.classes(docs, size=5, threshold=80)
     gone = classes.where("not is_first").select(F.col("doc_id").alias("gone_id"), "text_hash").distinct()
     same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
-    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return _one_of_each(docs.join(gone, same, "left_anti"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
