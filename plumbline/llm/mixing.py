@@ -5,10 +5,12 @@ A budget of `percent` of all words is shared by weight, no source above `most` t
 shared anew by weight.  The fixpoint has one water level: target = min(most * size, level * weight), and the
 level is the largest that any number of capped sources gives, so two running sums over the sources find it.
 
-Each document is then taken floor(rate) times, and once more with probability equal to the rest, by a draw of its own
-from a hash of the seed and its id.  A source of few documents, or of very uneven ones, may by chance lie far from its
-target; so every document has `DRAWS` independent draws, their sums are added up by source in the same pass, and each
-source takes the draw (the same for all its documents) whose sum comes nearest.
+Each document is then taken floor(rate) times, and once more with probability equal to the fraction, as a Bernoulli
+variable that a hash decides.  The draws of a source are systematic, so that sources of few or very uneven
+documents come near their targets too: its documents are put in order of size (then of a hash of their id), and the one
+at place i gets the extra copy if a whole number lies in (u + (i - 1) * fraction, u + i * fraction], where u in [0, 1) is
+a hash of the seed and the source.  Over seeds each document has exactly that probability; neighbours in size
+share copies evenly, so the words of a source miss its target by less than its largest document has.
 """
 
 from __future__ import annotations
@@ -16,16 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.windows import hashed_row_number
 from plumbline.llm.common import written
 
-WEIGHTS, PERCENT, MOST, DRAWS = (3, 1, 2), 150, 2, 8
+WEIGHTS, PERCENT, MOST = (3, 1, 2), 150, 2
 
 
-def _draws(seed: str, name: F.Column, part: F.Column) -> F.Column:
-    """For each draw whether a number in [0, 1) lies below `part`; 8 hex digits of an md5 each, alike in other SQL engines."""
-    digits = F.concat(*[F.md5(F.concat(F.lit(f"{seed}:{k}:"), name)) for k in range(DRAWS // 4)])
-    number = lambda k: F.conv(F.substring(digits, 8 * k + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
-    return F.transform(F.array(*map(F.lit, range(DRAWS))), lambda k: (number(k) < part).cast("long"))
+def _uniform(name: F.Column) -> F.Column:
+    """A number in [0, 1) from 8 hex digits of an md5, alike in other SQL engines."""
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
@@ -43,26 +44,38 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return per.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(most)), level * F.col("w")).alias("target"))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
+def units(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
+    """(doc_id, th, source, size, rows, source_size, target, n) for each document, rows alike in id, source and text being
+    one: th the hash of the text, `rows` how many there are, n the times each of them is taken."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"), size.alias("size"))
+    sized = written(sized.groupBy("doc_id", "th", "source", "size").agg(F.count("*").alias("rows")))
+    goal = targets(sized.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, percent, most).withColumnRenamed("source", "of")
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    goal = written(goal.withColumn("rate", rate))
+    # places: within a source and size by hash, in buckets; sizes before that from a table with a row for each
+    keyed = sized.withColumn("none", F.col("source").isNull()).withColumn("from", F.coalesce("source", F.lit(""))).withColumn("unit", F.col("size") * F.col("rows"))
+    keys = ["none", "from", "unit"]
+    placed = hashed_row_number(keyed, keys, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), ["th"], "at")
+    before = Window.partitionBy("none", "from").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy(*keys).agg(F.count("*").alias("many")).withColumn("smaller", F.coalesce(F.sum("many").over(before), F.lit(0))).drop("many")
+    placed = placed.join(written(offsets).hint("merge"), keys).withColumn("at", F.col("at") + F.col("smaller"))
+    rows = placed.join(goal, placed.source.eqNullSafe(goal.of)).drop("of")
+    u = _uniform(F.concat(F.lit(f"{seed}|"), F.when(F.col("none"), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("from")))))
+    part = F.col("rate") - F.floor("rate")
+    extra = F.floor(u + part * F.col("at")) - F.floor(u + part * (F.col("at") - 1))
+    return rows.select("doc_id", "th", "source", "size", "rows", "source_size", "target", (F.floor("rate") + extra).cast("long").alias("n"))
+
+
+def copies(docs: DataFrame, **named) -> DataFrame:
     """(doc_id, th, size, source, source_size, target, n) with th the hash of the text and n the times the document is
-    taken, for each row of docs.
+    taken, for each row of docs; further arguments as in `units`.
 
-    A null text has size 0, an empty one too; a null source is a source of its own; documents alike in id have the
-    same draws, so repeated rows are taken alike.  Text length and further columns play no part.
+    A null text has size 0, an empty one too; a null source is a source of its own; rows alike in id, source and text
+    are taken alike.  Text length and further columns play no part; an empty table gives no rows.
     """
-    size = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"), size.alias("size")))
-    goal = written(targets(sized, weights, percent, most).withColumnRenamed("source", "of"))
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    rows = sized.join(goal.withColumn("rate", rate), sized.source.eqNullSafe(goal.of)).drop("of")
-    rows = rows.withColumn("draws", _draws(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("rate") - F.floor("rate")))
-    sums = rows.groupBy("source").agg(*[F.sum(F.col("size") * F.col("draws")[k]).alias(f"s{k}") for k in range(DRAWS)])
-    sums = sums.withColumnRenamed("source", "from")
-    sums = sums.join(goal.withColumn("rate", rate), sums["from"].eqNullSafe(goal.of))
-    off = F.array(*[F.abs(F.col("source_size") * F.floor("rate") + F.col(f"s{k}") - F.col("target")) for k in range(DRAWS)])
-    best = written(sums.select("from", F.array_position(off, F.array_min(off)).cast("int").alias("best")))
-    rows = rows.join(best, rows.source.eqNullSafe(best["from"]))
-    return rows.select("doc_id", "th", "size", "source", "source_size", "target", (F.floor("rate") + F.element_at("draws", F.col("best"))).cast("long").alias("n"))
+    rows = units(docs, **named).withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+    return rows.select("doc_id", "th", "size", "source", "source_size", "target", "n")
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -72,7 +85,7 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def deviations(docs: DataFrame) -> DataFrame:
     """(source, source_size, target, taken) for each source: how near the mix comes."""
-    return copies(docs).groupBy("source", "source_size", "target").agg(F.sum(F.col("size") * F.col("n")).alias("taken"))
+    return units(docs).groupBy("source", "source_size", "target").agg(F.sum(F.col("size") * F.col("rows") * F.col("n")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -83,26 +96,23 @@ def mixed(docs: DataFrame) -> DataFrame:
     new, old = "copies", set(docs.columns)
     while any(c.startswith(new) for c in old):
         new += "_"
-    n = copies(docs).groupBy("doc_id", "source", "th").agg(F.max("n").alias("n")).where("n > 0")
+    n = units(docs).where("n > 0")
     n = n.select(F.col("doc_id").alias(f"{new}id"), F.col("source").alias(f"{new}source"), F.col("th").alias(f"{new}th"), F.col("n").cast("int").alias(f"{new}n"))
     same = docs["doc_id"].eqNullSafe(n[f"{new}id"]) & docs["source"].eqNullSafe(n[f"{new}source"]) & (F.xxhash64(docs["text"]) == n[f"{new}th"])
     return docs.join(n, same).withColumn(f"{new}k", F.explode(F.sequence(F.lit(1), F.col(f"{new}n")))).select(*[docs[c] for c in docs.columns])
 
 
-_DIGITS = " || ".join(f"md5('mix:{k}:' || coalesce(doc_id::VARCHAR, ''))" for k in range(DRAWS // 4))
-_LIST = "[" + ", ".join(f"(('0x' || substr(digits, {8 * k + 1}, 8))::BIGINT / 4294967296e0 < part)::BIGINT" for k in range(DRAWS)) + "]"
-ORACLE = rf"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+ORACLE = r"""
+WITH sized AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS w FROM per),
 levels AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 150e0 / 100e0 - coalesce(sum(source_size) OVER before, 0)::DOUBLE * 2e0) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0e0)) AS level
   FROM weighed WINDOW before AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (SELECT source, source_size, least(source_size * 2e0, (max(level) OVER ()) * w) AS target FROM levels),
-rated AS (SELECT s.doc_id, s.source, s.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 2e0) ELSE 0e0 END AS rate
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
-parts AS (SELECT *, rate - floor(rate) AS part, {_DIGITS} AS digits FROM rated),
-drawn AS (SELECT *, {_LIST} AS draws FROM parts),
-best AS (SELECT source, arg_min(k, (abs(source_size * floor(rate) + s - target), k)) AS best FROM (
-  SELECT source, source_size, rate, target, k, sum(size * draws[k])::BIGINT AS s FROM drawn, range(1, {DRAWS + 1}) t(k) GROUP BY ALL) GROUP BY source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + draws[best]))::BIGINT AS taken FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2e0) ELSE 0e0 END AS rate,
+  ('0x' || substr(md5('mix|' || CASE WHEN source IS NULL THEN '0' ELSE '1' || source END), 1, 8))::BIGINT / 4294967296e0 AS u FROM goal),
+alike AS (SELECT doc_id, source, text, size, count(*) AS n_rows FROM sized GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size * n_rows, md5('mix:' || coalesce(doc_id::VARCHAR, '')), md5(text)) AS i FROM alike),
+drawn AS (SELECT p.*, r.source_size, r.target, floor(rate) + floor(u + (rate - floor(rate)) * i) - floor(u + (rate - floor(rate)) * (i - 1)) AS n FROM placed p JOIN rated r ON p.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (size * n)::BIGINT AS taken FROM (SELECT *, unnest(range(0, n_rows)) FROM drawn)
 """

@@ -205,6 +205,34 @@ def test_mix(spark):
     many = mixing.mixed(docs)
     assert many.columns == docs.columns and many.count() == sum(r.n for r in got)
     assert mixing.taken(docs.limit(0)).collect() == []
+    repeated = frame(spark, [(1, "a b c")] * 4 + [(None, "a b"), (None, "a b"), (2, None), (3, "")], ("a",))
+    assert sorted((str(r.doc_id), r.size) for r in mixing.taken(repeated).collect()) == [("1", 3)] * 4 + [("2", 0), ("3", 0), ("None", 2), ("None", 2)]
+    assert len({(r.doc_id, r.n) for r in mixing.copies(repeated).collect()}) == 4
+
+
+def test_mix_takes_the_extra_copy_with_its_probability(spark):
+    """2,000 sources of one document, weighed 3, 1, 2: the share that takes an extra copy is the fraction; and over seeds each
+    document of one source takes it as often as any other, whatever its size."""
+    docs = spark.createDataFrame([(i, "w " * 30, f"s{i:04d}") for i in range(2000)], "doc_id long, text string, source string")
+    for percent in (110, 140, 70):
+        seen = {}
+        for r in mixing.copies(docs, percent=percent).collect():
+            rate = min(2.0, r.target / r.source_size)
+            x = seen.setdefault(round(rate, 9), [0, 0])
+            x[0] += 1
+            x[1] += r.n - int(rate)
+            assert r.n in (int(rate), int(rate) + 1) and r.size * r.n <= 2 * r.size
+        for rate, (n, extra) in seen.items():
+            p = rate - int(rate)
+            assert abs(extra - n * p) <= 3 * (n * p * (1 - p)) ** 0.5 + 1e-6, (percent, rate, n, extra)
+    one = spark.createDataFrame([(i, "w " * (1 + 7 * i), "s") for i in range(6)], "doc_id long, text string, source string")
+    times = dict.fromkeys(range(6), 0)
+    for seed in range(40):
+        got = mixing.copies(one, seed=f"seed{seed}", percent=140).collect()
+        for r in got:
+            times[r.doc_id] += r.n - 1
+        assert abs(sum(r.size * r.n for r in got) - got[0].target) <= 36
+    assert all(abs(t - 16) <= 3 * (40 * 0.4 * 0.6) ** 0.5 for t in times.values())
 
 
 def test_licenses(spark):
