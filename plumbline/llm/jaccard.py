@@ -129,7 +129,7 @@ def _counts(size: int, threshold: int):
                         for _, p, _ in parts(t, threshold):
                             lot.append(p)
                             held += len(p)
-                    rows.append((keys[i], 0, *me, len(t), *first))
+                    rows.append((keys[i], 1, *me, len(t), *first))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 if held >= LOT:
                     yield added(lot)
@@ -240,13 +240,14 @@ def _links(size: int, threshold: int):
 
 
 def _candidates(keyed: DataFrame, size: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(documents (key, id, th, n, id0, th0), edges (a, b) between keys whose sets share a part that both keep)."""
+    """(documents (key, id, th, n, id0, th0, rows), edges (a, b) between keys whose sets share a part that both keep); `rows`
+    is how many rows alike in id and text a task held, so their sum does not depend on how rows are dealt."""
     spark = keyed.sparkSession
     alike = ["part", "id", "th", "n", "id0", "th0"]
     counted = keyed.mapInArrow(_counts(size, threshold), "part long, times long, id long, th long, n long, id0 long, th0 long").repartition("part")
     counted = written(counted.groupBy(*alike).agg(F.sum("times").alias("times")).where("n is not null or times > 1"))
     release(spark)
-    documents = counted.where("n is not null").withColumnRenamed("part", "key").drop("times")
+    documents = counted.where("n is not null").withColumnRenamed("part", "key").withColumnRenamed("times", "rows")
     twice = counted.where("n is null").select("part", "times")
     rows = written(keyed.mapInArrow(_parts(size, threshold), "part long, key long, drop int").join(twice, "part"))
     release(spark)
@@ -258,7 +259,8 @@ def _candidates(keyed: DataFrame, size: int, threshold: int) -> tuple[DataFrame,
 
 
 def linked(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents (id, th, n), links (id, th, id0, th0)); the links span every component.
+    """(documents (id, th, n, rows), links (id, th, id0, th0)); the links span every component, and `rows` adds up to the rows
+    alike in id and text.
 
     A key is a hash of id and text hash; documents whose keys are equal by chance are compared by their texts as well."""
     keyed = row_key(docs).select(F.xxhash64("id", "th").alias("key"), "id", "th", "text").sortWithinPartitions("id", "th")
@@ -272,7 +274,7 @@ def linked(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFra
     task = F.struct("label", F.least("mine", F.col("other").cast("long")).alias("x"), F.greatest("mine", F.col("other").cast("long")).alias("y")).alias("task")
     held = keyed.join(dealt.select(task, "key").hint("merge"), "key").select("task", "id", "th", "text")  # texts take less room than their shingles
     found = held.repartition("task").sortWithinPartitions("task").mapInArrow(_links(size, threshold), "id long, th long, id0 long, th0 long")
-    return documents.select("id", "th", "n"), copies.unionByName(found)
+    return documents.select("id", "th", "n", "rows"), copies.unionByName(found)
 
 
 def classes(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
@@ -289,6 +291,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     head = F.col("v.id").eqNullSafe(F.col("head.id")) & (F.col("v.th") == F.col("head.th"))
     parts = parts.join(least, "label").select(F.col("v.id").alias("cid"), F.col("v.th").alias("cth"), "component", head.alias("first"))
     joined = documents.join(parts, documents.id.eqNullSafe(parts.cid) & (documents.th == parts.cth), "left")
+    joined = joined.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.col("th").alias("text_hash"), F.coalesce("first", F.lit(True)).alias("is_first"))
 
 

@@ -41,12 +41,25 @@ def test_nulls_and_repeated_rows(spark):
     t = " ".join(map(str, range(20)))
     docs = spark.createDataFrame([(None, None), (None, t), (4, t), (4, t), (7, ""), (8, "one"), (9, "ONE")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.classes(docs, 4, 85).collect())
-    assert got == [(-1, 0, -1), (-1, 17, 4), (4, 17, 4), (4, 17, 4), (7, 0, 7), (8, 1, 8), (9, 1, 8)]
+    assert got == [(-1, 0, -1), (-1, 17, 4), (4, 17, 4), (4, 17, 4), (7, 0, 7), (8, 1, 8), (9, 1, 8)]  # a row for each row
     assert jaccard.classes(docs.limit(0)).collect() == []
     first = {(r.doc_id, r.n_shingles): r.is_first for r in jaccard.classes(docs, 4, 85).collect()}
     assert first == {(None, 0): True, (None, 17): True, (4, 17): False, (7, 0): True, (8, 1): True, (9, 1): False}
 
 
+@pytest.mark.parametrize("dealt", [1, 2, 3, 7])
+def test_a_row_for_each_row_however_they_are_dealt(spark, dealt):
+    """Repeated rows, also beside near copies and equal texts of other ids, in one task or several."""
+    w = [f"w{k}" for k in range(40)]
+    t, near = " ".join(w), " ".join(w[:39])
+    rows = [(4, t)] * 5 + [(2, t)] * 2 + [(9, near)] * 3 + [(None, t)] * 2 + [(None, None)] * 4 + [(7, "")] * 2 + [(8, "its own")] * 3 + [(1, "its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(dealt)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.is_first) for r in jaccard.classes(docs, 4, 85).collect())
+    want = [("4", 37, "2", False)] * 5 + [("2", 37, "2", False)] * 2 + [("9", 36, "2", False)] * 3 + [("None", 37, "2", True)] * 2
+    want += [("None", 0, "None", True)] * 4 + [("7", 0, "7", True)] * 2 + [("8", 1, "1", False)] * 3 + [("1", 1, "1", True)]
+    assert got == sorted(want)
+
+
 def test_one_id_with_two_texts(spark):
     """Of two texts under one id only the one that is a near copy of another document is no first."""
     w = [f"w{k}" for k in range(60)]
