@@ -29,3 +29,14 @@ def test_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in out.collect()) == dict(taken) and len(taken) > 5
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert {r.doc_id: bytes(r.bytes).decode() for r in bpe.decoded(out).collect()}.items() <= texts.items()
+
+
+def test_the_row_that_stays_is_stated(spark):
+    t = " ".join(map(str, range(30)))
+    rows = [(1, t, "b", 2), (1, t, "a", 3), (1, t, None, 9), (2, t, "a", 1), (3, "another text", "z", 1), (3, "another text", "z", 0)]
+    for dealt in (1, 3, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(dealt)
+        got = sorted((r.doc_id, r.source, r.n) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+        assert got == [(1, None, 9), (3, "z", 0)]
+    maps = spark.createDataFrame([(1, "x", {"k": 2}), (1, "x", {"k": 1})], "doc_id long, text string, m map<string,int>")
+    assert [r.m for r in corpus_pipeline.near_duplicates(spark, maps, "").collect()] == [{"k": 1}]
