@@ -40,9 +40,11 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--inner", type=int)
         c.add_argument("--seed", type=int)
         c.add_argument("--search", action="store_true", default=None, help="choose parameters from the whole grid, inside each fold")
-        c.add_argument("--search-budget", type=int)
+        c.add_argument("--search-budget", type=int, help="so many trials of the grid, proposed by those before")
+        c.add_argument("--search-seconds", type=float, help="begin no trial after so many seconds")
         c.add_argument("--calibrate", action="store_true", default=None)
         c.add_argument("--calibration-folds", type=int)
+        c.add_argument("--calibration", help="isotonic or sigmoid")
         c.add_argument("--level", type=float)
         c.add_argument("--keep-duplicates", action="store_true")
         c.add_argument("--dry-run", action="store_true", help="check settings and columns only")

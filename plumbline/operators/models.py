@@ -7,7 +7,6 @@ fold (parameters, fill values, scales, calibration, threshold) sees the other fo
 
 from __future__ import annotations
 
-import hashlib
 import json
 import random
 from collections.abc import Callable, Iterator
@@ -24,7 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import folds as fold_ops
+from plumbline.operators import tuning
 from plumbline.operators.boosting import Boosting
+from plumbline.operators.calibration import Sigmoid
 from plumbline.operators.metrics import all_metrics, auroc, long, youden
 from plumbline.operators.neighbours import Neighbours, nearest
 
@@ -51,9 +52,11 @@ class Plan:
     grid: list[dict] | None = None
     inner: int = 3
     budget: int | None = None
+    seconds: float | None = None
     missing: str | None = None
     scale: bool = True
     calibrate: int = 0
+    calibration: str = "isotonic"
     tune: bool = True
     seed: int = 42
 
@@ -103,8 +106,8 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, missing: str
     return Pipeline(stages=_stages(features, name, missing, scale, params)).fit(weighted(df, target))
 
 
-def fit_calibrated(df: DataFrame, features: list[str], target: str, name: str, k: int = 3, missing: str | None = None, scale: bool = True, seed: int = 42, **params) -> PipelineModel:
-    """One pipeline of k models, each with an isotonic curve fitted to the fold it has not seen; y_prob is their mean."""
+def fit_calibrated(df: DataFrame, features: list[str], target: str, name: str, k: int = 3, missing: str | None = None, scale: bool = True, seed: int = 42, calibration: str = "isotonic", **params) -> PipelineModel:
+    """One pipeline of k models, each with an isotonic curve or a sigmoid fitted to the fold it has not seen; y_prob is their mean."""
     if name == "knn":
         raise ValueError("neighbours give shares, which are not calibrated")
     rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed, name="_cal")
@@ -112,8 +115,13 @@ def fit_calibrated(df: DataFrame, features: list[str], target: str, name: str, k
     for i in range(k):
         model = Pipeline(stages=_stages(features, name, missing, scale, params, f"_{i}")).fit(weighted(rows.where(F.col("_cal") != i), target))
         held = model.transform(rows.where(F.col("_cal") == i)).withColumn("label", F.col(target).cast("double"))
-        iso = IsotonicRegression(featuresCol=f"probability_{i}", featureIndex=1, labelCol="label", predictionCol=f"_p_{i}").fit(held)
-        stages += [*model.stages, iso]
+        if calibration == "sigmoid":
+            curve = Sigmoid(featuresCol=f"probability_{i}", labelCol="label", predictionCol=f"_p_{i}").fit(held)
+        elif calibration == "isotonic":
+            curve = IsotonicRegression(featuresCol=f"probability_{i}", featureIndex=1, labelCol="label", predictionCol=f"_p_{i}").fit(held)
+        else:
+            raise ValueError(f"unknown calibration {calibration!r}")
+        stages += [*model.stages, curve]
     mean = " + ".join(f"_p_{i}" for i in range(k))
     stages.append(SQLTransformer(statement=f"SELECT *, ({mean}) / {float(k)}D AS y_prob FROM __THIS__"))
     return PipelineModel(stages=stages)
@@ -126,27 +134,25 @@ def score(model: PipelineModel, df: DataFrame, features: list[str] | None = None
     return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != "y_prob"], p.alias("y_prob"))
 
 
-def search(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict] | None = None, k: int = 3, budget: int | None = None, seed: int = 42) -> list[tuple[dict, float]]:
-    """(parameters, mean AUROC over inner folds), best first; with a budget, a hash-ordered part of the grid."""
-    return [(p, mean) for p, mean, _ in search_history(df, features, target, name, grid, k, budget, seed)]
+def search(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict] | None = None, k: int = 3, budget: int | None = None, seed: int = 42, seconds: float | None = None) -> list[tuple[dict, float]]:
+    """(parameters, mean AUROC over inner folds), best first, of the grid or, with a budget, of so many trials of it."""
+    return [(p, mean) for p, mean, _ in search_history(df, features, target, name, grid, k, budget, seed, seconds)]
 
 
-def search_history(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict] | None = None, k: int = 3, budget: int | None = None, seed: int = 42) -> list[tuple[dict, float, list[float]]]:
-    """(parameters, mean AUROC, AUROC of each inner fold), best first."""
+def search_history(df: DataFrame, features: list[str], target: str, name: str, grid: list[dict] | None = None, k: int = 3, budget: int | None = None, seed: int = 42, seconds: float | None = None) -> list[tuning.Trial]:
+    """(parameters, mean AUROC, AUROC of each inner fold), best first, as `tuning.search` finds them."""
     grid = REGISTRY[name][1] if grid is None else grid
-    if budget is not None:
-        grid = sorted(grid, key=lambda p: hashlib.md5(repr(sorted(p.items())).encode()).hexdigest())[:budget]
     rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed, name="_inner").persist()
     measure = BinaryClassificationEvaluator(rawPredictionCol="y_prob", labelCol=target, numBins=0)
 
-    def one(p: dict) -> tuple[dict, float, list[float]]:
+    def one(p: dict) -> tuning.Trial:
         each = [measure.evaluate(score(fit(rows.where(F.col("_inner") != i), features, target, name, **p), rows.where(F.col("_inner") == i), features)) for i in range(k)]
         return p, sum(each) / k, each
 
-    with ThreadPoolExecutor(4) as pool:
-        out = sorted(pool.map(one, grid), key=lambda x: -x[1])
-    rows.unpersist()
-    return out
+    try:
+        return tuning.search(one, grid, budget, seconds, seed)
+    finally:
+        rows.unpersist()
 
 
 def history_table(spark, history: list[tuple[dict, float, list[float]]]) -> DataFrame:
@@ -160,12 +166,25 @@ def chosen(train: DataFrame, features: list[str], target: str, plan: Plan) -> di
     fixed = {"missing": plan.missing, "scale": plan.scale}
     if plan.grid is None:
         return fixed | plan.params
-    return fixed | search(train, features, target, plan.name, [plan.params | fixed | p for p in plan.grid], plan.inner, plan.budget, plan.seed)[0][0]
+    return fixed | search(train, features, target, plan.name, _grid(plan), plan.inner, plan.budget, plan.seed, plan.seconds)[0][0]
+
+
+def chosen_with_history(train: DataFrame, features: list[str], target: str, plan: Plan) -> tuple[dict, list[tuning.Trial]]:
+    """As `chosen`, with the trials; none without a grid."""
+    if plan.grid is None:
+        return chosen(train, features, target, plan), []
+    history = search_history(train, features, target, plan.name, _grid(plan), plan.inner, plan.budget, plan.seed, plan.seconds)
+    return {"missing": plan.missing, "scale": plan.scale} | history[0][0], history
+
+
+def _grid(plan: Plan) -> list[dict]:
+    fixed = plan.params | {"missing": plan.missing, "scale": plan.scale}
+    return [fixed | p for p in plan.grid or [{}]]
 
 
 def trained(train: DataFrame, features: list[str], target: str, plan: Plan, params: dict) -> PipelineModel:
     if plan.calibrate and plan.name != "knn":
-        return fit_calibrated(train, features, target, plan.name, plan.calibrate, seed=plan.seed, **params)
+        return fit_calibrated(train, features, target, plan.name, plan.calibrate, seed=plan.seed, calibration=plan.calibration, **params)
     return fit(train, features, target, plan.name, **params)
 
 
@@ -183,7 +202,7 @@ def tuned(train: DataFrame, features: list[str], target: str, plan: Plan, params
 
 
 def calibrated(train: DataFrame, test: DataFrame, features: list[str], target: str, name: str, k: int = 3, **params) -> DataFrame:
-    """test with y_prob the mean of k isotonic calibrations, each fitted on rows its model has not seen."""
+    """test with y_prob the mean of k calibrations (`calibration` isotonic or sigmoid), each fitted on rows its model has not seen."""
     return score(fit_calibrated(train, features, target, name, k, **params), test, features)
 
 

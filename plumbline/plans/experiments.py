@@ -51,7 +51,7 @@ def prepared(df: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
 def plan(name: str, s: Settings) -> models.Plan:
     """How the settings have a model made; searches choose inside the training rows of each fold."""
     grid = models.REGISTRY[name][1] if s.search or s.search_budget else None
-    return models.Plan(name, s.parameters.get(name, {}), grid, s.inner, s.search_budget, None if s.missing == "drop" else s.missing, s.scale, s.calibration_folds if s.calibrate else 0, True, s.seed)
+    return models.Plan(name, s.parameters.get(name, {}), grid, s.inner, s.search_budget, s.search_seconds, None if s.missing == "drop" else s.missing, s.scale, s.calibration_folds if s.calibrate else 0, s.calibration, True, s.seed)
 
 
 def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
@@ -146,17 +146,15 @@ def train(df: DataFrame, s: Settings, name: str, path: str) -> dict:
         raise ValueError("knn keeps its training rows and cannot be saved; it can be compared")
     rows, features = prepared(df, s)
     p, spark = plan(name, s), df.sparkSession
-    best = models.chosen(rows, features, s.target, p)
+    best, trials = models.chosen_with_history(rows, features, s.target, p)
     oof = models.out_of_fold(rows, features, s.target, models.replace(p, tune=False), s.outer, s.seed)
     method = metrics.method_for(rows.count())
     threshold = metrics.threshold_of(oof, method)
     model = models.trained(rows, features, s.target, p, best)
     meta = {"name": name, "features": features, "target": s.target, "parameters": best, "threshold": threshold, "threshold_method": method, "calibrated": bool(p.calibrate), "settings": vars(s)}
     artifacts.save_model(spark, model, path, **meta)
-    if p.grid is not None:
-        fixed = {"missing": p.missing, "scale": p.scale}
-        history = models.history_table(spark, models.search_history(rows, features, s.target, name, [p.params | fixed | g for g in p.grid], p.inner, p.budget, s.seed))
-        transfer.search_summary(history).write.mode("overwrite").parquet(f"{path}/cv_results")
+    if trials:
+        transfer.search_summary(models.history_table(spark, trials)).write.mode("overwrite").parquet(f"{path}/cv_results")
     table = models.importances(model, features)
     spark.createDataFrame(table, "feature string, importance double").write.mode("overwrite").parquet(f"{path}/importances")
     return meta

@@ -9,6 +9,7 @@ from pathlib import Path
 
 MISSING = ("median", "mean", "mode", "drop")
 CORRECTIONS = ("holm", "bh")
+CALIBRATIONS = ("isotonic", "sigmoid")
 
 
 @dataclass
@@ -28,9 +29,11 @@ class Settings:
     seed: int = 42
     calibrate: bool = False
     calibration_folds: int = 3
+    calibration: str = "isotonic"
     missing: str = "median"
     search: bool = False
     search_budget: int | None = None
+    search_seconds: float | None = None
     scale: bool = True
     explain: bool = False
     bootstrap: int = 1000
@@ -72,6 +75,7 @@ class Settings:
 
         bad = [f"unknown model {m!r}" for m in self.models if m not in REGISTRY] or ["no models"] * (not self.models)
         bad += [f"{n} must be at least {least}" for n, least in (("outer", 2), ("inner", 2), ("calibration_folds", 2), ("bootstrap", 100)) if getattr(self, n) < least]
+        bad += [f"calibration must be one of {CALIBRATIONS}"] * (self.calibration not in CALIBRATIONS)
         bad += ["level must lie between 0 and 1"] * (not 0 < self.level < 1)
         bad += [f"missing must be one of {MISSING}"] * (self.missing not in MISSING)
         bad += [f"correction must be one of {CORRECTIONS}"] * (self.correction not in CORRECTIONS)
