@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegralType
 
-from plumbline.operators import clean, errors, folds, intervals, metrics, paired, profile, rules, shift, transfer
+from plumbline.operators import clean, errors, folds, intervals, metrics, paired, profile, replicates, rules, shift, transfer
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -247,12 +247,16 @@ _register("best_entity", _p(f", {MID.format(k='entity')} SELECT entity, auroc FR
 _register("main_comparisons", _p(f", {PAIRS} SELECT name_b, b_count, c_count FROM pairs WHERE name_a = 'A' AND name_b LIKE 'R%'"), "name_b", "b_count c_count")(lambda s, d: paired.pairs(predictions(s, d)).where("name_a = 'A' and name_b like 'R%'").select("name_b", "b_count", "c_count"))
 
 # intervals
-#: Replicates of the queries that draw rows by hashes.
-REPLICATES = 100
-BOOT = f"""rows AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(sample_id::VARCHAR), sample_id) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM pred),
- draws AS (SELECT entity, replicate, ('0x' || substr(md5('boot:' || replicate || ':' || rn), 1, 8))::BIGINT % n + 1 AS rn FROM rows, range({REPLICATES}) t(replicate)),
- got AS (SELECT d.entity, d.replicate, r.y_true, r.y_pred FROM draws d JOIN rows r USING (entity, rn)), boot AS (SELECT entity, replicate, {ALL} FROM ({_counts('entity, replicate', 'got')}) WHERE tp + fn > 0 AND fp + tn > 0)"""
-_register("bootstrap_percentile", _p(f", {BOOT} SELECT entity, avg(mcc) AS mean, quantile_cont(mcc, 0.025) AS lower, quantile_cont(mcc, 0.975) AS upper FROM boot GROUP BY entity"), "entity", doubles="mean lower upper")(lambda s, d: intervals.percentile_interval(intervals.hashed_replicates(predictions(s, d), REPLICATES), "mcc"))
+#: Replicates of the queries that draw by hashes.
+REPLICATES = 1000
+WEIGHT = " + ".join(f"(h >= {t})::INT" for t in replicates.STEPS)
+DRAWN = f"""reps AS (SELECT r AS replicate, ('0x' || substr(m, 1, 8))::BIGINT % {replicates.PRIME} AS ra, ('0x' || substr(m, 9, 8))::BIGINT % {replicates.PRIME} AS rb, ('0x' || substr(m, 17, 8))::BIGINT % {replicates.PRIME} AS rc FROM (SELECT r, md5('boot|' || r) AS m FROM range({REPLICATES}) t(r))),
+ rows AS (SELECT *, ('0x' || substr(md5('boot:' || sample_id), 1, 8))::BIGINT % {replicates.PRIME} AS x FROM pred)"""
+HASH = f"((ra * x + rb) % {replicates.PRIME} * x + rc) % {replicates.PRIME}"
+BOOT = f"""{DRAWN}, got AS (SELECT entity, replicate, y_true, y_pred, {WEIGHT} AS w FROM (SELECT entity, replicate, y_true, y_pred, {HASH} AS h FROM rows, reps)),
+ sums AS (SELECT entity, replicate, sum(w * y_true * y_pred) AS tp, sum(w * (1 - y_true) * y_pred) AS fp, sum(w * (1 - y_true) * (1 - y_pred)) AS tn, sum(w * y_true * (1 - y_pred)) AS fn FROM got GROUP BY ALL),
+ boot AS (SELECT entity, replicate, {ALL} FROM sums WHERE tp + fn > 0 AND fp + tn > 0)"""
+_register("bootstrap_percentile", _p(f", {BOOT} SELECT entity, avg(mcc) AS mean, quantile_cont(mcc, 0.025) AS lower, quantile_cont(mcc, 0.975) AS upper FROM boot GROUP BY entity"), "entity", doubles="mean lower upper")(lambda s, d: intervals.percentile_interval(replicates.count_replicates(predictions(s, d), REPLICATES), "mcc"))
 JACK = "per AS (SELECT entity, ('0x' || substr(md5('jack:' || sample_id), 1, 8))::BIGINT % 20 AS block, count(*) AS n, count(*) FILTER (y_true = y_pred) AS k FROM pred GROUP BY ALL), jack AS (SELECT entity, block, (sum(k) OVER e - k) / (sum(n) OVER e - n)::DOUBLE AS accuracy FROM per WINDOW e AS (PARTITION BY entity))"
 _register("jackknife_blocks", _p(f", {JACK} SELECT * FROM jack"), "entity", "block", "accuracy")(lambda s, d: intervals.jackknife(predictions(s, d)))
 _register("bca_acceleration", _p(f", {JACK}, dev AS (SELECT entity, avg(accuracy) OVER (PARTITION BY entity) - accuracy AS d FROM jack) SELECT entity, coalesce(sum(d * d * d) / nullif(6e0 * pow(sum(d * d), 15e-1), 0e0), 0e0) AS a FROM dev GROUP BY entity"), "entity", doubles="a")(lambda s, d: intervals.acceleration(intervals.jackknife(predictions(s, d))))
@@ -478,23 +482,25 @@ _register("auto_threshold", _p(f""", p2 AS (SELECT dataset || '|' || entity AS e
  n AS (SELECT entity, count(*) AS n FROM p2 GROUP BY entity)
  SELECT entity, CASE WHEN n < 1000 THEN 'oof' ELSE 'cv' END AS method, CASE WHEN n < 1000 THEN o.t ELSE c.t END AS threshold FROM n JOIN o USING (entity) JOIN c USING (entity)"""), "entity method", doubles="threshold")(_auto)
 
-SBOOT = f"""rows AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(sample_id::VARCHAR), sample_id) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM pred WHERE y_prob IS NOT NULL),
- draws AS (SELECT entity, replicate, ('0x' || substr(md5('boot:' || replicate || ':' || rn), 1, 8))::BIGINT % n + 1 AS rn FROM rows, range({REPLICATES}) t(replicate)),
- got AS (SELECT d.entity, d.replicate, r.y_true, r.y_prob FROM draws d JOIN rows r USING (entity, rn)),
- mid AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY entity, replicate, y_prob) - 1) / 2e0 AS r FROM got WINDOW w AS (PARTITION BY entity, replicate ORDER BY y_prob)),
- auc AS (SELECT entity, replicate, (sum(CASE WHEN y_true = 1 THEN r ELSE 0e0 END) - sum(y_true) * (sum(y_true) + 1) / 2e0) / nullif(sum(y_true) * (count(*) - sum(y_true)), 0) AS auroc, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM mid GROUP BY ALL),
- bins AS (SELECT entity, replicate, {BIN} AS bin, count(*) AS m, abs(avg(y_true) - avg(y_prob)) AS gap FROM got GROUP BY ALL),
- err AS (SELECT entity, replicate, sum(m * gap) / sum(m) AS ece, max(gap) AS mce FROM bins GROUP BY ALL),
- reps AS (SELECT *, 2 * auroc - 1 AS cliffs_delta FROM auc JOIN err USING (entity, replicate) WHERE auroc IS NOT NULL)"""
-for _m, _name in (("auroc", "bootstrap_auroc"), ("brier", "bootstrap_brier"), ("ece", "bootstrap_ece"), ("mce", "bootstrap_mce"), ("cliffs_delta", "cliffs_ci")):
-    _register(_name, _p(f", {SBOOT} SELECT entity, avg({_m}) AS mean, quantile_cont({_m}, 0.025) AS lower, quantile_cont({_m}, 0.975) AS upper FROM reps GROUP BY entity"), "entity", doubles="mean lower upper")(
-        lambda s, d, m=_m: intervals.percentile_interval(intervals.hashed_score_replicates(predictions(s, d), REPLICATES), m)
+SDRAWN = f"""{DRAWN}, got AS (SELECT entity, replicate, y_true, y_prob, {WEIGHT} AS w FROM (SELECT entity, replicate, y_true, y_prob, {HASH} AS h FROM rows, reps WHERE y_prob IS NOT NULL))"""
+#: Each metric from what it needs alone.
+SBOOT = {
+    "auroc": f"""{SDRAWN}, runs AS (SELECT entity, replicate, y_prob, sum(w * y_true) AS p1, sum(w * (1 - y_true)) AS p0 FROM got GROUP BY ALL),
+ upto AS (SELECT *, sum(p0) OVER (PARTITION BY entity, replicate ORDER BY y_prob) - p0 / 2e0 AS below FROM runs),
+ boot AS (SELECT entity, replicate, sum(p1 * below) / (sum(p1) * sum(p0)) AS auroc FROM upto GROUP BY ALL HAVING sum(p1) > 0 AND sum(p0) > 0)""",
+    "brier": f"{SDRAWN}, boot AS (SELECT entity, replicate, sum(w * (y_prob - y_true) * (y_prob - y_true)) / sum(w) AS brier FROM got GROUP BY ALL HAVING sum(w * y_true) > 0 AND sum(w * (1 - y_true)) > 0)",
+    "ece": f"""{SDRAWN}, bins AS (SELECT entity, replicate, {BIN} AS bin, sum(w)::DOUBLE AS m, abs(sum(w * y_true) - sum(w * y_prob)) AS off, sum(w * y_true) AS p1, sum(w * (1 - y_true)) AS p0 FROM got GROUP BY ALL),
+ boot AS (SELECT entity, replicate, sum(off) / sum(m) AS ece, max(off / nullif(m, 0)) AS mce FROM bins GROUP BY ALL HAVING sum(p1) > 0 AND sum(p0) > 0)""",
+}
+for _m, _name, _sql, _of in (("auroc", "bootstrap_auroc", "auroc", "auroc"), ("brier", "bootstrap_brier", "brier", "brier"), ("ece", "bootstrap_ece", "ece", "ece"), ("mce", "bootstrap_mce", "ece", "mce"), ("cliffs_delta", "cliffs_ci", "auroc", "2 * auroc - 1")):
+    _register(_name, _p(f", {SBOOT[_sql]} SELECT entity, avg({_of}) AS mean, quantile_cont({_of}, 0.025) AS lower, quantile_cont({_of}, 0.975) AS upper FROM boot GROUP BY entity"), "entity", doubles="mean lower upper")(
+        lambda s, d, m=_m: intervals.percentile_interval(replicates.score_replicates(predictions(s, d), REPLICATES), m)
     )
-_register("formatted_ci", _p(f", {SBOOT} SELECT entity, printf('%.3f [%.3f, %.3f]', avg(auroc), quantile_cont(auroc, 0.025), quantile_cont(auroc, 0.975)) AS text FROM reps GROUP BY entity"), "entity text")(
-    lambda s, d: intervals.percentile_interval(intervals.hashed_score_replicates(predictions(s, d), REPLICATES), "auroc").select("entity", intervals.format_ci(F.col("mean"), F.col("lower"), F.col("upper")).alias("text"))
+_register("formatted_ci", _p(f", {SBOOT['auroc']} SELECT entity, printf('%.3f [%.3f, %.3f]', avg(auroc), quantile_cont(auroc, 0.025), quantile_cont(auroc, 0.975)) AS text FROM boot GROUP BY entity"), "entity text")(
+    lambda s, d: intervals.percentile_interval(replicates.score_replicates(predictions(s, d), REPLICATES), "auroc").select("entity", intervals.format_ci(F.col("mean"), F.col("lower"), F.col("upper")).alias("text"))
 )
 _register("forest_data", _p(f", {BOOT} SELECT entity, avg(mcc) AS point, quantile_cont(mcc, 0.025) AS lower, quantile_cont(mcc, 0.975) AS upper FROM boot GROUP BY entity"), "entity", doubles="point lower upper")(
-    lambda s, d: intervals.forest(intervals.percentile_interval(intervals.hashed_replicates(predictions(s, d), REPLICATES), "mcc").select("entity", F.lit("mcc").alias("metric"), F.col("mean").alias("point"), "lower", "upper", F.lit(True).alias("valid")))
+    lambda s, d: intervals.forest(intervals.percentile_interval(replicates.count_replicates(predictions(s, d), REPLICATES), "mcc").select("entity", F.lit("mcc").alias("metric"), F.col("mean").alias("point"), "lower", "upper", F.lit(True).alias("valid")))
 )
 
 

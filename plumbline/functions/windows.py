@@ -32,3 +32,16 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], de
     inner = Window.partitionBy(*keys, "_b").orderBy(sign(F.col(order))).rowsBetween(Window.unboundedPreceding, 0)
     out = df.select("*", *[F.sum(c).over(inner).alias(f"_i_{n}") for n, c in sums.items()]).join(per, [*keys, "_b"])
     return out.select(*df.drop("_b").columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
+def range_cuts(df: DataFrame, keys: list[str], value: str, parts: int = 64, accuracy: int = 10_000) -> DataFrame:
+    """keys, _cuts: the values that cut each key's rows into about `parts` ranges of equal size, from a sketch; a row for each key."""
+    at = [(k + 1) / parts for k in range(parts - 1)]
+    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, F.array(*map(F.lit, at)), accuracy)).alias("_cuts"))
+
+
+def range_bucket(value: Column, cuts: Column, step: int = 16) -> Column:
+    """The number of cuts below a value: of every 16th cut first, then of those between two of them."""
+    coarse = F.size(F.filter(cuts, lambda c, i: (i % step == 0) & (c < value)))
+    fine = F.size(F.filter(F.slice(cuts, (coarse - 1) * step + 2, F.lit(step - 1)), lambda c: c < value))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + 1 + fine).cast("int")

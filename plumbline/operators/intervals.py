@@ -3,7 +3,7 @@
 Metrics of the four confusion counts: resampling rows is a multinomial draw of the counts, so one aggregation
 and a draw on the driver give any number of replicates whatever the size.  Metrics of scores: the same draw over the
 counts of distinct scores and labels, first over parts of the score range, then inside each part in its own task.
-`hashed_replicates` draws rows by a hash instead and can be repeated in any engine.
+`replicates` has Poisson weights by a hash instead, which can be repeated in any engine.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
-from plumbline.functions.windows import hashed_row_number, running
 from plumbline.operators.metrics import EDGES, bin_of, confusion, scores
 
 
@@ -176,40 +175,6 @@ def format_p(p: F.Column, least: float = 0.001) -> F.Column:
     return F.when(p.isNull(), "").when(p < least, f"<{least}").otherwise(F.format_string("%.3f", p.cast("double")))
 
 
-def hashed_replicates(pred: DataFrame, b: int, seed: str = "boot") -> DataFrame:
-    """entity, replicate and metrics of b resamples of each entity's rows; draw j of replicate r takes the row of number hash % n."""
-    rows = hashed_row_number(pred, ["entity"], F.md5(F.col("sample_id").cast("string")), ["sample_id"], "rn")
-    n = pred.groupBy("entity").agg(F.count("*").alias("n"))
-    draws = rows.select("entity", "rn").join(F.broadcast(n), "entity").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", "rn")), 1, 8), 16, 10).cast("long") % F.col("n") + 1
-    times = draws.select("entity", "replicate", pick.alias("rn")).groupBy("entity", "replicate", "rn").agg(F.count("*").alias("w"))
-    got = times.join(rows.select("entity", "rn", "y_true", "y_pred"), ["entity", "rn"])
-    cell = lambda y, p: F.sum(F.when((F.col("y_true") == y) & (F.col("y_pred") == p), F.col("w")).otherwise(0))
-    counts = got.groupBy("entity", "replicate").agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(0, 0).alias("tn"), cell(1, 0).alias("fn"))
-    return counts.where("tp + fn > 0 and fp + tn > 0").select("entity", "replicate", *[c.alias(k) for k, c in scores().items()])
-
-
-def hashed_score_replicates(pred: DataFrame, b: int, seed: str = "boot") -> DataFrame:
-    """entity, replicate, auroc, cliffs_delta, brier, ece, mce of b resamples of each entity's scored rows, with draws as in
-    `hashed_replicates`; replicates of one class are left out.  Drawn rows become counts of distinct scores first."""
-    scored = pred.where("y_prob is not null")
-    rows = hashed_row_number(scored, ["entity"], F.md5(F.col("sample_id").cast("string")), ["sample_id"], "rn").select("entity", "rn", "y_true", "y_prob")
-    n = scored.groupBy("entity").agg(F.count("*").alias("n"))
-    draws = rows.select("entity", "rn").join(F.broadcast(n), "entity").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", "rn")), 1, 8), 16, 10).cast("long") % F.col("n") + 1
-    times = draws.select("entity", "replicate", pick.alias("rn")).groupBy("entity", "replicate", "rn").agg(F.count("*").alias("w"))
-    keys = ["entity", "replicate"]
-    by = times.join(rows, ["entity", "rn"]).groupBy(*keys, "y_prob").agg(F.sum(F.col("w") * F.col("y_true")).alias("pos"), F.sum("w").alias("n"))
-    ranked = running(by, keys, "y_prob", {"upto": "n"})
-    p, mid = F.col("y_prob"), F.col("pos") * (F.col("upto") - (F.col("n") - 1) / 2.0)
-    neg = F.col("n") - F.col("pos")
-    whole = ranked.groupBy(*keys).agg(F.sum(mid).alias("r"), F.sum("pos").cast("double").alias("n1"), F.sum("n").cast("double").alias("n"), (F.sum(F.col("pos") * (1 - p) * (1 - p) + neg * p * p) / F.sum("n")).alias("brier")).where("n1 > 0 and n1 < n")
-    auroc = (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * (F.col("n") - F.col("n1")))
-    bins = by.withColumn("bin", bin_of(p)).where("bin is not null").groupBy(*keys, "bin").agg(F.sum("n").alias("m"), F.abs(F.sum("pos") / F.sum("n") - F.sum(F.col("n") * p) / F.sum("n")).alias("gap"))
-    errors = bins.groupBy(*keys).agg(F.sum(F.col("m") * F.col("gap")).alias("s"), F.max("gap").alias("mce"))
-    return whole.join(errors, keys).select(*keys, auroc.alias("auroc"), (2 * auroc - 1).alias("cliffs_delta"), "brier", (F.col("s") / F.col("n")).alias("ece"), "mce")
-
-
 def percentile_interval(replicates: DataFrame, metric: str, level: float = 0.95) -> DataFrame:
     q = F.percentile(metric, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return replicates.groupBy("entity").agg(F.avg(metric).alias("mean"), q.alias("q")).select("entity", "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
