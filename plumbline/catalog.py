@@ -324,6 +324,16 @@ _register("same_vs_cross", _p(f"{CELLS} SELECT model, metric, avg(mean) FILTER (
 _register("best_worst_cells", _p(f"{CELLS} SELECT * FROM (SELECT model, metric, source, target, mean, row_number() OVER (PARTITION BY model, metric ORDER BY round(mean, 9) DESC, source, target) AS best_rank, row_number() OVER (PARTITION BY model, metric ORDER BY round(mean, 9), source, target) AS worst_rank FROM cell WHERE source <> target) WHERE best_rank <= 3 OR worst_rank <= 3"), "model metric source target", "best_rank worst_rank", "mean")(lambda s, d: transfer.best_and_worst(cell_table(s, d).withColumn("mean", F.round("mean", 9))))
 _register("target_difficulty", _p(f"{CELLS} SELECT model, metric, target, avg(mean) AS mean FROM cell WHERE source <> target GROUP BY ALL"), "model metric target", doubles="mean")(lambda s, d: transfer.difficulty(cell_table(s, d)))
 _register("stability", _p(f"{CELLS} SELECT model, 1e0 / (1e0 + avg(std)) AS stability FROM cell GROUP BY model"), "model", doubles="stability")(lambda s, d: transfer.stability(cell_table(s, d)))
+SCORED = "scored AS (SELECT entity, dataset AS target, fold, y_true, y_prob, rank() OVER w + (count(*) OVER (PARTITION BY entity, dataset, fold, y_prob) - 1) / 2e0 AS r FROM pred WHERE y_prob IS NOT NULL WINDOW w AS (PARTITION BY entity, dataset, fold ORDER BY y_prob))"
+_register("cross_cells", _p(f""", tr AS (SELECT entity, dataset AS source, f AS fold, y_true, y_prob FROM pred, range(10) t(f) WHERE fold <> f AND y_prob IS NOT NULL),
+ {_youden_sql('entity, source, fold').replace('FROM pred WHERE y_prob IS NOT NULL', 'FROM tr')},
+ hard AS (SELECT p.entity, y.source, p.dataset AS target, p.fold, p.y_true, (p.y_prob >= CASE WHEN y.j > 0 THEN y.threshold ELSE 5e-1 END)::INT AS y_pred FROM pred p JOIN youden y ON p.entity = y.entity AND p.fold = y.fold WHERE p.y_prob IS NOT NULL),
+ wide AS (SELECT entity, source, target, fold, {ALL} FROM ({_counts('entity, source, target, fold', 'hard')})), {SCORED},
+ auc AS (SELECT entity, target, fold, (sum(CASE WHEN y_true = 1 THEN r ELSE 0e0 END) - sum(y_true) * (sum(y_true) + 1) / 2e0) / nullif(sum(y_true) * (count(*) - sum(y_true)), 0) AS auroc, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM scored GROUP BY ALL),
+ bins AS (SELECT entity, target, fold, {BIN} AS bin, count(*) AS n, abs(avg(y_true) - avg(y_prob)) AS gap FROM scored GROUP BY ALL), err AS (SELECT entity, target, fold, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM bins GROUP BY ALL),
+ every AS (SELECT w.*, a.auroc, a.brier, e.ece, e.mce FROM wide w JOIN auc a USING (entity, target, fold) JOIN err e USING (entity, target, fold)),
+ vals AS (UNPIVOT every ON {', '.join(METRICS)}, auroc, brier, ece, mce INTO NAME metric VALUE value)
+ SELECT entity AS model, metric, source, target, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n_folds FROM vals GROUP BY ALL"""), "model metric source target", "n_folds", "mean std")(lambda s, d: transfer.cells(transfer.carried(folded(s, d), 10)))
 
 # shift
 _register("class_priors", f"WITH {BASE} SELECT dataset, count(y_true) AS n, sum(y_true) AS n_pos, sum(1 - y_true) AS n_neg, avg(y_true) AS positive_rate FROM base GROUP BY dataset", "dataset", "n n_pos n_neg", "positive_rate")(lambda s, d: profile.class_priors(base(s, d), "y_true"))

@@ -56,6 +56,7 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--explain", action="store_true", default=None, help="the share of each feature in each score, kept beside the predictions")
         if name == "ablation":
             c.add_argument("--feature-groups", help="JSON or YAML: group to columns")
+            c.add_argument("--metric", dest="metrics", action="append", help="a metric to measure by; may be repeated")
             c.add_argument("--steps", action="store_true", help="also without scaling, calibration and threshold")
     for name, about in (("predict", "score rows by a saved model"), ("evaluate", "metrics of a saved model on labelled rows")):
         c = command(name, about)

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 import random
+import warnings
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -26,8 +28,9 @@ from plumbline.operators import folds as fold_ops
 from plumbline.operators import tuning
 from plumbline.operators.boosting import Boosting
 from plumbline.operators.calibration import Sigmoid
-from plumbline.operators.metrics import all_metrics, auroc, long, youden
+from plumbline.operators.metrics import all_metrics, youden
 from plumbline.operators.neighbours import Neighbours, nearest
+from plumbline.operators.replicates import metric_values
 
 Factory = Callable[..., object]
 _IO = {"featuresCol": "features", "labelCol": "label"}
@@ -262,7 +265,7 @@ def variant_scores(df: DataFrame, target: str, variants: dict[str, tuple[list[st
             pred = None
             for part in (p.result() for p in parts):
                 pred = part if pred is None else pred.unionByName(part)
-            found = long(all_metrics(pred, ["name", "fold"]), ["name", "fold"], list(metrics)).collect()
+            found = metric_values(pred, ["name", "fold"], list(metrics)).collect()
             out += [(r.name, r.fold, r.metric, r.value) for r in found]
     rows.unpersist()
     return df.sparkSession.createDataFrame(out, "name string, fold int, metric string, value double")
@@ -281,57 +284,88 @@ def leave_out(df: DataFrame, features: list[str], groups: dict[str, list[str]],
     return against(variant_scores(df, target, {"": (features, plan)} | {g: (used, plan) for g, used in left.items()}, k, seed, metrics), "")
 
 
-def component_ablation(df: DataFrame, features: list[str], target: str, plans: dict[str, Plan], baseline: str, k: int = 3, seed: int = 42) -> DataFrame:
+def component_ablation(df: DataFrame, features: list[str], target: str, plans: dict[str, Plan], baseline: str, k: int = 3, seed: int = 42, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """name, fold, metric, baseline, ablated: named ways to make a model beside one of them."""
     if baseline not in plans:
         raise ValueError(f"no plan is called {baseline!r}")
-    return against(variant_scores(df, target, {n: (features, p) for n, p in plans.items()}, k, seed), baseline)
+    return against(variant_scores(df, target, {n: (features, p) for n, p in plans.items()}, k, seed, metrics), baseline)
 
 
-def step_ablation(df: DataFrame, features: list[str], target: str, plan: Plan, k: int = 3, seed: int = 42) -> DataFrame:
+def step_ablation(df: DataFrame, features: list[str], target: str, plan: Plan, k: int = 3, seed: int = 42, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """name, fold, metric, baseline, ablated: the whole plan beside itself without scaling, calibration and threshold."""
     steps = {"full": plan, "no_scaling": replace(plan, scale=False), "no_calibration": replace(plan, calibrate=0), "no_threshold": replace(plan, tune=False)}
-    return component_ablation(df, features, target, {n: p for n, p in steps.items() if n == "full" or p != plan}, "full", k, seed)
+    return component_ablation(df, features, target, {n: p for n, p in steps.items() if n == "full" or p != plan}, "full", k, seed, metrics)
 
 
-def cross(df: DataFrame, features: list[str], target: str, name: str | Plan, k: int, seed: int = 42, **params) -> DataFrame:
+def _tried(what: str, do: Callable[[], object], failures: list[tuple] | None, *key):
+    """What `do` gives; None if it fails, with a warning and, where a list is given, (*key, error) added to it."""
+    try:
+        return do()
+    except Exception as e:  # one cell is no reason to lose the others
+        warnings.warn(f"{what} left out: {type(e).__name__}: {str(e)[:200]}", stacklevel=2)
+        if failures is not None:
+            failures.append((*key, f"{type(e).__name__}: {str(e)[:200]}"))
+        return None
+
+
+def cross(df: DataFrame, features: list[str], target: str, name: str | Plan, k: int, seed: int = 42, metrics: tuple[str, ...] = ("auroc",), failures: list[tuple] | None = None, thresholds: list[tuple] | None = None, **params) -> DataFrame:
     """model, metric, source, target, fold, value: one fit for each source and fold, which scores every dataset's test fold.
-    Parameters are chosen on the source's own training rows."""
+    Parameters and, where a metric needs one, the threshold are chosen on the source's own training rows.
+
+    A fold whose training fails is left out with a warning, and so is what it would have given: cells are then those of the
+    other folds.  `failures` gets (source, fold, error), `thresholds` (source, fold, threshold)."""
     plan = name if isinstance(name, Plan) else Plan(name, {p: v for p, v in params.items() if p not in ("missing", "scale")}, missing=params.get("missing"), scale=params.get("scale", True), seed=seed)
     rows = fold_ops.stratified(df, k, target, "sample_id", seed=seed, within=("dataset",)).persist()
     jobs = [(r.dataset, i) for r in rows.select("dataset").distinct().orderBy("dataset").collect() for i in range(k)]
+    cut = any(m not in ("auroc", "brier", "ece", "mce") for m in metrics)
 
-    def one(job: tuple[str, int]) -> DataFrame:
+    def one(job: tuple[str, int]) -> list[tuple]:
         source, i = job
         train = rows.where((F.col("dataset") == source) & (F.col("fold") != i)).drop("fold")
-        model = trained(train, features, target, plan, chosen(train, features, target, plan))
-        s = score(model, rows.where(F.col("fold") == i), features).select("dataset", F.col(target).alias("y_true"), "y_prob")
-        return auroc(s, ["dataset"]).select(F.lit(plan.name).alias("model"), F.lit("auroc").alias("metric"), F.lit(source).alias("source"), F.col("dataset").alias("target"), F.lit(i).alias("fold"), F.col("auroc").alias("value"))
+        best = chosen(train, features, target, plan)
+        model = trained(train, features, target, plan, best)
+        t = tuned(train, features, target, plan, best) if cut else 0.5
+        s = score(model, rows.where(F.col("fold") == i), features).select("dataset", F.col(target).cast("int").alias("y_true"), "y_prob", (F.col("y_prob") >= t).cast("int").alias("y_pred"))
+        found = metric_values(s, ["dataset"], list(metrics)).collect()
+        if thresholds is not None:
+            thresholds.append((source, i, t))
+        return [(plan.name, r.metric, source, r.dataset, i, r.value) for r in found]
 
-    with ThreadPoolExecutor(3) as pool:
-        parts = [r for part in pool.map(lambda j: one(j).collect(), jobs) for r in part]
-    rows.unpersist()
-    return df.sparkSession.createDataFrame(parts, "model string, metric string, source string, target string, fold int, value double")
+    try:
+        with ThreadPoolExecutor(3) as pool:
+            parts = list(pool.map(lambda j: _tried(f"{plan.name} of {j[0]}, fold {j[1]},", lambda: one(j), failures, *j), jobs))
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([r for part in parts for r in part or []], "model string, metric string, source string, target string, fold int, value double")
 
 
-def held_out_predictions(df: DataFrame, features: list[str], target: str, name: str | Plan, **params) -> DataFrame:
-    """entity (the dataset held out), sample_id, y_true, y_prob by a model of all other datasets; at least three are needed."""
+def held_out_predictions(df: DataFrame, features: list[str], target: str, name: str | Plan, failures: list[tuple] | None = None, **params) -> DataFrame:
+    """entity (the dataset held out), sample_id, y_true, y_prob, threshold, y_pred by a model of all other datasets, with parameters
+    and threshold of theirs; at least three are needed.  A dataset whose training fails is left out with a warning."""
     plan = name if isinstance(name, Plan) else Plan(name, params)
     names = [r.dataset for r in df.select("dataset").distinct().orderBy("dataset").collect()]
     if len(names) < 3:
         raise ValueError("at least three datasets are needed")
-    out = None
-    for d in names:
+    df = df.persist()
+
+    def one(d: str) -> DataFrame:
         train = df.where(F.col("dataset") != d)
-        s = score(trained(train, features, target, plan, chosen(train, features, target, plan)), df.where(F.col("dataset") == d), features)
-        part = s.select(F.lit(d).alias("entity"), "sample_id", F.col(target).cast("int").alias("y_true"), "y_prob")
-        out = part if out is None else out.unionByName(part)
-    return out
+        best = chosen(train, features, target, plan)
+        t = tuned(train, features, target, plan, best)
+        s = score(trained(train, features, target, plan, best), df.where(F.col("dataset") == d), features)
+        return s.select(F.lit(d).alias("entity"), "sample_id", F.col(target).cast("int").alias("y_true"), "y_prob", F.lit(t).alias("threshold"), (F.col("y_prob") >= t).cast("int").alias("y_pred"))
+
+    with ThreadPoolExecutor(3) as pool:
+        parts = [p for p in pool.map(lambda d: _tried(f"{plan.name} without {d}", lambda: one(d), failures, d, None), names) if p is not None]
+    if not parts:
+        raise ValueError("no dataset could be held out")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def held_out_datasets(df: DataFrame, features: list[str], target: str, name: str | Plan, **params) -> DataFrame:
-    """held_out, auroc of a model trained on all other datasets."""
-    return auroc(held_out_predictions(df, features, target, name, **params), ["entity"]).withColumnRenamed("entity", "held_out")
+def held_out_datasets(df: DataFrame, features: list[str], target: str, name: str | Plan, metrics: tuple[str, ...] = ("auroc",), **params) -> DataFrame:
+    """held_out and metrics of a model trained on all other datasets."""
+    pred = held_out_predictions(df, features, target, name, **params)
+    return all_metrics(pred, ["entity"]).select(F.col("entity").alias("held_out"), *metrics)
 
 
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:

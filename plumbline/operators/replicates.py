@@ -208,6 +208,15 @@ def _value(f: Callable, p: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> float
     return got if got == got else None
 
 
+def _function_values(keys: list[str], metric: Metric):
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y_prob")
+        value = _value(metric.function, pdf.y_prob.to_numpy(float), pdf.n1.to_numpy(float), pdf.n0.to_numpy(float))
+        return pd.DataFrame({k: [v] for k, v in zip(keys, key)} | {"metric": [metric.name], "value": [value]})
+
+    return work
+
+
 def metric_values(pred: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """keys, metric, value of built-in and registered metrics; null where a metric has none.
 
@@ -223,14 +232,7 @@ def metric_values(pred: DataFrame, keys: list[str], names: list[str]) -> DataFra
         part = long(confusion(pred, keys).select(*keys, *[REGISTRY[n].expression().alias(n) for n in by_counts]), keys, by_counts)
         out = part if out is None else out.unionByName(part)
     for n in [n for n in names if n in REGISTRY and REGISTRY[n].function]:
-        f = REGISTRY[n].function
-
-        def work(key: tuple, pdf: pd.DataFrame, f=f, n=n) -> pd.DataFrame:
-            pdf = pdf.sort_values("y_prob")
-            value = _value(f, pdf.y_prob.to_numpy(float), pdf.n1.to_numpy(float), pdf.n0.to_numpy(float))
-            return pd.DataFrame({k: [v] for k, v in zip(keys, key)} | {"metric": [n], "value": [value]})
-
-        part = _distinct(pred, keys).groupBy(*keys).applyInPandas(work, f"{_typed(pred, keys)}, metric string, value double")
+        part = _distinct(pred, keys).groupBy(*keys).applyInPandas(_function_values(keys, REGISTRY[n]), f"{_typed(pred, keys)}, metric string, value double")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
-from plumbline.operators import paired
+from plumbline.operators import metrics, paired
 
 
 def cells(fold_values: DataFrame) -> DataFrame:
@@ -14,6 +14,27 @@ def cells(fold_values: DataFrame) -> DataFrame:
     return fold_values.groupBy("model", "metric", "source", "target").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n_folds"))
 
 
+def carried(pred: DataFrame, folds: int) -> DataFrame:
+    """model, metric, source, target, fold, value of scores (entity, dataset, fold, y_true, y_prob) whose threshold is carried over:
+    that of a source's other folds (Youden) is used on the fold of every dataset.
+
+    A row helps to choose the thresholds of all folds but its own, so the curves see it `folds` - 1 times."""
+    rows = pred.where("y_prob is not null")
+    others = rows.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("_out != fold")
+    keys = ["entity", "source", "fold"]
+    cut = metrics.youden(others.select("entity", F.col("dataset").alias("source"), F.col("_out").alias("fold"), "y_true", "y_prob"), keys)
+    cut = cut.select(*keys, F.when(F.col("j") > 0, F.col("threshold")).otherwise(0.5).alias("_t"))  # a row for each entity, dataset and fold
+    tested = rows.select("entity", "dataset", "fold", "y_true", "y_prob").join(F.broadcast(cut), ["entity", "fold"])
+    tested = tested.withColumn("y_pred", (F.col("y_prob") >= F.col("_t")).cast("int")).withColumnRenamed("dataset", "target")
+    by = ["entity", "source", "target", "fold"]
+    wide = metrics.confusion(tested, by).select(*by, *[c.alias(n) for n, c in metrics.scores().items()])
+    own = pred.where("y_prob is not null").withColumnRenamed("dataset", "target")
+    for part in (metrics.auroc, metrics.brier, metrics.calibration_error):
+        wide = wide.join(part(own, ["entity", "target", "fold"]), ["entity", "target", "fold"], "left")
+    names = [*metrics.scores(), "auroc", "brier", "ece", "mce"]
+    return metrics.long(wide, by, names).select(F.col("entity").alias("model"), "metric", "source", "target", "fold", "value")
+
+
 def gap(fold_values: DataFrame) -> DataFrame:
     """model, metric, source, gap, n_folds: in-dataset value less the mean over targets, over folds that all cells have."""
     per = fold_values.where("value is not null").groupBy("model", "metric", "source", "fold").agg(F.max(F.when(F.col("source") == F.col("target"), F.col("value"))).alias("own"), F.avg(F.when(F.col("source") != F.col("target"), F.col("value"))).alias("cross"), F.count_distinct("target").alias("k"))

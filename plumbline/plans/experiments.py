@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import clean, errors, explain, folds, intervals, metrics, models, paired, profile, rules, shift, transfer
+from plumbline.operators import clean, errors, explain, folds, intervals, metrics, models, paired, profile, replicates, rules, shift, transfer
 from plumbline.settings import Settings
 from plumbline.sources import artifacts
 from plumbline.sources.files import PredictionStore, run_key
@@ -123,19 +123,32 @@ def learned(rows: DataFrame, features: list[str], s: Settings, store: Prediction
 
 
 def cross(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """Each dataset's model on every dataset, gaps, models without one dataset, class priors and shift."""
+    """Each dataset's model on every dataset by all metrics, gaps, models without one dataset, class priors and shift; folds
+    that failed are listed and left out."""
     rows, features = prepared(df, s)
-    values = reduce(DataFrame.unionByName, [models.cross(rows, features, s.target, plan(name, s), s.outer, s.seed) for name in s.models])
-    cells = transfer.cells(values)
-    out = {"cells": cells, "gap": transfer.gap_interval(values, s.bootstrap, s.level), "group_gap": transfer.group_gap_interval(cells, s.bootstrap, s.level), "difficulty": transfer.difficulty(cells), "stability": transfer.stability(cells)}
+    failed: list[tuple] = []
+    cut: list[tuple] = []
+    values = []
+    for name in s.models:
+        gone, at = [], []
+        values.append(models.cross(rows, features, s.target, plan(name, s), s.outer, s.seed, metrics=replicates.BUILT_IN, failures=gone, thresholds=at))
+        failed += [(name, *f) for f in gone]
+        cut += [(name, *t) for t in sorted(at)]
+    values = reduce(DataFrame.unionByName, values)
+    cells, spark = transfer.cells(values), df.sparkSession
+    out = {"fold_values": values, "cells": cells, "gap": transfer.gap_interval(values, s.bootstrap, s.level), "group_gap": transfer.group_gap_interval(cells, s.bootstrap, s.level), "same_and_cross": transfer.same_and_cross(cells), "difficulty": transfer.difficulty(cells), "stability": transfer.stability(cells)}
     if rows.select("dataset").distinct().count() >= 3:
         held = []
         for name in s.models:
-            pred = models.held_out_predictions(rows, features, s.target, plan(name, s)).persist()
-            bounds = intervals.score_intervals(pred, ["entity"], s.bootstrap, s.level, seed=s.seed).where("metric = 'auroc'")
-            held.append(bounds.select(F.lit(name).alias("model"), F.col("entity").alias("held_out"), F.col("point").alias("auroc"), "lower", "upper"))
-        pairwise = transfer.difficulty(cells).where("metric = 'auroc'").select("model", F.col("target").alias("held_out"), F.col("mean").alias("pairwise_mean"))
-        out["held_out"] = reduce(DataFrame.unionByName, held).join(pairwise, ["model", "held_out"], "left").withColumn("delta", F.col("auroc") - F.col("pairwise_mean"))
+            gone = []
+            pred = models.held_out_predictions(rows, features, s.target, plan(name, s), gone).persist()
+            failed += [(name, *f) for f in gone]
+            bounds = intervals.all_intervals(pred, ["entity"], s.bootstrap, s.level, seed=s.seed).where("metric != 'cliffs_delta'")
+            held.append(bounds.select(F.lit(name).alias("model"), F.col("entity").alias("held_out"), "metric", F.col("point").alias("value"), "lower", "upper"))
+        pairwise = transfer.difficulty(cells).select("model", "metric", F.col("target").alias("held_out"), F.col("mean").alias("pairwise_mean"))
+        out["held_out"] = reduce(DataFrame.unionByName, held).join(pairwise, ["model", "metric", "held_out"], "left").withColumn("delta", F.col("value") - F.col("pairwise_mean"))
+    out["failed"] = spark.createDataFrame(failed, "model string, source string, fold int, error string")
+    out["thresholds"] = spark.createDataFrame(cut, "model string, source string, fold int, threshold double")
     return out | {"priors": profile.class_priors(rows, s.target), "shift": shift.ks(rows, features)}
 
 
@@ -192,10 +205,11 @@ def ablation(df: DataFrame, s: Settings, name: str, groups: dict[str, list[str]]
     threshold; tests are corrected by metric."""
     rows, features = prepared(df, s)
     p = plan(name, s)
-    scores = models.leave_out(rows, features, groups or {f: [f] for f in features}, s.target, p, s.outer, s.seed)
+    names = tuple(s.metrics) or models.METRICS
+    scores = models.leave_out(rows, features, groups or {f: [f] for f in features}, s.target, p, s.outer, s.seed, names)
     out = {"ablation": transfer.ablation_tests(scores, 1 - s.level)}
     if steps:
-        out["steps"] = transfer.ablation_tests(models.step_ablation(rows, features, s.target, p, s.outer, s.seed), 1 - s.level)
+        out["steps"] = transfer.ablation_tests(models.step_ablation(rows, features, s.target, p, s.outer, s.seed, names), 1 - s.level)
     return out
 
 

@@ -39,6 +39,7 @@ class Settings:
     bootstrap: int = 1000
     level: float = 0.95
     primary: str = "mcc"
+    metrics: list[str] = field(default_factory=list)
     correction: str = "holm"
 
     @classmethod
@@ -71,6 +72,7 @@ class Settings:
 
     def problems(self) -> list[str]:
         from plumbline.operators.models import REGISTRY
+        from plumbline.operators import replicates
         from plumbline.operators.rules import parse
 
         bad = [f"unknown model {m!r}" for m in self.models if m not in REGISTRY] or ["no models"] * (not self.models)
@@ -79,6 +81,7 @@ class Settings:
         bad += ["level must lie between 0 and 1"] * (not 0 < self.level < 1)
         bad += [f"missing must be one of {MISSING}"] * (self.missing not in MISSING)
         bad += [f"correction must be one of {CORRECTIONS}"] * (self.correction not in CORRECTIONS)
+        bad += [f"unknown metric {m!r}" for m in self.metrics if m not in replicates.BUILT_IN and m not in replicates.REGISTRY]
         bad += ["the target cannot be a feature"] * (self.target in self.features)
         for c in self.combinations:
             try:

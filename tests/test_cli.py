@@ -61,9 +61,14 @@ def test_train_predict_evaluate(spark, table, tmp_path):
 def test_cross_and_ablation(spark, table, tmp_path):
     common = ["--id-column", "id", "--features", "a,b", "--models", "logistic", "--outer", "2"]
     assert cli.main(["cross-dataset", *(str(table / f"{n}.csv") for n in "xyz"), "--out", str(tmp_path / "c"), *common], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "c" / "cells")).count() == 9
+    cells = spark.read.parquet(str(tmp_path / "c" / "cells"))
+    assert cells.where("metric = 'auroc'").count() == 9 and cells.count() == 9 * 13
+    assert spark.read.parquet(str(tmp_path / "c" / "thresholds")).count() == 6 and spark.read.parquet(str(tmp_path / "c" / "failed")).count() == 0
     (tmp_path / "g.json").write_text(json.dumps({"one": ["a"], "two": ["b"]}))
     assert cli.main(["ablation", str(table / "x.csv"), "--out", str(tmp_path / "a"), *common, "--feature-groups", str(tmp_path / "g.json")], spark) == 0
+    assert cli.main(["ablation", str(table / "x.csv"), "--out", str(tmp_path / "m"), *common, "--feature-groups", str(tmp_path / "g.json"), "--metric", "brier"], spark) == 0
+    assert {r.metric for r in spark.read.parquet(str(tmp_path / "m" / "ablation")).collect()} == {"brier"}
+    assert cli.main(["ablation", str(table / "x.csv"), "--out", str(tmp_path / "m"), *common, "--metric", "nope"], spark) == cli.INVALID
     got = spark.read.parquet(str(tmp_path / "a" / "ablation"))
     assert got.count() == 8 and got.where("metric = 'auroc' and name = 'one'").first().delta > 0.1
 
