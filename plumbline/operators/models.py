@@ -40,7 +40,7 @@ REGISTRY: dict[str, tuple[Factory, list[dict]]] = {
     "gbt": (lambda **p: Boosting(**{"weightCol": "", "l2": 1.0} | p), [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (50, 100, 200) for d in (3, 5) for s in (0.01, 0.1)]),
     "gbt_balanced": (lambda **p: Boosting(**{"symmetric": True, "l2": 3.0} | p), [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (100, 200, 500) for d in (4, 6, 8) for s in (0.01, 0.05, 0.1)]),
     "mlp": (lambda layers=(50,), n_features=1, **p: MultilayerPerceptronClassifier(**_IO, layers=[n_features, *layers, 2], **{"seed": 42} | p), [{"layers": x} for x in ((50,), (100,), (50, 50))]),
-    "knn": (lambda **p: Neighbours(**p), [{"k": k, "weights": w} for k in (3, 5, 7, 9) for w in ("uniform", "distance")]),
+    "knn": (lambda **p: Neighbours(**p), [{"k": k, "weights": w, "leafSize": n} for k in (3, 5, 7, 9) for w in ("uniform", "distance") for n in (20, 30, 40)]),
 }
 SEEDED = ("forest", "mlp")
 METRICS = ("balanced_accuracy", "f1_1", "mcc", "auroc")

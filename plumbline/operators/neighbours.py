@@ -1,4 +1,4 @@
-"""Exact nearest neighbours in blocks, and a classifier by them."""
+"""Exact nearest neighbours in blocks, and a classifier by them (which finds them by a metric tree)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.storage import kept
+from plumbline.operators import metric_tree
+
 #: Rows of a block on either side; a task compares two blocks.
 BLOCK = 4096
 
@@ -60,14 +63,15 @@ class _Columns(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol,
 
 
 class Neighbours(Estimator, _Columns):
-    """The share of label 1 among the k nearest training rows, each weighing one, or the inverse of its distance."""
+    """The share of label 1 among the k nearest training rows, each weighing one, or the inverse of its distance; leafSize is
+    that of the metric tree and changes no result."""
 
     @keyword_only
-    def __init__(self, k: int = 5, weights: str = "uniform") -> None:
+    def __init__(self, k: int = 5, weights: str = "uniform", leafSize: int = 30) -> None:  # noqa: N803
         super().__init__()
         if weights not in ("uniform", "distance"):
             raise ValueError(f"unknown weights {weights!r}")
-        self.k, self.weights = k, weights
+        self.k, self.weights, self.leaf = k, weights, leafSize
         self._setDefault(featuresCol="features", labelCol="label")
 
     def _fit(self, dataset: DataFrame) -> NeighboursModel:
@@ -75,21 +79,21 @@ class Neighbours(Estimator, _Columns):
         rows = dataset.select(v.alias("v"), F.col(self.getLabelCol()).alias("y")).groupBy("v", "y").count()
         # equal rows are one row with a count; a digest of the vector and label orders ties
         rows = rows.select(F.md5(F.concat_ws(":", F.concat_ws(",", F.col("v").cast("array<string>")), "y")).alias("vid"), "v", "y", "count")
-        return self._copyValues(NeighboursModel(rows, self.k, self.weights))
+        return self._copyValues(NeighboursModel(kept(rows), self.k, self.weights, self.leaf))
 
 
 class NeighboursModel(Model, _Columns):
-    """It keeps the training rows as a frame, so it lives as long as its session and is not saved."""
+    """It keeps the training rows as a written table, which is not saved with it."""
 
-    def __init__(self, rows: DataFrame, k: int, weights: str) -> None:
+    def __init__(self, rows: DataFrame, k: int, weights: str, leaf: int) -> None:
         super().__init__()
-        self.rows, self.k, self.weights = rows, k, weights
+        self.rows, self.k, self.weights, self.leaf = rows, k, weights, leaf
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         v = vector_to_array(self.getFeaturesCol())
         asked = dataset.withColumn("_q", v)
         q = asked.select(F.col("_q").alias("qid"), F.col("_q").alias("q")).distinct()
-        near = nearest(q, self.rows.select("vid", "v", "y"), self.k).join(self.rows.select("vid", "count"), "vid")
+        near = metric_tree.nearest(q, self.rows.select("vid", "v", "y"), self.k, self.leaf).join(self.rows.select("vid", "count"), "vid")
         before = F.coalesce(F.sum("count").over(Window.partitionBy("qid").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         near = near.withColumn("n", F.greatest(F.least(F.col("count"), F.lit(self.k) - before), F.lit(0)))
         if self.weights == "distance":  # rows at distance 0 alone count where there are any
