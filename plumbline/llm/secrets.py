@@ -1,7 +1,7 @@
 """Secret scans by a linear-chain conditional random field.
 
-Tokens are tagged begin, inside or outside.  Each has a class from its shape (kinds of characters, length) or
-because it is a word that announces a secret; emissions are sums of weights for its own class, those of its
+Tokens are tagged begin, inside or outside.  Each has a class from its shape (kinds of characters, length);
+no word is known beforehand as one that announces a secret; emissions are sums of weights for its own class, those of its
 neighbours, the words before it (by a hash of the lower-cased word, learned from the data) and features of the
 file (length, share of punctuation).  The model is fitted here, by gradient
 ascent on the likelihood, to windows around the matches of fixed patterns in a bounded sample; Viterbi
@@ -29,7 +29,6 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "crf")
-KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api", "key", "auth", "bearer", "credential")
 #: Documents with and without a match that the model is fitted on, at most.
 SAMPLE = 1500
 B, I, O = range(3)  # noqa: E741
@@ -93,7 +92,6 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(plain):
         h = word_hashes(raw, s[plain], e[plain], lower=True)
         word[plain] = 1 + (h % np.uint64(N_WORD - 1)).astype(np.int64)
-        cls[plain[np.isin(h, _keyword_hashes())]] = 10
     n = np.diff(first)
     punct = np.concatenate([[0], np.cumsum(one, dtype=np.int64)])
     share = (punct[first[1:]] - punct[first[:-1]]) / np.maximum(n, 1)
@@ -101,12 +99,6 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, e, cls, word, np.repeat(file, n), first
 
 
-def _keyword_hashes() -> np.ndarray:
-    raw = np.frombuffer("".join(KEYWORDS + ("api_key",)).encode(), np.uint8)
-    e = np.cumsum([len(k) for k in KEYWORDS + ("api_key",)])
-    return word_hashes(raw, np.concatenate([[0], e[:-1]]), e)
-
-
 class Field:
     """Weights: emissions by class at offsets -3..1, by word at offsets -3..-1, by file class, transitions, start."""
 
@@ -241,8 +233,11 @@ def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, width:
         at += [int(rng.integers(0, len(s) - width + 1)) for _ in range(3)]
         odd = np.flatnonzero((tag == O) & (cls >= 20) & (((cls - 16) & 15) >= 4))[:3]  # tokens with digits that are no secret
         at += [max(0, min(int(x) - width // 2, len(s) - width)) for x in odd]
-        for x in at:
-            for k, v in zip(windows, (near[:, x : x + width], file[x : x + width], tag[x : x + width])):
+        blind = near.copy()
+        blind[len(field.OFFSETS) :] = 0
+        for x in at:  # half of the windows hide their words, for those that announce a secret elsewhere may be others
+            near_or_blind = near if rng.random() < 0.5 else blind
+            for k, v in zip(windows, (near_or_blind[:, x : x + width], file[x : x + width], tag[x : x + width])):
                 k.append(v)
     if windows[0]:
         field.fit(np.stack(windows[0], axis=1), np.stack(windows[1]), np.stack(windows[2]))
@@ -272,10 +267,23 @@ def _spans(field: Field, raw: np.ndarray, offsets: np.ndarray, texts: list[str])
             added.setdefault(d, []).append((int(points[s[i]] - zero), int(points[e[j - 1]] - zero)))
     for d, text in enumerate(texts):
         found = base(text)
-        more = [(a, b, 3) for a, b in added.get(d, []) if not any(x <= a and b <= y for x, y, _ in found)]
+        more = uncovered(added.get(d, []), found)
         yield sorted(found + more, key=lambda x: (x[0], x[2])) if more else found
 
 
+def uncovered(added: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The added spans (by start) that lie in none of those found (by start): a span lies in one of them if, of those that do not
+    start after it, the one that reaches farthest ends no earlier."""
+    out, reach, k = [], -1, 0
+    for a, b in added:
+        while k < len(found) and found[k][0] <= a:
+            reach = max(reach, found[k][1])
+            k += 1
+        if reach < b:
+            out.append((a, b, 3))
+    return out
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 

@@ -108,26 +108,61 @@ def test_quality_verdict(spark):
     assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
 
 
-def test_secrets_held_out(spark):
-    """The field learns from the patterns' matches and is held against announcements that no pattern knows."""
+def held_out_words():
+    """Announcements by words that stand nowhere in the library, values that no pattern takes, and clean lines that look alike."""
     import random
 
     r = random.Random(8)
-    prose = lambda n: " ".join(r.choice("the state of a paper in their long valley was read by others and 12 , . (see) 2021-03-04 v1.2 f00d http://a.org/b2 10,000 ABC-12 x_y".split()) for _ in range(n))
+    prose = lambda n: " ".join(r.choice("the state of a paper in their long valley was read by others and 12 , . (see) 2021-03-04 v1.2 f00d http://a.org/b2 10,000 ABC-12 x_y size = 40 mode: fast".split()) for _ in range(n))
     value = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(20, 40)))
+    return r, prose, value
+
+
+def test_secrets_held_out(spark):
+    """The field learns from the patterns' matches and is held against announcements whose words it has never seen."""
+    r, prose, value = held_out_words()
     known = lambda: r.choice([f'password: "{value()}"', f"token = {value()}", f"api_key={value()}", f"secret: {value()}", "AKIA" + value().upper()])
     docs = [(i, f"{prose(40)} {known()} {prose(30)}" if i % 2 else prose(70)) for i in range(600)]
     field = secrets.fitted(frame(spark, docs))
-    held = [(i, prose(40), r.choice(["auth: {}", "key = {}", 'credential = "{}"', "bearer: {}"]).format(value()), prose(30)) for i in range(200)]
-    rows = [(i, f"{a} {s} {b}") for i, a, s, b in held] + [(1000 + i, prose(80)) for i in range(200)]
+    held = [(i, prose(40), r.choice(["passphrase: {}", "signature = {}", 'pin_vault = "{}"', "dsn={}", "kennwort: {}"]).format(value()), prose(30)) for i in range(200)]
+    clean = ["mode: {}", "size = {}", "see {} of", "({})"]
+    rows = [(i, f"{a} {s} {b}") for i, a, s, b in held] + [(1000 + i, prose(40) + " " + r.choice(clean).format(r.choice(["fast", "readable", "1234", "2021-03-04", "v1.2", "ABC-12", "http://a.org/b2", "internationalisation"])) + " " + prose(40)) for i in range(200)]
     got = {x.doc_id: x.spans for x in secrets.scan(frame(spark, rows), field=field).collect()}
-    hits = 0
+    hits = marked = 0
     for i, a, s, _ in held:
         v = re.search(r"[A-Za-z0-9]{20,}", s)
-        hits += f"crf:{len(a) + 1 + v.start()}:{len(a) + 1 + v.end()}" in got[i].split(",")
+        spans = [x for x in got[i].split(",") if x]
+        hits += f"crf:{len(a) + 1 + v.start()}:{len(a) + 1 + v.end()}" in spans
+        marked += len(spans)
     false = sum(got[1000 + i] != "" for i in range(200))
-    print("held out: found", hits, "of 200, clean texts marked", false)
-    assert hits >= 180 and false <= 4
+    print("held out: found", hits, "of 200 among", marked, "spans; clean texts marked", false, "of 200")
+    assert hits >= 180 and hits >= 0.95 * marked and false <= 4
+
+
+def test_secrets_in_a_long_text():
+    """Added spans beside very many matches take time in proportion to both."""
+    import random
+    import time
+
+    r = random.Random(1)
+    found = sorted((a, a + r.randint(1, 60), 0) for a in (r.randrange(3_000_000) for _ in range(200_000)))
+    added = sorted((a, a + r.randint(1, 40)) for a in (r.randrange(3_000_000) for _ in range(200_000)))
+    start = time.time()
+    got = secrets.uncovered(added, found)
+    assert time.time() - start < 5
+    some = added[:300]
+    assert [x for x in got if x[0] <= some[-1][0]][: len(secrets.uncovered(some, found))] == secrets.uncovered(some, found)
+    assert secrets.uncovered(some, found) == [(a, b, 3) for a, b in some if not any(x <= a and b <= y for x, y, _ in found[:2000])]
+    field = secrets.Field()
+    field.emit[2, 16:, 0] = 1.0  # every word begins a span: as many added ones as tokens
+    field.file[:, 2] = 0.5
+    dump = "\n".join(f"token = {r.randrange(10**12):012d} note{k}" for k in range(60_000))
+    start = time.time()
+    raw = np.frombuffer(dump.encode(), np.uint8)
+    (spans,) = secrets._spans(field, raw, np.array([0, len(raw)]), [dump])
+    took = time.time() - start
+    print(len(dump), "characters,", len(spans), "spans,", round(took, 1), "s")
+    assert sum(k == 0 for *_, k in spans) == 60_000 and sum(k == 3 for *_, k in spans) >= 60_000 and took < 60
 
 
 def test_secrets(spark):
