@@ -1,7 +1,7 @@
 """Training: classifiers of the ML library, nested search, calibration, out-of-fold predictions, ablation, Shapley values.
 
 The two boosted models are those of `boosting`: `gbt` splits each node by itself, `gbt_balanced` weighs classes alike
-and grows symmetric trees.  The perceptron has sigmoid layers only.  Whatever is chosen or fitted for the rows of a
+and grows symmetric trees.  Whatever is chosen or fitted for the rows of a
 fold (parameters, fill values, scales, calibration, threshold) sees the other folds only.
 """
 
@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,6 +30,7 @@ from plumbline.operators.boosting import Boosting
 from plumbline.operators.calibration import Sigmoid
 from plumbline.operators.metrics import all_metrics, youden
 from plumbline.operators.neighbours import Neighbours, nearest
+from plumbline.operators.perceptron import Perceptron
 from plumbline.operators.replicates import metric_values
 
 Factory = Callable[..., object]
@@ -39,7 +40,7 @@ REGISTRY: dict[str, tuple[Factory, list[dict]]] = {
     "forest": (lambda **p: RandomForestClassifier(**_IO, weightCol="weight", **{"seed": 42} | p), [{"numTrees": t, "maxDepth": d} for t in (50, 100, 200) for d in (3, 5)]),
     "gbt": (lambda **p: Boosting(**{"weightCol": "", "l2": 1.0} | p), [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (50, 100, 200) for d in (3, 5) for s in (0.01, 0.1)]),
     "gbt_balanced": (lambda **p: Boosting(**{"symmetric": True, "l2": 3.0} | p), [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (100, 200, 500) for d in (4, 6, 8) for s in (0.01, 0.05, 0.1)]),
-    "mlp": (lambda layers=(50,), n_features=1, **p: MultilayerPerceptronClassifier(**_IO, layers=[n_features, *layers, 2], **{"seed": 42} | p), [{"layers": x} for x in ((50,), (100,), (50, 50))]),
+    "mlp": (lambda **p: Perceptron(**p), [{"layers": x, "activation": a, "alpha": l2} for x in ((50,), (100,), (50, 50)) for a in ("relu", "tanh") for l2 in (1e-4, 1e-3)]),
     "knn": (lambda **p: Neighbours(**p), [{"k": k, "weights": w, "leafSize": n} for k in (3, 5, 7, 9) for w in ("uniform", "distance") for n in (20, 30, 40)]),
 }
 SEEDED = ("forest", "mlp")
@@ -68,10 +69,10 @@ def register(name: str, factory: Factory, grid: list[dict]) -> None:
     REGISTRY[name] = (factory, grid)
 
 
-def estimator(name: str, n_features: int, **params):
+def estimator(name: str, **params):
     if name not in REGISTRY:
         raise KeyError(f"unknown model {name!r}; known: {sorted(REGISTRY)}")
-    return REGISTRY[name][0](**({"n_features": n_features} if name == "mlp" else {}), **params)
+    return REGISTRY[name][0](**params)
 
 
 def fold_seeds(seed: int, k: int) -> list[int]:
@@ -97,7 +98,7 @@ def _stages(features: list[str], name: str, missing: str | None, scale: bool, pa
     stages.append(VectorAssembler(inputCols=used, outputCol=raw))
     if scale:
         stages.append(StandardScaler(inputCol=raw, outputCol=f"features{tag}", withMean=True, withStd=True))
-    last = estimator(name, len(features), **params)
+    last = estimator(name, **params)
     if tag:
         last.setFeaturesCol(f"features{tag}").setProbabilityCol(f"probability{tag}").setRawPredictionCol(f"rawPrediction{tag}").setPredictionCol(f"prediction{tag}")
     return [*stages, last]

@@ -85,7 +85,7 @@ def test_training(spark):
     s = models.shapley_linear(rows, ["a", "b"], "y", regParam=0.01).selectExpr("max(abs(base + phi['a'] + phi['b'] - margin)) as e").first()
     assert s.e < 1e-9
     with pytest.raises(KeyError):
-        models.estimator("nope", 2)
+        models.estimator("nope")
     assert math.isclose(sum(v for _, v in models.importances(models.fit(rows, ["a", "b"], "y", "forest", numTrees=5), ["a", "b"])), 1.0)
 
 
