@@ -157,6 +157,7 @@ def fold_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("fold_metric_summary", _p(f", {FOLD} SELECT entity, metric, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS least, max(value) AS most, quantile_cont(value, 0.5) AS median FROM long GROUP BY ALL"), "entity metric", doubles="mean std least most median")(lambda s, d: metrics.summary(fold_metrics(s, d)))
+_register("summary_text", _p(f", {FOLD}, t AS (SELECT entity, metric, avg(value) AS m, stddev_samp(value) AS s FROM long GROUP BY ALL) SELECT entity, metric, printf('%.3f', m) || ' ± ' || printf('%.3f', s) AS text FROM t"), "entity metric text")(lambda s, d: metrics.summary_text(metrics.summary(fold_metrics(s, d))))
 _register("metrics_wide", _p(f", {FOLD} SELECT entity, {', '.join(f'avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std' for m in ('mcc', 'f1_1'))} FROM wide GROUP BY entity"), "entity", doubles="mcc_mean mcc_std f1_1_mean f1_1_std")(
     lambda s, d: fold_metrics(s, d).where(F.col("metric").isin("mcc", "f1_1")).groupBy("entity").pivot("metric", ["mcc", "f1_1"]).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 )
@@ -237,10 +238,22 @@ _register("delong", _p(""", ranks AS (SELECT entity, sample_id, y_true, rank() O
  t AS (SELECT max(ma) FILTER (y_true = 1) AS auroc_a, max(mb) FILTER (y_true = 1) AS auroc_b, sum(s / n) AS variance FROM s) SELECT *, auroc_a - auroc_b AS diff, (auroc_a - auroc_b) / sqrt(variance) AS z FROM t"""), doubles="auroc_a auroc_b diff variance z")(
     lambda s, d: paired.delong(predictions(s, d), "A", "B")
 )
-TESTS = [("f1", "a", 0.001), ("f1", "b", 0.03), ("f1", "c", 0.04), ("f1", "d", 0.05), ("f1", "e", 0.5), ("f2", "a", 0.2), ("f2", "b", 0.02)]
-TESTS_SQL = "tests(family, name, p) AS (VALUES " + ", ".join(f"('{f}', '{n}', {p:e})" for f, n, p in TESTS) + ")"
-_register("holm", f"WITH {TESTS_SQL}, r AS (SELECT *, least(1e0, (count(*) OVER (PARTITION BY family) - row_number() OVER w + 1) * p) AS r FROM tests WINDOW w AS (PARTITION BY family ORDER BY p, name)) SELECT family, name, p, max(r) OVER (PARTITION BY family ORDER BY p, name) AS p_holm FROM r", "family name", doubles="p p_holm")(lambda s, d: paired.holm(s.createDataFrame(TESTS, "family string, name string, p double")))
-_register("bh", f"WITH {TESTS_SQL}, r AS (SELECT *, least(1e0, p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p, name)) AS r FROM tests) SELECT family, name, p, min(r) OVER (PARTITION BY family ORDER BY p DESC, name DESC) AS p_bh FROM r", "family name", doubles="p p_bh")(lambda s, d: paired.benjamini_hochberg(s.createDataFrame(TESTS, "family string, name string, p double")))
+#: Tests to correct: in each dataset, whether an entity's errors depend on the kind of order; with two degrees of freedom the p of a
+#: chi-square x is exp(-x / 2).
+TESTS_SQL = """cells AS (SELECT dataset AS family, entity AS name, kind, (y_true <> y_pred)::INT AS wrong, count(*)::DOUBLE AS c FROM pred GROUP BY ALL),
+ shares AS (SELECT family, name, c * c / (sum(c) OVER (PARTITION BY family, name, kind) * sum(c) OVER (PARTITION BY family, name, wrong)) AS s, sum(c) OVER (PARTITION BY family, name) AS n FROM cells),
+ tests AS (SELECT family, name, round(exp(-(sum(s) - 1e0) * max(n) / 2e0), 9) AS p FROM shares GROUP BY ALL)"""
+
+
+def kind_tests(s: SparkSession, d: str) -> DataFrame:
+    cells = predictions(s, d).groupBy(F.col("dataset").alias("family"), F.col("entity").alias("name"), "kind", (F.col("y_true") != F.col("y_pred")).alias("wrong")).agg(F.count("*").cast("double").alias("c"))
+    total = lambda *k: F.sum("c").over(Window.partitionBy("family", "name", *k))
+    shares = cells.select("family", "name", (F.col("c") * F.col("c") / (total("kind") * total("wrong"))).alias("s"), total().alias("n"))
+    return shares.groupBy("family", "name").agg(F.round(F.exp(-(F.sum("s") - 1) * F.max("n") / 2), 9).alias("p"))
+
+
+_register("holm", _p(f", {TESTS_SQL}, r AS (SELECT *, least(1e0, (count(*) OVER (PARTITION BY family) - row_number() OVER w + 1) * p) AS r FROM tests WINDOW w AS (PARTITION BY family ORDER BY p, name)) SELECT family, name, p, max(r) OVER (PARTITION BY family ORDER BY p, name) AS p_holm FROM r"), "family name", doubles="p p_holm")(lambda s, d: paired.holm(kind_tests(s, d)))
+_register("bh", _p(f", {TESTS_SQL}, r AS (SELECT *, least(1e0, p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p, name)) AS r FROM tests) SELECT family, name, p, min(r) OVER (PARTITION BY family ORDER BY p DESC, name DESC) AS p_bh FROM r"), "family name", doubles="p p_bh")(lambda s, d: paired.benjamini_hochberg(kind_tests(s, d)))
 _register("pairwise_full", None)(lambda s, d: paired.compare(predictions(s, d)))
 _register("q_matrix", None)(lambda s, d: paired.compare(predictions(s, d), "bh").groupBy("name_a").pivot("name_b", ["B", "R1", "R2", "R3"]).agg(F.min(-F.log10(F.greatest("p_value_corrected", F.lit(paired.P_FLOOR))))))
 _register("best_entity", _p(f", {MID.format(k='entity')} SELECT entity, auroc FROM ({AUC.format(k='entity')}) ORDER BY auroc DESC, entity LIMIT 1"), "entity", doubles="auroc")(lambda s, d: metrics.auroc(predictions(s, d), ["entity"]).orderBy(F.desc("auroc"), "entity").limit(1))
@@ -274,6 +287,9 @@ LAB = "lab AS (SELECT *, (l_extendedprice * (1 - l_discount) > 30000)::INT AS y
 _register("target_corr", f"WITH {LAB} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}::DOUBLE, y::DOUBLE) AS corr FROM lab" for c in CONT), "feature", doubles="corr")(lambda s, d: profile.target_correlation(lab(s, d), CONT, "y"))
 _register("corr_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}::DOUBLE, {b}::DOUBLE) AS corr FROM lineitem" for i, a in enumerate(CONT) for b in CONT[i + 1 :]), "a b", doubles="corr")(lambda s, d: profile.correlation_matrix(line(s, d), CONT))
 _register("class_balance", f"WITH {BASE} SELECT dataset, y_true AS y, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY dataset) AS share FROM base GROUP BY dataset, y_true", "dataset", "y n", "share")(lambda s, d: profile.balance(base(s, d), ["dataset"], "y_true"))
+_register("class_imbalance", f"WITH {BASE}, holed AS (SELECT dataset, CASE WHEN sample_id % 11 <> 0 THEN y_true END AS y FROM base), c AS (SELECT dataset, y, count(*) AS n FROM holed GROUP BY ALL) SELECT dataset, sum(n) AS n, coalesce(sum(n) FILTER (y IS NULL), 0) AS n_missing, max(n) FILTER (y IS NOT NULL) AS majority, min(n) FILTER (y IS NOT NULL) AS minority, max(n) FILTER (y IS NOT NULL) / min(n) FILTER (y IS NOT NULL) AS ratio FROM c GROUP BY dataset", "dataset", "n n_missing majority minority", "ratio")(
+    lambda s, d: profile.imbalance(base(s, d).withColumn("y_true", F.when(F.col("sample_id") % 11 != 0, F.col("y_true"))), ["dataset"], "y_true")
+)
 _register("length_summary", "SELECT l_returnflag AS kind, count(l_quantity) AS n, avg(l_quantity) AS mean, quantile_cont(l_quantity::DOUBLE, 0.5) AS median, stddev_samp(l_quantity) AS std, min(l_quantity)::DOUBLE AS least, max(l_quantity)::DOUBLE AS most FROM lineitem GROUP BY ALL", "kind", "n", "mean median std least most")(lambda s, d: profile.length_summary(line(s, d).withColumnRenamed("l_returnflag", "kind"), ["kind"], "l_quantity"))
 _register("min_samples_check", f"WITH {BASE} SELECT sum(n) AS rows, count(y_true) AS classes, min(n) AS minority, 0 AS missing, 10 AS needed, min(n) >= 10 AND count(*) >= 2 AS ok FROM (SELECT y_true, count(*) AS n FROM base GROUP BY y_true)", "ok", "rows classes minority missing needed")(lambda s, d: folds.check(base(s, d), "y_true", 10, 5))
 _register("compatibility", f"WITH {BASE} SELECT dataset, string_agg(DISTINCT y_true::VARCHAR, ',' ORDER BY y_true::VARCHAR) AS classes, 5 AS n_features, 5 AS n_common, true AS ok FROM base GROUP BY dataset", "dataset classes ok", "n_features n_common")(
@@ -407,9 +423,10 @@ def _trained(name: str, **params) -> Query:
 
 
 _register("train_lr", None)(_trained("logistic", regParam=0.001))
-_register("train_rf", None)(_trained("forest", numTrees=20, maxDepth=5))
-_register("train_gbt", None)(_trained("gbt", maxIter=5, maxDepth=3))
-_register("train_mlp", None)(_trained("mlp", layers=(8,), maxIter=30))
+_register("train_rf", None)(_trained("forest", numTrees=50, maxDepth=5))
+_register("train_gbt", None)(_trained("gbt", maxIter=50, maxDepth=3, stepSize=0.1))
+_register("train_gbt_balanced", None)(_trained("gbt_balanced", maxIter=50, maxDepth=4, stepSize=0.1))
+_register("train_mlp", None)(_trained("mlp", layers=(50,), activation="relu", alpha=1e-4, maxIter=60))
 
 
 def _models(f: Callable) -> Query:
@@ -428,11 +445,21 @@ def _calibrated(m, s: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 _register("calibrated_scores", None)(_models(_calibrated))
-_register("cv_search", None)(_models(lambda m, s, rows: s.createDataFrame([(str(p), v) for p, v in m.search(rows, FEATURES, "y", "logistic", budget=3)], "params string, auroc double")))
+_register("cv_search", None)(_models(lambda m, s, rows: s.createDataFrame([(str(p), v) for p, v in m.search(rows, FEATURES, "y", "logistic")], "params string, auroc double")))
 _register("out_of_fold", None)(_models(lambda m, s, rows: m.out_of_fold(rows, FEATURES, "y", "logistic", 3, regParam=0.001)))
 _register("cross_dataset", None)(_models(lambda m, s, rows: transfer.cells(m.cross(rows, FEATURES, "y", "logistic", 2, regParam=0.001))))
 _register("lodo_train", None)(_models(lambda m, s, rows: m.held_out_datasets(rows, FEATURES, "y", "logistic", regParam=0.001)))
 _register("feature_ablation", None)(_models(lambda m, s, rows: transfer.ablation_tests(m.leave_out(rows, FEATURES, {f: [f] for f in FEATURES}, "y", "logistic", regParam=0.001))))
+_register("step_ablation", None)(_models(lambda m, s, rows: transfer.ablation_tests(m.step_ablation(rows, FEATURES, "y", m.Plan("logistic", {"regParam": 0.001}, calibrate=3)))))
+
+
+def _tree_shares(m, s: SparkSession, rows: DataFrame) -> DataFrame:
+    from plumbline.operators import explain
+
+    return explain.mean_shares(explain.explain(m.fit(rows, FEATURES, "y", "forest", numTrees=50, maxDepth=5), rows, FEATURES), [])
+
+
+_register("shapley_trees", None)(_models(_tree_shares))
 _register("shapley_linear", None)(_models(lambda m, s, rows: m.shapley_linear(rows, FEATURES, "y", regParam=0.001).select("sample_id", "base", F.aggregate(F.map_values("phi"), F.lit(0.0), lambda a, x: a + x).alias("total"), "margin")))
 
 
@@ -443,7 +470,59 @@ def _knn(s: SparkSession, d: str) -> DataFrame:
     return models.knn(v, v.where("vec_id % 20 = 0"), 5, "vec_id", "embedding", "label")
 
 
-_register("knn_exact", "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS i, v.label, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, i) <= 5) SELECT query_id, count(*) FILTER (label = 1) AS n1, sum(i) AS id_sum FROM n GROUP BY query_id", "", "query_id n1 id_sum")(_knn)
+KNN = "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS i, v.label, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, i) <= 5) SELECT query_id, count(*) FILTER (label = 1) AS n1, sum(i) AS id_sum FROM n GROUP BY query_id"
+_register("knn_exact", KNN, "", "query_id n1 id_sum")(_knn)
+
+
+def _knn_tree(s: SparkSession, d: str) -> DataFrame:
+    """As `knn_exact`, by the metric tree: one neighbour more, for a query finds itself."""
+    from plumbline.operators import metric_tree
+
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("y"))
+    near = metric_tree.nearest(v.where("vid % 20 = 0").select(F.col("vid").alias("qid"), F.col("v").alias("q")), v, 6).where("qid != vid")
+    at = F.row_number().over(Window.partitionBy("qid").orderBy("d", "vid"))
+    near = near.withColumn("at", at).where("at <= 5")
+    return near.groupBy(F.col("qid").alias("query_id")).agg(F.count_if(F.col("y") == 1).alias("n1"), F.sum("vid").alias("id_sum"))
+
+
+_register("knn_tree", KNN, "", "query_id n1 id_sum")(_knn_tree)
+
+
+#: Newton steps that the SQL takes; the library stops when the gradient vanishes.
+NEWTON = 12
+
+
+def _sigmoid_sql() -> str:
+    steps = []
+    for k in range(NEWTON):
+        z = "(i.a * x + i.b)"
+        p = f"(1e0 / (1e0 + exp({z})))"
+        d = f"(n1 * (t1 - {p}) + n0 * (t0 - {p}))"
+        w = f"((n1 + n0) * {p} * (1e0 - {p}))"
+        steps.append(f"s{k} AS (SELECT t.entity, any_value(i.a) AS a, any_value(i.b) AS b, sum({d} * x) AS ga, sum({d}) AS gb, sum({w} * x * x) AS haa, sum({w} * x) AS hab, sum({w}) AS hbb FROM t JOIN i{k} i USING (entity) GROUP BY t.entity), "
+                     f"i{k + 1} AS (SELECT entity, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM s{k})")
+    return f""", d AS (SELECT entity, y_prob AS f, sum(y_true)::DOUBLE AS n1, sum(1 - y_true)::DOUBLE AS n0 FROM pred WHERE y_prob IS NOT NULL GROUP BY ALL),
+ g AS (SELECT entity, avg(f) AS m, stddev_pop(f) AS sd, sum(n1) AS c1, sum(n0) AS c0 FROM d GROUP BY entity),
+ t AS (SELECT d.*, (f - m) / sd AS x, (c1 + 1) / (c1 + 2) AS t1, 1e0 / (c0 + 2) AS t0 FROM d JOIN g USING (entity)), i0 AS (SELECT entity, 0e0 AS a, ln((c0 + 1) / (c1 + 1)) AS b FROM g), {", ".join(steps)},
+ fin AS (SELECT entity, a / sd AS a, b - a * m / sd AS b FROM i{NEWTON} JOIN g USING (entity))
+ SELECT fin.entity, any_value(fin.a) AS a, any_value(fin.b) AS b, avg(pow(1e0 / (1e0 + exp(fin.a * y_prob + fin.b)) - y_true, 2)) AS brier FROM pred JOIN fin ON pred.entity = fin.entity WHERE y_prob IS NOT NULL GROUP BY fin.entity"""
+
+
+def _sigmoid(s: SparkSession, d: str) -> DataFrame:
+    """The sigmoid of each scored entity, and the Brier score of its calibrated scores."""
+    from plumbline.operators import calibration
+
+    pred = predictions(s, d).where("y_prob is not null").cache()
+    found = []
+    for e in [r.entity for r in pred.select("entity").distinct().collect()]:
+        scores = calibration.distinct_scores(pred.where(F.col("entity") == e).select(F.col("y_prob").alias("f"), F.col("y_true").alias("y"))).cache()
+        found.append((e, *calibration.fit_sigmoid(scores)))
+    fits = s.createDataFrame(found, "entity string, a double, b double")
+    p = 1 / (1 + F.exp(F.col("a") * F.col("y_prob") + F.col("b")))
+    return pred.join(F.broadcast(fits), "entity").groupBy("entity").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.avg(F.pow(p - F.col("y_true"), 2)).alias("brier"))
+
+
+_register("sigmoid_calibration", _p(_sigmoid_sql()), "entity", doubles="a b brier")(_sigmoid)
 
 
 def _windowed(s: SparkSession, d: str) -> DataFrame:

@@ -35,6 +35,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--out", required=True)
         c.add_argument("--features", help="a,b,c or a .txt file")
         c.add_argument("--models", help="names, by comma")
+        c.add_argument("--param-config", dest="grids", help="JSON: model to parameter to list of values, searched in place of its own grid")
         c.add_argument("--missing")
         c.add_argument("--outer", type=int)
         c.add_argument("--inner", type=int)
@@ -79,6 +80,7 @@ def _settings(a: argparse.Namespace) -> Settings:
     s = Settings.load(a.config) if getattr(a, "config", None) else Settings()
     given = {k: v for k, v in vars(a).items() if k in vars(s)}
     given |= {k: listed(given[k]) for k in ("features", "models", "rules") if given.get(k)}
+    given |= {"grids": json.loads(Path(given["grids"]).read_text())} if given.get("grids") else {}
     s = s.merged(**given)
     if bad := s.problems():
         raise ValueError("; ".join(bad))
@@ -92,8 +94,9 @@ def _read(spark, path: str, a: argparse.Namespace, distinct: bool):
     return files.read(spark, root or ".", name, id_column=a.id_column, distinct=distinct)
 
 
-def _save(title: str, tables: dict, out: str) -> None:
-    """Each table to its folder of Parquet and, small as they are, a page and a text of all."""
+def _save(title: str, tables: dict, out: str, s: Settings | None = None) -> None:
+    """Each table to its folder of Parquet and, small as they are, a page and a text of all; with settings, also what the run
+    ran on and with."""
     from plumbline import report
     from plumbline.sources import files
 
@@ -106,6 +109,11 @@ def _save(title: str, tables: dict, out: str) -> None:
         words = [line(r) for name, line in lines.items() if name in stored for r in stored[name].limit(report.SHOWN).collect()]
         Path(out, "report.txt").write_text(report.text(title, stored) + "".join(f"\n{w}" for w in ["", *words]))
         spark = next(iter(tables.values())).sparkSession
+        if s is not None:
+            from plumbline.operators.models import fold_seeds
+            from plumbline.sources.artifacts import environment
+
+            Path(out, "run.json").write_text(json.dumps({"settings": vars(s), "environment": environment(spark, fold_seeds(s.seed, s.outer))}, indent=1, default=str))
         rows = [r.asDict() for r in files.manifest(spark, out).collect()]
         Path(out, "manifest.json").write_text(json.dumps(rows, indent=1, default=str))
 
@@ -160,15 +168,15 @@ def run(a: argparse.Namespace, spark=None) -> int:
         print(f"{a.command}: {len(features)} features, models {', '.join(s.models)}, {s.outer} x {s.inner} folds")
         return 0
     if a.command == "compare-models":
-        _save("Comparison of models", experiments.compare(df, s, a.out), a.out)
+        _save("Comparison of models", experiments.compare(df, s, a.out), a.out, s)
     elif a.command == "cross-dataset":
-        _save("Across datasets", experiments.cross(df, s), a.out)
+        _save("Across datasets", experiments.cross(df, s), a.out, s)
     elif a.command == "train":
         print(f"threshold {experiments.train(df, s, s.models[0], a.out)['threshold']:.6f}")
     else:
         from plumbline.sources.files import groups
 
-        _save("Ablation", experiments.ablation(df, s, s.models[0], groups(a.feature_groups) if a.feature_groups else None, a.steps), a.out)
+        _save("Ablation", experiments.ablation(df, s, s.models[0], groups(a.feature_groups) if a.feature_groups else None, a.steps), a.out, s)
     return 0
 
 

@@ -20,18 +20,19 @@ def hashed_row_number(df: DataFrame, keys: list[str], hashed: Column, tie: list[
     return df.withColumn(name, F.row_number().over(inner)).join(sizes, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_o")).drop("_h", "_b", "_o")
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], descending: bool = False, buckets: int = 1024) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], descending: bool = False, parts: int = 64) -> DataFrame:
     """Adds, for each of `sums` (new name -> column), the sum over the rows of the key up to this one in the order.
 
-    `order` is a number, distinct within the key; buckets are equal parts of [0, 1], the ends open."""
-    df = df.withColumn("_b", F.least(F.greatest(F.floor(F.col(order) * buckets), F.lit(-1)), F.lit(buckets)))
+    `order` is a number, distinct within the key; buckets are ranges of it that hold about as many rows each."""
+    cols = df.columns
+    df = df.join(range_cuts(df, keys, order, parts), keys).withColumn("_b", range_bucket(F.col(order), F.col("_cuts"))).drop("_cuts")
     sign = (lambda c: c.desc()) if descending else (lambda c: c.asc())
     per = df.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy(sign(F.col("_b"))).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
     inner = Window.partitionBy(*keys, "_b").orderBy(sign(F.col(order))).rowsBetween(Window.unboundedPreceding, 0)
     out = df.select("*", *[F.sum(c).over(inner).alias(f"_i_{n}") for n, c in sums.items()]).join(per, [*keys, "_b"])
-    return out.select(*df.drop("_b").columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+    return out.select(*cols, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
 def range_cuts(df: DataFrame, keys: list[str], value: str, parts: int = 64, accuracy: int = 10_000) -> DataFrame:

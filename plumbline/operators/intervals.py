@@ -2,7 +2,7 @@
 
 Metrics of the four confusion counts: resampling rows is a multinomial draw of the counts, so one aggregation
 and a draw on the driver give any number of replicates whatever the size.  Metrics of scores: the same draw over the
-counts of distinct scores and labels, first over parts of the score range, then inside each part in its own task.
+counts of distinct scores and labels, first over ranges of the scores (cut by a sketch), then inside each in its own task.
 `replicates` has Poisson weights by a hash instead, which can be repeated in any engine.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
+from plumbline.functions.windows import range_bucket, range_cuts
 from plumbline.operators.metrics import EDGES, bin_of, confusion, scores
 
 
@@ -92,12 +93,12 @@ def score_intervals(pred: DataFrame, keys: list[str], b: int = 1000, level: floa
     score play no part.  Null where one class is missing."""
     if b < 100:
         raise ValueError("at least 100 replicates")
-    part = F.least(F.greatest(F.floor(F.col("y_prob") * parts), F.lit(-1)), F.lit(parts)).alias("_part")
     block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).alias("_block")
     rows = pred.where("y_prob is not null and y_true is not null")
-    cells = rows.groupBy(*keys, part, "y_prob", bin_of(F.col("y_prob")).alias("_bin"), "y_true", block).agg(F.count("*").alias("c"))
+    rows = rows.join(F.broadcast(range_cuts(rows, keys, "y_prob", parts)), keys).withColumn("_part", range_bucket(F.col("y_prob"), F.col("_cuts")).cast("long"))
+    cells = rows.groupBy(*keys, "_part", "y_prob", bin_of(F.col("y_prob")).alias("_bin"), "y_true", block).agg(F.count("*").alias("c"))
     sizes: dict[tuple, dict[int, int]] = {}
-    for r in rows.groupBy(*keys, part).count().collect():
+    for r in rows.groupBy(*keys, "_part").count().collect():
         sizes.setdefault(tuple(r[k] for k in keys), {})[r["_part"]] = r["count"]
     order = {key: number for number, key in enumerate(sorted(sizes))}
     nb, n_keys = len(EDGES) - 1, len(keys)

@@ -147,6 +147,12 @@ def summary(fold_metrics: DataFrame) -> DataFrame:
     return fold_metrics.groupBy("entity", "metric").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.expr("percentile(value, 0.5)").alias("median"))
 
 
+def summary_text(fold_summary: DataFrame, digits: int = 3) -> DataFrame:
+    """entity, metric, text: mean ± deviation of a `summary`; of one fold the mean alone."""
+    one = lambda c: F.format_string(f"%.{digits}f", F.col(c))
+    return fold_summary.select("entity", "metric", F.when(F.col("std").isNull(), one("mean")).otherwise(F.concat_ws(" ± ", one("mean"), one("std"))).alias("text"))
+
+
 def long(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select(*keys, "m.metric", "m.value")
 

@@ -49,6 +49,15 @@ def balance(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
+def imbalance(df: DataFrame, keys: list[str], target: str) -> DataFrame:
+    """keys, n, n_missing (rows without a class), majority, minority, ratio of both."""
+    counts = balance(df, keys, target)
+    known = F.col("y").isNotNull()
+    big, small = F.max(F.when(known, F.col("n"))), F.min(F.when(known, F.col("n")))
+    out = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"), big.alias("majority"), small.alias("minority"))
+    return out.withColumn("ratio", F.col("majority") / F.col("minority"))
+
+
 def length_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, n, mean, median (exact), std, least, most of a length; give one type's rows for it across datasets."""
     v = F.col(column).cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.windows import range_bucket, range_cuts
 from plumbline.operators.profile import unpivot
 
 
@@ -17,13 +18,13 @@ def feature_types(df: DataFrame, columns: list[str], continuous: tuple[str, ...]
 def ks(df: DataFrame, columns: list[str], dataset: str = "dataset") -> DataFrame:
     """a, b, feature, distance for every pair of datasets.
 
-    Values become counts by (feature, value, dataset) first; running sums are taken in parts of the value range
-    (quantiles of each feature would be better for very uneven values; equal values always share a part)."""
+    Values become counts by (feature, value, dataset) first; running sums are taken in ranges of a feature's values that
+    hold about as many rows each, whatever their distribution (equal values always share a range)."""
     rows = unpivot(df, [dataset], columns).where("value is not null")
     names = rows.groupBy("feature", dataset).agg(F.count("*").alias("total"))
-    bounds = rows.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    counts = rows.groupBy("feature", "value", dataset).agg(F.count("*").alias("n")).join(F.broadcast(bounds), "feature")
-    part = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * 1023), F.lit(0))
+    cuts = range_cuts(rows, ["feature"], "value", 256)  # a row for each feature
+    counts = rows.groupBy("feature", "value", dataset).agg(F.count("*").alias("n")).join(F.broadcast(cuts), "feature")
+    part = range_bucket(F.col("value"), F.col("_cuts"))
     points = counts.groupBy("feature", "value", part.alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(dataset, "n"))).alias("m"))
     a, b = names.alias("a"), names.alias("b")
     pairs = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col(f"a.{dataset}") < F.col(f"b.{dataset}")))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.storage import kept
 from plumbline.operators import clean, errors, explain, folds, intervals, metrics, models, paired, profile, replicates, rules, shift, transfer
 from plumbline.settings import Settings
 from plumbline.sources import artifacts
@@ -48,15 +50,23 @@ def prepared(df: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
     return (clean.drop_missing(rows, features) if s.missing == "drop" else rows), features
 
 
+def written(df: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
+    """As `prepared`, with the rows written once, for every model, rule and interval of a run reads them."""
+    rows, features = prepared(df, s)
+    return kept(rows), features
+
+
 def plan(name: str, s: Settings) -> models.Plan:
-    """How the settings have a model made; searches choose inside the training rows of each fold."""
-    grid = models.REGISTRY[name][1] if s.search or s.search_budget else None
+    """How the settings have a model made; searches choose inside the training rows of each fold, from the settings' own grid
+    of the model where they have one."""
+    own = [dict(zip(s.grids[name], v)) for v in product(*s.grids[name].values())] if name in s.grids else models.REGISTRY[name][1]
+    grid = own if s.search or s.search_budget or name in s.grids else None
     return models.Plan(name, s.parameters.get(name, {}), grid, s.inner, s.search_budget, s.search_seconds, None if s.missing == "drop" else s.missing, s.scale, s.calibration_folds if s.calibrate else 0, s.calibration, True, s.seed)
 
 
 def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
     """Out-of-fold predictions of each model and of each rule, held against each other."""
-    rows, features = prepared(df, s)
+    rows, features = written(df, s)
     key, store = run_key(vars(s), df), PredictionStore(df.sparkSession, f"{out}/predictions")
     for name in s.models:
         missing = sorted(set(range(s.outer)) - store.have(key, "all", name))
@@ -80,6 +90,7 @@ def compare(df: DataFrame, s: Settings, out: str) -> dict[str, DataFrame]:
     return {
         "metrics": metrics.all_metrics(pred, ["entity"]),
         "metrics_by_fold": summary.join(bounds.select("entity", "metric", F.col("mean").alias("mean_bootstrap"), "lower", "upper"), ["entity", "metric"], "left"),
+        "summary_text": metrics.summary_text(summary),
         "intervals": bounds,
         "forest": intervals.forest(bounds, s.primary),
         "pairwise": paired.compare(pred, s.correction, 1 - s.level, s.level),
@@ -125,7 +136,7 @@ def learned(rows: DataFrame, features: list[str], s: Settings, store: Prediction
 def cross(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """Each dataset's model on every dataset by all metrics, gaps, models without one dataset, class priors and shift; folds
     that failed are listed and left out."""
-    rows, features = prepared(df, s)
+    rows, features = written(df, s)
     failed: list[tuple] = []
     cut: list[tuple] = []
     values = []
@@ -157,7 +168,7 @@ def train(df: DataFrame, s: Settings, name: str, path: str) -> dict:
     are saved beside it."""
     if name == "knn":
         raise ValueError("knn keeps its training rows and cannot be saved; it can be compared")
-    rows, features = prepared(df, s)
+    rows, features = written(df, s)
     p, spark = plan(name, s), df.sparkSession
     best, trials = models.chosen_with_history(rows, features, s.target, p)
     oof = models.out_of_fold(rows, features, s.target, models.replace(p, tune=False), s.outer, s.seed)
@@ -203,7 +214,7 @@ def evaluate(df: DataFrame, path: str, threshold: float | None = None) -> dict[s
 def ablation(df: DataFrame, s: Settings, name: str, groups: dict[str, list[str]] | None = None, steps: bool = False) -> dict[str, DataFrame]:
     """Metrics without each feature, or each group of features, and, with `steps`, without scaling, calibration and
     threshold; tests are corrected by metric."""
-    rows, features = prepared(df, s)
+    rows, features = written(df, s)
     p = plan(name, s)
     names = tuple(s.metrics) or models.METRICS
     scores = models.leave_out(rows, features, groups or {f: [f] for f in features}, s.target, p, s.outer, s.seed, names)

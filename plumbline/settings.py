@@ -24,6 +24,7 @@ class Settings:
     default_combinations: bool = True
     models: list[str] = field(default_factory=lambda: ["logistic", "forest", "gbt"])
     parameters: dict[str, dict] = field(default_factory=dict)
+    grids: dict[str, dict[str, list]] = field(default_factory=dict)
     outer: int = 10
     inner: int = 5
     seed: int = 42
@@ -82,6 +83,8 @@ class Settings:
         bad += [f"missing must be one of {MISSING}"] * (self.missing not in MISSING)
         bad += [f"correction must be one of {CORRECTIONS}"] * (self.correction not in CORRECTIONS)
         bad += [f"unknown metric {m!r}" for m in self.metrics if m not in replicates.BUILT_IN and m not in replicates.REGISTRY]
+        bad += [f"the grid of {m!r} must map parameters to lists" for m, g in self.grids.items() if not isinstance(g, dict) or not all(isinstance(v, list) and v for v in g.values())]
+        bad += [f"a grid for {m!r}, which is no model" for m in self.grids if m not in REGISTRY]
         bad += ["the target cannot be a feature"] * (self.target in self.features)
         for c in self.combinations:
             try:

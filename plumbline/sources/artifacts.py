@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import platform
 import warnings
 
@@ -17,6 +18,16 @@ def versions() -> dict[str, str]:
     return {"spark": pyspark.__version__, "python": platform.python_version(), "numpy": numpy.__version__}
 
 
+def environment(spark: SparkSession, seeds: list[int] | None = None) -> dict:
+    """What a run ran on and with: versions, machine, cluster, seeds of the folds."""
+    context = spark.sparkContext
+    named = ("spark.executor.memory", "spark.executor.cores", "spark.executor.instances", "spark.driver.memory", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    return {
+        "versions": versions(), "platform": platform.platform(), "machine": platform.machine(), "cpus": os.cpu_count(),
+        "master": context.master, "parallelism": context.defaultParallelism, "settings": {k: spark.conf.get(k) for k in named if spark.conf.get(k, None)}, "seeds": seeds or [],
+    }
+
+
 def put_json(spark: SparkSession, value: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.clean import MISSING, pooled
 from plumbline.operators.metrics import all_metrics
+from plumbline.sources import sheets
 
 
 def confined(root: str, name: str) -> str:
@@ -47,11 +48,12 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 
 def read(spark: SparkSession, root: str, name: str, columns: list[str] | None = None, id_column: str | None = None, distinct: bool = False) -> DataFrame:
-    """The table of a .csv, .tsv, .txt, .parquet or .json file; `id_column` must exist and does not count for `distinct`."""
+    """The table of a .csv, .tsv, .txt, .xlsx (first sheet), .parquet or .json file; `id_column` must exist and does not count
+    for `distinct`."""
     path, kind = confined(root, name), posixpath.splitext(name)[1].lower()
-    if kind in (".xlsx", ".xls"):
-        raise NotImplementedError("spreadsheets need a reader that is not installed; export them as .csv")
-    if kind not in (".csv", ".tsv", ".txt", ".parquet", ".json"):
+    if kind == ".xls":
+        raise NotImplementedError("the old binary spreadsheets cannot be read; save them as .xlsx or .csv")
+    if kind not in (".csv", ".tsv", ".txt", ".xlsx", ".parquet", ".json"):
         raise ValueError(f"unsupported file type {kind!r}")
     if "://" not in path and not Path(path).exists():
         raise FileNotFoundError(path)
@@ -59,6 +61,8 @@ def read(spark: SparkSession, root: str, name: str, columns: list[str] | None =
         df = spark.read.parquet(path)
     elif kind == ".json":
         df = spark.read.json(path)
+    elif kind == ".xlsx":
+        df = _typed(sheets.read(spark, path))
     else:
         sep = {".csv": ",", ".tsv": "\t"}.get(kind) or sniff(spark, path)
         df = _typed(spark.read.csv(path, header=True, sep=sep))

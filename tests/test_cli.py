@@ -68,11 +68,33 @@ def test_cross_and_ablation(spark, table, tmp_path):
     assert cli.main(["ablation", str(table / "x.csv"), "--out", str(tmp_path / "a"), *common, "--feature-groups", str(tmp_path / "g.json")], spark) == 0
     assert cli.main(["ablation", str(table / "x.csv"), "--out", str(tmp_path / "m"), *common, "--feature-groups", str(tmp_path / "g.json"), "--metric", "brier"], spark) == 0
     assert {r.metric for r in spark.read.parquet(str(tmp_path / "m" / "ablation")).collect()} == {"brier"}
+    run = json.loads((tmp_path / "c" / "run.json").read_text())
+    assert run["settings"]["outer"] == 2 and len(run["environment"]["seeds"]) == 2 and run["environment"]["cpus"] and run["environment"]["versions"]["spark"]
     assert cli.main(["ablation", str(table / "x.csv"), "--out", str(tmp_path / "m"), *common, "--metric", "nope"], spark) == cli.INVALID
     got = spark.read.parquet(str(tmp_path / "a" / "ablation"))
     assert got.count() == 8 and got.where("metric = 'auroc' and name = 'one'").first().delta > 0.1
 
 
+def test_param_config(spark, table, tmp_path):
+    from plumbline.plans import experiments
+    from plumbline.settings import Settings
+
+    (tmp_path / "p.json").write_text(json.dumps({"logistic": {"regParam": [0.1, 0.001], "elasticNetParam": [0.0]}}))
+    a = cli._parser().parse_args(["train", "x.csv", "--out", "o", "--models", "logistic", "--param-config", str(tmp_path / "p.json")])
+    s = cli._settings(a)
+    assert experiments.plan("logistic", s).grid == [{"regParam": 0.1, "elasticNetParam": 0.0}, {"regParam": 0.001, "elasticNetParam": 0.0}]
+    assert experiments.plan("forest", s).grid is None
+    assert Settings(grids={"nope": {"a": [1]}}).problems() and Settings(grids={"logistic": {"a": 1}}).problems() and not Settings(grids={"logistic": {"a": [1]}}).problems()
+
+
+def test_names_of_the_package():
+    import plumbline
+
+    for name in plumbline.__all__:
+        assert getattr(plumbline, name) is not None
+    assert "auroc" in dir(plumbline)
+
+
 def test_small_commands_and_exit_codes(spark, table, tmp_path, capsys):
     assert cli.main(["list-models"], spark) == 0 and cli.main(["version"], spark) == 0 and cli.main(["smoke-test"], spark) == 0
     assert cli.main(["validate", str(table / "x.csv")], spark) == 0

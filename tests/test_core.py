@@ -61,7 +61,7 @@ def test_files(spark, tmp_path):
         df = files.read(spark, str(tmp_path), n, distinct=True)
         assert df.dtypes == [("feature1", "double"), ("feature2", "double"), ("state", "bigint")] and df.count() == 2
     assert files.read_mixed(spark, str(tmp_path / "a.csv")).count() == 3
-    for n, e in (("d.txt", ValueError), ("e.any", ValueError), ("no.csv", FileNotFoundError), ("../x.csv", ValueError), ("f.xlsx", NotImplementedError)):
+    for n, e in (("d.txt", ValueError), ("e.any", ValueError), ("no.csv", FileNotFoundError), ("../x.csv", ValueError), ("f.xls", NotImplementedError)):
         with pytest.raises(e):
             files.read(spark, str(tmp_path), n)
     with pytest.raises(ValueError):
@@ -137,14 +137,18 @@ def test_bootstrap_of_all_predictions(spark, monkeypatch):
     monkeypatch.setattr(catalog, "predictions", lambda s, d: s.createDataFrame(rows, "entity string, dataset string, sample_id long, y_true int, y_pred int"))
     got = {r.entity: r for r in catalog.queries()["bootstrap_percentile"](spark, "").collect()}
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    prime = 2**31 - 1
+    steps = [int(prime * sum(2.718281828459045**-1 / m for m in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)[: k + 1])) for k in range(10)]
+    x = [int(md5(f"boot:{i}")[:8], 16) % prime for i in range(30)]
     for e in "AB":
-        own = sorted((r for r in rows if r[0] == e), key=lambda r: md5(str(r[2])))
+        own = [r for r in rows if r[0] == e]
         values = []
         for rep in range(catalog.REPLICATES):
             cells = np.zeros((2, 2))
-            for j in range(1, 31):
-                r = own[int(md5(f"boot:{rep}:{j}")[:8], 16) % 30]
-                cells[r[3], r[4]] += 1
+            ra, rb, rc = (int(md5(f"boot|{rep}")[8 * k : 8 * k + 8], 16) % prime for k in range(3))
+            for r in own:
+                h = ((ra * x[r[2]] + rb) % prime * x[r[2]] + rc) % prime
+                cells[r[3], r[4]] += sum(h >= t for t in steps)
             (tn, fp), (fn, tp) = cells
             if tp + fn and fp + tn:
                 below = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)

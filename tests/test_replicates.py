@@ -145,3 +145,25 @@ def test_a_failing_fold_leaves_its_cells_absent(spark, monkeypatch):
     monkeypatch.setattr(models, "trained", trained)
     held = models.held_out_datasets(rows, ["a", "b"], "y", plan, metrics=("auroc", "mcc", "brier")).collect()
     assert {r.held_out for r in held} == {"d0", "d1", "d2"} and all(r.auroc > 0.9 and r.mcc > 0.5 for r in held)
+
+
+def test_order_of_any_numbers(spark):
+    """Running sums, areas and distances over scores far outside [0, 1] equal plain ones."""
+    from plumbline.operators import shift
+
+    df = spark.range(6000).selectExpr("id as sample_id", "'m' as entity", "exp(4 * randn(7)) * 1e3 - 50 as y_prob", "cast(id % 3 = 0 as int) as y_true", "concat('d', id % 2) as dataset").selectExpr("sample_id", "entity", "y_prob + 100 * y_true as y_prob", "y_true", "dataset").cache()
+    rows = df.collect()
+    p, y = np.array([r.y_prob for r in rows]), np.array([r.y_true for r in rows])
+    rank = np.empty(6000)
+    rank[np.argsort(p, kind="stable")] = np.arange(1, 6001)
+    n1 = y.sum()
+    assert metrics.auroc(df, ["entity"]).first().auroc == pytest.approx((rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (6000 - n1)))
+    one = df.groupBy("entity", "y_prob").agg(F.count("*").alias("n"))
+    for down in (False, True):
+        got = {r.y_prob: r.upto for r in windows.running(one, ["entity"], "y_prob", {"upto": "n"}, down).collect()}
+        order = np.sort(p)[::-1] if down else np.sort(p)
+        assert all(got[v] == i + 1 for i, v in enumerate(order.tolist()))
+    d = np.array([r.dataset for r in rows])
+    at = np.sort(p)
+    share = [np.searchsorted(np.sort(p[d == k]), at, "right") / (d == k).sum() for k in ("d0", "d1")]
+    assert shift.ks(df, ["y_prob"]).first().distance == pytest.approx(np.abs(share[0] - share[1]).max())
