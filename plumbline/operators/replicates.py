@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.windows import range_bucket, range_cuts
-from plumbline.operators.metrics import EDGES, all_metrics, bin_of, long, scores
+from plumbline.operators.metrics import EDGES, auroc, bin_of, brier, calibration_error, confusion, long, scores
 
 #: The prime of the hash, and the shares of it below which a weight is 0, 1, 2, and so on.
 PRIME = 2**31 - 1
@@ -163,11 +163,11 @@ def score_replicates(pred: DataFrame, b: int, keys: list[str] | None = None, see
     before = Window.partitionBy(*keys, "replicate").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     got = got.withColumn("u", F.col("u") + F.col("w1") * F.coalesce(F.sum("w0").over(before), F.lit(0.0)))
     t = got.groupBy(*keys, "replicate").agg(*[F.sum(n).alias(n) for n in _SUMS]).where("w1 > 0 and w0 > 0")
-    auroc, n = F.col("u") / (F.col("w1") * F.col("w0")), F.col("w1") + F.col("w0")
+    area, n = F.col("u") / (F.col("w1") * F.col("w0")), F.col("w1") + F.col("w0")
     gaps = [F.abs(F.col(f"y{i}") - F.col(f"s{i}")) for i in range(_BINS)]
     each = [F.coalesce(F.try_divide(g, F.col(f"n{i}")), F.lit(0.0)) for i, g in enumerate(gaps)]
     inside = sum(F.col(f"n{i}") for i in range(_BINS))
-    return t.select(*keys, "replicate", auroc.alias("auroc"), (2 * auroc - 1).alias("cliffs_delta"), (F.col("brier") / n).alias("brier"), F.coalesce(F.try_divide(sum(gaps), inside), F.lit(0.0)).alias("ece"), F.greatest(*each).alias("mce"))
+    return t.select(*keys, "replicate", area.alias("auroc"), (2 * area - 1).alias("cliffs_delta"), (F.col("brier") / n).alias("brier"), F.coalesce(F.try_divide(sum(gaps), inside), F.lit(0.0)).alias("ece"), F.greatest(*each).alias("mce"))
 
 
 @dataclass
@@ -217,6 +217,18 @@ def _function_values(keys: list[str], metric: Metric):
     return work
 
 
+def _built_in(pred: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """keys and at least the metrics named: of counts, areas, squared errors and bins only what they need."""
+    counts, wide = scores(), None
+    if any(n in counts for n in names):
+        wide = confusion(pred, keys).select(*keys, *[counts[n].alias(n) for n in names if n in counts])
+    how = "left" if wide is not None else "full"
+    for part, gives in ((auroc, {"auroc"}), (brier, {"brier"}), (calibration_error, {"ece", "mce"})):
+        if gives & set(names):
+            wide = part(pred, keys) if wide is None else wide.join(part(pred, keys), keys, how)
+    return wide
+
+
 def metric_values(pred: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """keys, metric, value of built-in and registered metrics; null where a metric has none.
 
@@ -225,10 +237,8 @@ def metric_values(pred: DataFrame, keys: list[str], names: list[str]) -> DataFra
         raise KeyError(f"unknown metrics {unknown}; known: {[*BUILT_IN, *REGISTRY]}")
     out = None
     if built := [n for n in names if n in BUILT_IN]:
-        out = long(all_metrics(pred, keys), keys, built)
+        out = long(_built_in(pred, keys, built), keys, built)
     if by_counts := [n for n in names if n in REGISTRY and REGISTRY[n].expression]:
-        from plumbline.operators.metrics import confusion
-
         part = long(confusion(pred, keys).select(*keys, *[REGISTRY[n].expression().alias(n) for n in by_counts]), keys, by_counts)
         out = part if out is None else out.unionByName(part)
     for n in [n for n in names if n in REGISTRY and REGISTRY[n].function]:
