@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegralType
 
+from plumbline.functions import storage
 from plumbline.operators import clean, errors, folds, intervals, metrics, paired, profile, replicates, rules, shift, transfer
+from plumbline.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -191,7 +193,7 @@ RULES = ["R1", "R2", "R3"]
 
 
 def _rules_sql(exprs: list[str]) -> str:
-    one = [f"SELECT dataset, fold, y_true, '{e}' AS entity, ({' '.join(f'{t} = 1' if t in RULES else t for t in e.split())})::INT AS y_pred FROM base" for e in exprs]
+    one = [f"SELECT sample_id, dataset, fold, y_true, '{e}' AS entity, ({' '.join(f'{t} = 1' if t in RULES else t for t in e.split())})::INT AS y_pred FROM base" for e in exprs]
     return f"called AS ({' UNION ALL '.join(one)})"
 
 
@@ -254,8 +256,35 @@ def kind_tests(s: SparkSession, d: str) -> DataFrame:
 
 _register("holm", _p(f", {TESTS_SQL}, r AS (SELECT *, least(1e0, (count(*) OVER (PARTITION BY family) - row_number() OVER w + 1) * p) AS r FROM tests WINDOW w AS (PARTITION BY family ORDER BY p, name)) SELECT family, name, p, max(r) OVER (PARTITION BY family ORDER BY p, name) AS p_holm FROM r"), "family name", doubles="p p_holm")(lambda s, d: paired.holm(kind_tests(s, d)))
 _register("bh", _p(f", {TESTS_SQL}, r AS (SELECT *, least(1e0, p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p, name)) AS r FROM tests) SELECT family, name, p, min(r) OVER (PARTITION BY family ORDER BY p DESC, name DESC) AS p_bh FROM r"), "family name", doubles="p p_bh")(lambda s, d: paired.benjamini_hochberg(kind_tests(s, d)))
-_register("pairwise_full", None)(lambda s, d: paired.compare(predictions(s, d)))
-_register("q_matrix", None)(lambda s, d: paired.compare(predictions(s, d), "bh").groupBy("name_a").pivot("name_b", ["B", "R1", "R2", "R3"]).agg(F.min(-F.log10(F.greatest("p_value_corrected", F.lit(paired.P_FLOOR))))))
+
+
+def _erfc(x: str) -> str:
+    """SQL for the complementary error function of a column x >= 0: a series below 2, a continued fraction above."""
+    series = f"1e0 - exp(-{x} * {x}) * list_sum(list_transform(range(0, 60), lambda n: pow({x}, 2 * n + 1) / gamma(n + 15e-1)))"
+    fraction = f"exp(-{x} * {x}) / sqrt(pi()) / list_reduce(list_prepend({x}, list_transform(range(400, 0, -1), lambda k: k::DOUBLE)), lambda a, k: {x} + k / 2e0 / a)"
+    return f"CASE WHEN {x} < 2e0 THEN {series} ELSE {fraction} END"
+
+
+#: Every test that a comparison holds: McNemar of pairs with a model, DeLong of the two models.
+ALL_TESTS = f"""{PAIRS}, mc AS (SELECT *, (b_count + c_count) AS m, CASE WHEN b_count + c_count < 25 THEN b_count::DOUBLE ELSE (abs(b_count - c_count) - 1e0) * (abs(b_count - c_count) - 1e0) / (b_count + c_count) END AS statistic,
+   (b_count - c_count) / n::DOUBLE AS acc_diff, sqrt(b_count + c_count - (b_count - c_count)::DOUBLE * (b_count - c_count) / n) / n AS se, b_count / c_count::DOUBLE AS odds, sqrt(1e0 / b_count + 1e0 / c_count) AS sl FROM pairs WHERE name_a IN ('A', 'B')),
+ mx AS (SELECT *, CASE WHEN m >= 25 THEN sqrt(statistic / 2e0) ELSE 0e0 END AS x FROM mc),
+ places AS (SELECT p.entity, p.sample_id, p.y_true, (count(*) FILTER (y_true = 0) OVER (PARTITION BY entity ORDER BY y_prob) - count(*) FILTER (y_true = 0) OVER (PARTITION BY entity, y_prob) / 2e0) / count(*) FILTER (y_true = 0) OVER (PARTITION BY entity) AS v1,
+   1 - (count(*) FILTER (y_true = 1) OVER (PARTITION BY entity ORDER BY y_prob) - count(*) FILTER (y_true = 1) OVER (PARTITION BY entity, y_prob) / 2e0) / count(*) FILTER (y_true = 1) OVER (PARTITION BY entity) AS v0 FROM pred p WHERE y_prob IS NOT NULL),
+ pv AS (SELECT entity, sample_id, y_true, CASE WHEN y_true = 1 THEN v1 ELSE v0 END AS v FROM places),
+ st AS (SELECT a.y_true, count(*) AS n, avg(a.v) AS ma, avg(b.v) AS mb, var_samp(a.v) + var_samp(b.v) - 2 * covar_samp(a.v, b.v) AS s FROM pv a JOIN pv b ON a.sample_id = b.sample_id AND a.entity = 'A' AND b.entity = 'B' GROUP BY ALL),
+ dl AS (SELECT max(ma) FILTER (y_true = 1) AS auroc_a, max(mb) FILTER (y_true = 1) AS auroc_b, sum(s / n) AS variance, sum(n) AS n FROM st),
+ dx AS (SELECT *, (auroc_a - auroc_b) / sqrt(variance) AS z, abs(auroc_a - auroc_b) / sqrt(2e0 * variance) AS x FROM dl),
+ tests AS (SELECT name_a, name_b, CASE WHEN name_b = 'B' THEN 'model vs model' ELSE 'model vs rule' END AS comparison_type, 'mcnemar' AS test, 'point' AS family, CASE WHEN b_count > c_count THEN name_a WHEN b_count < c_count THEN name_b END AS better, statistic,
+   CASE WHEN m = 0 THEN 1e0 WHEN m < 25 THEN least(1e0, 2e0 * list_sum(list_transform(range(0, least(b_count, c_count) + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2e0))))) ELSE {_erfc('x')} END AS p_value,
+   n AS n_total, b_count AS discordant_b, c_count AS discordant_c, acc_diff, acc_diff - {Z} * se AS acc_lo, acc_diff + {Z} * se AS acc_hi, odds, odds * exp(-{Z} * sl) AS odds_lo, odds * exp({Z} * sl) AS odds_hi, NULL::DOUBLE AS auroc_a, NULL::DOUBLE AS auroc_b, NULL::DOUBLE AS auroc_diff FROM mx
+  UNION ALL SELECT 'A', 'B', 'model vs model', 'delong', 'auroc', CASE WHEN z > 0 THEN 'A' WHEN z < 0 THEN 'B' END, z, {_erfc('x')}, n, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, auroc_a, auroc_b, auroc_a - auroc_b FROM dx)"""
+_register("pairwise_full", _p(f""", {ALL_TESTS}, r AS (SELECT *, least(1e0, (count(*) OVER (PARTITION BY family) - row_number() OVER w + 1) * p_value) AS r FROM tests WINDOW w AS (PARTITION BY family ORDER BY p_value, name_a, name_b)),
+ h AS (SELECT *, max(r) OVER (PARTITION BY family ORDER BY p_value, name_a, name_b) AS p_value_corrected FROM r) SELECT *, p_value_corrected <= 5e-2 AS significant FROM h"""), "name_a name_b comparison_type test family better significant", "n_total discordant_b discordant_c", "statistic p_value acc_diff acc_lo acc_hi odds odds_lo odds_hi auroc_a auroc_b auroc_diff p_value_corrected")(lambda s, d: paired.compare(predictions(s, d)))
+_register("q_matrix", _p(f""", {ALL_TESTS}, r AS (SELECT *, least(1e0, p_value * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p_value, name_a, name_b)) AS r FROM tests),
+ h AS (SELECT name_a, name_b, -log10(greatest(min(r) OVER (PARTITION BY family ORDER BY p_value DESC, name_a DESC, name_b DESC), 1e-10)) AS q FROM r) SELECT name_a, """ + ", ".join(f"min(q) FILTER (name_b = '{b}') AS {b}" for b in ("B", "R1", "R2", "R3")) + " FROM h GROUP BY name_a"), "name_a", doubles="B R1 R2 R3")(
+    lambda s, d: paired.q_matrix(paired.compare(predictions(s, d), "bh"), ["B", "R1", "R2", "R3"])
+)
 _register("best_entity", _p(f", {MID.format(k='entity')} SELECT entity, auroc FROM ({AUC.format(k='entity')}) ORDER BY auroc DESC, entity LIMIT 1"), "entity", doubles="auroc")(lambda s, d: metrics.auroc(predictions(s, d), ["entity"]).orderBy(F.desc("auroc"), "entity").limit(1))
 _register("main_comparisons", _p(f", {PAIRS} SELECT name_b, b_count, c_count FROM pairs WHERE name_a = 'A' AND name_b LIKE 'R%'"), "name_b", "b_count c_count")(lambda s, d: paired.pairs(predictions(s, d)).where("name_a = 'A' and name_b like 'R%'").select("name_b", "b_count", "c_count"))
 
@@ -630,7 +659,11 @@ def _pairs_of_folds(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("top_ablations", _p(f"{ABL} SELECT name, b - a AS delta FROM q ORDER BY b - a DESC, name LIMIT 3"), "name", doubles="delta")(lambda s, d: transfer.top_ablations(transfer.ablation(_pairs_of_folds(s, d), ("metric", "name")), 3).select("name", "delta"))
-_register("ablation_tests", None)(lambda s, d: transfer.ablation_tests(_pairs_of_folds(s, d)))
+#: Student's t of nine degrees of freedom (ten folds): a finite sum in the angle whose tangent is |t| / 3.
+STUDENT9 = "1e0 - 2e0 / pi() * (o + sin(o) * (cos(o) + 2e0 / 3e0 * pow(cos(o), 3) + 8e0 / 15e0 * pow(cos(o), 5) + 16e0 / 35e0 * pow(cos(o), 7)))"
+_register("ablation_tests", _p(f"""{ABL}, tt AS (SELECT 'all' AS metric, name, b AS baseline, a AS ablated, b - a AS delta, coalesce(100e0 * (b - a) / nullif(b, 0e0), 0e0) AS delta_pct, (b - a) / (sd / sqrt(n)) AS t, (b - a) / sqrt((sb * sb + sa * sa) / 2e0) AS d_av, n FROM q),
+ pp AS (SELECT *, greatest({STUDENT9}, 0e0) AS p FROM (SELECT *, atan(abs(t) / 3e0) AS o FROM tt)),
+ rr AS (SELECT *, least(1e0, (count(*) OVER () - row_number() OVER w + 1) * p) AS r FROM pp WINDOW w AS (ORDER BY p, name)), hh AS (SELECT *, max(r) OVER (ORDER BY p, name) AS p_holm FROM rr) SELECT *, p_holm < 5e-2 AS significant FROM hh"""), "metric name significant", "n", "baseline ablated delta delta_pct t d_av p p_holm")(lambda s, d: transfer.ablation_tests(_pairs_of_folds(s, d)))
 _register("error_pairs", _p("SELECT entity, y_true, y_pred, count(*) AS n FROM pred WHERE y_prob IS NOT NULL AND y_true <> y_pred GROUP BY ALL"), "entity", "y_true y_pred n")(lambda s, d: errors.confusions(predictions(s, d)))
 _register("confidence_summary", _p(f"{WRONG} SELECT entity, avg(confidence) AS mean, quantile_cont(confidence, 0.5) AS median, stddev_pop(confidence) AS std FROM wrong GROUP BY entity"), "entity", doubles="mean median std")(lambda s, d: errors.confidence_summary(predictions(s, d)))
 _register("error_line", _p(f"{WRONG}{_cut_sql('entity, fold')} SELECT entity, avg(n) FILTER (cut = 9e-1) AS mean_confident, (SELECT count(*) FROM wrong w WHERE w.entity = bycut.entity) AS errors FROM bycut GROUP BY entity"), "entity", "errors", "mean_confident")(lambda s, d: errors.report_line(folded(s, d)))
@@ -659,3 +692,95 @@ def _numbered(s: SparkSession, d: str) -> DataFrame:
 _register("numbered_ids", "SELECT o_orderstatus, o_orderpriority, count(*) AS ids FROM orders GROUP BY ALL", "o_orderstatus o_orderpriority", "ids")(_numbered)
 _register("length_by_type", f"WITH {BASE} SELECT dataset, count(*) AS n, avg(pa) AS mean, quantile_cont(pa, 0.5) AS median, stddev_samp(pa) AS std, min(pa) AS least, max(pa) AS most FROM base WHERE kind = 'F' GROUP BY dataset", "dataset", "n", "mean median std least most")(lambda s, d: profile.length_summary(base(s, d).where("kind = 'F'"), ["dataset"], "pa"))
 _register("shapley_sampled", None)(_models(lambda m, s, rows: (lambda model: m.shapley_sampled(model, rows, FEATURES, 2).select("sample_id", "base", F.aggregate(F.map_values("phi"), F.lit(0.0), lambda a, x: a + x).alias("total"), "y_prob"))(m.fit(rows, FEATURES, "y", "logistic", regParam=0.001))))
+
+# text files: the tables are written by Spark to the shared folder, with values that stand for missing ones, and read back
+_HOLES = ("NA", "", "n/a", "NaN")
+
+
+def _holed(column: str, key: str) -> F.Column:
+    """The column as text, in which two fifths of the values stand for missing ones."""
+    hole = F.element_at(F.array(*[F.lit(x) for x in _HOLES]), (F.col(key) % 10 + 1).cast("int"))
+    return F.when(F.col(key) % 10 < len(_HOLES), hole).otherwise(F.col(column).cast("string"))
+
+
+def _customers(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "customer").select("c_custkey", F.concat(F.lit(' "'), "c_name", F.lit('", ')).alias("c_name"), _holed("c_nationkey", "c_custkey").alias("c_nationkey"), _holed("c_acctbal", "c_custkey").alias("c_acctbal"), _holed("c_mktsegment", "c_custkey").alias("c_mktsegment"))
+
+
+def _back(s: SparkSession, df: DataFrame, name: str, sep: str, **options) -> DataFrame:
+    root = storage.shared_folder(s)
+    files.write_csv(df, f"{root}/{name}", sep)
+    return files.read(s, root, name, **options)
+
+
+_FULL = "CASE WHEN c_custkey % 10 >= 4 THEN {c} END AS {c}"
+_CUST = "SELECT c_custkey, ' \"' || c_name || '\", ' AS c_name, " + ", ".join(_FULL.format(c=c) for c in ("c_nationkey", "c_acctbal", "c_mktsegment")) + " FROM customer"
+for _name, _file, _sep in (("scan_csv", "customers.csv", ","), ("scan_tsv", "customers.tsv", "\t"), ("scan_txt", "customers.txt", ";")):
+    _register(_name, _CUST, "c_name c_mktsegment", "c_custkey c_nationkey", "c_acctbal")(lambda s, d, f=_file, sep=_sep: _back(s, _customers(s, d), f, sep))
+_register("scan_csv_texts", "SELECT doc_id, sha256(text) AS digest, lang FROM documents WHERE text IS NOT NULL AND text <> ''", "digest lang", "doc_id")(
+    lambda s, d: _back(s, table(s, d, "documents").select("doc_id", "text", "lang"), "documents.csv", ",", multiline=True).where("text is not null").select("doc_id", F.sha2(F.col("text").cast("string"), 256).alias("digest"), "lang")
+)
+
+
+def _either(s: SparkSession, d: str) -> DataFrame:
+    """Lines that use a comma and a tab, in one file."""
+    root = storage.shared_folder(s)
+    lines = table(s, d, "customer").select(F.concat_ws(",", "c_custkey", "c_nationkey").alias("c_custkey,c_nationkey"), "c_mktsegment")
+    files.write_csv(lines, f"{root}/mixed.txt", "\t")
+    return files.read_mixed(s, f"{root}/mixed.txt")
+
+
+_register("scan_mixed", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer", "c_mktsegment", "c_custkey c_nationkey")(_either)
+
+
+def _several(s: SparkSession, d: str) -> DataFrame:
+    """Three files with other columns each, pooled by a configuration; rows alike but for the id count once."""
+    root, o = storage.shared_folder(s), table(s, d, "orders")
+    files.write_csv(o.select("o_orderkey", "o_orderstatus", "o_orderpriority"), f"{root}/first.csv")
+    files.write_csv(o.select("o_orderstatus", "o_custkey", "o_orderkey"), f"{root}/second.tsv", "\t")
+    o.select("o_orderkey", "o_orderstatus", "o_totalprice").write.parquet(f"{root}/third.parquet")
+    names = ["o_orderstatus", "o_orderpriority"]
+    configs = [{"filename": "first.csv", "name": "first", "subset_cols": names, "id_column": "o_orderkey"}, {"filename": "second.tsv", "name": "second", "drop_duplicates": False}, {"filename": "third.parquet", "name": "third"}]
+    return files.read_many(s, root, configs).groupBy("dataset", "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers"), F.sum(F.round("o_totalprice", 2).cast("decimal(20,2)")).cast("double").alias("price"))
+
+
+_register("read_pool", """SELECT 'first' AS dataset, o_orderstatus, o_orderpriority, count(*) AS n, NULL AS customers, NULL AS price FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) GROUP BY ALL
+ UNION ALL SELECT 'second', o_orderstatus, NULL, count(*), sum(o_custkey), NULL FROM orders GROUP BY ALL
+ UNION ALL SELECT 'third', o_orderstatus, NULL, count(*), NULL, sum(o_totalprice::DECIMAL(20,2))::DOUBLE FROM orders GROUP BY ALL""", "dataset o_orderstatus o_orderpriority", "n customers", "price")(_several)
+_register("numeric_columns", "SELECT p_partkey, p_size, p_retailprice FROM part", "", "p_partkey p_size", "p_retailprice")(lambda s, d: clean.numeric(table(s, d, "part")))
+_register("subset_columns", "SELECT p_size, p_brand, p_partkey FROM part", "p_brand", "p_size p_partkey")(lambda s, d: clean.subset(table(s, d, "part"), ["p_size", "p_brand", "p_partkey"]))
+
+
+# the store of folds, and the tables of a run
+def _stored(s: SparkSession, d: str) -> tuple[files.PredictionStore, str]:
+    """All predictions with scores, put into a new store; one fold of B is left without its marker, as by a run that ended."""
+    pred = folded(s, d).where("y_prob is not null").select(F.lit("all").alias("dataset"), "entity", "fold", "sample_id", "y_true", "y_prob", "threshold", "y_pred")
+    store = files.PredictionStore(s, storage.shared_folder(s))
+    key = files.run_key({"seed": 42}, table(s, d, "orders"))
+    store.put(pred.where("entity = 'A' or fold < 9"), key)
+    store._write(pred.where("entity = 'B' and fold = 9"), key)
+    return store, key
+
+
+_register("store_rows", _p("SELECT entity, fold, sample_id, y_true, y_pred, y_prob, threshold FROM pred WHERE y_prob IS NOT NULL AND (entity = 'A' OR fold < 9)"), "entity", "fold sample_id y_true y_pred", "y_prob threshold")(lambda s, d: (lambda store, key: store.get(key).drop("dataset", "run_key"))(*_stored(s, d)))
+_register("store_summary", _p("SELECT 'all' AS dataset, entity, string_agg(DISTINCT fold::VARCHAR, ',' ORDER BY fold::VARCHAR) AS folds, count(*) AS n FROM pred WHERE y_prob IS NOT NULL AND (entity = 'A' OR fold < 9) GROUP BY entity"), "dataset entity folds", "n")(
+    lambda s, d: _stored(s, d)[0].summary().select("dataset", "entity", F.concat_ws(",", "folds").alias("folds"), "n")
+)
+_EVERY = f"""{{mid}}, au AS ({{auc}}), br AS (SELECT {{k}}, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM pred WHERE y_prob IS NOT NULL GROUP BY ALL),
+ eb AS (SELECT {{k}}, {BIN} AS bin, count(*) AS n, abs(avg(y_prob) - avg(y_true)) AS off FROM pred WHERE y_prob BETWEEN 0e0 AND 1e0 GROUP BY ALL), ec AS (SELECT {{k}}, sum(n * off) / sum(n) AS ece, max(off) AS mce FROM eb GROUP BY ALL)
+ SELECT * FROM (SELECT {{k}}, {ALL} FROM ({{counts}})) LEFT JOIN au USING ({{k}}) LEFT JOIN br USING ({{k}}) LEFT JOIN ec USING ({{k}})"""
+for _name, _keys in (("metrics_all", "entity"), ("metrics_by_fold", "entity, fold")):
+    _register(_name, _p(", " + _EVERY.format(k=_keys, mid=MID.format(k=_keys), auc=AUC.format(k=_keys), counts=_counts(_keys))), "entity", "fold" if "fold" in _keys else "", f"{NAMES} auroc brier ece mce")(
+        lambda s, d, k=_keys.split(", "): metrics.all_metrics(folded(s, d) if "fold" in k else predictions(s, d), k)
+    )
+
+
+def _rule_intervals(s: SparkSession, d: str) -> DataFrame:
+    called = rules.predictions(base(s, d), RULES, rules.defaults(RULES), ["sample_id", "y_true"])
+    reps = replicates.count_replicates(called, REPLICATES)
+    bounds = metrics.long(reps, ["entity", "replicate"], ["precision_1", "recall_1", "mcc"]).groupBy("entity", "metric")
+    ends = bounds.agg(F.avg("value").alias("mean"), F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    return ends.select("entity", rules.kind(F.col("entity")).alias("kind"), "metric", "mean", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"))
+
+
+_register("rule_intervals", f"WITH {BASE}, {_rules_sql(RULES + rules.defaults(RULES))}, {BOOT.replace('FROM pred)', 'FROM called)')}, l AS (SELECT entity, unnest(['precision_1', 'recall_1', 'mcc']) AS metric, unnest([precision_1, recall_1, mcc]) AS value FROM boot) SELECT entity, CASE WHEN contains(entity, ' AND ') OR contains(entity, ' OR ') THEN 'combination' ELSE 'individual' END AS kind, metric, avg(value) AS mean, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM l GROUP BY ALL", "entity kind metric", doubles="mean lower upper")(_rule_intervals)

@@ -131,3 +131,8 @@ def compare(pred: DataFrame, method: str = "holm", alpha: float = 0.05, level: f
     corrected = holm(tests, p="p_value") if method == "holm" else benjamini_hochberg(tests, p="p_value")
     c = "p_holm" if method == "holm" else "p_bh"
     return corrected.withColumnRenamed(c, "p_value_corrected").withColumn("significant", F.col("p_value_corrected") <= alpha).drop("name")
+
+
+def q_matrix(tests: DataFrame, names: list[str]) -> DataFrame:
+    """name_a and, for each name_b, -log10 of the least corrected p of the pair (of at least 1e-10)."""
+    return tests.groupBy("name_a").pivot("name_b", names).agg(F.min(-F.log10(F.greatest("p_value_corrected", F.lit(P_FLOOR)))))

@@ -20,6 +20,11 @@ def parse(expression: str) -> tuple[list[str], str]:
     return names, has[0]
 
 
+def kind(entity: Column) -> Column:
+    """individual or combination, by the name of a rule's predictions."""
+    return F.when(entity.contains(" AND ") | entity.contains(" OR "), "combination").otherwise("individual")
+
+
 def combined(names: list[str], operation: str) -> Column:
     if operation not in ("AND", "OR"):
         raise ValueError(f"unknown operation {operation!r}")

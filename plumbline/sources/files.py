@@ -13,17 +13,29 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.clean import MISSING, pooled
+from plumbline.operators.clean import MISSING, pooled, subset
 from plumbline.operators.metrics import all_metrics
 from plumbline.sources import sheets
 
 
 def confined(root: str, name: str) -> str:
-    """root/name, normalised; a name that leads outside the root is an error."""
-    path = posixpath.normpath(posixpath.join(root, name))
-    if path != posixpath.normpath(root) and not path.startswith(posixpath.normpath(root).rstrip("/") + "/"):
+    """root/name, normalised; a name that leads outside the root is an error.  Of a root on another store, such as
+    s3a://bucket/folder, the scheme and the store's name stay as they are."""
+    store, top = re.match(r"([A-Za-z][A-Za-z0-9+.-]*://[^/]*)?(.*)", root, re.S).groups()
+    top = posixpath.normpath(top or ("/" if store else "."))
+    if "://" in name:
         raise ValueError(f"{name!r} leads outside {root!r}")
-    return path
+    path = posixpath.normpath(posixpath.join(top, name))
+    inside = path == top or path.startswith(top.rstrip("/") + "/") or (top == "." and not path.startswith(("/", "..")))
+    if not inside:
+        raise ValueError(f"{name!r} leads outside {root!r}")
+    return (store or "") + path
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -47,15 +59,16 @@ def sniff(spark: SparkSession, path: str) -> str:
         return "\t"
 
 
-def read(spark: SparkSession, root: str, name: str, columns: list[str] | None = None, id_column: str | None = None, distinct: bool = False) -> DataFrame:
-    """The table of a .csv, .tsv, .txt, .xlsx (first sheet), .parquet or .json file; `id_column` must exist and does not count
-    for `distinct`."""
+def read(spark: SparkSession, root: str, name: str, columns: list[str] | None = None, id_column: str | None = None, distinct: bool = False, multiline: bool = False) -> DataFrame:
+    """The table of a .csv, .tsv, .txt, .xlsx (first sheet), .parquet or .json file, or of a folder of such files with that
+    ending; `id_column` must exist and does not count for `distinct`.  Quotes inside a quoted value are doubled.  Values that
+    run over line ends need `multiline`; a file is then one task, without it files are split."""
     path, kind = confined(root, name), posixpath.splitext(name)[1].lower()
     if kind == ".xls":
         raise NotImplementedError("the old binary spreadsheets cannot be read; save them as .xlsx or .csv")
     if kind not in (".csv", ".tsv", ".txt", ".xlsx", ".parquet", ".json"):
         raise ValueError(f"unsupported file type {kind!r}")
-    if "://" not in path and not Path(path).exists():
+    if not there(spark, path):
         raise FileNotFoundError(path)
     if kind == ".parquet":
         df = spark.read.parquet(path)
@@ -65,14 +78,12 @@ def read(spark: SparkSession, root: str, name: str, columns: list[str] | None =
         df = _typed(sheets.read(spark, path))
     else:
         sep = {".csv": ",", ".tsv": "\t"}.get(kind) or sniff(spark, path)
-        df = _typed(spark.read.csv(path, header=True, sep=sep))
+        df = _typed(spark.read.csv(path, header=True, sep=sep, escape='"', multiLine=multiline))
     if id_column and id_column not in df.columns:
         raise ValueError(f"no column {id_column!r}")
     if distinct:
         df = df.dropDuplicates([c for c in df.columns if c != id_column])
-    if columns:
-        df = df.select(*[c for c in columns if c in df.columns or c == id_column])
-    return df
+    return subset(df, columns) if columns else df
 
 
 def read_mixed(spark: SparkSession, path: str, pattern: str = "[,\t]") -> DataFrame:
@@ -179,11 +190,18 @@ class PredictionStore:
 
     def get(self, key: str) -> DataFrame:
         """All predictions of a run whose folds are committed."""
-        rows = self.spark.read.parquet(self.root).where(F.col("run_key") == key)
-        markers = f"{self.root}/_folds/run_key={key}"
-        there = [(d.removeprefix("dataset="), e.removeprefix("entity="), n) for d in self._listed(markers) for e in self._listed(f"{markers}/{d}") for n in self.have(key, d.removeprefix("dataset="), e.removeprefix("entity="))]
-        done = self.spark.createDataFrame(there, "dataset string, entity string, fold int")
-        return rows.join(F.broadcast(done), ["dataset", "entity", "fold"], "left_semi")  # a row for each fold
+        return self._rows(key)
+
+    def _rows(self, *keys: str) -> DataFrame:
+        """The predictions whose folds are committed, of the runs named or of all."""
+        name = lambda d: d.split("=", 1)[1]
+        done = []
+        for k in keys or tuple(name(n) for n in self._listed(f"{self.root}/_folds")):
+            at = f"{self.root}/_folds/run_key={k}"
+            done += [(k, name(d), name(e), n) for d in self._listed(at) for e in self._listed(f"{at}/{d}") for n in self.have(k, name(d), name(e))]
+        folds = self.spark.createDataFrame(done, "run_key string, dataset string, entity string, fold int")
+        rows = self.spark.read.parquet(self.root)
+        return (rows.where(F.col("run_key").isin(*keys)) if keys else rows).join(F.broadcast(folds), list(self.KEYS), "left_semi")  # a row for each fold
 
     def have(self, key: str, dataset: str, entity: str) -> set[int]:
         """The folds that are there; none if nothing has been stored yet."""
@@ -191,7 +209,7 @@ class PredictionStore:
         return {int(n.removeprefix("fold=")) for n in self._listed(f"{self.root}/run_key={key}/dataset={dataset}/entity={entity}") if n.startswith("fold=")} & marked
 
     def summary(self) -> DataFrame:
-        """run_key, dataset, entity, folds (their numbers, in order), n."""
+        """run_key, dataset, entity, folds (numbers of those committed, in order), n."""
         return self.folds().groupBy("run_key", "dataset", "entity").agg(F.array_sort(F.collect_list("fold")).alias("folds"), F.sum("n").alias("n"))
 
     def cleanup(self, keep: tuple[str, ...] = (), dry_run: bool = False) -> list[str]:
@@ -205,11 +223,12 @@ class PredictionStore:
         return gone
 
     def folds(self) -> DataFrame:
-        return self.spark.read.parquet(self.root).groupBy(*self.KEYS).agg(F.count("*").alias("n"))
+        return self._rows().groupBy(*self.KEYS).agg(F.count("*").alias("n"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """A folder of files that `read` reads, each with a header; blanks around a value stay, quotes inside one are doubled."""
+    df.write.mode("overwrite").csv(path, header=True, sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:

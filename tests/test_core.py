@@ -155,3 +155,29 @@ def test_bootstrap_of_all_predictions(spark, monkeypatch):
                 values.append((tp * tn - fp * fn) / below**0.5 if below else 0.0)
         want = [np.mean(values), *np.quantile(values, [0.025, 0.975])]
         assert np.allclose([got[e].mean, got[e].lower, got[e].upper], want, rtol=0, atol=2e-6)
+
+
+def test_confined_on_stores():
+    assert files.confined("s3a://bucket/a/", "b/../c.csv") == "s3a://bucket/a/c.csv"
+    assert files.confined("file:///tmp/x", "c.csv") == "file:///tmp/x/c.csv"
+    assert files.confined(".", "c.csv") == "c.csv" and files.confined("/", "c.csv") == "/c.csv"
+    for root, name in (("s3a://bucket/a", "../c.csv"), ("s3a://bucket/a", "s3a://other/c.csv"), (".", "../c.csv"), ("/a", "/b/c.csv"), ("/a", "../ab/c.csv")):
+        with pytest.raises(ValueError):
+            files.confined(root, name)
+
+
+def test_texts_through_csv(spark, tmp_path):
+    """Quotes, line ends, blanks and delimiters inside values come back; a comma in a value is none in a table of tabs."""
+    rows = [(1, ' a "b", c '), (2, "x\ny"), (3, ""), (4, "NA"), (5, 'tab\tand ""'), (6, "back\\slash"), (7, "\\"), (8, '"')]
+    for name, sep in (("t.csv", ","), ("t.tsv", "\t")):
+        files.write_csv(spark.createDataFrame(rows, "k long, v string"), str(tmp_path / name), sep)
+        got = {r.k: r.v for r in files.read(spark, f"file://{tmp_path}", name, multiline=True).collect()}
+        assert got == {k: None if v in ("", "NA") else v for k, v in rows}
+    (tmp_path / "q.csv").write_text('k,v\n1,"say ""no"" twice"\n')
+    assert files.read(spark, str(tmp_path), "q.csv").first().v == 'say "no" twice'
+
+
+def test_missing_columns_are_named(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    with pytest.warns(UserWarning, match="gone"):
+        assert files.read(spark, str(tmp_path), "a.csv", ["y", "gone", "x"]).columns == ["y", "x"]
