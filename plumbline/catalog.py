@@ -784,3 +784,29 @@ def _rule_intervals(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("rule_intervals", f"WITH {BASE}, {_rules_sql(RULES + rules.defaults(RULES))}, {BOOT.replace('FROM pred)', 'FROM called)')}, l AS (SELECT entity, unnest(['precision_1', 'recall_1', 'mcc']) AS metric, unnest([precision_1, recall_1, mcc]) AS value FROM boot) SELECT entity, CASE WHEN contains(entity, ' AND ') OR contains(entity, ' OR ') THEN 'combination' ELSE 'individual' END AS kind, metric, avg(value) AS mean, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM l GROUP BY ALL", "entity kind metric", doubles="mean lower upper")(_rule_intervals)
+
+
+# outputs: predictions in both layouts, by way of a file; p values as text; manifest
+def _predicted(s: SparkSession, d: str, proba: bool) -> DataFrame:
+    from plumbline.plans.experiments import laid_out
+
+    scored = base(s, d).select("sample_id", F.col("pa").alias("y_prob"))
+    return _back(s, laid_out(scored, 0.45, ["sample_id"], proba), "predictions.csv", ",")
+
+
+_register("predict_labels", f"WITH {BASE} SELECT sample_id, (pa >= 45e-2)::INT AS prediction FROM base", "", "sample_id prediction")(lambda s, d: _predicted(s, d, False))
+_register("predict_scores", f"WITH {BASE} SELECT sample_id, 1e0 - pa AS prob_class_0, pa AS prob_class_1, (pa >= 45e-2)::INT AS predicted_class, 45e-2 AS optimal_threshold, pa - 45e-2 AS prob_diff_to_threshold FROM base", "", "sample_id predicted_class", "prob_class_0 prob_class_1 optimal_threshold prob_diff_to_threshold")(lambda s, d: _predicted(s, d, True))
+_register("formatted_p", _p(f", {TESTS_SQL} SELECT family, name, CASE WHEN p < 1e-3 THEN '<0.001' ELSE printf('%.3f', p) END AS text FROM tests"), "family name text")(lambda s, d: kind_tests(s, d).select("family", "name", intervals.format_p(F.col("p")).alias("text")))
+
+
+def _listed_files(s: SparkSession, d: str) -> DataFrame:
+    """The manifest of a folder with a file of order numbers, in order, for each priority."""
+    root = storage.shared_folder(s)
+    lines = table(s, d, "orders").select("o_orderpriority", F.col("o_orderkey").cast("string").alias("value"))
+    lines.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "value").write.partitionBy("o_orderpriority").text(f"{root}/orders")
+    found = files.manifest(s, f"{root}/orders").where("not endswith(path, '/_SUCCESS')")
+    name = F.regexp_extract(F.expr("url_decode(url_decode(path))"), "o_orderpriority=([^/]*)/", 1)
+    return found.select(name.alias("name"), F.regexp_extract("path", "[.]([a-z]+)$", 1).alias("ending"), "bytes", "sha256")
+
+
+_register("manifest_files", "SELECT o_orderpriority AS name, 'txt' AS ending, sum(length(o_orderkey::VARCHAR) + 1) AS bytes, sha256(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey::VARCHAR)) AS sha256 FROM orders GROUP BY o_orderpriority", "name ending sha256", "bytes")(_listed_files)

@@ -188,12 +188,16 @@ def predict(df: DataFrame, path: str, id_column: str | None = None, threshold: f
     """[id,] prediction, or with `proba` [id,] prob_class_0, prob_class_1, predicted_class, optimal_threshold,
     prob_diff_to_threshold; rows with nulls in features are scored only by models that fill them."""
     model, meta = artifacts.load_model(df.sparkSession, path)
-    p, t = F.col("y_prob"), meta["threshold"] if threshold is None else threshold
     scored = models.score(model, clean.nan_to_null(df), meta["features"])
-    keep, positive = [id_column] if id_column else [], (p >= t).cast("int")
+    return laid_out(scored, meta["threshold"] if threshold is None else threshold, [id_column] if id_column else [], proba)
+
+
+def laid_out(scored: DataFrame, threshold: float, keep: list[str], proba: bool = True) -> DataFrame:
+    """The columns that `predict` gives, of rows with y_prob."""
+    p, positive = F.col("y_prob"), (F.col("y_prob") >= threshold).cast("int")
     if not proba:
         return scored.select(*keep, positive.alias("prediction"))
-    return scored.select(*keep, (1 - p).alias("prob_class_0"), p.alias("prob_class_1"), positive.alias("predicted_class"), F.lit(float(t)).alias("optimal_threshold"), (p - t).alias("prob_diff_to_threshold"))
+    return scored.select(*keep, (1 - p).alias("prob_class_0"), p.alias("prob_class_1"), positive.alias("predicted_class"), F.lit(float(threshold)).alias("optimal_threshold"), (p - threshold).alias("prob_diff_to_threshold"))
 
 
 def evaluate(df: DataFrame, path: str, threshold: float | None = None) -> dict[str, DataFrame]:
