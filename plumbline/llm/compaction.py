@@ -3,8 +3,10 @@
 A store is a folder with immutable Parquet shards and numbered manifests.  `append` writes arrivals as small
 shards; `compact` merges every run of shards of one size tier into files of the target size; both end by
 committing the next manifest: a JSON file is written whole under another name and then given its number by an
-operation that fails if that number exists (a hard link on a local disk, a rename without overwriting elsewhere),
-so a version has one writer, and readers see old or new, never a mix.  Shards that a version names stay until
+operation that fails if that number exists (a hard link on a local disk, a rename without overwriting or an exclusive
+creation elsewhere), so a version has one writer, and readers see old or new, never a mix.  A writer that comes second
+commits again on top of what the first has committed: arrivals always can, a merge can while all shards that it has read are
+still named.  Shards that a version names stay until
 `vacuum` removes the version, so readers of recent versions go on; shards that no manifest names (a job that died)
 go then as well, once they are older than a day.
 """
@@ -13,8 +15,10 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import shared_folder
 
 TARGET_BYTES, FANOUT = 128 << 20, 4
+#: Times that a writer commits again after others were first.
+TRIES = 50
+#: How a manifest gets its number, by the scheme of the store.
+PUBLISHING = {"file": "link", "hdfs": "rename", "viewfs": "rename", "webhdfs": "rename", "gs": "create"}
 
 
 class CommitConflict(RuntimeError):
@@ -29,10 +37,18 @@ class CommitConflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> None:
+    """`publishing` says how a manifest gets its number: link, rename (where that does not overwrite) or create (where a
+    file appears whole when it is closed, and creating one that exists fails, as on object stores with conditional writes);
+    by default what PUBLISHING has for the store."""
+
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, publishing: str | None = None) -> None:
         self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
         self._jvm = spark._jvm
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        scheme = self._fs.getUri().getScheme()
+        self._publishing = publishing or PUBLISHING.get(scheme)
+        if self._publishing not in ("link", "rename", "create"):
+            raise ValueError(f"name the way in which {scheme} gives a file its name once: link, rename or create")
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
@@ -55,32 +71,47 @@ class Store:
 
     def _commit(self, base: int, shards: list[dict]) -> dict:
         manifest = {"version": base + 1, "shards": sorted(shards, key=lambda s: s["name"])}
-        temporary, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/v{base + 1}.json")
+        final = self._path(f"manifests/v{base + 1}.json")
         self._fs.mkdirs(self._path("manifests"))
-        out = self._fs.create(temporary, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
         try:
-            self._publish(temporary, final)
+            self._publish(json.dumps(manifest).encode(), final)
         except Exception as e:
             if self._fs.exists(final):
                 raise CommitConflict(f"version {base + 1} exists") from e
             raise
-        finally:
-            self._fs.delete(temporary, False)
         return manifest
 
-    def _publish(self, temporary, final) -> None:
-        """Gives the file its final name, at once and only if that name is free."""
-        scheme, jvm = self._fs.getUri().getScheme(), self._jvm
-        if scheme == "file":
-            local = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (final, temporary)]
-            jvm.java.nio.file.Files.createLink(*local)
-        elif scheme in ("hdfs", "viewfs", "webhdfs"):  # rename there is one step and does not overwrite
-            if not self._fs.rename(temporary, final):
+    def _put(self, content: bytes, path) -> None:
+        out = self._fs.create(path, False)
+        out.write(bytearray(content))
+        out.close()
+
+    def _publish(self, content: bytes, final) -> None:
+        """Writes a file under its final name, whole and only if that name is free."""
+        if self._publishing == "create":
+            return self._put(content, final)
+        temporary = self._path(f"manifests/.{uuid.uuid4().hex}")
+        self._put(content, temporary)
+        try:
+            if self._publishing == "link":
+                local = [self._jvm.java.io.File(p.toUri().getPath()).toPath() for p in (final, temporary)]
+                self._jvm.java.nio.file.Files.createLink(*local)
+            elif not self._fs.rename(temporary, final):
                 raise FileExistsError(str(final))
-        else:
-            raise ValueError(f"{scheme} has no rename that keeps what is there; put manifests on a file system that has one")
+        finally:
+            self._fs.delete(temporary, False)
+
+    def _change(self, change: Callable[[list[dict]], list[dict]]) -> dict:
+        """Commits what `change` makes of the newest version's shards, again on top of those of others who were first."""
+        for k in range(TRIES):
+            base = self.manifest()
+            shards = change(base["shards"])
+            try:
+                return self._commit(base["version"], shards)
+            except CommitConflict:
+                if k == TRIES - 1:
+                    raise
+                time.sleep(random.uniform(0, 0.05 * min(k + 1, 10)))
 
     def _write(self, df: DataFrame) -> list[dict]:
         folder = f"shards/{uuid.uuid4().hex}"
@@ -90,8 +121,8 @@ class Store:
 
     def append(self, df: DataFrame) -> dict:
         """One small shard for each task of df."""
-        base = self.manifest()
-        return self._commit(base["version"], base["shards"] + self._write(df))
+        new = self._write(df)
+        return self._change(lambda shards: shards + new)
 
     def append_arrivals(self, df: DataFrame, arrival: str) -> dict:
         """The rows of each value of a column as an arrival of its own, in order; all are written in one pass."""
@@ -100,8 +131,8 @@ class Store:
         parts = sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(folder)) if f.isDirectory())
         for part in parts:
             files = self._fs.listStatus(self._path(f"{folder}/{part}"))
-            base = self.manifest()
-            self._commit(base["version"], base["shards"] + [{"name": f"{folder}/{part}/{f.getPath().getName()}", "bytes": f.getLen()} for f in files if f.getPath().getName().startswith("part-")])
+            new = [{"name": f"{folder}/{part}/{f.getPath().getName()}", "bytes": f.getLen()} for f in files if f.getPath().getName().startswith("part-")]
+            self._change(lambda shards, new=new: shards + new)
         return self.manifest() if parts else self.append(df.drop(arrival))
 
     def tier(self, size: int) -> int:
@@ -116,9 +147,10 @@ class Store:
         return [run for t, run in sorted(tiers.items()) if t > 0 and len(run) >= self.fanout]
 
     def compact(self) -> dict:
-        """Merges until no tier has a run; a merge reads each of its shards once and shuffles nothing."""
+        """Merges until no tier has a run; a merge reads each of its shards once and shuffles nothing.  Arrivals that are
+        committed meanwhile stay; where another has merged the same shards, this one's work is dropped with a CommitConflict."""
         base = self.manifest()
-        shards, gone = base["shards"], 0
+        shards = base["shards"]
         moved = True
         while moved:
             moved = False
@@ -129,11 +161,18 @@ class Store:
                 merged = self._write(self.read(run).coalesce(n))
                 names = {s["name"] for s in run}
                 shards = [s for s in shards if s["name"] not in names] + merged
-                gone += len(run)
                 moved = True
+        was, stay = {s["name"] for s in base["shards"]}, {s["name"] for s in shards}
+        gone, new = was - stay, [s for s in shards if s["name"] not in was]
         if not gone:
             return base
-        return self._commit(base["version"], shards)
+
+        def merged(now: list[dict]) -> list[dict]:
+            if gone - {s["name"] for s in now}:
+                raise CommitConflict("another writer has merged the same shards")
+            return [s for s in now if s["name"] not in gone] + new
+
+        return self._change(merged)
 
     def vacuum(self, keep: int = 2, older_than: float = 86_400.0) -> list[str]:
         """Removes all but the last `keep` versions, and shards that none of those names and that are older than so many

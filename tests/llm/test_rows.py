@@ -326,6 +326,44 @@ def test_two_writers(spark, tmp_path):
         assert sorted(pool.map(commit, range(8)), key=str) == [2] + [None] * 7
 
 
+def test_writers_meet(spark, tmp_path):
+    """Arrivals of several writers all stay, beside a merge too; of two merges of the same shards one stays."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/store"
+    one = lambda: compaction.Store(spark, root, 10_000, 2)
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: one().append(spark.range(k * 10, k * 10 + 10).coalesce(1)), range(6)))
+    assert one().versions() == [1, 2, 3, 4, 5, 6] and one().read().count() == 60
+    late = one()
+    stale = late.manifest()
+    seen = iter([stale])  # a merge that has read version 6 and commits after version 7
+    one().append(spark.range(60, 70).coalesce(1))
+    newest = late.manifest
+    late.manifest = lambda version=None: next(seen, None) or newest(version)
+    merged = late.compact()
+    assert merged["version"] == 8 and sorted(r.id for r in one().read().collect()) == list(range(70))
+    assert not {s["name"] for s in stale["shards"]} <= {s["name"] for s in merged["shards"]}
+    other = one()
+    seen2, now = iter([stale]), other.manifest
+    other.manifest = lambda version=None: next(seen2, None) or now(version)
+    with pytest.raises(compaction.CommitConflict):
+        other.compact()
+    assert one().manifest() == merged
+
+
+def test_ways_to_publish(spark, tmp_path, monkeypatch):
+    """An exclusive creation gives a version one writer as well; a store of which no way is known has to be told one."""
+    store = compaction.Store(spark, f"file://{tmp_path}/store", publishing="create")
+    store.append(spark.range(3))
+    with pytest.raises(compaction.CommitConflict):
+        store._commit(0, [])
+    assert store.append(spark.range(3, 5))["version"] == 2 and store.read().count() == 5
+    monkeypatch.setattr(compaction, "PUBLISHING", {})
+    with pytest.raises(ValueError):
+        compaction.Store(spark, store.root)
+
+
 def test_neighbours(spark):
     import numpy as np
 
