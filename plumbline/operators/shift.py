@@ -29,7 +29,7 @@ def ks(df: DataFrame, columns: list[str], dataset: str = "dataset") -> DataFrame
     a, b = names.alias("a"), names.alias("b")
     pairs = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col(f"a.{dataset}") < F.col(f"b.{dataset}")))
     pairs = pairs.select(F.col("a.feature").alias("feature"), F.col(f"a.{dataset}").alias("a"), F.col(f"b.{dataset}").alias("b"), F.col("a.total").alias("ta"), F.col("b.total").alias("tb"))
-    both = points.join(F.broadcast(pairs), "feature")
+    both = points.join(pairs, "feature")  # pairs grow with datasets squared: no hint, AQE broadcasts them by the size they turn out to have
     step = F.coalesce(F.try_element_at("m", F.col("a")), F.lit(0)) / F.col("ta") - F.coalesce(F.try_element_at("m", F.col("b")), F.lit(0)) / F.col("tb")
     both = both.select("feature", "a", "b", "part", "value", step.alias("step"))
     before = both.groupBy("feature", "a", "b", "part").agg(F.sum("step").alias("s"))

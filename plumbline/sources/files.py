@@ -17,6 +17,8 @@ from plumbline.operators.clean import MISSING, pooled, subset
 from plumbline.operators.metrics import all_metrics
 from plumbline.sources import sheets
 
+#: Folds up to which their list is broadcast.
+FEW = 4096
 
 def confined(root: str, name: str) -> str:
     """root/name, normalised; a name that leads outside the root is an error.  Of a root on another store, such as
@@ -201,7 +203,7 @@ class PredictionStore:
             done += [(k, name(d), name(e), n) for d in self._listed(at) for e in self._listed(f"{at}/{d}") for n in self.have(k, name(d), name(e))]
         folds = self.spark.createDataFrame(done, "run_key string, dataset string, entity string, fold int")
         rows = self.spark.read.parquet(self.root)
-        return (rows.where(F.col("run_key").isin(*keys)) if keys else rows).join(F.broadcast(folds), list(self.KEYS), "left_semi")  # a row for each fold
+        return (rows.where(F.col("run_key").isin(*keys)) if keys else rows).join(F.broadcast(folds) if len(done) <= FEW else folds, list(self.KEYS), "left_semi")
 
     def have(self, key: str, dataset: str, entity: str) -> set[int]:
         """The folds that are there; none if nothing has been stored yet."""
